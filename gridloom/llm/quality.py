@@ -24,7 +24,7 @@ from . import common
 SYMBOLS = "#*$%&|<>"
 SIGNALS = ("symbols", "dup_lines", "repeats", "bangs", "capitals", "bars")
 #: Cutoffs tested for each stratum, in units of the clean texts' far end.
-CUTOFFS = [round(1.25 * 1.12**i, 4) for i in range(24)]
+CUTOFFS = [round(2.0 * 1.25**i, 4) for i in range(12)]
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -133,7 +133,7 @@ def cutoffs(holdout: DataFrame, stratum: str, alpha: float, delta: float) -> dic
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Each row's doc, figures, score, cutoff and kept. alpha: the most clean texts a stratum may lose; delta: the chance that any stratum loses more.
 
     The number of strata must be small (languages, sources): their counts go to the driver.

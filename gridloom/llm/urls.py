@@ -120,7 +120,10 @@ def _split(rows: dict[tuple[str, int], tuple[float, float]], rate: float) -> tup
 
 
 def _binned(row: DataFrame, model: UrlModel) -> dict[str, Column]:
-    out = {f: F.aggregate(F.array(*(F.lit(float(e)) for e in edges)), F.lit(0), lambda a, e, f=f: a + F.when(F.col(f) > e, 1).otherwise(0)) if edges else F.lit(0) for f, edges in model.edges.items()}
+    def place(f: str, edges: list[float]) -> Column:
+        return F.lit(len(edges)) - F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e >= F.col(f))) if edges else F.lit(0)
+
+    out = {f: place(f, edges) for f, edges in model.edges.items()}
     for s, table in model.statistics.items():
         share = F.lit(BINS // 2)
         for value, b in table.items():
