@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, quality, urls
+from . import lines, packing, quality, secrets, urls
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
+    "op2_secret_scans": secrets.op2,
     "op3_line_dedup": lines.op3,
     "op5_url_filters": urls.op5,
     "op7_quality_rules": quality.op7,
