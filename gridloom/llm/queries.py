@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, packing, quality, secrets, toxicity, urls
+from . import edits, lines, packing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lines.op3,
     "op5_url_filters": urls.op5,
     "op7_quality_rules": quality.op7,
+    "op8_document_fingerprints": edits.op8,
     "op9_toxicity": toxicity.op9,
 }
 ORACLE_SQL = {
