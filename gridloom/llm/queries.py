@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import edits, lines, packing, quality, secrets, toxicity, urls
+from . import edits, jaccard, lines, packing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_secret_scans": secrets.op2,
     "op3_line_dedup": lines.op3,
     "op5_url_filters": urls.op5,
+    "op6_ngram_jaccard_join": jaccard.op6,
     "op7_quality_rules": quality.op7,
     "op8_document_fingerprints": edits.op8,
     "op9_toxicity": toxicity.op9,
