@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edits, jaccard, lines, packing, quality, secrets, toxicity, urls
+from . import edits, jaccard, lines, packing, quality, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_quality_rules": quality.op7,
     "op8_document_fingerprints": edits.op8,
     "op9_toxicity": toxicity.op9,
+    "op10_suffix_array_dedup": suffixes.op10,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.OP3_SQL,
