@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import edits, jaccard, lines, packing, quality, secrets, suffixes, toxicity, urls
+from . import edits, jaccard, lines, packing, quality, secrets, sentences, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_secret_scans": secrets.op2,
     "op3_line_dedup": lines.op3,
+    "op4_sentencepiece": sentences.op4,
     "op5_url_filters": urls.op5,
     "op6_ngram_jaccard_join": jaccard.op6,
     "op7_quality_rules": quality.op7,
