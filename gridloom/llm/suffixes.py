@@ -152,7 +152,7 @@ def _slotted(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, lists: DataFrame, text: str, doc: str, how: str) -> DataFrame:
-    return _rows(docs, text, doc).join(lists.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), how).drop("of")
+    return _rows(docs, text, doc).join(lists.withColumnRenamed("doc", "of").hint("merge"), F.col("doc") == F.col("of"), how).drop("of")
 
 
 def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
