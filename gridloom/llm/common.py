@@ -37,7 +37,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+#: What materialise() has written and discard() may delete.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialise() wrote for these, once nothing that is still to run reads it; and let Spark drop the shuffle files of finished jobs."""
+    for df in written:
+        _, path = _paths.pop(id(df), (df, None))
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    release(written[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ such string's start to the last one's end.
 
 Dictionary. Phrases are named by 128-bit hashes, and equal ones counted; a phrase that occurs twice or more repeats with all its suffixes.
 Distinct phrases with the same trigger string may share some suffixes: one occurrence of each is read from the texts,
-and its suffixes, cut to `length` bytes and named by 128-bit hashes, are grouped; equal neighbours in that order repeat.
+and the suffixes, cut to `length` bytes and named by 128-bit hashes, are sorted; equal neighbours in that order repeat.
 
 Parse. What repeats is handed back to all occurrences of each phrase, and every document's runs are merged and cut out.
 
@@ -35,6 +35,8 @@ from . import common
 
 TRIGGER = 64
 SLOTS = 64
+#: Phrases with one trigger that are held side by side in one task; those of more common triggers are shuffled by string.
+TOGETHER = 256
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -155,59 +157,131 @@ def _wanted(docs: DataFrame, lists: DataFrame, text: str, doc: str, how: str) ->
     return _rows(docs, text, doc).join(lists.withColumnRenamed("doc", "of").hint("merge"), F.col("doc") == F.col("of"), how).drop("of")
 
 
+def _strings(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, start, s1, s2) of every string of some phrases of data."""
+    phrase = np.repeat(np.arange(len(first)), count)
+    start = first[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
+    s1, s2 = (Rolling(data, b).of(start, start + length) for b in (0, 1))
+    return phrase, start, s1, s2
+
+
+_ENTRY = "t long, doc long, tk long, first long, count int, n long"
+
+
+def read_phrases(docs: DataFrame, wanted: DataFrame, text: str, doc: str, length: int) -> DataFrame:
+    """Dictionary entries with their phrase's bytes. wanted: (doc, list of entries)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["t", "doc", "tk", "first", "count", "n", "phrase"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        for batch in batches:
+            rows = []
+            for d, t, list_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+                if t is None or len(t) < length:
+                    continue
+                key = _text_key(t)
+                for x in list_.as_py():
+                    if x["tk"] == key:
+                        a = x["first"]
+                        rows.append((x["t"], d, key, a, x["count"], x["n"], t[a : a + x["count"] - 1 + length]))
+            columns = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return _wanted(docs, wanted, text, doc, "inner").mapInArrow(run, f"{_ENTRY}, phrase binary")
+
+
+def _laid(batch: list[tuple], length: int) -> tuple:
+    """The strings of some entries (doc, tk, first, count, n, phrase): entry's number, place in it, and both hashes."""
+    data = np.frombuffer(b"".join(x[5] for x in batch), np.uint8)
+    sizes = np.array([len(x[5]) for x in batch], np.int64)
+    first = np.cumsum(sizes) - sizes
+    phrase, start, s1, s2 = _strings(data, first, np.array([x[3] for x in batch], np.int64), length)
+    return phrase, start - first[phrase], s1, s2
+
+
+def _resolved(batch: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+    """(doc, tk, start, end) of what repeats among the strings of the entries, in entries of one occurrence."""
+    phrase, at, s1, s2 = _laid(batch, length)
+    order = np.lexsort((s2, s1))
+    same = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])
+    twice = np.zeros(len(order), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    out = []
+    single = np.array([x[4] == 1 for x in batch])
+    hits = np.flatnonzero(twice & single[phrase])
+    if len(hits):
+        breaks = np.flatnonzero((np.diff(phrase[hits]) != 0) | (np.diff(at[hits]) != 1)) + 1
+        for run in np.split(hits, breaks):
+            doc, tk, first = batch[phrase[run[0]]][:3]
+            out.append((doc, tk, first + int(at[run[0]]), first + int(at[run[-1]]) + length))
+    return out
+
+
 def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
     """(doc, tk, start, end): bytes of documents that repeat, as runs not yet merged."""
-    spark = docs.sparkSession
     all_ = common.materialise(parsed(docs, text, doc, length), "phrases")
     slot = F.pmod(F.xxhash64("doc", "first"), F.lit(SLOTS)).cast("int")
     shared_triggers = _slotted(all_.select("t", F.lit(1).alias("n"), slot.alias("slot")), "t")
     shared = all_.withColumn("slot", slot).join(shared_triggers.select("t", "slot"), ["t", "slot"], "left_semi")
     shared = common.materialise(shared.drop("slot"), "shared-phrases")
+    common.discard(all_)
     # The dictionary: distinct phrases with a trigger that others have.
     entry = F.struct("doc", "tk", "first", "count")
     entries = shared.groupBy("t", "p1", "p2").agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("at"))
     entries = common.materialise(entries, "dictionary")
     part = F.pmod(F.col("p1"), F.lit(SLOTS)).cast("int")
     several = _slotted(entries.select("t", F.lit(1).alias("n"), part.alias("slot")), "t")
-    mixed = entries.withColumn("slot", part).join(several.select("t", "slot"), ["t", "slot"], "left_semi")
-    wanted = mixed.select("at.doc", F.struct(F.col("at.tk").alias("tk"), F.col("at.first").alias("first"), F.col("at.count").alias("count"), "p1", "p2", "n").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("list"))
+    mixed = entries.withColumn("slot", part).join(several, ["t", "slot"])
+    # Triggers that many phrases share are resolved through a shuffle of all their strings, the others side by side.
+    wanted = mixed.select("at.doc", F.struct("t", F.col("at.tk").alias("tk"), F.col("at.first").alias("first"), F.col("at.count").alias("count"), F.when(F.col("total") > TOGETHER, -F.col("n")).otherwise(F.col("n")).alias("n")).alias("x"))
+    wanted = common.materialise(wanted.groupBy("doc").agg(F.collect_list("x").alias("list")), "wanted")
+    common.discard(entries)
+    read = common.materialise(read_phrases(docs, wanted, text, doc, length), "read-phrases")
+    common.discard(wanted)
+
+    def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "tk", "start", "end"]
+        held: list[tuple] = []
+        last = None
+
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*_resolved(held, length))) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["p1", "p2", "at", "s1", "s2", "n"]
         for batch in batches:
-            for t, list_ in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
-                if t is None or len(t) < length:
-                    continue
-                key, data = _text_key(t), np.frombuffer(t, np.uint8)
-                own = [x for x in list_.as_py() if x["tk"] == key]
-                if not own:
-                    continue
-                count = np.array([x["count"] for x in own], np.int64)
-                first = np.repeat(np.array([x["first"] for x in own], np.int64), count)
-                at = np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
-                start = first + at
-                s1, s2 = (Rolling(data, b).of(start, start + length) for b in (0, 1))
-                for k in range(0, len(at), 200_000):
-                    c = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array([x[f] for x in own], np.int64), count)[c]) for f in ("p1", "p2")), pa.array(at[c].astype(np.int32)), _signed(s1[c]), _signed(s2[c]), pa.array(np.repeat(np.array([x["n"] for x in own], np.int64), count)[c])], names)
-
-    pool = _wanted(docs, wanted, text, doc, "inner").mapInArrow(suffixes, "p1 long, p2 long, at int, s1 long, s2 long, n long")
-    # A phrase that occurs twice repeats anyway; it is there so that others find their strings in it.
-    pool = common.materialise(pool, "suffixes")
-    common.release(spark)
-    spot = F.pmod(F.col("p2"), F.lit(SLOTS)).cast("int")
-    twice = _slotted(pool.select("s1", "s2", F.lit(1).alias("n"), spot.alias("slot")), "s1", "s2")
-    alike = pool.where("n = 1").withColumn("slot", spot).join(twice.select("s1", "s2", "slot"), ["s1", "s2", "slot"], "left_semi")
-    partly = alike.groupBy("p1", "p2").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    # Phrases of one occurrence with some repeating strings, as runs in their own document.
-    single = entries.where("n = 1").select("p1", "p2", "at").join(partly, ["p1", "p2"])
-    single = single.select(F.col("at.doc").alias("doc"), F.col("at.tk").alias("tk"), F.explode(F.col("places")).alias("place"), F.col("at.first").alias("first"))
-    single = single.select("doc", "tk", (F.col("first") + F.col("place")).alias("start"), (F.col("first") + F.col("place") + length).alias("end"))
-    # A phrase's occurrences are found slot by slot too.
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != last and len(held) >= 2000:
+                    yield emit()
+                    held = []
+                held.append(tuple(row))
+                last = t
+        if held:
+            yield emit()
+
+    def every_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "tk", "start", "n", "s1", "s2"]
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for k in range(0, len(rows), 1000):
+                part = [x[1:] for x in rows[k : k + 1000]]
+                phrase, at, s1, s2 = _laid(part, length)
+                of = lambda i: np.array([x[i] for x in part], np.int64)[phrase]  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(of(0)), pa.array(of(1)), pa.array(of(2) + at), pa.array(of(4)), _signed(s1), _signed(s2)], names)
+
+    few = read.where("n > 0").repartition(common.partitions(docs.sparkSession), "t").sortWithinPartitions("t")
+    few = few.mapInArrow(side_by_side, "doc long, tk long, start long, end long")
+    many = read.where("n < 0").withColumn("n", -F.col("n")).repartition(common.partitions(docs.sparkSession)).mapInArrow(every_string, "doc long, tk long, start long, n long, s1 long, s2 long")
+    many = common.materialise(many, "strings")
+    spot = F.pmod(F.xxhash64("doc", "start"), F.lit(SLOTS)).cast("int")
+    twice = _slotted(many.select("s1", "s2", F.lit(1).alias("n"), spot.alias("slot")), "s1", "s2")
+    alike = many.where("n = 1").withColumn("slot", spot).join(twice.select("s1", "s2", "slot"), ["s1", "s2", "slot"], "left_semi")
+    alike = alike.select("doc", "tk", "start", (F.col("start") + length).alias("end"))
+    # All occurrences of phrases that occur twice or more.
     slots = _slotted(shared.select("p1", "p2", F.lit(1).alias("n"), slot.alias("slot")), "p1", "p2")
     whole = shared.withColumn("slot", slot).join(slots.select("p1", "p2", "slot"), ["p1", "p2", "slot"], "left_semi")
     whole = whole.select("doc", "tk", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("end"))
-    return whole.unionByName(single)
+    return whole.unionByName(few).unionByName(alike)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,10 +297,9 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, text: str = "text", doc: str = "doc_id", length: int = 200) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept: binary) of each row."""
-    spark = docs.sparkSession
     runs = repeats(docs, text, doc, length)
     lists = common.materialise(runs.groupBy("doc").agg(F.collect_list(F.struct("tk", "start", "end")).alias("list")), "runs")
-    common.release(spark)
+    common.release(docs.sparkSession)
     joined = _wanted(docs, lists, text, doc, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
