@@ -117,21 +117,24 @@ def doc_drops(lines: DataFrame, keys: DataFrame) -> DataFrame:
     return lines.join(slots, ["h1", "h2", "salt"], "left_semi").groupBy("doc").agg(F.collect_set("h1").alias("drops"))
 
 
-def dropped(docs: DataFrame, drops: DataFrame, text: str, doc: str) -> DataFrame:
-    whole = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def dropped(docs: DataFrame, drops: DataFrame, text: str, doc: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """also: columns of docs that come along, as fields of a column `also`."""
+    extra = [F.struct(*also).alias("also")] if also else []
+    whole = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
     drops = drops.select(F.col("doc").alias("of"), "drops")
-    joined = whole.join(drops, F.col("doc").eqNullSafe(F.col("of")), "left").select("doc", "text", "drops")
+    joined = whole.join(drops, F.col("doc").eqNullSafe(F.col("of")), "left").select("doc", "text", "drops", *(["also"] if also else []))
     # Only texts that lose lines pay for splitting and hashing once more.
     cut = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), keys(F.col("text")).alias("key")), lambda x: ~F.array_contains(F.col("drops"), F.xxhash64(x["key"])))
     lines = F.when(F.col("drops").isNull(), F.split("text", "\n")).otherwise(F.transform(cut, lambda x: x["line"]))
     return joined.select(
         F.col("doc"),
+        *(["also"] if also else []),
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         common.let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.array_join(x, "\n").alias("kept"))).alias("x"),
-    ).select("doc", "n_lines", (F.col("n_lines") - F.col("x.n")).alias("n_dropped"), F.col("x.kept").alias("kept"))
+    ).select("doc", *(["also"] if also else []), "n_lines", (F.col("n_lines") - F.col("x.n")).alias("n_dropped"), F.col("x.kept").alias("kept"))
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
+def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
     """(doc, n_lines, n_dropped, kept) for every row: lines whose key at least min_docs documents hold are gone.
 
     The lines' hashes are written once, cut into batches; batch after batch is admitted to the runs, and a last merge
@@ -146,7 +149,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", min
     for b in range(batches):
         runs.add(counted(lines.where(F.col("batch") == b)))
     frequent = common.materialise(runs.totals().where(F.col("n") >= min_docs), "line-frequent")
-    return dropped(docs, doc_drops(lines, frequent), text, doc)
+    return dropped(docs, doc_drops(lines, frequent), text, doc, also)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,12 +133,12 @@ def cutoffs(holdout: DataFrame, stratum: str, alpha: float, delta: float) -> dic
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Each row's doc, figures, score, cutoff and kept. alpha: the most clean texts a stratum may lose; delta: the chance that any stratum loses more.
+def judged(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.02, delta: float = 0.05, also: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's doc, figures, score, cutoff and kept. alpha: the most clean texts a stratum may lose; delta: the chance that any stratum loses more. also: columns of docs that come along; they mustn't have a result's name.
 
     The number of strata must be small (languages, sources): their counts go to the driver.
     """
-    rows = common.materialise(measured(docs.select(F.col(doc).alias("doc"), F.col(stratum).alias("stratum"), F.col(text).alias("text")), "text", "doc", "stratum"), "quality")
+    rows = common.materialise(measured(docs.select(F.col(doc).alias("doc"), F.col(stratum).alias("stratum"), F.col(text).alias("text"), *also), "text", "doc", "stratum", *also), "quality")
     clean = labels.where(F.col(label) == 1).select(F.col(doc).alias("doc")).where("doc is not null").distinct()
     known = rows.where(~F.col("base_failed")).join(clean, "doc", "left_semi").withColumn("half", F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(2)))
     scale = scales(known.where("half = 0"))
