@@ -56,7 +56,7 @@ class Term:
         dtype = types.promote(*(p.dtype for p in parts))
         rows = reduce(lambda a, b: a.unionByName(b), [p.astype(dtype).df if algebra is None else p.df for p in parts])
         total = (algebra or parts[0].astype(dtype).algebra).plus
-        df = rows.groupBy(*parts[0].keys).agg(total(V).alias("v"))
+        df = rows.groupBy(*parts[0].keys).agg(total(V()).alias("v"))
         return Tensor(df, parts[0].shape, dtype, algebra, all(p.sparse for p in parts), sum(p.rows for p in parts))
 
     def value(self):
@@ -131,9 +131,9 @@ class Indexed(Term):
         """+=: beta times the selected entries plus the term."""
         t = self.tensor
         chosen = self._selected()
-        old = t.df if beta == 1 else t.df.withColumn("v", F.when(chosen, types.multiply(V, types.literal(beta, t.dtype), t.dtype)).otherwise(V))
-        df = old.unionByName(self._evaluated(term).df).groupBy(*t.keys).agg(t.algebra.plus(V).alias("v"))
-        return t._with(df if types.is_complex(t.dtype) else df.withColumn("v", V.cast(types.SQL[t.dtype])))
+        old = t.df if beta == 1 else t.df.withColumn("v", F.when(chosen, types.multiply(V(), types.literal(beta, t.dtype), t.dtype)).otherwise(V()))
+        df = old.unionByName(self._evaluated(term).df).groupBy(*t.keys).agg(t.algebra.plus(V()).alias("v"))
+        return t._with(df if types.is_complex(t.dtype) else df.withColumn("v", V().cast(types.SQL[t.dtype])))
 
     def subtract(self, term: Term) -> Tensor:
         return self.accumulate(term * -1)
@@ -147,8 +147,8 @@ class Indexed(Term):
     def scale(self, s) -> Tensor:
         """Selected entries times a scalar."""
         t = self.tensor
-        scaled = types.multiply(V, types.literal(s, t.dtype), t.dtype)
-        return t._with(t.df.withColumn("v", F.when(self._selected(), scaled if types.is_complex(t.dtype) else scaled.cast(types.SQL[t.dtype])).otherwise(V)))
+        scaled = types.multiply(V(), types.literal(s, t.dtype), t.dtype)
+        return t._with(t.df.withColumn("v", F.when(self._selected(), scaled if types.is_complex(t.dtype) else scaled.cast(types.SQL[t.dtype])).otherwise(V())))
 
     def fill(self, value) -> Tensor:
         """Selected places take a scalar."""
@@ -161,7 +161,7 @@ class Indexed(Term):
 
     def transform(self, f: Callable[[Column], Column]) -> Tensor:
         """f in place of each selected stored value."""
-        return self.tensor._with(self.tensor.df.withColumn("v", F.when(self._selected(), f(V)).otherwise(V)))
+        return self.tensor._with(self.tensor.df.withColumn("v", F.when(self._selected(), f(V())).otherwise(V())))
 
     def svd(self, left: str, right: str, rank: int | None = None, threshold: float | None = None, random: bool = False):
         from . import multilinear
@@ -191,9 +191,9 @@ def transform2(f: Callable[[Column, Column], Column], a: Indexed, b: Indexed) ->
     if not set(a.labels) <= set(b.labels):
         raise ValueError("every label of what is read must be one of what is changed")
     keys = [f"i{b.labels.index(c)}" for c in a.labels]
-    other = a.tensor.df.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(keys)), V.alias("a"))
+    other = a.tensor.df.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(keys)), V().alias("a"))
     joined = b.tensor.df.join(other, keys, "left")
-    return b.tensor._with(joined.select(*b.tensor.keys, F.when(F.col("a").isNotNull(), f(F.col("a"), V)).otherwise(V).alias("v")))
+    return b.tensor._with(joined.select(*b.tensor.keys, F.when(F.col("a").isNotNull(), f(F.col("a"), V())).otherwise(V()).alias("v")))
 
 
 def transform3(f: Callable[[Column, Column, Column], Column], a: Indexed, b: Indexed, c: Indexed) -> Tensor:
@@ -203,6 +203,6 @@ def transform3(f: Callable[[Column, Column, Column], Column], a: Indexed, b: Ind
         if not set(x.labels) <= set(c.labels):
             raise ValueError("every label of what is read must be one of what is changed")
         keys = [f"i{c.labels.index(k)}" for k in x.labels]
-        out = out.join(x.tensor.df.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(keys)), V.alias(name)), keys, "left")
+        out = out.join(x.tensor.df.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(keys)), V().alias(name)), keys, "left")
     met = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return c.tensor._with(out.select(*c.tensor.keys, F.when(met, f(F.col("a"), F.col("b"), V)).otherwise(V).alias("v")))
+    return c.tensor._with(out.select(*c.tensor.keys, F.when(met, f(F.col("a"), F.col("b"), V())).otherwise(V()).alias("v")))

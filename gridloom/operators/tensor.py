@@ -18,7 +18,10 @@ from ..functions import elementwise, types
 from ..functions.algebras import Algebra, ring
 from ..plans import planner, subscripts
 
-V = F.col("v")
+
+
+def V() -> Column:
+    return F.col("v")
 
 
 def schema(order: int, dtype: str) -> str:
@@ -49,7 +52,7 @@ class Tensor:
         flat = df.select(*at, v.alias("v")).where(F.col("v").isNotNull())
         for k in keys:
             flat = flat.where(F.col(k).isNotNull())
-        return cls(flat.groupBy(*keys).agg(algebra.plus(V).alias("v")), shape, dtype, algebra, True, rows)._typed(dtype)
+        return cls(flat.groupBy(*keys).agg(algebra.plus(V()).alias("v")), shape, dtype, algebra, True, rows)._typed(dtype)
 
     @classmethod
     def from_unique(cls, df: DataFrame, dims: Sequence[str | Column], value: str | Column | None, shape: Sequence[int], dtype: str = "float64", algebra: Algebra | None = None, rows: float | None = None) -> Tensor:
@@ -147,7 +150,7 @@ class Tensor:
         return Tensor(df, self.shape if shape is None else shape, dtype, algebra, self.sparse if sparse is None else sparse, self.rows if rows is None else rows)
 
     def _typed(self, dtype: str) -> Tensor:
-        return self if types.is_complex(dtype) or self.df.schema["v"].dataType.typeName() == "struct" else self._with(self.df.withColumn("v", V.cast(types.SQL[dtype])), dtype=dtype)
+        return self if types.is_complex(dtype) or self.df.schema["v"].dataType.typeName() == "struct" else self._with(self.df.withColumn("v", V().cast(types.SQL[dtype])), dtype=dtype)
 
     def linear(self) -> Column:
         """Row-major place of a row."""
@@ -181,7 +184,7 @@ class Tensor:
         return bool(self.item())
 
     def nnz(self) -> int:
-        return self.df.where(~types.is_zero(V, self.dtype)).count()
+        return self.df.where(~types.is_zero(V(), self.dtype)).count()
 
     def pairs(self) -> list[tuple[int, object]]:
         """All entries by row-major place."""
@@ -189,7 +192,7 @@ class Tensor:
 
     def local(self, nonzero: bool = False) -> DataFrame:
         """Rows with the partition that holds them."""
-        rows = self.df.where(~types.is_zero(V, self.dtype)) if nonzero else self.df
+        rows = self.df.where(~types.is_zero(V(), self.dtype)) if nonzero else self.df
         return rows.withColumn("partition", F.spark_partition_id())
 
     def distributed(self, n: int, *modes: int) -> Tensor:
@@ -201,7 +204,7 @@ class Tensor:
         return self.distributed(n, *shared)
 
     def text(self, cutoff: float = 0.0, most: int = 1000) -> str:
-        rows = self.df.where(types.absolute(V, self.dtype) > cutoff).orderBy(*self.keys).limit(most).collect()
+        rows = self.df.where(types.absolute(V(), self.dtype) > cutoff).orderBy(*self.keys).limit(most).collect()
         return "\n".join(f"{tuple(r)[:-1]} {r['v']}" for r in rows)
 
     def compare(self, other: Tensor, cutoff: float = 0.0) -> DataFrame:
@@ -226,13 +229,13 @@ class Tensor:
     def map(self, f: Callable[[Column], Column], dtype: str | None = None, moves_zero: bool = False) -> Tensor:
         """f on each value; a dense tensor is filled in first if f moves zero."""
         x = self.densify() if moves_zero and not self.sparse else self
-        return x._with(x.df.select(*self.keys, f(V).alias("v")), dtype=dtype)
+        return x._with(x.df.select(*self.keys, f(V()).alias("v")), dtype=dtype)
 
     def apply(self, name: str, *arguments) -> Tensor:
         f = getattr(elementwise, name)
         f = f(*arguments) if arguments else f
         x = self.densify() if name in elementwise.MOVES_ZERO and not self.sparse else self
-        v, dtype = f(V, self.dtype)
+        v, dtype = f(V(), self.dtype)
         return x._with(x.df.select(*self.keys, v.alias("v")), dtype=dtype)
 
     def exp(self) -> Tensor:
@@ -249,7 +252,7 @@ class Tensor:
 
     def clip(self, low: float | None = None, high: float | None = None) -> Tensor:
         x = self.densify() if not self.sparse or (low or 0) > 0 or (high or 0) < 0 else self
-        v, dtype = elementwise.clip(low, high)(V, self.dtype)
+        v, dtype = elementwise.clip(low, high)(V(), self.dtype)
         return x._with(x.df.select(*self.keys, v.alias("v")), dtype=dtype)
 
     def conj(self) -> Tensor:
@@ -265,10 +268,10 @@ class Tensor:
     def _parted(self, value: Tensor, part: str) -> Tensor:
         if not types.is_complex(self.dtype):
             raise TypeError("only complex tensors have parts to set")
-        other = value.df.select(*self.keys, V.cast("double").alias("p"))
+        other = value.df.select(*self.keys, V().cast("double").alias("p"))
         zero = types.literal(0, self.dtype)
         df = self.df.join(other, self.keys, "full_outer") if self.ndim else self.df.crossJoin(other)
-        v, p = F.coalesce(V, zero), F.coalesce("p", F.lit(0.0))
+        v, p = F.coalesce(V(), zero), F.coalesce("p", F.lit(0.0))
         new = F.struct((p if part == "re" else v["re"]).alias("re"), (p if part == "im" else v["im"]).alias("im"))
         return self._with(df.select(*self.keys, new.alias("v")))
 
@@ -281,7 +284,7 @@ class Tensor:
     def astype(self, dtype: str, casting: str = "unsafe") -> Tensor:
         if not np.can_cast(np.dtype(self.dtype), np.dtype(dtype), casting):
             raise TypeError(f"can't cast {self.dtype} to {dtype} as {casting}")
-        return self._with(self.df.select(*self.keys, types.cast(V, self.dtype, dtype).alias("v")), dtype=dtype)
+        return self._with(self.df.select(*self.keys, types.cast(V(), self.dtype, dtype).alias("v")), dtype=dtype)
 
     def _broadcast(self, shape: tuple[int, ...]) -> DataFrame:
         """Rows under a larger shape: leading modes are added and modes of length one repeated, by exploding a sequence of known length."""
@@ -309,19 +312,19 @@ class Tensor:
         other = self._other(x)
         shape = np.broadcast_shapes(self.shape, other.shape)
         to = dtype(self.dtype, other.dtype)
-        a = self._broadcast(shape).withColumn("v", types.cast(V, self.dtype, to))
-        b = other._broadcast(shape).withColumn("v", types.cast(V, other.dtype, to))
+        a = self._broadcast(shape).withColumn("v", types.cast(V(), self.dtype, to))
+        b = other._broadcast(shape).withColumn("v", types.cast(V(), other.dtype, to))
         return a, b, shape, to, other
 
     def _merge(self, x, sign: int) -> Tensor:
         a, b, shape, to, other = self._pair(x)
         if sign < 0:
-            b = b.withColumn("v", types.negative(V, to))
+            b = b.withColumn("v", types.negative(V(), to))
         keys = [f"i{k}" for k in range(len(shape))]
         algebra = self.algebra if to == self.dtype and sign > 0 else ring(to)
-        df = a.unionByName(b).groupBy(*keys).agg(algebra.plus(V).alias("v"))
+        df = a.unionByName(b).groupBy(*keys).agg(algebra.plus(V()).alias("v"))
         if not types.is_complex(to):
-            df = df.withColumn("v", V.cast(types.SQL[to]))
+            df = df.withColumn("v", V().cast(types.SQL[to]))
         return Tensor(df, shape, to, algebra, self.sparse and other.sparse, self.rows + other.rows)
 
     def _meet(self, x, f: Callable[[Column, Column, str], Column], dtype=types.promote) -> Tensor:
@@ -329,7 +332,7 @@ class Tensor:
         keys = [f"i{k}" for k in range(len(shape))]
         right = b.withColumnRenamed("v", "w")
         joined = a.join(right, keys) if keys else a.crossJoin(right)
-        v = f(V, F.col("w"), to)
+        v = f(V(), F.col("w"), to)
         return Tensor(joined.select(*keys, (v if types.is_complex(to) else v.cast(types.SQL[to])).alias("v")), shape, to, None, self.sparse and other.sparse, min(self.rows, other.rows))
 
     def __add__(self, x) -> Tensor:
@@ -347,7 +350,7 @@ class Tensor:
     def __mul__(self, x) -> Tensor:
         if not isinstance(x, Tensor):
             to = self._other(x).dtype
-            return self._with(self.df.select(*self.keys, types.multiply(types.cast(V, self.dtype, to), types.literal(x, to), to).alias("v")), dtype=to)._typed(to)
+            return self._with(self.df.select(*self.keys, types.multiply(types.cast(V(), self.dtype, to), types.literal(x, to), to).alias("v")), dtype=to)._typed(to)
         return self._meet(x, types.multiply)
 
     __rmul__ = __mul__
@@ -432,8 +435,8 @@ class Tensor:
         axes = set(range(self.ndim)) if axis is None else {k % self.ndim for k in ((axis,) if isinstance(axis, int) else axis)}
         rest = [k for k in range(self.ndim) if k not in axes]
         places = prod(self.shape[k] for k in axes)
-        grouped = self.df.groupBy(*(f"i{k}" for k in rest)).agg(aggregate(V).alias("v"), F.count(F.lit(1)).alias("n"))
-        v = implicit(V, F.col("n"), places) if implicit else V
+        grouped = self.df.groupBy(*(f"i{k}" for k in rest)).agg(aggregate(V()).alias("v"), F.count(F.lit(1)).alias("n"))
+        v = implicit(V(), F.col("n"), places) if implicit else V()
         shape = tuple(self.shape[k] for k in rest)
         df = grouped.select(*(F.col(f"i{k}").alias(f"i{j}") for j, k in enumerate(rest)), v.alias("v")).where("v is not null")
         out = Tensor(df, shape, dtype, None, self.sparse, min(self.rows, prod(shape)))._typed(dtype)
@@ -464,19 +467,19 @@ class Tensor:
         return 0 if x is None else x
 
     def norm1(self) -> float:
-        return float(self._scalar(F.sum(types.absolute(V, self.dtype))))
+        return float(self._scalar(F.sum(types.absolute(V(), self.dtype))))
 
     def norm2(self) -> float:
-        return float(self._scalar(F.sqrt(F.sum(F.pow(types.absolute(V, self.dtype).cast("double"), F.lit(2.0))))))
+        return float(self._scalar(F.sqrt(F.sum(F.pow(types.absolute(V(), self.dtype).cast("double"), F.lit(2.0))))))
 
     def sumsq(self) -> float:
-        return float(self._scalar(F.sum(F.pow(types.absolute(V, self.dtype).cast("double"), F.lit(2.0)))))
+        return float(self._scalar(F.sum(F.pow(types.absolute(V(), self.dtype).cast("double"), F.lit(2.0)))))
 
     def norm_inf(self) -> float:
-        return float(self._scalar(F.max(types.absolute(V, self.dtype))))
+        return float(self._scalar(F.max(types.absolute(V(), self.dtype))))
 
     def min_abs(self) -> float:
-        row = self.df.agg(F.min(types.absolute(V, self.dtype)).alias("x"), F.count(F.lit(1)).alias("n")).first()
+        row = self.df.agg(F.min(types.absolute(V(), self.dtype)).alias("x"), F.count(F.lit(1)).alias("n")).first()
         return float(row["x"]) if row["n"] == self.size else 0.0
 
     def vecnorm(self, ord=2) -> float:
@@ -496,7 +499,7 @@ class Tensor:
 
     def largest(self, n: int) -> list:
         """The n values of largest magnitude."""
-        return [r["v"] for r in self.df.orderBy(types.absolute(V, self.dtype).desc(), *self.keys).limit(n).collect()]
+        return [r["v"] for r in self.df.orderBy(types.absolute(V(), self.dtype).desc(), *self.keys).limit(n).collect()]
 
     def trace(self, offset: int = 0, axis1: int = 0, axis2: int = 1) -> Tensor:
         return self.diagonal(offset, axis1, axis2).sum(axis=-1)
@@ -515,10 +518,10 @@ class Tensor:
     def sparsify(self, threshold: float | None = None, take_abs: bool = True, keep: Callable[[Column], Column] | None = None) -> Tensor:
         """Entries above a threshold (None: other than zero), or those that a predicate keeps."""
         if keep is None:
-            size = types.absolute(V, self.dtype) if take_abs else V
-            rows = self.df.where(~types.is_zero(V, self.dtype)) if threshold is None else self.df.where(size > threshold)
+            size = types.absolute(V(), self.dtype) if take_abs else V()
+            rows = self.df.where(~types.is_zero(V(), self.dtype)) if threshold is None else self.df.where(size > threshold)
         else:
-            rows = self.df.where(keep(V))
+            rows = self.df.where(keep(V()))
         return self._with(rows, sparse=True)
 
     def sample(self, p: float, seed: int = 0) -> Tensor:
@@ -691,13 +694,13 @@ class Tensor:
     def write(self, coordinates, values=None, alpha=1, beta=0) -> Tensor:
         """beta * A + alpha * value at some places (linear row-major or coordinates, or a DataFrame i0.., v); values of a place given twice are summed first."""
         new = self._points(coordinates, values)
-        new = new.df.groupBy(*self.keys).agg(self.algebra.plus(V).alias("v"))
+        new = new.df.groupBy(*self.keys).agg(self.algebra.plus(V()).alias("v"))
         if not types.is_complex(self.dtype):
-            new = new.withColumn("v", (V * alpha).cast(types.SQL[self.dtype]) if self.dtype != "bool" else V)
+            new = new.withColumn("v", (V() * alpha).cast(types.SQL[self.dtype]) if self.dtype != "bool" else V())
         if not beta:
             return self._with(self.df.join(new, self.keys, "left_anti").unionByName(new))
         old = self.df.join(new.select(*self.keys), self.keys, "left_semi")
-        both = old.withColumn("v", (V * beta).cast(types.SQL[self.dtype])).unionByName(new).groupBy(*self.keys).agg(self.algebra.plus(V).alias("v"))
+        both = old.withColumn("v", (V() * beta).cast(types.SQL[self.dtype])).unionByName(new).groupBy(*self.keys).agg(self.algebra.plus(V()).alias("v"))
         return self._with(self.df.join(new, self.keys, "left_anti").unionByName(both))
 
     def read(self, coordinates, values=None, alpha=1, beta=0) -> DataFrame:
@@ -706,9 +709,9 @@ class Tensor:
         zero = types.literal(0 if self.algebra.zero is None else self.algebra.zero, self.dtype)
         joined = asked.join(self.df, self.keys, "left")
         if values is None or not beta:
-            v = F.coalesce(V if alpha == 1 else V * alpha, zero)
+            v = F.coalesce(V() if alpha == 1 else V() * alpha, zero)
         else:
-            v = F.when(V.isNull(), zero).otherwise(F.col("given") * beta + V * alpha)
+            v = F.when(V().isNull(), zero).otherwise(F.col("given") * beta + V() * alpha)
         return joined.select(*self.keys, v.alias("v"))
 
 
@@ -744,7 +747,7 @@ def einsum(notation: str, *operands: Tensor, algebra: Algebra | None = None, tim
     shape = tuple(lengths[c] for c in output)
     result = Tensor(df, shape, dtype, algebra, all(t.sparse for t in operands if t.ndim), prod(shape))
     if algebra.name.startswith("ring") and not types.is_complex(dtype):
-        result = result._with(result.df.withColumn("v", V.cast(types.SQL[dtype])))
+        result = result._with(result.df.withColumn("v", V().cast(types.SQL[dtype])))
         result.algebra = algebra
     if out is not None and out_scale:
         result = out * out_scale + result

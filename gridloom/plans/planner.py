@@ -122,7 +122,7 @@ def contract(leaves: list[Leaf], out: str, sizes: dict[str, int], algebra: Algeb
     live = dict(enumerate(leaves))
     fresh = len(leaves)
     for a, b in order([(frozenset(x.labels), max(1.0, x.rows)) for x in leaves], wanted, sizes):
-        x, y = live.pop(a), live.pop(b)
+        x, y = live.pop(min(a, b)), live.pop(max(a, b))
         needed = wanted.union(*(z.labels for z in live.values()))
         shared = [c for c in x.labels if c in y.labels]
         left, right = x.df.withColumnRenamed("v", "v_left"), y.df.withColumnRenamed("v", "v_right")
