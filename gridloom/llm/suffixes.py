@@ -36,7 +36,7 @@ from . import common
 TRIGGER = 64
 SLOTS = 64
 #: Phrases with one trigger that are held side by side in one task; those of more common triggers are shuffled by string.
-TOGETHER = 256
+TOGETHER = 32
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -199,9 +199,17 @@ def _laid(batch: list[tuple], length: int) -> tuple:
     return phrase, start - first[phrase], s1, s2
 
 
-def _resolved(batch: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+def _distinct(s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct string, and whether it is there more than once."""
+    order = np.lexsort((s2, s1))
+    new = np.ones(len(order), bool)
+    new[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+    first = np.flatnonzero(new)
+    return order[first], np.diff([*first, len(order)]) > 1
+
+
+def _runs(batch: list[tuple], phrase: np.ndarray, at: np.ndarray, s1: np.ndarray, s2: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     """(doc, tk, start, end) of what repeats among the strings of the entries, in entries of one occurrence."""
-    phrase, at, s1, s2 = _laid(batch, length)
     order = np.lexsort((s2, s1))
     same = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])
     twice = np.zeros(len(order), bool)
@@ -218,6 +226,10 @@ def _resolved(batch: list[tuple], length: int) -> list[tuple[int, int, int, int]
     return out
 
 
+def _resolved(batch: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+    return _runs(batch, *_laid(batch, length), length)
+
+
 def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
     """(doc, tk, start, end): bytes of documents that repeat, as runs not yet merged."""
     all_ = common.materialise(parsed(docs, text, doc, length), "phrases")
@@ -260,19 +272,27 @@ def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
             yield emit()
 
     def every_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "tk", "start", "n", "s1", "s2"]
+        """Strings of a batch: what repeats within it is resolved at once, as runs (end set); of each distinct string one row goes on, with n = 2 if it is known to repeat."""
+        names = ["doc", "tk", "start", "end", "n", "s1", "s2"]
+        nothing = pa.nulls
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            for k in range(0, len(rows), 1000):
-                part = [x[1:] for x in rows[k : k + 1000]]
+            for k in range(0, len(rows), 2000):
+                part = [x[1:] for x in rows[k : k + 2000]]
                 phrase, at, s1, s2 = _laid(part, length)
-                of = lambda i: np.array([x[i] for x in part], np.int64)[phrase]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(of(0)), pa.array(of(1)), pa.array(of(2) + at), pa.array(of(4)), _signed(s1), _signed(s2)], names)
+                first, again = _distinct(s1, s2)
+                of = lambda i: np.array([x[i] for x in part], np.int64)[phrase[first]]  # noqa: E731, B023
+                n = np.where(again, 2, of(4))
+                yield pa.RecordBatch.from_arrays([pa.array(of(0)), pa.array(of(1)), pa.array(of(2) + at[first]), nothing(len(first), pa.int64()), pa.array(n), _signed(s1[first]), _signed(s2[first])], names)
+                runs = list(zip(*_runs(part, phrase, at, s1, s2, length))) or [()] * 4
+                m = len(runs[0])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in runs), nothing(m, pa.int64()), nothing(m, pa.int64()), nothing(m, pa.int64())], names)
 
     few = read.where("n > 0").repartition(common.partitions(docs.sparkSession), "t").sortWithinPartitions("t")
     few = few.mapInArrow(side_by_side, "doc long, tk long, start long, end long")
-    many = read.where("n < 0").withColumn("n", -F.col("n")).repartition(common.partitions(docs.sparkSession)).mapInArrow(every_string, "doc long, tk long, start long, n long, s1 long, s2 long")
+    many = read.where("n < 0").withColumn("n", -F.col("n")).repartition(common.partitions(docs.sparkSession)).sortWithinPartitions("t").mapInArrow(every_string, "doc long, tk long, start long, end long, n long, s1 long, s2 long")
     many = common.materialise(many, "strings")
+    nearby, many = many.where("end is not null").select("doc", "tk", "start", "end"), many.where("end is null").drop("end")
     spot = F.pmod(F.xxhash64("doc", "start"), F.lit(SLOTS)).cast("int")
     twice = _slotted(many.select("s1", "s2", F.lit(1).alias("n"), spot.alias("slot")), "s1", "s2")
     alike = many.where("n = 1").withColumn("slot", spot).join(twice.select("s1", "s2", "slot"), ["s1", "s2", "slot"], "left_semi")
@@ -281,7 +301,7 @@ def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
     slots = _slotted(shared.select("p1", "p2", F.lit(1).alias("n"), slot.alias("slot")), "p1", "p2")
     whole = shared.withColumn("slot", slot).join(slots.select("p1", "p2", "slot"), ["p1", "p2", "slot"], "left_semi")
     whole = whole.select("doc", "tk", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + length).alias("end"))
-    return whole.unionByName(few).unionByName(alike)
+    return whole.unionByName(few).unionByName(nearby).unionByName(alike)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
