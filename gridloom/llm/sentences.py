@@ -168,7 +168,8 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
     # One array, so that both uses below read one and the same shuffle.
     row = F.array(F.col(doc).cast("string"), F.coalesce(F.col(text), F.lit("")))
     placed = docs.select(F.pmod(F.xxhash64(doc, text), F.lit(blocks)).cast("int").alias("block"), row.alias("row")).repartition(blocks, "block")
-    words = placed.where(F.element_at("row", 2) != "").select("block", F.explode_outer(F.array_distinct(cut(F.element_at("row", 2), pieces))).alias("word"))
+    # No filter here: it would make this another shuffle than the one below.
+    words = placed.select("block", F.explode_outer(F.array_distinct(cut(F.element_at("row", 2), pieces))).alias("word"))
     words = words.where(F.char_length("word") <= LONGEST).groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"))
     known = dictionary(words, pieces, "block").select(F.col("block").alias("of_block"), "word", "ids")
 
