@@ -527,7 +527,7 @@ def svd_energy(t: Tables):
 @query()
 def svd_rank8(t: Tables):
     u, s, _ = linalg.svd(t.embedding(), rank=8)
-    return rows(u * Tensor.from_numpy(t.spark, s), "vk", 6)
+    return rows(u * Tensor.from_numpy(t.spark, s), "ik", 6)
 
 
 @query(f"WITH {EMB} SELECT i AS v, k, round(x, 4) + 0.0 AS x FROM e")
@@ -616,13 +616,13 @@ def bitonic(t: Tables):
     return rows(workloads.bitonic_sort(x._with(x.df.where("i0 < 64"))), "i", None)
 
 
-@query("SELECT l_suppkey AS s, n_regionkey::BIGINT AS r, round(sum(l_quantity), 4) AS v, grouping(l_suppkey)::BIGINT AS gs, grouping(n_regionkey)::BIGINT AS gr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (l_suppkey, n_regionkey)")
+@query("SELECT coalesce(l_suppkey, -1) AS s, coalesce(n_regionkey, -1)::BIGINT AS r, round(sum(l_quantity), 4) AS v, grouping(l_suppkey)::BIGINT AS gs, grouping(n_regionkey)::BIGINT AS gr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (l_suppkey, n_regionkey)")
 def label_cube(t: Tables):
     """Sums over every subset of labels at once."""
     k = t.lengths()
     x = einsum("ops,oc,cn,nr->sr", t.items(shape=k), t.order_customer(k), t.customer_nation(k), t.nation_region())
     cube = x.df.cube("i0", "i1").agg(F.round(F.sum("v"), 4).alias("v"), F.grouping("i0").cast("bigint").alias("gs"), F.grouping("i1").cast("bigint").alias("gr"))
-    return cube.withColumnsRenamed({"i0": "s", "i1": "r"})
+    return cube.select(F.coalesce("i0", F.lit(-1)).cast("bigint").alias("s"), F.coalesce("i1", F.lit(-1)).cast("bigint").alias("r"), "v", "gs", "gr")
 
 
 @query("SELECT user_id AS u, round(sum(value), 4) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL")
