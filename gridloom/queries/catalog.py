@@ -69,7 +69,7 @@ def contract_region(t: Tables):
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def hadamard(t: Tables):
     k = t.lengths()
-    return rows(einsum("ops,p->ops", t.items(shape=k), t.price(k)), "ops")
+    return rows(einsum("ops,p->ops", t.items(shape=k, unique=True), t.price(k)), "ops")
 
 
 @query("SELECT l_suppkey AS s, round(sum(l_quantity * p_retailprice), 2) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")

@@ -24,12 +24,12 @@ class Tables:
     def lengths(self) -> dict[str, int]:
         return {"o": self.length("orders", "o_orderkey"), "p": self.length("part", "p_partkey"), "s": self.length("supplier", "s_suppkey"), "c": self.length("customer", "c_custkey"), "n": 25, "r": 5}
 
-    def items(self, value: str = "l_quantity", shape=None) -> Tensor:
-        """L(o, p, s): summed quantity."""
+    def items(self, value: str = "l_quantity", shape=None, unique: bool = False) -> Tensor:
+        """L(o, p, s): quantity. Places may repeat: rows are left as they are for queries that sum over a mode, which sums repeats too, and summed first where unique is set."""
         k = shape or self.lengths()
         rows = self.read("lineitem")
-        # Places may repeat; sums over modes come first in most queries, so rows are left as they are and summed there.
-        t = Tensor.from_unique(rows, ["l_orderkey", "l_partkey", "l_suppkey"], value, (k["o"], k["p"], k["s"]), rows=4.0 * k["o"])
+        make = Tensor.from_df if unique else Tensor.from_unique
+        t = make(rows, ["l_orderkey", "l_partkey", "l_suppkey"], value, (k["o"], k["p"], k["s"]), rows=4.0 * k["o"])
         return t
 
     def order_customer(self, k) -> Tensor:
