@@ -123,7 +123,7 @@ def dictionary(words: DataFrame, pieces: Pieces, *key: str) -> DataFrame:
     n = F.char_length("word")
     floor = min((s for _, _, s in pieces.rows), default=0.0) - 10.0
     path = viterbi(F.col("edges"), n, floor) if pieces.unigram else merged(F.col("edges"), n)
-    first = pieces.bytes_[0]
+    first = pieces.bytes_[0] if pieces.bytes_ else 0
     if pieces.bytes_ == list(range(first, first + 256)):
         spelled = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.conv(F.substring(F.hex(c), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first)
     else:
