@@ -3,7 +3,7 @@
 Labelled credentials (kind, value) of each kind are put into a prefix tree with counts; states whose outgoing symbol and
 end frequencies are statistically compatible (Hoeffding bound, on them and on all states below) are merged, which gives
 a probabilistic automaton for the kind's format. Every candidate (a maximal run of 12 or more token characters that no
-base span touches) is scored by the log-likelihood ratio of the automaton against a character-pair model of ordinary long
+base span touches) is scored by the log-likelihood ratio of the automaton against a character model of ordinary long
 tokens; scores above the kind's cutoff, calibrated on labelled values kept out and on ordinary tokens, become spans.
 
 Without labels given, the base patterns' own matches are the labelled credentials: a bottom-k sample by hash, at most
@@ -163,10 +163,19 @@ class Automaton:
             n = self._counts[s] + 0.5
             self.transitions.append({c: (name[t], math.log2((self._arcs[s].get(c, 0) or 0.5) / n)) for c, t in self._children[s].items()})
             self.ends.append(math.log2((self._ends[s] + 0.5) / (n + 0.5)))
+        # A symbol of the format that a state hasn't shown is unlikely there, not impossible: it leads where it mostly leads.
+        usual: dict[str, tuple[int, int]] = {}
+        for s in self.settled:
+            for c, t in self._children[s].items():
+                usual[c] = max(usual.get(c, (0, 0)), (self._arcs[s].get(c, 0), name[t]))
+        for s, own in zip(self.settled, self.transitions):
+            unseen = math.log2(0.5 / (self._counts[s] + 0.5))
+            for c, (_, t) in usual.items():
+                own.setdefault(c, (t, unseen))
         del self._counts, self._ends, self._children, self._arcs
 
     def likelihood(self, value: str) -> float | None:
-        """log2 probability of the value; None if its format isn't accepted."""
+        """log2 probability of the value; None if it has a symbol that the format never has."""
         s = total = 0
         for c in value:
             step = self.transitions[s].get(c)
@@ -177,18 +186,29 @@ class Automaton:
         return total + self.ends[s]
 
 
+def _class(c: str) -> str:
+    return "^" if c == "^" else "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "/"
+
+
 class Background:
-    """Character pairs of ordinary long tokens, add-one smoothed."""
+    """Ordinary long tokens: pairs of character classes, and characters within their class, add-one smoothed. Coarser than pairs of characters, so that a few secrets among the tokens don't make their own characters ordinary."""
 
     def __init__(self, values: list[str]):
-        n = len(ALPHABET)
-        pairs: dict[str, float] = {}
-        firsts: dict[str, float] = {}
+        pairs: dict[str, int] = {}
+        firsts: dict[str, int] = {}
+        own: dict[str, int] = {}
+        of_class: dict[str, int] = {}
         for v in values:
             for a, b in zip("^" + v, v):
-                pairs[a + b] = pairs.get(a + b, 0) + 1
-                firsts[a] = firsts.get(a, 0) + 1
-        self.pairs = {a + b: math.log2((pairs.get(a + b, 0) + 1) / (firsts.get(a, 0) + n)) for a in "^" + ALPHABET for b in ALPHABET}
+                x, y = _class(a), _class(b)
+                pairs[x + y] = pairs.get(x + y, 0) + 1
+                firsts[x] = firsts.get(x, 0) + 1
+                own[b] = own.get(b, 0) + 1
+                of_class[y] = of_class.get(y, 0) + 1
+        members = {y: sum(_class(b) == y for b in ALPHABET) for y in "aA0/"}
+        within = {b: (own.get(b, 0) + 1) / (of_class.get(_class(b), 0) + members[_class(b)]) for b in ALPHABET}
+        between = {x + y: (pairs.get(x + y, 0) + 1) / (firsts.get(x, 0) + 4) for x in "^aA0/" for y in "aA0/"}
+        self.pairs = {a + b: math.log2(between[_class(a) + _class(b)] * within[b]) for a in "^" + ALPHABET for b in ALPHABET}
 
     def likelihood(self, value: str) -> float:
         return sum(self.pairs[a + b] for a, b in zip("^" + value, value))
