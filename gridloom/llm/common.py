@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests, a single machine), a temporary folder that is then set for the session."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         context.setCheckpointDir(root)
