@@ -160,10 +160,11 @@ def decoder(pieces: Pieces):
 
 
 def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str = "piece_bpe_32k.model", blocks: int | None = None) -> DataFrame:
-    """(doc, ids, round_trip) of each row. blocks: documents are put together in so many groups, each in one task; by default one for each shuffle partition."""
+    """(doc, ids, round_trip) of each row. blocks: documents are put together in so many groups, each in one task; by default four for each shuffle partition."""
     spark = docs.sparkSession
     pieces = load(model)
-    blocks = blocks or common.partitions(spark)
+    # A block's edges are sorted in one task; four blocks for each shuffle partition keep that in memory.
+    blocks = blocks or 4 * common.partitions(spark)
     kind = docs.schema[doc].dataType.simpleString()
     # One array, so that both uses below read one and the same shuffle.
     row = F.array(F.col(doc).cast("string"), F.coalesce(F.col(text), F.lit("")))
