@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import common, edits, jaccard, lines, packing, quality, secrets, sentences, suffixes, tokens, toxicity, urls
+from gridloom.llm import common, edits, graphs, jaccard, lines, packing, quality, secrets, sentences, suffixes, tokens, toxicity, urls
 
 random.seed(5)
 WORDS = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mü", "nu", "xi", "pi"]
@@ -323,3 +323,13 @@ def test_pipeline(spark, tmp_path):
     assert cleaned.where("text like '%common line%'").count() == 0
     redacted = {x["doc_id"]: x["text"] for x in corpus_pipeline.secret_scans(spark, docs, str(tmp_path)).collect()}
     assert "0123456789abcdef" not in redacted[20] and redacted[0] == texts[0]
+
+
+@pytest.mark.parametrize("order", ["rising", "mixed"])
+def test_components_of_long_chains(spark, order):
+    ids = list(range(300))
+    if order == "mixed":
+        random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (1000, 1001), (1001, 1002), (1003, 1003)], "a long, b long")
+    got = {r["v"]: r["l"] for r in graphs.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(300), 0), **dict.fromkeys([1000, 1001, 1002], 1000)}
