@@ -6,8 +6,13 @@ a probabilistic automaton for the kind's format. Every candidate (a maximal run
 base span touches) is scored by the log-likelihood ratio of the automaton against a character model of ordinary long
 tokens; scores above the kind's cutoff, calibrated on labelled values kept out and on ordinary tokens, become spans.
 
+Ordinary tokens are all distinct candidates but the format-like ones: those that an automaton finds about as likely, a character, as
+the labelled values kept out, and likelier than a character model of all candidates does. Both models and the histogram of
+scores are sums over the candidates, of any number and length.
+
 Without labels given, the base patterns' own matches are the labelled credentials: a bottom-k sample by hash, at most
-`sample` distinct values of each kind and as many ordinary tokens (a documented bound; matching and scoring cover all).
+`sample` distinct values of each kind, of 512 characters at most, as an automaton's states grow with them (a documented
+bound of the training rows only; candidates, matching and scoring cover all).
 
 Defined results: a null text is an empty one and has no spans; rows are scanned one by one, repeated ones alike; with
 no labelled values of a kind no spans of that format are added; an empty table gives an empty result.
@@ -18,7 +23,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -190,21 +196,27 @@ def _class(c: str) -> str:
     return "^" if c == "^" else "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "/"
 
 
+def pair_counts(values: Iterable[str]) -> Counter[str]:
+    """Counts of pairs of character classes (two letters) and of characters (one letter) of values; they add up over parts."""
+    counts: Counter[str] = Counter()
+    for v in values:
+        kinds = "^" + "".join(map(_class, v))
+        counts.update(map("".join, zip(kinds, kinds[1:])))
+        counts.update(v)
+    return counts
+
+
 class Background:
     """Ordinary long tokens: pairs of character classes, and characters within their class, add-one smoothed. Coarser than pairs of characters, so that a few secrets among the tokens don't make their own characters ordinary."""
 
-    def __init__(self, values: list[str]):
-        pairs: dict[str, int] = {}
+    def __init__(self, counts: dict[str, int]):
+        pairs = {k: n for k, n in counts.items() if len(k) == 2}
+        own = {k: n for k, n in counts.items() if len(k) == 1}
         firsts: dict[str, int] = {}
-        own: dict[str, int] = {}
         of_class: dict[str, int] = {}
-        for v in values:
-            for a, b in zip("^" + v, v):
-                x, y = _class(a), _class(b)
-                pairs[x + y] = pairs.get(x + y, 0) + 1
-                firsts[x] = firsts.get(x, 0) + 1
-                own[b] = own.get(b, 0) + 1
-                of_class[y] = of_class.get(y, 0) + 1
+        for k, n in pairs.items():
+            firsts[k[0]] = firsts.get(k[0], 0) + n
+            of_class[k[1]] = of_class.get(k[1], 0) + n
         members = {y: sum(_class(b) == y for b in ALPHABET) for y in "aA0/"}
         within = {b: (own.get(b, 0) + 1) / (of_class.get(_class(b), 0) + members[_class(b)]) for b in ALPHABET}
         between = {x + y: (pairs.get(x + y, 0) + 1) / (firsts.get(x, 0) + 4) for x in "^aA0/" for y in "aA0/"}
@@ -214,24 +226,54 @@ class Background:
         return sum(self.pairs[a + b] for a, b in zip("^" + value, value))
 
 
+#: Least score of a secret, and of a format-like token, in bits.
+FLOOR = 10.0
+#: A format-like token takes at most so many times the bits a character that the labelled values kept out take.
+SLACK = 1.25
+#: Scores are counted in steps of this many bits.
+STEP = 0.25
+
+
 class FormatModel:
     """One automaton for each kind, the background, and each kind's cutoff."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], candidates: Candidates):
         kept_out = lambda v: xxhash.xxh64_intdigest(v, seed=1) % 4 == 0
-        self.background = Background(ordinary)
         self.kinds: dict[str, tuple[Automaton, float, int]] = {}
+        self.usual: dict[str, float] = {}
+        good: dict[str, list[str]] = {}
         for kind, values in sorted(labelled.items()):
             values = [v for v in values if len(v) >= 12 and all(c in ALPHABET for c in v)]
             fit = [v for v in values if not kept_out(v)]
             if len(fit) < 8:
                 continue
             automaton = Automaton(fit)
-            ratio = lambda v: -math.inf if (p := automaton.likelihood(v)) is None else p - self.background.likelihood(v)
-            good = sorted(x for x in map(ratio, [v for v in values if kept_out(v)] or fit) if x > -math.inf)
-            plain = sorted(map(ratio, ordinary)) or [-math.inf]
-            cutoff = max(good[len(good) // 50] * 0.8 if good else math.inf, plain[int(len(plain) * 0.995) - 1] + 1.0, 10.0)
-            self.kinds[kind] = (automaton, cutoff, min(map(len, fit)))
+            good[kind] = [v for v in [v for v in values if kept_out(v)] or fit if automaton.likelihood(v) is not None]
+            each = sorted(automaton.likelihood(v) / len(v) for v in good[kind])
+            self.kinds[kind] = (automaton, math.inf, min(map(len, fit)))
+            self.usual[kind] = each[len(each) // 50] * SLACK if each else math.inf
+        if not self.kinds:
+            return
+        self.background = Background(candidates.counts(None))
+        self.background = Background(candidates.counts(self))
+        plain = candidates.scores(self)
+        for kind, (automaton, _, least) in self.kinds.items():
+            own = sorted(automaton.likelihood(v) - self.background.likelihood(v) for v in good[kind])
+            self.kinds[kind] = (automaton, max(own[len(own) // 50] * 0.8 if own else math.inf, quantile(plain.get(kind, {}), 0.995) + 1.0, FLOOR), least)
+
+    def format_like(self, value: str) -> bool:
+        """Whether an automaton finds the value about as likely, a character, as labelled ones, and likelier by FLOOR bits than the background does."""
+        for kind, (automaton, _, least) in self.kinds.items():
+            if len(value) >= least and (p := automaton.likelihood(value)) is not None:
+                if p >= self.usual[kind] * len(value) and p - self.background.likelihood(value) >= FLOOR:
+                    return True
+        return False
+
+    def steps(self, value: str) -> list[tuple[str, int | None]]:
+        """The kinds that the value is long enough for, and its score under each in whole steps (None: it has a symbol that the format never has)."""
+        own = [(kind, automaton.likelihood(value)) for kind, (automaton, _, least) in self.kinds.items() if len(value) >= least]
+        back = self.background.likelihood(value) if any(p is not None for _, p in own) else 0.0
+        return [(kind, None if p is None else math.ceil((p - back) / STEP)) for kind, p in own]
 
     def format_of(self, value: str) -> str | None:
         """The kind under which the value is likeliest, if above its cutoff."""
@@ -245,12 +287,66 @@ class FormatModel:
         return kind
 
 
-def sample_credentials(docs: DataFrame, text: str, sample: int) -> tuple[dict[str, list[str]], list[str]]:
-    """For each base kind, and for ordinary candidates, the `sample` distinct values of smallest hash. Tasks send so many at most."""
+def quantile(histogram: dict[int | None, int], share: float) -> float:
+    """The score in steps below or at which this share of the counted ones lies."""
+    left = int(sum(histogram.values()) * share)
+    for step in sorted(histogram, key=lambda s: -math.inf if s is None else s):
+        left -= histogram[step]
+        if left <= 0:
+            return -math.inf if step is None else step * STEP
+    return -math.inf
+
+
+class Candidates:
+    """All distinct candidates (a table with a column value), of which only sums reach the driver."""
+
+    def __init__(self, values: DataFrame):
+        self.values = values
+
+    def _summed(self, run, schema: str) -> list:
+        *by, n = schema.split(", ")
+        return self.values.select("value").mapInArrow(run, schema).groupBy(*(c.split()[0] for c in by)).agg(F.sum("n").alias("n")).collect()
+
+    def counts(self, model: FormatModel | None) -> dict[str, int]:
+        """Pair counts of all candidates, or of those that aren't format-like to the model."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter[str] = Counter()
+            for batch in batches:
+                total.update(pair_counts(v for v in batch.column(0).to_pylist() if model is None or not model.format_like(v)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["what", "n"])
+
+        return {r["what"]: r["n"] for r in self._summed(run, "what string, n long")}
+
+    def scores(self, model: FormatModel) -> dict[str, dict[int | None, int]]:
+        """For each kind a histogram of the scores of candidates that aren't format-like."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter[tuple[str, int | None]] = Counter()
+            for batch in batches:
+                for v in batch.column(0).to_pylist():
+                    if not model.format_like(v):
+                        total.update(model.steps(v))
+            rows = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.int64()), pa.array(list(total.values()), pa.int64())], ["kind", "step", "n"])
+
+        out: dict[str, dict[int | None, int]] = {}
+        for r in self._summed(run, "kind string, step long, n long"):
+            out.setdefault(r["kind"], {})[r["step"]] = r["n"]
+        return out
+
+
+#: Distinct candidates that a task remembers; then it forgets all and starts again.
+REMEMBERED = 100_000
+
+
+def sample_credentials(docs: DataFrame, text: str, sample: int) -> tuple[dict[str, list[str]], Candidates]:
+    """For each base kind the `sample` distinct values of smallest hash, of which tasks send so many at most; and all distinct candidates."""
 
     def harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[str, list[tuple[int, str]]] = {}
         seen: dict[str, set[str]] = {}
+        known: set[str] = set()
 
         def offer(kind: str, value: str) -> None:
             heap, own = heaps.setdefault(kind, []), seen.setdefault(kind, set())
@@ -264,23 +360,32 @@ def sample_credentials(docs: DataFrame, text: str, sample: int) -> tuple[dict[st
                 own.discard(heapq.heapreplace(heap, item)[1])
                 own.add(value)
 
+        def batch_of(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
+
         for batch in batches:
+            new = []
             for t in batch.column(0).to_pylist():
                 if t:
                     spans, runs, values = base_spans(t)
                     for (_, _, kind), value in zip(spans, values):
                         offer(kind, value)
                     for a, b in free_runs(runs, spans):
-                        offer("", t[a:b])
-        rows = [(k, v) for k, heap in heaps.items() for _, v in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
-
-    found = common.materialise(docs.select(text).mapInArrow(harvest, "kind string, value string"), "credentials").distinct()
+                        if (value := t[a:b]) not in known:
+                            new.append(("", value))
+                            if len(value) <= 64:
+                                known.add(value)
+            if len(known) > REMEMBERED:
+                known.clear()
+            yield batch_of(new)
+        yield batch_of([(k, v) for k, heap in heaps.items() for _, v in heap])
+
+    found = common.materialise(docs.select(text).mapInArrow(harvest, "kind string, value string").distinct(), "credentials")
     labelled: dict[str, list[str]] = {}
-    for kind in ("", *KINDS):
+    for kind in KINDS:
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         labelled[kind] = [r["value"] for r in rows]
-    return labelled, labelled.pop("")
+    return labelled, Candidates(found.where("kind = ''"))
 
 
 def digest(spans: list[Span]) -> str:

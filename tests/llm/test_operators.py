@@ -333,3 +333,13 @@ def test_components_of_long_chains(spark, order):
     edges = spark.createDataFrame([*zip(ids, ids[1:]), (1000, 1001), (1001, 1002), (1003, 1003)], "a long, b long")
     got = {r["v"]: r["l"] for r in graphs.components(edges).collect()}
     assert got == {**dict.fromkeys(range(300), 0), **dict.fromkeys([1000, 1001, 1002], 1000)}
+
+
+def test_secrets_in_rich_corpora(spark):
+    hexes = [hashlib.md5(str(i).encode()).hexdigest()[:20] for i in range(260)]
+    r = random.Random(6)
+    plain = ["".join(r.choice(["ing", "er", "tion", "th", "an", "on", "ess"]) for _ in range(6)) for _ in range(300)]
+    text = ["password=" + h for h in hexes[:60]] + [f"bare {h} here" for h in hexes[60:]] + plain + ["=-" * 300]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    found = {x["doc"] for x in secrets.scan(df, secrets.learn(df)).collect() if x["n_format"]}
+    assert len(found & set(range(60, 260))) >= 190 and not found - set(range(60, 260))
