@@ -7,8 +7,8 @@ read at steps that a seeded reservoir keeps of that many steps: for a longer emb
 So texts of different lengths still share the steps that both reach, and the likeness of two fingerprints is the share of the longer
 one's steps at which both read the same.
 
-`similar(fingerprints)` finds links: distinct fingerprints that agree in a band of sampled bytes are held against the least of
-them, and links are verified by likeness.
+`similar(fingerprints)` finds links: all pairs of distinct fingerprints that agree in a band of sampled bytes are held against
+each other, in blocks of bounded size, and links are verified by likeness.
 
 Walks of a batch run side by side, a step for all of them at a time. Whole texts are walked.
 
@@ -36,6 +36,8 @@ SAMPLES = 64
 TOGETHER = 6
 #: Characters walked together at most, unless one text alone has more.
 BLOCK = 1 << 22
+#: Fingerprints of a block of those that agree in a band.
+BLOCK_PRINTS = 400
 
 
 def _walk_tables() -> tuple[np.ndarray, list[bytes]]:
@@ -247,25 +249,63 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
     return placed.mapInArrow(run, "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def linked(prints: list[bytes], second: list[bool], band: int, width: int, within: bool, least: float) -> list[tuple[int, int, float]]:
+    """(i, j, likeness) of pairs of distinct prints, i the greater, that have at least this likeness and first agree in this band. within: one block against itself, else first against second side."""
+    lengths = np.array([int.from_bytes(p[:8], "big") for p in prints], np.int64)
+    read = np.array([np.frombuffer(p[8:], np.uint8) for p in prints])
+    steps = np.array([sampled(n) for n in lengths.tolist()])
+    places = (steps < lengths[:, None]).sum(1)
+    side = np.array(second)
+    order = np.argsort(np.argsort(np.array(prints, object), kind="stable"), kind="stable")
+    out = []
+    for i in range(len(prints)):
+        others = np.flatnonzero((order < order[i]) & (within | (side != side[i])))
+        if not len(others):
+            continue
+        same = read[others] == read[i]
+        # The greater print is the longer one, as prints start with their lengths.
+        found = (same & (steps[i] < lengths[others, None])).sum(1) / places[i]
+        before = (same[:, : band * width].reshape(len(others), band, width).all(2) & (read[i, : band * width].reshape(band, width) != 0).any(1)).any(1)
+        out += [(i, int(j), float(x)) for j, x in zip(others[~before], found[~before]) if x >= least]
+    return out
+
+
 def similar(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame:
     """(fingerprint_a, fingerprint_b, likeness) of linked distinct fingerprints. prints: a column fingerprint (hex).
 
-    Each band is a fixed part of the samples. Of the distinct fingerprints that agree in a band each is held against the
-    least one only, so a group of any size gives one candidate a member.
+    Each band is a fixed part of the samples. The distinct fingerprints that agree in a band are cut into blocks, each pair of
+    blocks is a unit of work, and a pair is given in the first band in which it agrees.
     """
     width = SAMPLES // bands
     distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("b"), F.substring("fingerprint", b * (2 * width) + 17, F.lit(2 * width)).alias("key"))))
     rows = distinct.select("fingerprint", band.alias("x")).select("fingerprint", "x.b", "x.key").where(F.col("key") != "00" * width)
-    least_of = rows.groupBy("b", "key").agg(F.min("fingerprint").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = rows.join(least_of, ["b", "key"]).where("fingerprint != other").select("fingerprint", "other").distinct()
+    sizes = rows.groupBy("b", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "key", F.ceil(F.col("n") / BLOCK_PRINTS).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["b", "key"]).withColumn("block", F.pmod(F.xxhash64("fingerprint", F.lit(29)), F.col("blocks")).cast("int"))
+    rows = rows.select("fingerprint", "b", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = rows.select("fingerprint", "b", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
+    placed = units.repartition(common.partitions(prints.sparkSession), "b", "key", "i", "j").sortWithinPartitions("b", "key", "i", "j")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, second = None, [], []
+
+        def emit() -> pa.RecordBatch:
+            found = linked([bytes.fromhex(p) for p in held], second, unit[0], width, unit[2] == unit[3], least)
+            columns = [[held[i] for i, _, _ in found], [held[j] for _, j, _ in found]]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([x for _, _, x in found], pa.float64())], ["fingerprint_a", "fingerprint_b", "likeness"])
+
         for batch in batches:
-            found = [likeness(bytes.fromhex(a), bytes.fromhex(b)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["fingerprint_a", "fingerprint_b", "likeness"])
+            for fingerprint, b, key, i, j, side in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != (b, key, i, j):
+                    if held:
+                        yield emit()
+                    unit, held, second = (b, key, i, j), [], []
+                held.append(fingerprint)
+                second.append(side)
+        if held:
+            yield emit()
 
-    return pairs.mapInArrow(verify, "fingerprint_a string, fingerprint_b string, likeness double").where(F.col("likeness") >= least)
+    return placed.mapInArrow(verify, "fingerprint_a string, fingerprint_b string, likeness double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

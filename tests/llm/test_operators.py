@@ -343,3 +343,16 @@ def test_secrets_in_rich_corpora(spark):
     df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
     found = {x["doc"] for x in secrets.scan(df, secrets.learn(df)).collect() if x["n_format"]}
     assert len(found & set(range(60, 260))) >= 190 and not found - set(range(60, 260))
+
+
+@pytest.mark.parametrize("block", [400, 3])
+def test_edit_bands_hold_all_members_against_each_other(spark, monkeypatch, block):
+    monkeypatch.setattr(edits, "BLOCK_PRINTS", block)
+    r = random.Random(8)
+    one = [r.randrange(1, 5) for _ in range(edits.SAMPLES)]
+    # Shorter texts that share one band with near copies, and nothing else.
+    rows = [(200 + k, one[:4] + [9 + k] * 60) for k in range(5)] + [(400, one), (410, one[:-1] + [7]), (420, one[:-2] + [7, 8])]
+    prints = [n.to_bytes(8, "big") + bytes(x) for n, x in rows]
+    want = {frozenset((a.hex(), b.hex())) for a in prints for b in prints if a < b and edits.likeness(a, b) >= 0.8}
+    got = [frozenset(tuple(x)[:2]) for x in edits.similar(spark.createDataFrame([(p.hex(),) for p in prints], "fingerprint string")).collect()]
+    assert set(got) == want and len(got) == len(want) == 3
