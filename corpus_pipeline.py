@@ -32,12 +32,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least id stays."""
-    classes = jaccard.join(docs)
+    """Of each class of near duplicates the document of the least id stays (of its texts, if it has several in the class, that of least hash)."""
+    classes = jaccard.classified(docs)
     least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    stays = classes.where("doc = class_id").select(F.col("doc").alias("stays")).distinct()
+    own = F.struct(F.col("doc").alias("stays"), "text_key")
+    of_class = classes.where("class_number is not null").groupBy("class_number").agg(F.min(own).alias("x")).select("x.*")
+    stays = of_class.unionByName(classes.where("class_number is null").select(F.col("doc").alias("stays"), "text_key")).distinct()
     first = F.row_number().over(W.partitionBy("stays", "text_key").orderBy("lang", "source"))
-    kept = docs.select(*COLUMNS, least.alias("stays"), F.xxhash64("text").alias("text_key")).join(stays.hint("merge"), "stays", "left_semi")
+    kept = docs.select(*COLUMNS, least.alias("stays"), F.xxhash64("text").alias("text_key")).join(stays.hint("merge"), ["stays", "text_key"], "left_semi")
     return kept.withColumn("nth", first).where("nth = 1").select(*COLUMNS)
 
 

@@ -356,3 +356,15 @@ def test_edit_bands_hold_all_members_against_each_other(spark, monkeypatch, bloc
     want = {frozenset((a.hex(), b.hex())) for a in prints for b in prints if a < b and edits.likeness(a, b) >= 0.8}
     got = [frozenset(tuple(x)[:2]) for x in edits.similar(spark.createDataFrame([(p.hex(),) for p in prints], "fingerprint string")).collect()]
     assert set(got) == want and len(got) == len(want) == 3
+
+
+def test_jaccard_tells_texts_of_equal_ids_apart(spark):
+    import corpus_pipeline
+
+    base = prose(100, 21)
+    rows = [(3, base), (5, base + " extra"), (5, prose(100, 22)), (7, prose(100, 23)), (9, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc"], r["class_id"], r["n_links"]) for r in jaccard.join(df).collect())
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 0), (7, 7, 0), (9, 9, 0), (9, 9, 0)]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert len(kept) == 5 and set(kept) == {rows[0], *rows[2:]}
