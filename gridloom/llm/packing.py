@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
-from .tokens import encoder
+from .tokens import library_encoder
 
 BUCKETS = 256
 STEPS = 256
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, text: str, doc: str, tokenizer: str, capacity: int,
     step, end = capacity * 4, np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = library_encoder(tokenizer)
         for batch in batches:
             at, out = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):

@@ -8,13 +8,14 @@ encoded once while it is remembered. Other texts are encoded whole. Both give th
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 
 _ODD = re.compile(r"\s | \s")
 #: Pieces remembered by one Python worker; then it forgets all and starts again.
 REMEMBERED = 800_000
-_encoders: dict[str, object] = {}
+_encoders: dict[str | tuple[str, str], object] = {}
 
 
 class _Pieces(dict):
@@ -35,7 +36,7 @@ def encoder(name: str):
 
     The rank file is the vocabulary and merge order of the tokenizer file of the same name, so ids are the same (a test
     holds the two against each other); its encoder has several times less work a call. Names of special tokens in a
-    text are ordinary text.
+    text are ordinary text here; library_encoder() takes them as the tokenizer file does.
     """
     if name not in _encoders:
         import base64
@@ -57,3 +58,32 @@ def encoder(name: str):
 
         _encoders[name] = encode
     return _encoders[name]
+
+
+def library_encoder(name: str):
+    """encoder(name) with the ids that the tokenizer file of the same name gives by default: a text that holds the name of an added token is encoded with that file itself. A rank file without such a file beside it has no added tokens."""
+    import public_tokenizers
+
+    key = (name, "library")
+    if key not in _encoders:
+        plain = encoder(name)
+        base = os.path.splitext(name)[0] + ".json"
+        path = base if os.path.sep in name else public_tokenizers.path(base)
+        added: list[str] = []
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                added = [t["content"] for t in json.load(f).get("added_tokens") or []]
+        known = re.compile("|".join(map(re.escape, added))) if added else None
+        files: list = []
+
+        def encode(text: str) -> bytes:
+            if known is None or not known.search(text):
+                return plain(text)
+            if not files:
+                from tokenizers import Tokenizer
+
+                files.append(Tokenizer.from_file(path))
+            return array.array("I", files[0].encode(text, add_special_tokens=False).ids).tobytes()
+
+        _encoders[key] = encode
+    return _encoders[key]

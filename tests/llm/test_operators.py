@@ -368,3 +368,15 @@ def test_jaccard_tells_texts_of_equal_ids_apart(spark):
     assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 0), (7, 7, 0), (9, 9, 0), (9, 9, 0)]
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     assert len(kept) == 5 and set(kept) == {rows[0], *rows[2:]}
+
+
+def test_packed_ids_are_the_librarys_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext| >", "plain text"]
+    got = {r["doc"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i]["length"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(ids.tobytes())
