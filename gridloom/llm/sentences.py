@@ -1,37 +1,51 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into words where no piece can cross: before a space mark that follows another character, and around
-characters that only single-character pieces hold. Each block of documents lists its distinct words; all substrings of a
-word up to the longest piece are exploded and equi-joined to the piece table, and a word's edges are grouped and folded
-with Spark's higher-order aggregate.
-
-The fold depends on the model's kind. For a unigram model it is Viterbi: the best score of each end, over the edges in
-order of their ends. A BPE model's ids are not those of the best sum of scores, so for it the fold takes the edges in order of their
-merges (score down, then start): an edge becomes a piece if both its ends are still boundaries, which gives the model's own
-ids. Boundaries are bits of a long, so words of up to LONGEST characters go this way; longer ones (few) are folded the
-same way in Python when documents are put together.
-
-Documents are shuffled once, by block; a block's dictionary is made where its documents are, and a cogroup writes each
-document's ids and decodes them.
-
-Defined results: null and empty texts have no ids; characters without a piece become byte pieces; each row is encoded by
-itself, repeated rows alike; an empty table gives an empty result. Decoding joins pieces, bytes as UTF-8, and drops the
-first space mark.
+characters that only single-character pieces hold. All substrings of a word up to the longest piece are exploded and
+equi-joined to the piece table; a word's edges are grouped, each packed into a long, and folded with Spark's
+higher-order aggregate. Words of every length go this way.
+
+The fold depends on the model's kind. For a unigram model it is Viterbi: over the edges by their ends, the best score
+of each end, then the path back from the last. A BPE model's ids are not those of the best sum of scores, so for it the
+fold takes the edges in order of their merges: an edge becomes a piece if both its ends are still boundaries, which gives
+the model's own ids. Boundaries are bits of an array of longs.
+
+Words are counted over the whole corpus. The most frequent ones, at most `most` of up to LONGEST characters (so the
+table that every task gets is bounded), are folded once. The others are folded for each document that has them, where
+the document will be put together: such words are shuffled by document, a document's ids are listed by its words'
+order, and meet the document's text, which is shuffled compressed. No table has to hold all words of a corpus.
+
+Defined results: null and empty texts have no ids; characters without a piece become byte pieces (the unknown id in a
+model that has none); each row is encoded by itself, repeated rows alike (rows equal in id and text are put together in one
+task); an empty table gives an empty result. Decoding joins pieces, bytes as UTF-8, and drops the first space mark.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 MARK = "▁"
-LONGEST = 62
+#: Characters of a word that the table of frequent words holds at most.
+LONGEST = 64
+#: Frequent words at most.
+MOST = 300_000
+#: Distinct words that a task counts before it hands its counts on.
+COUNTED = 300_000
+#: Bits of a packed edge: rank of its piece, length, and start or end.
+_RANK, _LENGTH = 20, 7
+#: The rank of a character without a piece.
+_NONE = (1 << _RANK) - 1
 
 
 @dataclass
@@ -48,6 +62,11 @@ class Pieces:
     def width(self) -> int:
         return max((len(p) for p, _, _ in self.rows), default=1)
 
+    @property
+    def spells(self) -> bool:
+        """Whether the model has a piece for each byte."""
+        return len(set(self.bytes_)) == 256
+
 
 def load(model: str) -> Pieces:
     """model: name of a public tokenizer's file, or a path to one."""
@@ -64,90 +83,190 @@ def load(model: str) -> Pieces:
     return Pieces(rows, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], sp.unk_id(), alone, unigram)
 
 
-def cut(text: Column, pieces: Pieces) -> Column:
-    """The words of a text that isn't empty, space marks in place of spaces and one before the first."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    edge = f"(?<=[^{MARK}])(?={MARK})" + (f"|(?<=[{pieces.alone}])|(?=[{pieces.alone}])" if pieces.alone else "")
-    return F.filter(F.split(marked, edge), lambda w: w != "")
-
-
-def lattice(words: DataFrame, pieces: Pieces, *key: str) -> DataFrame:
-    """(key, word, edges) of distinct words: edges are the substrings that are pieces, as (order, s, e, id, score), and every single character, with id -1 if it is none."""
-    spark = words.sparkSession
-    # The table has as many rows as the vocabulary, whatever the corpus.
-    table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))
-    at = words.select(*key, "word", F.char_length("word").alias("n")).select(*key, "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    at = at.select(*key, "word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.width, F.col("n")))).alias("e"))
-    found = at.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))).join(table, "piece", "left").withColumns({"id": F.coalesce("id", F.lit(-1)), "score": F.coalesce("score", F.lit(0.0))}).where((F.col("id") >= 0) | (F.col("e") == F.col("s") + 1))
-    order = F.col("e").cast("double") if pieces.unigram else -F.col("score")
-    edge = F.struct(order.alias("o"), "s", "e", "id", "score")
-    return found.groupBy(*key, "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-
-def _bit(k: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
-
-
-def merged(edges: Column, n: Column) -> Column:
-    """The edges that remain as pieces when each, in order, joins what lies between its ends if both are boundaries; by start."""
-    between = lambda x: _bit(x["e"]) - _bit(x["s"] + 1)
-    free = lambda mask, x: (mask.bitwiseAND(_bit(x["s"])) != 0) & (mask.bitwiseAND(_bit(x["e"])) != 0)
-    mask = F.aggregate(
-        edges,
-        _bit(n + 1) - 1,
-        lambda m, x: F.when((x["e"] > x["s"] + 1) & free(m, x), m.bitwiseAND(F.bitwise_not(between(x)))).otherwise(m),
-    )
-    return common.let(mask, lambda m: F.array_sort(F.transform(F.filter(edges, lambda x: free(m, x) & (m.bitwiseAND(between(x)) == 0)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id")))))
-
-
-def viterbi(edges: Column, n: Column, floor: float) -> Column:
-    """The edges of the best path: a fold over edges by end keeps for each end its best score and edge; a second one goes back from the end."""
-    none = F.struct(F.lit(float("-inf")).alias("score"), F.lit(-1).alias("s"), F.lit(None).cast("int").alias("id"))
-    start = F.concat(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(None).cast("int").alias("id"))), F.transform(F.sequence(F.lit(1), n), lambda _: none))
-    def step(best, x):
-        total = F.get(best, x["s"])["score"] + F.when(x["id"] >= 0, x["score"]).otherwise(F.lit(floor))
-        return F.when(total > F.get(best, x["e"])["score"], F.transform(best, lambda b, i: F.when(i == x["e"], F.struct(total.alias("score"), x["s"].alias("s"), x["id"].alias("id"))).otherwise(b))).otherwise(best)
-    best = F.aggregate(edges, start, step)
-    empty = F.array().cast("array<struct<s:int,e:int,id:int>>")
-    def walk(b):
-        def go(path, _):
-            end = F.when(F.size(path) == 0, n).otherwise(F.get(path, F.lit(0))["s"])
-            here = F.get(b, end)
-            return F.when(end > 0, F.concat(F.array(F.struct(here["s"].alias("s"), end.alias("e"), here["id"].alias("id"))), path)).otherwise(path)
-        return F.aggregate(F.sequence(F.lit(1), n), empty, go)
-    return common.let(best, walk)
-
-
-def dictionary(words: DataFrame, pieces: Pieces, *key: str) -> DataFrame:
-    """(key, word, ids) of distinct words of up to LONGEST characters."""
-    n = F.char_length("word")
-    floor = min((s for _, _, s in pieces.rows), default=0.0) - 10.0
-    path = viterbi(F.col("edges"), n, floor) if pieces.unigram else merged(F.col("edges"), n)
-    first = pieces.bytes_[0] if pieces.bytes_ else 0
-    if pieces.bytes_ == list(range(first, first + 256)):
-        spelled = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.conv(F.substring(F.hex(c), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first)
-    else:
-        spelled = lambda c: F.array(F.lit(pieces.unknown))
-    one = lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spelled(F.substring(F.col("word"), x["s"] + 1, x["e"] - x["s"])))
-    return lattice(words, pieces, *key).select(*key, "word", F.flatten(F.transform(path, one)).alias("ids"))
-
-
-def fold_long(word: str, table: dict[str, tuple[int, float]], pieces: Pieces) -> list[int]:
-    """The BPE fold for one word of any length."""
-    n, width = len(word), pieces.width
-    edges = sorted((-table[word[s:e]][1], s, e) for s in range(n) for e in range(s + 2, min(n, s + width) + 1) if word[s:e] in table)
-    boundary = bytearray(b"\1") * (n + 1)
-    for _, s, e in edges:
-        if boundary[s] and boundary[e]:
-            boundary[s + 1 : e] = bytes(e - s - 1)
-    cuts = [i for i in range(n + 1) if boundary[i]]
+class Cutter:
+    """The words of a text, spaces in place of space marks: each is spaces and what follows them, or a character that stands alone."""
+
+    def __init__(self, pieces: Pieces):
+        import re
+
+        self.alone = pieces.alone
+        self.odd = re.compile(f"  |[{self.alone}]" if self.alone else "  ").search
+        alone = re.escape(self.alone)
+        self.find = re.compile(f" +[^ {alone}]*|[^ {alone}]+" + (f"|[{alone}]" if alone else "")).findall
+
+    def __call__(self, text: str) -> list[str]:
+        text = " " + text.replace(MARK, " ")
+        if "\n" not in self.alone:
+            return self.find(text)
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append("\n")
+            if self.odd(line):
+                out += self.find(line)
+            else:
+                first, *more = line.split(" ")
+                if first:
+                    out.append(first)
+                out += [" " + w for w in more]
+        return out
+
+
+def _constant(values: list, kind: str) -> Column:
+    """An array that the optimizer makes a single constant of."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+class Fold:
+    """The lattice's edges packed into longs that sort in the order of the fold, and the fold."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        # A BPE model's scores are the order of its merges, each its own.
+        self.ranked = sorted(pieces.rows, key=lambda r: (-r[2], r[1]))
+        if len(self.ranked) >= _NONE or pieces.width >= 1 << _LENGTH:
+            raise ValueError(f"at most {_NONE} pieces of under {1 << _LENGTH} characters")
+        self.ids = _constant([r[1] for r in self.ranked] or [0], "int")
+        floor = min((r[2] for r in self.ranked), default=0.0) - 10.0
+        self.score = lambda rank: F.coalesce(F.get(_constant([r[2] for r in self.ranked] or [0.0], "double"), rank), F.lit(floor))
+
+    def packed(self, rank: Column, s: Column, e: Column) -> Column:
+        rank, s, e = (x.cast("long") for x in (rank, s, e))
+        if self.pieces.unigram:
+            return F.shiftleft(e, _RANK + _LENGTH) + F.shiftleft(e - s, _RANK) + rank
+        return F.shiftleft(rank, 63 - _RANK) + F.shiftleft(s, _LENGTH) + (e - s)
+
+    def unpacked(self, x: Column) -> tuple[Column, Column, Column]:
+        """(rank, s, e)"""
+        low = lambda y, bits: y.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        if self.pieces.unigram:
+            e = F.shiftright(x, _RANK + _LENGTH)
+            return low(x, _RANK).cast("int"), (e - low(F.shiftright(x, _RANK), _LENGTH)).cast("int"), e.cast("int")
+        s = low(F.shiftright(x, _LENGTH), 63 - _RANK - _LENGTH)
+        return F.shiftright(x, 63 - _RANK).cast("int"), s.cast("int"), (s + low(x, _LENGTH)).cast("int")
+
+    def edges(self, words: DataFrame, *key: str) -> DataFrame:
+        """(key, edge): all substrings of column word that are pieces, and every single character."""
+        spark = words.sparkSession
+        # The table has as many rows as the vocabulary, whatever the corpus.
+        table = F.broadcast(spark.createDataFrame([(p.replace(MARK, " "), k) for k, (p, _, _) in enumerate(self.ranked)], "piece string, rank int"))
+        at = words.select(*key, "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+        reach = F.sequence(F.lit(1), F.least(F.lit(self.pieces.width), F.char_length("word") - F.col("s")))
+        at = at.select(*key, "s", F.substring("word", F.col("s") + 1, F.lit(self.pieces.width)).alias("rest"), F.explode(reach).alias("l"))
+        found = at.withColumn("piece", F.substring("rest", F.lit(1), F.col("l"))).join(table, "piece", "left").where("rank is not null or l = 1")
+        return found.select(*key, self.packed(F.coalesce("rank", F.lit(_NONE)), F.col("s"), F.col("s") + F.col("l")).alias("edge"))
+
+    def folded(self, words: DataFrame, *key: str) -> DataFrame:
+        """(key, codes): the pieces of each key's word in order: an id, or for a character without a piece -1 less its place. A key's word mustn't be empty."""
+        _, _, e = self.unpacked(F.col("edge"))
+        grouped = self.edges(words, *key).groupBy(*key).agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.max(e).alias("n"))
+        path = self.viterbi(F.col("edges"), F.col("n")) if self.pieces.unigram else self.merged(F.col("edges"), F.col("n"))
+        return grouped.select(*key, path.alias("codes"))
+
+    def code(self, rank: Column, s: Column) -> Column:
+        return F.when(rank == _NONE, -1 - s).otherwise(F.get(self.ids, rank))
+
+    def merged(self, edges: Column, n: Column) -> Column:
+        """Each edge in order joins what lies between its ends if both are boundaries; what then are neighbouring boundaries are the pieces. Edges may be given more than once (those of repeated rows)."""
+        def between(s: Column, e: Column, i: Column) -> Column:
+            """The bits of the i-th long that lie between two boundaries."""
+            bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.least(F.lit(32), k - 32 * i)))
+            return bit(e) - bit(s + 1)
+
+        def free(mask: Column, k: Column) -> Column:
+            return F.getbit(F.get(mask, F.shiftright(k, 5)), k.bitwiseAND(F.lit(31))) == 1
+
+        def step(mask: Column, x: Column) -> Column:
+            _, s, e = self.unpacked(x)
+            joined = F.transform(mask, lambda v, i: v.bitwiseAND(F.bitwise_not(between(s, e, i))))
+            return F.when((e > s + 1) & free(mask, s) & free(mask, e), joined).otherwise(mask)
+
+        start = F.transform(F.sequence(F.lit(0), F.shiftright(n, 5)), lambda _: F.lit((1 << 32) - 1).cast("long"))
+
+        def remains(mask: Column, x: Column) -> Column:
+            _, s, e = self.unpacked(x)
+            return free(mask, s) & free(mask, e) & ((e == s + 1) | F.forall(F.transform(mask, lambda v, i: v.bitwiseAND(between(s, e, i))), lambda v: v == 0))
+
+        def placed(x: Column) -> Column:
+            rank, s, _ = self.unpacked(x)
+            return F.shiftleft(s.cast("long"), _RANK) + rank
+
+        def code(y: Column) -> Column:
+            return self.code(y.bitwiseAND(F.lit(_NONE).cast("long")).cast("int"), F.shiftright(y, _RANK).cast("int"))
+
+        mask = F.aggregate(edges, start, step)
+        return common.let(mask, lambda m: F.transform(F.sort_array(F.array_distinct(F.transform(F.filter(edges, lambda x: remains(m, x)), placed))), code))
+
+    def viterbi(self, edges: Column, n: Column) -> Column:
+        """The best path's edges: for each end its best score and packed edge, then back from the last end."""
+        first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("edge")))
+
+        def step(best: Column, x: Column) -> Column:
+            rank, s, e = self.unpacked(x)
+            own = F.struct((F.get(best, s)["score"] + self.score(rank)).alias("score"), x.alias("edge"))
+            # Ends come in order, and each has at least its last character's edge.
+            return common.let(own, lambda o: F.when(e == F.size(best), F.concat(best, F.array(o))).when(o["score"] > F.get(best, e)["score"], F.concat(F.slice(best, F.lit(1), e), F.array(o))).otherwise(best))
+
+        def walk(best: Column) -> Column:
+            def go(path: Column, _: Column) -> Column:
+                end = F.when(F.size(path) == 0, n).otherwise(self.unpacked(F.element_at(path, -1))[1])
+                return F.when(end > 0, F.concat(path, F.array(F.get(best, end)["edge"]))).otherwise(path)
+
+            back = F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<long>"), go)
+            return F.transform(F.reverse(back), lambda x: self.code(*self.unpacked(x)[:2]))
+
+        return common.let(F.aggregate(edges, first, step), walk)
+
+
+def spelled(word: str, codes: list[int], pieces: Pieces) -> list[int]:
+    """Ids of codes: a character without a piece as its bytes' pieces."""
+    if min(codes, default=0) >= 0:
+        return codes
     out: list[int] = []
-    for s, e in zip(cuts, cuts[1:]):
-        known = table.get(word[s:e])
-        out += [known[0]] if known else [pieces.bytes_[b] for b in word[s:e].encode()]
+    for c in codes:
+        out += [c] if c >= 0 else [pieces.bytes_[b] for b in word[-1 - c].encode("utf-8", "replace")] if pieces.spells else [pieces.unknown]
     return out
 
 
+def dictionary(words: DataFrame, pieces: Pieces) -> dict[str, list[int]]:
+    """Ids of distinct words that aren't empty (spaces for space marks). For tables of bounded size."""
+    rows = Fold(pieces).folded(words.select("word"), "word").collect()
+    return {r["word"]: spelled(r["word"], r["codes"], pieces) for r in rows}
+
+
+def counted(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
+    """(word, n) of all words of a corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Cutter(pieces), Counter()
+
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    counts.update(words(t))
+                    if len(counts) > COUNTED:
+                        yield handed()
+                        counts.clear()
+        yield handed()
+
+    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Words of up to LONGEST characters that occur at least so often that there are at most so many; the bar is found on a histogram of the counts' logarithms."""
+    short = counts.where(F.char_length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    left, bar = most, None
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        bar = r["level"]
+    return short.where(F.col("level") >= bar) if bar is not None else short.where("false")
+
+
 def decoder(pieces: Pieces):
     """A function from ids to text."""
     table = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes_)}
@@ -159,45 +278,77 @@ def decoder(pieces: Pieces):
     return decode
 
 
-def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str = "piece_bpe_32k.model", blocks: int | None = None) -> DataFrame:
-    """(doc, ids, round_trip) of each row. blocks: documents are put together in so many groups, each in one task; by default four for each shuffle partition."""
+def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str = "piece_bpe_32k.model", most: int = MOST) -> DataFrame:
+    """(doc, ids, round_trip) of each row. most: frequent words at most, whose ids every task gets."""
     spark = docs.sparkSession
     pieces = load(model)
-    # A block's edges are sorted in one task; four blocks for each shuffle partition keep that in memory.
-    blocks = blocks or 4 * common.partitions(spark)
+    counts = common.materialise(counted(docs, text, pieces), "words")
+    ids = {w: np.array(x, "<i4").tobytes() for w, x in dictionary(frequent(counts, most), pieces).items()}
+    common.discard(counts)
+    known = spark.sparkContext.broadcast(ids)
     kind = docs.schema[doc].dataType.simpleString()
-    # One array, so that both uses below read one and the same shuffle.
-    row = F.array(F.col(doc).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    placed = docs.select(F.pmod(F.xxhash64(doc, text), F.lit(blocks)).cast("int").alias("block"), row.alias("row")).repartition(blocks, "block")
-    # No filter here: it would make this another shuffle than the one below.
-    words = placed.select("block", F.explode_outer(F.array_distinct(cut(F.element_at("row", 2), pieces))).alias("word"))
-    words = words.where(F.char_length("word") <= LONGEST).groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"))
-    known = dictionary(words, pieces, "block").select(F.col("block").alias("of_block"), "word", "ids")
-
-    def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        import re
-
-        edge = re.compile(f"(?<=[^{MARK}])(?={MARK})" + (f"|(?<=[{pieces.alone}])|(?=[{pieces.alone}])" if pieces.alone else ""))
-        offsets = right.column("ids").combine_chunks() if right.num_rows else None
-        table = dict(zip(right.column("word").to_pylist(), offsets.to_pylist())) if right.num_rows else {}
-        long_: dict[str, tuple[int, float]] | None = None
-        decode = decoder(pieces)
-        docs_, ids_, same = [], [], []
-        for d, t in left.column("row").to_pylist():
-            ids: list[int] = []
-            if t:
-                for w in edge.split(MARK + t.replace(" ", MARK)):
-                    own = table.get(w)
-                    if own is None and w:
-                        long_ = long_ or {p: (i, s) for p, i, s in pieces.rows}
-                        own = table[w] = fold_long(w, long_, pieces)
-                    ids += own or ()
-            docs_.append(d)
-            ids_.append(ids)
-            same.append(decode(ids) == t.replace(MARK, " "))
-        return pa.table({"doc": pa.array(docs_, pa.string()), "ids": pa.array(ids_, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())})
-
-    out = placed.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(put, "doc string, ids array<int>, round_trip boolean")
+    # Equal keys of different rows are told apart by the other hash.
+    rows = docs.select(F.xxhash64(doc, text).alias("key"), F.col(doc).cast("string").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def other(doc: str | None, text: bytes) -> int:
+        """The upper half of the names of a row's words."""
+        return xxhash.xxh3_64_intdigest(text, seed=len(doc or "")) >> 33 << 32
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, at, word) of a row's distinct words that aren't frequent; at: the other hash, and the word's place among them."""
+        words, table = Cutter(pieces), known.value
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for key, d, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if t:
+                    new = [w for w in dict.fromkeys(words(t)) if w not in table]
+                    if new:
+                        first = other(d, t.encode("utf-8", "replace"))
+                        out[0].extend([key] * len(new))
+                        out[1].extend(range(first, first + len(new)))
+                        out[2].extend(new)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["key", "at", "word"])
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            texts = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["key", "doc", "n", "packed"])
+
+    # Rare words and texts meet by key: partitioned alike, so that folding and listing need no other shuffle.
+    n = 4 * common.partitions(spark)
+    found = rows.mapInArrow(rare, "key long, at long, word string").repartition(n, "key")
+    folded = Fold(pieces).folded(found, "at", "key")
+    lists = folded.groupBy("key").agg(F.collect_list(F.struct("at", "codes")).alias("list"))
+    texts = rows.mapInArrow(small, "key long, doc string, n long, packed binary").repartition(n, "key")
+    joined = texts.join(lists.hint("merge"), "key", "left").select("doc", "n", "packed", "list")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, table, decode, codec = Cutter(pieces), known.value, decoder(pieces), pa.Codec("zstd")
+        for batch in batches:
+            lengths, ids_, same = [0], [], []
+            lists = batch.column(3)
+            for k, (d, size, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                raw = codec.decompress(packed, size, asbytes=True) if size else b""
+                t = raw.decode()
+                own = words(t) if t else []
+                if lists[k].is_valid:
+                    first = other(d, raw)
+                    at, codes = (x for x in lists[k].values.flatten())
+                    codes = dict(zip(at.to_pylist(), codes.to_pylist()))
+                    new = dict.fromkeys(w for w in own if w not in table)
+                    for j, w in enumerate(new):
+                        new[w] = np.array(spelled(w, codes[first + j], pieces), "<i4").tobytes()
+                    raw = b"".join([table.get(w) or new[w] for w in own])
+                else:
+                    raw = b"".join(map(table.__getitem__, own))
+                ids_.append(raw)
+                lengths.append(lengths[-1] + len(raw) // 4)
+                same.append(decode(np.frombuffer(raw, "<i4").tolist()) == t.replace(MARK, " "))
+            values = pa.Array.from_buffers(pa.int32(), lengths[-1], [None, pa.py_buffer(b"".join(ids_))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values), pa.array(same, pa.bool_())], ["doc", "ids", "round_trip"])
+
+    out = joined.mapInArrow(put, "doc string, ids array<int>, round_trip boolean")
     return out.select(F.col("doc").cast(kind).alias("doc"), "ids", "round_trip")
 
 

@@ -128,25 +128,43 @@ def test_line_runs_drop_what_came_before(spark):
     assert [r["kept"] for r in runs.admit(batch("D \ne")).collect()] == ["e"]
 
 
-def test_sentencepiece(spark, docs):
+@pytest.mark.parametrize("most", [300_000, 4, 0])
+def test_sentencepiece(spark, docs, most):
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    extra = spark.createDataFrame([(100, "日本語 ☃ a  b   c\tq"), (101, "x" * 90 + "antidisestablishmentarianism" * 4)], "doc_id long, text string")
+    extra = spark.createDataFrame([(100, "日本語 ☃ a  b   c\tq\r\n  x\n"), (101, "x" * 90 + "antidisestablishmentarianism" * 4), (102, "a▁b ▁ c"), (102, "a▁b ▁ c")], "doc_id long, text string")
     rows = [*docs.select("doc_id", "text").collect(), *extra.collect()]
     texts = {}
     for r in rows:
         texts.setdefault(r["doc_id"], []).append(r["text"] or "")
-    for r in sentences.encode(docs.select("doc_id", "text").unionByName(extra), blocks=3).collect():
+    got = sentences.encode(docs.unionByName(extra, allowMissingColumns=True), most=most).collect()
+    assert len(got) == len(rows)
+    for r in got:
         assert r["round_trip"] and any(sp.encode(t) == r["ids"] for t in texts[r["doc"]])
 
 
 def test_viterbi(spark):
-    pieces = sentences.Pieces([("▁", 0, -2.0), ("a", 1, -2.0), ("b", 2, -2.0), ("ab", 3, -1.5), ("▁a", 4, -1.0), ("ba", 5, -0.25)], [], 9, "", True)
-    words = spark.createDataFrame([("▁aba",), ("▁ab",), ("▁ac",)], "word string")
-    got = {r["word"]: r["ids"] for r in sentences.dictionary(words, pieces).collect()}
-    assert got == {"▁aba": [4, 5], "▁ab": [4, 2], "▁ac": [4, 9]}
+    pieces = sentences.Pieces([("▁", 0, -2.0), ("a", 1, -2.0), ("b", 2, -2.0), ("ab", 3, -1.5), ("▁a", 4, -1.0), ("ba", 5, -0.25)], [9] * 256, 9, "", True)
+    words = spark.createDataFrame([(" aba",), (" ab",), (" ac",)], "word string")
+    assert sentences.dictionary(words, pieces) == {" aba": [4, 5], " ab": [4, 2], " ac": [4, 9]}
+
+
+def test_viterbi_of_long_words(spark):
+    pieces = sentences.Pieces([("a", 1, -0.1), ("b", 2, -3.0), ("c", 3, -10.0), ("ab", 4, -1.0), ("bc", 5, -1.5)], [9] * 256, 9, "", True)
+    r = random.Random(7)
+    words = ["abc", "abc" * 30, "日" * 70] + ["".join(r.choice("abcd") for _ in range(r.randint(60, 200))) for _ in range(5)]
+    got = sentences.dictionary(spark.createDataFrame([(w,) for w in words], "word string"), pieces)
+    score = {p: s for p, _, s in pieces.rows}
+    ids = {p: i for p, i, _ in pieces.rows}
+    for w in words:
+        best = [(0.0, [])]
+        for e in range(1, len(w) + 1):
+            options = [(best[s][0] + score.get(w[s:e], -20.0), best[s][1] + [ids.get(w[s:e], 9)]) for s in range(max(0, e - 2), e) if w[s:e] in score or e == s + 1]
+            best.append(max(options, key=lambda o: o[0]))
+        assert got[w] == best[-1][1]
+    assert got["abc"] == [1, 5]
 
 
 def test_urls(spark):
