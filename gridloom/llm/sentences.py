@@ -11,9 +11,10 @@ fold takes the edges in order of their merges: an edge becomes a piece if both i
 the model's own ids. Boundaries are bits of an array of longs.
 
 Words are counted over the whole corpus. The most frequent ones, at most `most` of up to LONGEST characters (so the
-table that every task gets is bounded), are folded once. The others are folded for each document that has them, where
-the document will be put together: such words are shuffled by document, a document's ids are listed by its words'
-order, and meet the document's text, which is shuffled compressed. No table has to hold all words of a corpus.
+table that every task gets is bounded), get their ids once. Other words are cut into segments between neighbouring
+characters that no piece holds; the most frequent segments, as many again, are folded once too. What remains is folded for each document that has it,
+where the document will be put together: each document goes there once, as the ids known so far, compressed, with its
+other segments beside them. No table has to hold all words of a corpus.
 
 Defined results: null and empty texts have no ids; characters without a piece become byte pieces (the unknown id in a
 model that has none); each row is encoded by itself, repeated rows alike (rows equal in id and text are put together in one
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -84,34 +86,50 @@ def load(model: str) -> Pieces:
 
 
 class Cutter:
-    """The words of a text, spaces in place of space marks: each is spaces and what follows them, or a character that stands alone."""
+    """The words of a text, spaces in place of space marks. A word after a single space stands as it is; any other comes behind a NUL: the first of a line, several spaces and what follows them, a character that stands alone."""
 
     def __init__(self, pieces: Pieces):
         import re
 
         self.alone = pieces.alone
-        self.odd = re.compile(f"  |[{self.alone}]" if self.alone else "  ").search
+        self.odd = re.compile(f"  |[\0{self.alone}]").search
         alone = re.escape(self.alone)
         self.find = re.compile(f" +[^ {alone}]*|[^ {alone}]+" + (f"|[{alone}]" if alone else "")).findall
 
     def __call__(self, text: str) -> list[str]:
         text = " " + text.replace(MARK, " ")
         if "\n" not in self.alone:
-            return self.find(text)
+            return ["\0" + w for w in self.find(text)]
         out: list[str] = []
         for k, line in enumerate(text.split("\n")):
             if k:
-                out.append("\n")
+                out.append("\0\n")
             if self.odd(line):
-                out += self.find(line)
+                out += ["\0" + w for w in self.find(line)]
             else:
                 first, *more = line.split(" ")
                 if first:
-                    out.append(first)
-                out += [" " + w for w in more]
+                    out.append("\0" + first)
+                out += more
         return out
 
 
+def spaced(word: str) -> str:
+    """A word of a Cutter as it is in the text."""
+    return word[1:] if word[:1] == "\0" else " " + word
+
+
+class Segments:
+    """A word cut between neighbouring characters that no piece has side by side."""
+
+    def __init__(self, pieces: Pieces):
+        self.pairs = {p[i : i + 2].replace(MARK, " ") for p, _, _ in pieces.rows for i in range(len(p) - 1)}
+
+    def __call__(self, word: str) -> list[str]:
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+
 def _constant(values: list, kind: str) -> Column:
     """An array that the optimizer makes a single constant of."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
@@ -122,14 +140,17 @@ class Fold:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        # A BPE model's scores are the order of its merges, each its own.
-        self.ranked = sorted(pieces.rows, key=lambda r: (-r[2], r[1]))
+        self.ranked = self.order(pieces)
         if len(self.ranked) >= _NONE or pieces.width >= 1 << _LENGTH:
             raise ValueError(f"at most {_NONE} pieces of under {1 << _LENGTH} characters")
-        self.ids = _constant([r[1] for r in self.ranked] or [0], "int")
         floor = min((r[2] for r in self.ranked), default=0.0) - 10.0
         self.score = lambda rank: F.coalesce(F.get(_constant([r[2] for r in self.ranked] or [0.0], "double"), rank), F.lit(floor))
 
+    @staticmethod
+    def order(pieces: Pieces) -> list[tuple[str, int, float]]:
+        """Pieces by rank. A BPE model's scores are the order of its merges, each its own."""
+        return sorted(pieces.rows, key=lambda r: (-r[2], r[1]))
+
     def packed(self, rank: Column, s: Column, e: Column) -> Column:
         rank, s, e = (x.cast("long") for x in (rank, s, e))
         if self.pieces.unigram:
@@ -146,25 +167,28 @@ class Fold:
         return F.shiftright(x, 63 - _RANK).cast("int"), s.cast("int"), (s + low(x, _LENGTH)).cast("int")
 
     def edges(self, words: DataFrame, *key: str) -> DataFrame:
-        """(key, edge): all substrings of column word that are pieces, and every single character."""
+        """(key, edge): all substrings of column word that are pieces of two characters or more; for a unigram model every single character too, a piece or not."""
         spark = words.sparkSession
         # The table has as many rows as the vocabulary, whatever the corpus.
         table = F.broadcast(spark.createDataFrame([(p.replace(MARK, " "), k) for k, (p, _, _) in enumerate(self.ranked)], "piece string, rank int"))
-        at = words.select(*key, "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
-        reach = F.sequence(F.lit(1), F.least(F.lit(self.pieces.width), F.char_length("word") - F.col("s")))
+        least = 1 if self.pieces.unigram else 2
+        at = words.where(F.char_length("word") >= least).select(*key, "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - least)).alias("s"))
+        reach = F.sequence(F.lit(least), F.least(F.lit(self.pieces.width), F.char_length("word") - F.col("s")))
         at = at.select(*key, "s", F.substring("word", F.col("s") + 1, F.lit(self.pieces.width)).alias("rest"), F.explode(reach).alias("l"))
-        found = at.withColumn("piece", F.substring("rest", F.lit(1), F.col("l"))).join(table, "piece", "left").where("rank is not null or l = 1")
+        found = at.withColumn("piece", F.substring("rest", F.lit(1), F.col("l")))
+        found = found.join(table, "piece", "left").where("rank is not null or l = 1") if self.pieces.unigram else found.join(table, "piece")
         return found.select(*key, self.packed(F.coalesce("rank", F.lit(_NONE)), F.col("s"), F.col("s") + F.col("l")).alias("edge"))
 
     def folded(self, words: DataFrame, *key: str) -> DataFrame:
-        """(key, codes): the pieces of each key's word in order: an id, or for a character without a piece -1 less its place. A key's word mustn't be empty."""
+        """(key, path): the edges of each key's word that become pieces, in order, each as its start and rank in a long. Characters that no edge covers are by themselves; a word without edges has no row."""
         _, _, e = self.unpacked(F.col("edge"))
         grouped = self.edges(words, *key).groupBy(*key).agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.max(e).alias("n"))
         path = self.viterbi(F.col("edges"), F.col("n")) if self.pieces.unigram else self.merged(F.col("edges"), F.col("n"))
-        return grouped.select(*key, path.alias("codes"))
+        return grouped.select(*key, path.alias("path"))
 
-    def code(self, rank: Column, s: Column) -> Column:
-        return F.when(rank == _NONE, -1 - s).otherwise(F.get(self.ids, rank))
+    def placed(self, x: Column) -> Column:
+        rank, s, _ = self.unpacked(x)
+        return F.shiftleft(s.cast("long"), _RANK) + rank
 
     def merged(self, edges: Column, n: Column) -> Column:
         """Each edge in order joins what lies between its ends if both are boundaries; what then are neighbouring boundaries are the pieces. Edges may be given more than once (those of repeated rows)."""
@@ -179,23 +203,16 @@ class Fold:
         def step(mask: Column, x: Column) -> Column:
             _, s, e = self.unpacked(x)
             joined = F.transform(mask, lambda v, i: v.bitwiseAND(F.bitwise_not(between(s, e, i))))
-            return F.when((e > s + 1) & free(mask, s) & free(mask, e), joined).otherwise(mask)
+            return F.when(free(mask, s) & free(mask, e), joined).otherwise(mask)
 
         start = F.transform(F.sequence(F.lit(0), F.shiftright(n, 5)), lambda _: F.lit((1 << 32) - 1).cast("long"))
 
         def remains(mask: Column, x: Column) -> Column:
             _, s, e = self.unpacked(x)
-            return free(mask, s) & free(mask, e) & ((e == s + 1) | F.forall(F.transform(mask, lambda v, i: v.bitwiseAND(between(s, e, i))), lambda v: v == 0))
-
-        def placed(x: Column) -> Column:
-            rank, s, _ = self.unpacked(x)
-            return F.shiftleft(s.cast("long"), _RANK) + rank
-
-        def code(y: Column) -> Column:
-            return self.code(y.bitwiseAND(F.lit(_NONE).cast("long")).cast("int"), F.shiftright(y, _RANK).cast("int"))
+            return free(mask, s) & free(mask, e) & F.forall(F.transform(mask, lambda v, i: v.bitwiseAND(between(s, e, i))), lambda v: v == 0)
 
         mask = F.aggregate(edges, start, step)
-        return common.let(mask, lambda m: F.transform(F.sort_array(F.array_distinct(F.transform(F.filter(edges, lambda x: remains(m, x)), placed))), code))
+        return common.let(mask, lambda m: F.sort_array(F.array_distinct(F.transform(F.filter(edges, lambda x: remains(m, x)), self.placed))))
 
     def viterbi(self, edges: Column, n: Column) -> Column:
         """The best path's edges: for each end its best score and packed edge, then back from the last end."""
@@ -213,25 +230,49 @@ class Fold:
                 return F.when(end > 0, F.concat(path, F.array(F.get(best, end)["edge"]))).otherwise(path)
 
             back = F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<long>"), go)
-            return F.transform(F.reverse(back), lambda x: self.code(*self.unpacked(x)[:2]))
+            return F.transform(F.reverse(back), self.placed)
 
         return common.let(F.aggregate(edges, first, step), walk)
 
 
-def spelled(word: str, codes: list[int], pieces: Pieces) -> list[int]:
-    """Ids of codes: a character without a piece as its bytes' pieces."""
-    if min(codes, default=0) >= 0:
-        return codes
-    out: list[int] = []
-    for c in codes:
-        out += [c] if c >= 0 else [pieces.bytes_[b] for b in word[-1 - c].encode("utf-8", "replace")] if pieces.spells else [pieces.unknown]
-    return out
+class Speller:
+    """Ids of a word and the path of its edges."""
+
+    def __init__(self, pieces: Pieces):
+        ranked = Fold.order(pieces)
+        self.ids, self.lengths = [r[1] for r in ranked], [len(r[0]) for r in ranked]
+        self.single = {p.replace(MARK, " "): [i] for p, i, _ in pieces.rows if len(p) == 1}
+        self.pieces = pieces
+
+    def alone(self, c: str) -> list[int]:
+        """A character by itself: its piece, else its bytes' pieces, else the unknown one."""
+        own = self.single.get(c)
+        return own if own is not None else [self.pieces.bytes_[b] for b in c.encode("utf-8", "replace")] if self.pieces.spells else [self.pieces.unknown]
+
+    def __call__(self, word: str, path: list[int] | None) -> list[int]:
+        out: list[int] = []
+        at = 0
+        for x in path or ():
+            s, rank = x >> _RANK, x & _NONE
+            for c in word[at:s]:
+                out += self.alone(c)
+            if rank == _NONE:
+                out += self.alone(word[s])
+                at = s + 1
+            else:
+                out.append(self.ids[rank])
+                at = s + self.lengths[rank]
+        for c in word[at:]:
+            out += self.alone(c)
+        return out
 
 
 def dictionary(words: DataFrame, pieces: Pieces) -> dict[str, list[int]]:
     """Ids of distinct words that aren't empty (spaces for space marks). For tables of bounded size."""
-    rows = Fold(pieces).folded(words.select("word"), "word").collect()
-    return {r["word"]: spelled(r["word"], r["codes"], pieces) for r in rows}
+    words = words.select("word")
+    found = words.join(Fold(pieces).folded(words, "word"), "word", "left").toArrow()
+    spell = Speller(pieces)
+    return {w: spell(w, path) for w, path in zip(found.column("word").to_pylist(), found.column("path").to_pylist())}
 
 
 def counted(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
@@ -267,9 +308,43 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return short.where(F.col("level") >= bar) if bar is not None else short.where("false")
 
 
+class Known:
+    """Ids, as bytes, of the frequent words (as a Cutter gives them) and of the frequent segments of others."""
+
+    def __init__(self, counts: DataFrame, pieces: Pieces, most: int):
+        words = frequent(counts, most).select("word")
+        cut = Segments(pieces)
+
+        def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums: Counter[str] = Counter()
+                for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for x in cut(spaced(w)):
+                        sums[x] += n
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
+
+        others = counts.join(words, "word", "left_anti").mapInArrow(segments, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        own = counts.join(words, "word", "left_semi").mapInArrow(segments, "word string, n long").select("word")
+        parts = common.materialise(frequent(common.materialise(others, "segments"), most).select("word").unionByName(own).distinct(), "frequent-segments")
+        ids = dictionary(parts, pieces)
+        kind = code_type(pieces)
+        self.segments = {w: np.array(x, kind).tobytes() for w, x in ids.items()}
+        self.words = {w: b"".join(self.segments[x] for x in cut(spaced(w))) for w in words.toArrow().column(0).to_pylist()}
+
+
+def code_type(pieces: Pieces) -> str:
+    """Two bytes hold an id and a mark where the vocabulary allows it."""
+    return "<u2" if max((i for _, i, _ in pieces.rows), default=0) < 0xFFFF and max(pieces.bytes_, default=0) < 0xFFFF else "<u4"
+
+
+def byte_table(pieces: Pieces) -> dict[int, bytes]:
+    """What each id stands for, in bytes; the unknown piece for nothing."""
+    return {pieces.unknown: b""} | {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes_) if pieces.spells}
+
+
 def decoder(pieces: Pieces):
     """A function from ids to text."""
-    table = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes_)}
+    table = byte_table(pieces)
 
     def decode(ids: list[int]) -> str:
         text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
@@ -279,74 +354,87 @@ def decoder(pieces: Pieces):
 
 
 def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str = "piece_bpe_32k.model", most: int = MOST) -> DataFrame:
-    """(doc, ids, round_trip) of each row. most: frequent words at most, whose ids every task gets."""
+    """(doc, ids, round_trip) of each row. most: frequent words at most, and frequent segments at most, whose ids every task gets."""
     spark = docs.sparkSession
     pieces = load(model)
     counts = common.materialise(counted(docs, text, pieces), "words")
-    ids = {w: np.array(x, "<i4").tobytes() for w, x in dictionary(frequent(counts, most), pieces).items()}
+    known = spark.sparkContext.broadcast(Known(counts, pieces, most))
     common.discard(counts)
-    known = spark.sparkContext.broadcast(ids)
     kind = docs.schema[doc].dataType.simpleString()
-    # Equal keys of different rows are told apart by the other hash.
-    rows = docs.select(F.xxhash64(doc, text).alias("key"), F.col(doc).cast("string").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def other(doc: str | None, text: bytes) -> int:
-        """The upper half of the names of a row's words."""
-        return xxhash.xxh3_64_intdigest(text, seed=len(doc or "")) >> 33 << 32
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, at, word) of a row's distinct words that aren't frequent; at: the other hash, and the word's place among them."""
-        words, table = Cutter(pieces), known.value
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for key, d, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if t:
-                    new = [w for w in dict.fromkeys(words(t)) if w not in table]
-                    if new:
-                        first = other(d, t.encode("utf-8", "replace"))
-                        out[0].extend([key] * len(new))
-                        out[1].extend(range(first, first + len(new)))
-                        out[2].extend(new)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["key", "at", "word"])
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=3)
+    code = np.dtype(code_type(pieces))
+    hole = int(np.iinfo(code).max)
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, other, body) of a row; body: its id (empty for null, else behind a byte), its codes, compressed, and its segments that aren't known. A hole in the codes is a mark and the place of a segment in two numbers of 15 bits."""
+        words, cut, table = Cutter(pieces), Segments(pieces), known.value
+        get, part = table.words.get, table.segments.get
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
-            texts = [t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["key", "doc", "n", "packed"])
-
-    # Rare words and texts meet by key: partitioned alike, so that folding and listing need no other shuffle.
+            keys, others, bodies = [], [], []
+            for d, t in zip(*(c.to_pylist() for c in batch.columns)):
+                name = b"" if d is None else b"+" + d.encode()
+                raw = (t or "").replace(MARK, " ").encode("utf-8", "replace")
+                own = words(t) if t else []
+                codes = list(map(get, own))
+                rare: dict[str, int] = {}
+                if None in codes:
+                    for k, x in enumerate(codes):
+                        if x is None:
+                            out = []
+                            for w in cut(spaced(own[k])):
+                                y = part(w)
+                                if y is None:
+                                    j = rare.setdefault(w, len(rare))
+                                    y = np.array([hole, j & 0x7FFF, j >> 15], code).tobytes()
+                                out.append(y)
+                            codes[k] = b"".join(out)
+                body = b"".join(codes)
+                h = xxhash.xxh3_64_intdigest(raw)
+                keys.append(xxhash.xxh3_64_intdigest(name, seed=h) - (1 << 63))
+                others.append(h >> 33 << 32)
+                bodies.append([name, h.to_bytes(8, "big") + len(body).to_bytes(8, "big") + (codec.compress(body, asbytes=True) if body else b""), *(w.encode("utf-8", "replace") for w in rare)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(bodies, pa.list_(pa.binary()))], ["key", "other", "body"])
+
+    # One shuffle, which both uses below read: they take the same columns of it, and no filter is pushed below it, not even that keys aren't null.
     n = 4 * common.partitions(spark)
-    found = rows.mapInArrow(rare, "key long, at long, word string").repartition(n, "key")
-    folded = Fold(pieces).folded(found, "at", "key")
-    lists = folded.groupBy("key").agg(F.collect_list(F.struct("at", "codes")).alias("list"))
-    texts = rows.mapInArrow(small, "key long, doc string, n long, packed binary").repartition(n, "key")
-    joined = texts.join(lists.hint("merge"), "key", "left").select("doc", "n", "packed", "list")
+    shape = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("other", T.LongType(), False), T.StructField("body", T.ArrayType(T.BinaryType()), False)])
+    rows = docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text"))
+    placed = rows.mapInArrow(begun, shape).repartition(n, "key")
+    rare = placed.select("key", "other", F.posexplode(F.slice("body", F.lit(3), F.greatest(F.lit(0), F.size("body") - 2))).alias("at", "word"))
+    # Names of a row's segments: rows of equal keys are told apart by their texts' hash.
+    rare = rare.select((F.col("other") + F.col("at")).alias("at"), "key", F.col("word").cast("string").alias("word"))
+    folded = Fold(pieces).folded(rare, "at", "key")
+    lists = folded.groupBy("key").agg(F.collect_list(F.struct("at", "path")).alias("list"))
+    joined = placed.join(lists.withColumnRenamed("key", "of").hint("merge"), F.col("key") == F.col("of"), "left").select("other", "body", "list")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, decode, codec = Cutter(pieces), known.value, decoder(pieces), pa.Codec("zstd")
+        spell, codec, table = Speller(pieces), pa.Codec("zstd"), byte_table(pieces)
         for batch in batches:
-            lengths, ids_, same = [0], [], []
-            lists = batch.column(3)
-            for k, (d, size, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                raw = codec.decompress(packed, size, asbytes=True) if size else b""
-                t = raw.decode()
-                own = words(t) if t else []
-                if lists[k].is_valid:
-                    first = other(d, raw)
-                    at, codes = (x for x in lists[k].values.flatten())
-                    codes = dict(zip(at.to_pylist(), codes.to_pylist()))
-                    new = dict.fromkeys(w for w in own if w not in table)
-                    for j, w in enumerate(new):
-                        new[w] = np.array(spelled(w, codes[first + j], pieces), "<i4").tobytes()
-                    raw = b"".join([table.get(w) or new[w] for w in own])
-                else:
-                    raw = b"".join(map(table.__getitem__, own))
-                ids_.append(raw)
-                lengths.append(lengths[-1] + len(raw) // 4)
-                same.append(decode(np.frombuffer(raw, "<i4").tolist()) == t.replace(MARK, " "))
-            values = pa.Array.from_buffers(pa.int32(), lengths[-1], [None, pa.py_buffer(b"".join(ids_))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values), pa.array(same, pa.bool_())], ["doc", "ids", "round_trip"])
+            names, lengths, out, same = [], [0], [], []
+            lists = batch.column(2)
+            for k, (other, (name, body, *rare)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                size = int.from_bytes(body[8:16], "big")
+                raw = codec.decompress(body[16:], size, asbytes=True) if size else b""
+                codes = np.frombuffer(raw, code)
+                if rare:
+                    paths = {}
+                    if lists[k].is_valid:
+                        at, path = lists[k].values.flatten()
+                        paths = dict(zip(at.to_pylist(), path.to_pylist()))
+                    found = [np.array(spell(w.decode(), paths.get(other + j)), code).tobytes() for j, w in enumerate(rare)]
+                    parts, last, width = [], 0, code.itemsize
+                    for p in np.flatnonzero(codes == hole).tolist():
+                        parts += [raw[last * width : p * width], found[int(codes[p + 1]) | int(codes[p + 2]) << 15]]
+                        last = p + 3
+                    raw = b"".join([*parts, raw[last * width :]])
+                    codes = np.frombuffer(raw, code)
+                names.append(name[1:].decode() if name else None)
+                lengths.append(lengths[-1] + len(codes))
+                out.append(raw)
+                # Decoded, but for the first space, it must be the text again.
+                same.append(xxhash.xxh3_64_digest(b"".join(map(table.__getitem__, codes.tolist()))[1:]) == body[:8])
+            ids = pa.array(np.frombuffer(b"".join(out), code).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), ids), pa.array(same, pa.bool_())], ["doc", "ids", "round_trip"])
 
     out = joined.mapInArrow(put, "doc string, ids array<int>, round_trip boolean")
     return out.select(F.col("doc").cast(kind).alias("doc"), "ids", "round_trip")

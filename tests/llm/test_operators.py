@@ -134,15 +134,16 @@ def test_sentencepiece(spark, docs, most):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    extra = spark.createDataFrame([(100, "日本語 ☃ a  b   c\tq\r\n  x\n"), (101, "x" * 90 + "antidisestablishmentarianism" * 4), (102, "a▁b ▁ c"), (102, "a▁b ▁ c")], "doc_id long, text string")
+    extra = spark.createDataFrame([(100, "日本語 ☃ a  b   c\tq\r\n  x\n"), (101, "x" * 90 + "antidisestablishmentarianism" * 4), (102, "a▁b ▁ c"), (102, "a▁b ▁ c"), (103, "nul \0a \0\0 b\0"), (104, "🙂🙂x 🙂")], "doc_id long, text string")
     rows = [*docs.select("doc_id", "text").collect(), *extra.collect()]
     texts = {}
     for r in rows:
         texts.setdefault(r["doc_id"], []).append(r["text"] or "")
     got = sentences.encode(docs.unionByName(extra, allowMissingColumns=True), most=most).collect()
     assert len(got) == len(rows)
+    decode = sentences.decoder(sentences.load("piece_bpe_32k.model"))
     for r in got:
-        assert r["round_trip"] and any(sp.encode(t) == r["ids"] for t in texts[r["doc"]])
+        assert r["round_trip"] and any(sp.encode(t) == r["ids"] and decode(r["ids"]) == t.replace("▁", " ") for t in texts[r["doc"]])
 
 
 def test_viterbi(spark):
