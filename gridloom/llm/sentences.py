@@ -24,9 +24,11 @@ task); an empty table gives an empty result. Decoding joins pieces, bytes as UTF
 from __future__ import annotations
 
 import os
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ from . import common
 MARK = "▁"
 #: Characters of a word that the table of frequent words holds at most.
 LONGEST = 64
-#: Frequent words at most.
-MOST = 300_000
+#: Frequent words at most, and frequent segments of others.
+MOST = 450_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 300_000
 #: Bits of a packed edge: rank of its piece, length, and start or end.
@@ -170,13 +172,16 @@ class Fold:
         """(key, edge): all substrings of column word that are pieces of two characters or more; for a unigram model every single character too, a piece or not."""
         spark = words.sparkSession
         # The table has as many rows as the vocabulary, whatever the corpus.
-        table = F.broadcast(spark.createDataFrame([(p.replace(MARK, " "), k) for k, (p, _, _) in enumerate(self.ranked)], "piece string, rank int"))
+        table = spark.createDataFrame([(p.replace(MARK, " "), k) for k, (p, _, _) in enumerate(self.ranked)], "piece string, rank int")
+        # Joined on a hash, as tables by a long are several times faster than by a string; that the strings are equal is said in a way that doesn't make them keys too.
+        table = F.broadcast(table.select(F.xxhash64("piece").alias("hash"), "piece", "rank"))
+        same = lambda found: (found["hash"] == table["hash"]) & F.startswith(found["part"], table["piece"]) & (F.octet_length(found["part"]) <= F.octet_length(table["piece"]))
         least = 1 if self.pieces.unigram else 2
         at = words.where(F.char_length("word") >= least).select(*key, "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - least)).alias("s"))
         reach = F.sequence(F.lit(least), F.least(F.lit(self.pieces.width), F.char_length("word") - F.col("s")))
         at = at.select(*key, "s", F.substring("word", F.col("s") + 1, F.lit(self.pieces.width)).alias("rest"), F.explode(reach).alias("l"))
-        found = at.withColumn("piece", F.substring("rest", F.lit(1), F.col("l")))
-        found = found.join(table, "piece", "left").where("rank is not null or l = 1") if self.pieces.unigram else found.join(table, "piece")
+        found = at.withColumn("part", F.substring("rest", F.lit(1), F.col("l"))).withColumn("hash", F.xxhash64("part"))
+        found = found.join(table, same(found), "left").where("rank is not null or l = 1") if self.pieces.unigram else found.join(table, same(found))
         return found.select(*key, self.packed(F.coalesce("rank", F.lit(_NONE)), F.col("s"), F.col("s") + F.col("l")).alias("edge"))
 
     def folded(self, words: DataFrame, *key: str) -> DataFrame:
@@ -325,16 +330,18 @@ class Known:
 
         others = counts.join(words, "word", "left_anti").mapInArrow(segments, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         own = counts.join(words, "word", "left_semi").mapInArrow(segments, "word string, n long").select("word")
-        parts = common.materialise(frequent(common.materialise(others, "segments"), most).select("word").unionByName(own).distinct(), "frequent-segments")
-        ids = dictionary(parts, pieces)
-        kind = code_type(pieces)
-        self.segments = {w: np.array(x, kind).tobytes() for w, x in ids.items()}
-        self.words = {w: b"".join(self.segments[x] for x in cut(spaced(w))) for w in words.toArrow().column(0).to_pylist()}
+        chosen = frequent(common.materialise(others, "segments"), most).select("word", F.lit(True).alias("own"))
+        parts = chosen.unionByName(own.select("word", F.lit(False).alias("own"))).groupBy("word").agg(F.max("own").alias("own"))
+        parts = common.materialise(parts, "frequent-segments")
+        code = code_type(pieces)
+        ids = {w: array(code, x).tobytes() for w, x in dictionary(parts, pieces).items()}
+        self.words = {w: b"".join(ids[x] for x in cut(spaced(w))) for w in words.toArrow().column(0).to_pylist()}
+        self.segments = {w: ids[w] for w in parts.where("own").select("word").toArrow().column(0).to_pylist()}
 
 
 def code_type(pieces: Pieces) -> str:
-    """Two bytes hold an id and a mark where the vocabulary allows it."""
-    return "<u2" if max((i for _, i, _ in pieces.rows), default=0) < 0xFFFF and max(pieces.bytes_, default=0) < 0xFFFF else "<u4"
+    """The array type of codes: two bytes hold an id and a mark where the vocabulary allows it, else four."""
+    return "H" if max((i for _, i, _ in pieces.rows), default=0) < 0xFFFF and max(pieces.bytes_, default=0) < 0xFFFF else "I"
 
 
 def byte_table(pieces: Pieces) -> dict[int, bytes]:
@@ -361,7 +368,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
     known = spark.sparkContext.broadcast(Known(counts, pieces, most))
     common.discard(counts)
     kind = docs.schema[doc].dataType.simpleString()
-    code = np.dtype(code_type(pieces))
+    code = code_type(pieces)
     hole = int(np.iinfo(code).max)
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +376,18 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
         words, cut, table = Cutter(pieces), Segments(pieces), known.value
         get, part = table.words.get, table.segments.get
         codec = pa.Codec("zstd", compression_level=1)
+        mark = Struct("<HHH" if code == "H" else "<III").pack
+
+        def codes_of(word: str, rare: dict[str, int]) -> bytes:
+            out = []
+            for w in cut(spaced(word)):
+                y = part(w)
+                if y is None:
+                    j = rare.setdefault(w, len(rare))
+                    y = mark(hole, j & 0x7FFF, j >> 15)
+                out.append(y)
+            return b"".join(out)
+
         for batch in batches:
             keys, others, bodies = [], [], []
             for d, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -377,17 +396,8 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                 own = words(t) if t else []
                 codes = list(map(get, own))
                 rare: dict[str, int] = {}
-                if None in codes:
-                    for k, x in enumerate(codes):
-                        if x is None:
-                            out = []
-                            for w in cut(spaced(own[k])):
-                                y = part(w)
-                                if y is None:
-                                    j = rare.setdefault(w, len(rare))
-                                    y = np.array([hole, j & 0x7FFF, j >> 15], code).tobytes()
-                                out.append(y)
-                            codes[k] = b"".join(out)
+                for k in [k for k, x in enumerate(codes) if x is None]:
+                    codes[k] = codes_of(own[k], rare)
                 body = b"".join(codes)
                 h = xxhash.xxh3_64_intdigest(raw)
                 keys.append(xxhash.xxh3_64_intdigest(name, seed=h) - (1 << 63))
@@ -421,8 +431,8 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                     if lists[k].is_valid:
                         at, path = lists[k].values.flatten()
                         paths = dict(zip(at.to_pylist(), path.to_pylist()))
-                    found = [np.array(spell(w.decode(), paths.get(other + j)), code).tobytes() for j, w in enumerate(rare)]
-                    parts, last, width = [], 0, code.itemsize
+                    found = [array(code, spell(w.decode(), paths.get(other + j))).tobytes() for j, w in enumerate(rare)]
+                    parts, last, width = [], 0, codes.itemsize
                     for p in np.flatnonzero(codes == hole).tolist():
                         parts += [raw[last * width : p * width], found[int(codes[p + 1]) | int(codes[p + 2]) << 15]]
                         last = p + 3
