@@ -1,13 +1,14 @@
 """Dense linear algebra on tensors.
 
-Tall matrices stay distributed: rows as arrays, Gram matrices by outer products summed in tasks, QR by a tree of small
-factorisations. What must be factored as a whole is as wide as the shorter side; that side's square is bounded by
-`limit` and is worked on by the driver. Batches are factored slice by slice in tasks.
+Tall matrices stay distributed: rows as arrays (of a complex matrix the real parts, then the imaginary ones), Gram
+matrices by outer products summed in tasks, QR by a tree of small factorisations. What must be factored as a whole is as
+wide as the shorter side; that side's square is bounded by `limit` and is worked on by the driver. Batches are factored
+slice by slice in tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import types
+from ..sources.checkpoint import checkpointed
 from .tensor import V, Tensor, einsum
 
 #: Longest short side that the driver factors.
@@ -29,55 +31,102 @@ def _small(n: int) -> None:
 def rows_of(a: Tensor) -> DataFrame:
     """(i0, row): each stored row as an array. A row's entries meet in one task; a row has at most as many as the matrix has columns."""
     n = a.shape[1]
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("i1"), V().cast("double"))))
-    row = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), lambda j: F.coalesce(F.try_element_at(F.col("m"), j), F.lit(0.0)))
-    return a.df.groupBy("i0").agg(pairs.alias("m")).select("i0", row.alias("row"))
+    parts = [V()["re"], V()["im"]] if types.is_complex(a.dtype) else [V().cast("double")]
+    grouped = a.df.groupBy("i0").agg(F.sort_array(F.collect_list(F.struct("i1", *(p.alias(f"x{k}") for k, p in enumerate(parts))))).alias("p"))
+
+    def filled(name: str):
+        full = F.transform("p", lambda x: x[name])
+        some = F.map_from_arrays(F.transform("p", lambda x: x["i1"]), full)
+        return F.when(F.size("p") == n, full).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), lambda j: F.coalesce(F.try_element_at(some, j), F.lit(0.0))))
+
+    return grouped.select("i0", F.concat(*(filled(f"x{k}") for k in range(len(parts)))).alias("row"))
 
 
 def from_rows(rows: DataFrame, shape, dtype: str = "float64") -> Tensor:
+    n = int(shape[1])
+    if types.is_complex(dtype):
+        rows = rows.withColumn("row", F.zip_with(F.slice("row", 1, n), F.slice("row", n + 1, n), lambda x, y: F.struct(x.alias("re"), y.alias("im"))))
     df = rows.select("i0", F.posexplode("row").alias("i1", "v")).select("i0", F.col("i1").cast("bigint").alias("i1"), "v")
     return Tensor(df, shape, dtype, None, False)
 
 
+def _stacked(rows, complex_: bool) -> np.ndarray:
+    x = np.stack(list(rows))
+    n = x.shape[1] // 2
+    return x[:, :n] + 1j * x[:, n:] if complex_ else x
+
+
+def _split(x: np.ndarray) -> list[np.ndarray]:
+    return list(np.concatenate([x.real, x.imag], axis=1) if np.iscomplexobj(x) else x)
+
+
+def _mapped(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], complex_: bool) -> DataFrame:
+    """f on blocks of rows, in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"i0": b["i0"], "row": _split(f(_stacked(b["row"], complex_)))})
+
+    return rows.mapInPandas(run, "i0 long, row array<double>")
+
+
+def _reduced(blocks: DataFrame, f: Callable[[np.ndarray | None, np.ndarray], np.ndarray], complex_: bool) -> np.ndarray | None:
+    """f folded over blocks of rows within tasks, and over what the tasks give in rounds until few are left; small matrices all along."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if len(b):
+                held = f(held, _stacked(b["row"], complex_))
+        if held is not None:
+            yield pd.DataFrame({"row": _split(held)})
+
+    blocks = blocks.select("row").mapInPandas(run, "row array<double>")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 8:
+        parts = max(1, parts // 8)
+        blocks = blocks.repartition(parts).mapInPandas(run, "row array<double>")
+    found = blocks.toArrow().column("row").to_pylist()
+    return f(None, _stacked(found, complex_)) if found else None
+
 
 def gram(a: Tensor) -> np.ndarray:
     """A^H A. Each task sums the outer products of its rows, so the shuffle has a matrix a task, summed by entry."""
     _small(a.shape[1])
-    n = a.shape[1]
-    if types.is_complex(a.dtype):
-        return einsum("ij,ik->jk", a.conj(), a).to_numpy()
+    n, complex_ = a.shape[1], types.is_complex(a.dtype)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n, n))
+        total = np.zeros((n, n), "complex128" if complex_ else float)
         for b in batches:
             if len(b):
-                x = np.stack(b["row"].to_numpy())
-                total += x.T @ x
-        yield pd.DataFrame({"j": np.arange(n), "row": list(total)})
+                x = _stacked(b["row"], complex_)
+                total += x.conj().T @ x
+        yield pd.DataFrame({"j": np.arange(n), "row": _split(total)})
 
     parts = rows_of(a).mapInPandas(partial, "j long, row array<double>")
-    sums = parts.groupBy("j").agg(*(F.sum(F.get("row", F.lit(k))).alias(f"c{k}") for k in range(n))) if n <= 64 else parts.select("j", F.posexplode("row").alias("k", "v")).groupBy("j", "k").agg(F.sum("v").alias("v"))
-    out = np.zeros((n, n))
-    for r in sums.collect():
-        if n <= 64:
-            out[r["j"]] = [r[f"c{k}"] for k in range(n)]
-        else:
-            out[r["j"], r["k"]] = r["v"]
-    return out
+    sums = parts.select("j", F.posexplode("row").alias("k", "v")).groupBy("j", "k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros((n, n * (1 + complex_)))
+    out[sums.column("j").to_numpy(), sums.column("k").to_numpy()] = sums.column("v").to_numpy()
+    return out[:, :n] + 1j * out[:, n:] if complex_ else out
 
 
 def _times(a: Tensor, m: np.ndarray) -> Tensor:
     """A m for a small m: each row in its task, no shuffle beyond the rows'."""
-    if types.is_complex(a.dtype):
-        return einsum("ij,jk->ik", a, Tensor.from_numpy(a.spark, m.astype("complex128")))
-    shared = a.spark.sparkContext.broadcast(m)
+    return _rows_times(rows_of(a), m, a.shape[0], types.is_complex(a.dtype))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"i0": b["i0"], "row": list(np.stack(b["row"].to_numpy()) @ shared.value)})
 
-    return from_rows(rows_of(a).mapInPandas(run, "i0 long, row array<double>"), (a.shape[0], m.shape[1]))
+def product(a: Tensor, b: Tensor) -> Tensor:
+    """A B: where B's shorter side is small, blocks of A's rows times B in tasks; else a contraction."""
+    if b.shape[0] * b.shape[1] <= LIMIT * LIMIT // 4:
+        return _times(a, b.to_numpy())
+    return einsum("ij,jk->ik", a, b)
+
+
+def _rows_times(rows: DataFrame, m: np.ndarray, height: int, complex_: bool) -> Tensor:
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+    dtype = "complex128" if complex_ or np.iscomplexobj(m) else "float64"
+    return from_rows(_mapped(rows, lambda x: (x @ shared.value).astype(dtype), complex_), (height, m.shape[1]), dtype)
 
 
 def _signed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,70 +148,110 @@ def svd(a: Tensor, rank: int | None = None, threshold: float | None = None) -> t
         turn = (lambda x: x.conj().transpose()) if types.is_complex(a.dtype) else (lambda x: x.transpose())
         return turn(vt), s, turn(u)
     _small(n)
-    q, r = qr(a)
-    u, s, vt = np.linalg.svd(r.to_numpy())
+    rows, change, r = _orthogonal(a)
+    u, s, vt = np.linalg.svd(r)
     keep = len(s) if threshold is None else int((s >= threshold).sum())
     keep = keep if rank is None else min(keep, rank)
     u, vt = _signed(u[:, :keep], vt[:keep])
-    return _times(q, u), s[:keep], Tensor.from_numpy(a.spark, vt)
+    return _rows_times(rows, change(u), m, types.is_complex(a.dtype)), s[:keep], Tensor.from_numpy(a.spark, vt)
 
 
-def qr(a: Tensor) -> tuple[Tensor, Tensor]:
-    """Reduced QR of a matrix: tasks factor blocks of rows, their triangles are factored in rounds until one is left; Q = A R^-1, twice, where A has full rank, else from the eigenvectors."""
-    m, n = a.shape
-    _small(min(m, n))
-    if m < n or types.is_complex(a.dtype):
-        q, r = np.linalg.qr(a.to_numpy())
-        return Tensor.from_numpy(a.spark, q), Tensor.from_numpy(a.spark, r)
+def _triangle(x: np.ndarray) -> np.ndarray:
+    """R of a QR, its diagonal positive."""
+    r = np.linalg.qr(x, mode="r")
+    d = np.diag(r)
+    phase = np.where(d == 0, 1, d / np.where(d == 0, 1, np.abs(d)))
+    return r * phase.conj()[:, None]
 
-    def triangle(x: np.ndarray) -> np.ndarray:
-        r = np.linalg.qr(x, mode="r")
-        sign = np.where(np.diag(r) < 0, -1.0, 1.0) if len(r) == n else np.ones(len(r))
-        return r * sign[:, None]
 
-    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+def _triangle_of(rows: DataFrame, n: int, complex_: bool, change: np.ndarray | None = None) -> np.ndarray:
+    """R of the rows (times a small matrix) from a tree of factorisations."""
+    f = lambda held, x: _triangle(x if held is None else np.concatenate([held, x]))
+    if change is not None:
+        shared = rows.sparkSession.sparkContext.broadcast(change)
+        rows = _mapped(rows, lambda x: x @ shared.value, complex_)
+    r = _reduced(rows, f, complex_)
+    r = np.zeros((0, n), "complex128" if complex_ else float) if r is None else r
+    return np.concatenate([r, np.zeros((n - len(r), n))]) if len(r) < n else r
+
+
+def _orthogonal(a: Tensor) -> tuple[DataFrame, Callable[[np.ndarray], np.ndarray], np.ndarray]:
+    """For a tall matrix: rows, written once; a function from m to M such that Q m = rows M; and R. A matrix without full rank gets columns of fixed noise beside its rows, from which the missing columns of Q are made."""
+    n, complex_ = a.shape[1], types.is_complex(a.dtype)
+    rows = checkpointed(rows_of(a))
+    r = _triangle_of(rows, n, complex_)
+    d = np.abs(np.diag(r))
+    if n and d.min() > 1e-10 * d.max():
+        first = np.linalg.inv(r)
+        again = _triangle_of(rows, n, complex_, first)
+        second = first @ np.linalg.inv(again)
+        return rows, lambda m: second @ m, again @ r
+    # Orthonormal columns for the range from R's singular vectors, and for the rest from noise without its part in the range.
+    _, s, vt = np.linalg.svd(r)
+    k = int((s > 1e-10 * max(s.max(initial=0.0), 1e-300)).sum())
+    noise = F.array(*(F.shiftrightunsigned(F.xxhash64(F.lit(c), F.col("i0")), 11).cast("double") / float(1 << 53) - 0.5 for c in range(n - k)))
+    every = a.spark.range(a.shape[0]).select(F.col("id").alias("i0")).join(rows, "i0", "left")
+    blank = F.array_repeat(F.lit(0.0), n * (1 + complex_))
+    row = F.coalesce("row", blank)
+    wide = F.concat(F.slice(row, 1, n), noise, F.slice(row, n + 1, n), F.array_repeat(F.lit(0.0), n - k)) if complex_ else F.concat(row, noise)
+    rows = checkpointed(every.select("i0", wide.alias("row")))
+    basis = np.zeros((2 * n - k, n), "complex128" if complex_ else float)
+    basis[:n, :k] = vt[:k].conj().T / s[:k]
+    basis[n:, k:] = np.eye(n - k)
+    for _ in range(3):
+        basis = basis @ np.linalg.inv(_triangle_of(rows, n, complex_, basis))
+    small, upper = np.linalg.qr(np.concatenate([_product(rows, basis, n, complex_), np.zeros((0, n))]))
+    return rows, lambda m: basis @ (small @ m), upper
+
+
+def _product(rows: DataFrame, basis: np.ndarray, n: int, complex_: bool) -> np.ndarray:
+    """(rows basis)^H times the first n columns of rows, summed in tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    add = lambda held, x: x if held is None else held + x
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for b in batches:
             if len(b):
-                x = np.stack(b["row"].to_numpy())
-                held = triangle(x if held is None else np.concatenate([held, x]))
-        if held is not None:
-            yield pd.DataFrame({"row": list(held)})
-
-    def r_of(rows: DataFrame) -> np.ndarray:
-        blocks = rows.select("row").mapInPandas(reduce_rows, "row array<double>")
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        while parts > 8:
-            parts = max(1, parts // 8)
-            blocks = blocks.repartition(parts).mapInPandas(reduce_rows, "row array<double>")
-        found = blocks.collect()
-        r = triangle(np.array([x["row"] for x in found]).reshape(-1, n)) if found else np.zeros((0, n))
-        return np.concatenate([r, np.zeros((n - len(r), n))]) if len(r) < n else r
-
-    r = r_of(rows_of(a))
-    d = np.abs(np.diag(r))
-    if len(d) and d.min() > 1e-10 * d.max():
-        q = _times(a, np.linalg.inv(r))
-        again = r_of(rows_of(q))
-        return _times(q, np.linalg.inv(again)), Tensor.from_numpy(a.spark, again @ r)
-    q, r = np.linalg.qr(a.to_numpy())
-    return Tensor.from_numpy(a.spark, q), Tensor.from_numpy(a.spark, r)
+                x = _stacked(b["row"], complex_)
+                total = add(total, (x @ shared.value).conj().T @ x[:, :n])
+        if total is not None:
+            yield pd.DataFrame({"j": np.arange(len(total)), "row": _split(total)})
+
+    sums = rows.mapInPandas(partial, "j long, row array<double>").select("j", F.posexplode("row").alias("k", "v")).groupBy("j", "k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros((n, n * (1 + complex_)))
+    if len(sums):
+        out[sums.column("j").to_numpy(), sums.column("k").to_numpy()] = sums.column("v").to_numpy()
+    return out[:, :n] + 1j * out[:, n:] if complex_ else out
+
+
+def qr(a: Tensor) -> tuple[Tensor, Tensor]:
+    """Reduced QR. Of a tall matrix tasks factor blocks of rows, their triangles are factored in rounds until few are left; Q = A R^-1, done twice. Of a wide one the leading square gives Q, and R = Q^H A."""
+    m, n = a.shape
+    _small(min(m, n))
+    if m < n:
+        q, _ = qr(a[:, :m])
+        return q, einsum("ij,ik->jk", q.conj() if types.is_complex(q.dtype) else q, a)
+    rows, change, r = _orthogonal(a)
+    return _rows_times(rows, change(np.eye(n)), m, types.is_complex(a.dtype)), Tensor.from_numpy(a.spark, np.triu(r))
 
 
 def svd_rand(a: Tensor, rank: int, iterations: int = 1, oversample: int = 5, seed: int = 0) -> tuple[Tensor, np.ndarray, Tensor]:
     """Randomised subspace iteration: a few products with A and A^T, then the SVD of a small matrix."""
     m, n = a.shape
     k = min(rank + oversample, m, n)
+    star = a.conj() if types.is_complex(a.dtype) else a
+    a = a._with(checkpointed(a.df))
     q = _times(a, np.random.default_rng(seed).standard_normal((n, k)))
     for _ in range(iterations):
         q, _ = qr(q)
-        z, _ = qr(einsum("ij,ik->jk", a, q))
+        z, _ = qr(einsum("ij,ik->jk", star, q))
         q = einsum("ij,jk->ik", a, z)
     q, _ = qr(q)
-    b = einsum("ik,ij->kj", q, a).to_numpy()
-    u, s, vt = np.linalg.svd(b, full_matrices=False)
-    u, vt = _signed(u[:, :rank], vt[:rank])
-    return _times(q, u), s[:rank], Tensor.from_numpy(a.spark, vt)
+    q = q._with(checkpointed(q.df))
+    small = einsum("ik,ij->kj", q.conj() if types.is_complex(q.dtype) else q, a)
+    u, s, vt = svd(small, rank)
+    return _times(q, u.to_numpy()), s, vt
 
 
 def svd_batch(a: Tensor, rank: int | None = None) -> tuple[Tensor, Tensor, Tensor]:
@@ -179,8 +268,6 @@ def svd_batch(a: Tensor, rank: int | None = None) -> tuple[Tensor, Tensor, Tenso
         parts = [("u", *np.indices((m, k)).reshape(2, -1), u.ravel()), ("s", np.arange(k), np.zeros(k, int), s[:k]), ("v", *np.indices((k, n)).reshape(2, -1), vt.ravel())]
         return pd.concat([pd.DataFrame({"part": p, "i0": key[0], "i1": i, "i2": j, "v": v}) for p, i, j, v in parts])
 
-    from ..sources.checkpoint import checkpointed
-
     out = checkpointed(a.df.groupBy("i0").applyInPandas(run, "part string, i0 long, i1 long, i2 long, v double"))
     part = lambda p: out.where(F.col("part") == p).drop("part")
     return Tensor(part("u"), (b, m, k), sparse=False), Tensor(part("s").drop("i2"), (b, k), sparse=False), Tensor(part("v"), (b, k, n), sparse=False)
@@ -192,38 +279,32 @@ def cholesky(a: Tensor) -> Tensor:
     return Tensor.from_numpy(a.spark, np.linalg.cholesky(a.to_numpy()))
 
 
-def _solve_columns(b: Tensor, f, n: int) -> Tensor:
-    """f of each column block of b, columns side by side in tasks."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(n)
-        x[pdf["i0"]] = pdf["v"]
-        y = f(x)
-        return pd.DataFrame({"i0": np.arange(n), "i1": key[0], "v": y})
-
-    return Tensor(b.df.groupBy("i1").applyInPandas(run, "i0 long, i1 long, v double"), b.shape, sparse=False)
+def _solve_rows(b: Tensor, f: Callable[[np.ndarray], np.ndarray], complex_: bool) -> Tensor:
+    """f of blocks of rows of b, side by side in tasks."""
+    dtype = "complex128" if complex_ else "float64"
+    b = b.astype(dtype) if b.dtype != dtype else b
+    return from_rows(_mapped(rows_of(b), lambda x: f(x).astype(dtype), complex_), b.shape, dtype)
 
 
 def solve_tri(l: Tensor, b: Tensor, lower: bool = True, from_left: bool = True, transposed: bool = False) -> Tensor:  # noqa: E741
-    """X with op(L) X = B, or X op(L) = B; only one triangle of L is read."""
+    """X with op(L) X = B, or X op(L) = B; only one triangle of L is read. Tasks get L once and solve for blocks of columns (or rows) of B."""
     _small(l.shape[0])
     m = l.to_numpy()
     m = np.tril(m) if lower else np.triu(m)
     m = m.T if transposed else m
-    if types.is_complex(l.dtype) or types.is_complex(b.dtype):
-        x = b.to_numpy()
-        return Tensor.from_numpy(b.spark, np.linalg.solve(m, x) if from_left else np.linalg.solve(m.T, x.T).T)
-    if from_left:
-        return _solve_columns(b, lambda x: np.linalg.solve(m, x), l.shape[0])
-    return _solve_columns(b.transpose(), lambda x: np.linalg.solve(m.T, x), l.shape[0]).transpose()
+    complex_ = types.is_complex(l.dtype) or types.is_complex(b.dtype)
+    shared = b.spark.sparkContext.broadcast(m if from_left else m.T)
+    solved = lambda x: np.linalg.solve(shared.value, x.T).T
+    return _solve_rows(b.transpose(), solved, complex_).transpose() if from_left else _solve_rows(b, solved, complex_)
 
 
 def solve_spd(m: Tensor, b: Tensor) -> Tensor:
-    """X with X M = B for a symmetric positive definite M, row by row of B."""
+    """X with X M = B for a symmetric (Hermitian) positive definite M, blocks of rows of B side by side."""
     _small(m.shape[0])
     factor = np.linalg.cholesky(m.to_numpy())
     inverse = np.linalg.inv(factor)
-    return _solve_columns(b.transpose(), lambda x: inverse.T.conj() @ (inverse @ x), m.shape[0]).transpose()
+    shared = b.spark.sparkContext.broadcast(inverse.conj().T @ inverse)
+    return _solve_rows(b, lambda x: x @ shared.value, types.is_complex(m.dtype) or types.is_complex(b.dtype))
 
 
 def eigh(a: Tensor) -> tuple[np.ndarray, Tensor]:

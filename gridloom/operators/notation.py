@@ -206,3 +206,12 @@ def transform3(f: Callable[[Column, Column, Column], Column], a: Indexed, b: Ind
         out = out.join(x.tensor.df.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(keys)), V().alias(name)), keys, "left")
     met = F.col("a").isNotNull() & F.col("b").isNotNull()
     return c.tensor._with(out.select(*c.tensor.keys, F.when(met, f(F.col("a"), F.col("b"), V())).otherwise(V()).alias("v")))
+
+
+def contract(alpha, a: Indexed, b: Indexed, beta, c: Indexed, f: Callable[[Column, Column], Column] | None = None) -> Tensor:
+    """beta times c plus alpha times the contraction of a and b under c's labels; f in place of the product, which a sum can then not be moved before."""
+    t = c.tensor
+    lengths = dict(zip(c.labels, t.shape))
+    part = function2(f, a, b, c.labels, t.dtype, t.algebra) if f else (a * b).to(c.labels, lengths)
+    part = part if alpha == 1 else part * alpha
+    return c.accumulate(part.i(c.labels), beta)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import checkpointed
 from .tensor import Tensor
 
 
@@ -21,7 +22,8 @@ def prefix(x: Tensor, exclusive: bool = True, block: int = 1 << 16) -> Tensor:
 
 def sort(x: Tensor) -> Tensor:
     """A vector's values in ascending order. Rows are range-partitioned and ordered; an index is the place in the partition plus the rows of those before."""
-    ordered = x.densify().df.select("v").orderBy("v").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
+    # Written once: both uses below must see the same partitions.
+    ordered = checkpointed(x.densify().df.select("v").orderBy("v").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
     at = F.row_number().over(W.partitionBy("p").orderBy("m")) - 1
     counts = ordered.groupBy("p").count()
     starts = counts.select(F.col("p").alias("q"), F.coalesce(F.sum("count").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))

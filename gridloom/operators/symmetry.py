@@ -1,15 +1,17 @@
 """Symmetric tensors: packed storage of pairs of modes, and operators at its edges.
 
 Kinds of a pair of neighbouring modes: NS none; SY v(i,j) = v(j,i), stored for i <= j; AS v(i,j) = -v(j,i) and SH symmetric with a
-zero diagonal, both stored for i < j. Contractions unpack, contract and pack again.
+zero diagonal, both stored for i < j. A packed tensor's `stored` has that half, its `df` all entries, so every operator takes it as what
+it stands for; `contract` gives a packed result.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import types
-from .tensor import V, Tensor
+from .tensor import V, Tensor, einsum
 
 KINDS = ("NS", "SY", "AS", "SH")
 
@@ -28,26 +30,51 @@ def pack(t: Tensor, kind: str, a: int = 0, b: int = 1) -> Tensor:
     """Keep the stored half of a tensor that has the symmetry already."""
     _kind(kind)
     i, j = F.col(f"i{a}"), F.col(f"i{b}")
-    df = t.df if kind == "NS" else t.df.where(i <= j if kind == "SY" else i < j)
-    out = t._with(df)
-    out.sym = kind
+    return _packed(t, t.df if kind == "NS" else t.df.where(i <= j if kind == "SY" else i < j), kind, a, b)
+
+
+def _packed(t: Tensor, stored: DataFrame, kind: str, a: int, b: int) -> Tensor:
+    out = t._with(stored)
+    out.sym = None if kind == "NS" else (kind, a, b)
     return out
 
 
+def unpacked(t: Tensor) -> DataFrame:
+    """All rows of a packed tensor: the stored half and its mirror."""
+    kind, a, b = t.sym
+    i, j = F.col(f"i{a}"), F.col(f"i{b}")
+    stored = t.stored.where(i <= j if kind == "SY" else i < j)
+    sign = types.negative(V(), t.dtype) if kind == "AS" else V()
+    swapped = F.array(F.struct(*t.keys, "v"), F.struct(*_swapped(t, a, b)[:-1], sign.alias("v")))
+    # One pass over the half: a row and, off the diagonal, its mirror.
+    both = F.when(i == j, F.slice(swapped, 1, 1)).otherwise(swapped)
+    return stored.select(F.explode(both).alias("x")).select("x.*")
+
+
 def desymmetrize(t: Tensor, kind: str | None = None, a: int = 0, b: int = 1) -> Tensor:
-    """All entries of a packed tensor."""
-    kind = kind or t.sym or "NS"
+    """All entries of a packed tensor; with a kind, of a tensor whose rows are those of one."""
+    if kind is None:
+        return t._with(t.df)
     _kind(kind)
-    if kind == "NS":
-        return t
-    i, j = F.col(f"i{a}"), F.col(f"i{b}")
-    stored = t.df.where(i <= j if kind == "SY" else i < j)
-    mirror = stored.where(i != j).select(*_swapped(t, a, b))
-    if kind == "AS":
-        mirror = mirror.withColumn("v", types.negative(V(), t.dtype))
-    out = t._with(stored.unionByName(mirror))
-    out.sym = "NS"
-    return out
+    return t._with(_packed(t, t.stored, kind, a, b).df)
+
+
+def recast(t: Tensor, kind: str, a: int = 0, b: int = 1) -> Tensor:
+    """A copy under another symmetry: unpacked, then the half that the new kind stores; what it can't hold (a lower half that differs, a diagonal) is left out."""
+    return pack(desymmetrize(t), kind, a, b)
+
+
+def contract(notation: str, *operands: Tensor, kind: str, a: int = 0, b: int = 1, symmetrized: bool = True) -> Tensor:
+    """A contraction with a packed result: symmetrized (summed over both orders of two modes, with their sign), or the half of a result that has the symmetry already."""
+    result = einsum(notation, *operands)
+    return symmetrize(result, kind, a, b) if symmetrized else pack(result, kind, a, b)
+
+
+def product(x: Tensor, y: Tensor) -> Tensor:
+    """The symmetric product A B + B A of symmetric matrices, packed, from one product C = A B: as A B and B A are each other's transposes, C + C^T is enough."""
+    c = einsum("ij,jk->ik", x, y)
+    whole = (c + c.T)
+    return pack(whole, "SY")
 
 
 def symmetrize(t: Tensor, kind: str, a: int = 0, b: int = 1) -> Tensor:
@@ -60,10 +87,7 @@ def symmetrize(t: Tensor, kind: str, a: int = 0, b: int = 1) -> Tensor:
     lower = t.df.where(i > j).select(*_swapped(t, a, b))
     if kind == "AS":
         lower = lower.withColumn("v", types.negative(V(), t.dtype))
-    df = upper.unionByName(lower).groupBy(*t.keys).agg(t.algebra.plus(V()).alias("v"))
-    out = t._with(df)
-    out.sym = kind
-    return out
+    return _packed(t, upper.unionByName(lower).groupBy(*t.keys).agg(t.algebra.plus(V()).alias("v")), kind, a, b)
 
 
 def scale_diagonal(t: Tensor, s, a: int = 0, b: int = 1) -> Tensor:
@@ -79,11 +103,9 @@ def aligned(t: Tensor, kind: str, a: int = 0, b: int = 1) -> Tensor:
     _kind(kind)
     i, j = F.col(f"i{a}"), F.col(f"i{b}")
     sign = F.when(i > j, types.negative(V(), t.dtype)).otherwise(V()) if kind == "AS" else V()
-    rows = t.df if kind == "SY" else t.df.where(i != j)
+    rows = t.stored if kind == "SY" else t.stored.where(i != j)
     moved = rows.select(*(F.least(i, j).alias(f"i{k}") if k == a else F.greatest(i, j).alias(f"i{k}") if k == b else F.col(f"i{k}") for k in range(t.ndim)), sign.alias("v"))
-    out = t._with(moved.groupBy(*t.keys).agg(t.algebra.plus(V()).alias("v")))
-    out.sym = kind
-    return out
+    return _packed(t, moved.groupBy(*t.keys).agg(t.algebra.plus(V()).alias("v")), kind, a, b)
 
 
 def packed_size(n: int, kind: str) -> int:

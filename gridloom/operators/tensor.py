@@ -3,6 +3,9 @@
 Values are immutable; what changes a tensor elsewhere gives a new one here. A position without a row holds the algebra's
 zero. `sparse` says how functions with f(0) != 0 see those positions: a dense tensor is filled in first, a sparse one
 has only its stored entries visited.
+
+A tensor with a symmetry (`sym`: kind and its two modes) has half of its rows in `stored`; `df`, which all operators
+read, gives all of them.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Callable, Sequence
 from math import ceil, prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +38,21 @@ def _letters(n: int, skip: str = "") -> str:
 
 
 class Tensor:
-    def __init__(self, df: DataFrame, shape: Sequence[int], dtype: str = "float64", algebra: Algebra | None = None, sparse: bool = True, rows: float | None = None, sym: str | None = None):
-        self.df, self.shape, self.dtype, self.sparse = df, tuple(int(n) for n in shape), dtype, sparse
+    def __init__(self, df: DataFrame, shape: Sequence[int], dtype: str = "float64", algebra: Algebra | None = None, sparse: bool = True, rows: float | None = None, sym: tuple[str, int, int] | None = None):
+        self.stored, self.shape, self.dtype, self.sparse = df, tuple(int(n) for n in shape), dtype, sparse
         self.algebra = algebra or ring(dtype)
         self.rows = float(rows if rows is not None else prod(self.shape))
         self.sym = sym
+        self.name = ""
+
+    @property
+    def df(self) -> DataFrame:
+        """All rows; of a tensor with a symmetry the ones not stored too."""
+        if self.sym is None:
+            return self.stored
+        from .symmetry import unpacked
+
+        return unpacked(self)
 
     # Building
 
@@ -65,9 +79,13 @@ class Tensor:
     def from_numpy(cls, spark: SparkSession, array, sparse: bool = False) -> Tensor:
         array = np.asarray(array)
         dtype = array.dtype.name if array.dtype.name in types.SQL else "float64"
-        native = (lambda x: (float(x.real), float(x.imag))) if types.is_complex(dtype) else (lambda x: x.item())
-        rows = [(*(int(i) for i in at), native(array[at])) for at in np.ndindex(*array.shape) if not sparse or array[at] != 0]
-        return cls(spark.createDataFrame(rows, schema(array.ndim, dtype)), array.shape, dtype, None, sparse, len(rows))
+        at = np.nonzero(array) if sparse and array.ndim else [x.ravel() for x in np.indices(array.shape)]
+        v = (array[at] if sparse and array.ndim else array.ravel()).astype(dtype)
+        if not len(v) or (sparse and not array.ndim and not v[0]):
+            return cls.zeros(spark, array.shape, dtype, sparse)
+        value = pa.StructArray.from_arrays([pa.array(v.real.astype(float)), pa.array(v.imag.astype(float))], ["re", "im"]) if types.is_complex(dtype) else pa.array(v)
+        rows = pa.table([*(pa.array(x.astype(np.int64)) for x in at), value], [*(f"i{k}" for k in range(array.ndim)), "v"])
+        return cls(spark.createDataFrame(rows, schema(array.ndim, dtype)), array.shape, dtype, None, sparse, len(v))
 
     @classmethod
     def zeros(cls, spark: SparkSession, shape: Sequence[int], dtype: str = "float64", sparse: bool = True, algebra: Algebra | None = None) -> Tensor:
@@ -164,9 +182,11 @@ class Tensor:
 
     def to_numpy(self) -> np.ndarray:
         out = np.full(self.shape, 0 if self.algebra.zero is None else self.algebra.zero, self.dtype)
-        for r in self.df.collect():
-            v = r["v"]
-            out[tuple(r[k] for k in self.keys)] = complex(v["re"], v["im"]) if types.is_complex(self.dtype) else v
+        rows = self.df.toArrow()
+        v = rows.column("v").combine_chunks()
+        v = v.field("re").to_numpy(zero_copy_only=False) + 1j * v.field("im").to_numpy(zero_copy_only=False) if types.is_complex(self.dtype) else v.to_numpy(zero_copy_only=False)
+        if len(v):
+            out[tuple(rows.column(k).to_numpy() for k in self.keys)] = v if self.ndim else v[0]
         return out
 
     def item(self):
@@ -199,9 +219,33 @@ class Tensor:
         """Partitioned by some modes; tensors partitioned alike join on them without another shuffle."""
         return self._with(self.df.repartition(n, *(f"i{k}" for k in modes)))
 
-    def align(self, other: Tensor, n: int) -> Tensor:
-        shared = range(min(self.ndim, other.ndim))
-        return self.distributed(n, *shared)
+    def align(self, other: Tensor, n: int | None = None) -> Tensor:
+        """Partitioned as the other one is, if its rows are hashed by modes that this tensor has too; else by the modes both have. n: partitions where the other has none of its own."""
+        found = planner.partitioning(other.stored)
+        modes, count = found if found and all(k < self.ndim for k in found[0]) else (list(range(min(self.ndim, other.ndim))), None)
+        return self.distributed(count or n or int(self.spark.conf.get("spark.sql.shuffle.partitions")), *modes)
+
+    def set_zero(self) -> Tensor:
+        """No entries, all else alike."""
+        return Tensor(self.stored.where("false"), self.shape, self.dtype, self.algebra, self.sparse, 0, self.sym)
+
+    def set_all(self, value) -> Tensor:
+        """Every place holds the value; of dense tensors only."""
+        if self.sparse:
+            raise ValueError("only dense tensors take one value everywhere")
+        return Tensor.full(self.spark, self.shape, value, self.dtype, self.algebra)
+
+    def named(self, name: str) -> Tensor:
+        """This tensor under a name, which profiling reports and plans show."""
+        out = self._with(self.df.alias(name) if name else self.df)
+        out.name = name
+        return out
+
+    def print_matrix(self) -> str:
+        """A matrix as lines of values, zeros filled in."""
+        if self.ndim != 2:
+            raise ValueError("only matrices print as one")
+        return "\n".join(" ".join(map(str, r)) for r in self.to_numpy().tolist())
 
     def text(self, cutoff: float = 0.0, most: int = 1000) -> str:
         rows = self.df.where(types.absolute(V(), self.dtype) > cutoff).orderBy(*self.keys).limit(most).collect()
@@ -295,7 +339,7 @@ class Tensor:
             if own == n and k >= lead:
                 names.append(F.col(f"i{k - lead}").alias(f"j{k}"))
             elif own == 1:
-                df = df.withColumn(f"e{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+                df = planner.repeated(df, f"e{k}", n)
                 names.append(F.col(f"e{k}").alias(f"j{k}"))
             else:
                 raise ValueError(f"shapes {self.shape} and {shape} don't fit")
@@ -466,6 +510,16 @@ class Tensor:
         x = self.df.agg(value.alias("x")).first()["x"]
         return 0 if x is None else x
 
+    def figures(self, *names: str) -> DataFrame:
+        """One row of several reductions of all values, from one pass: sum, norm1, norm2, sumsq, max, min, norm_inf, nnz. Places without a row count as zeros in max and min only if the tensor is dense."""
+        size, zero = types.absolute(V(), self.dtype), ~types.is_zero(V(), self.dtype)
+        x = self.densify() if not self.sparse and {"max", "min"} & set(names) else self
+        square = F.pow(size.cast("double"), F.lit(2.0))
+        known = {"norm1": F.sum(size), "norm2": F.sqrt(F.sum(square)), "sumsq": F.sum(square), "norm_inf": F.max(size), "nnz": F.count(F.when(zero, 1))}
+        if not types.is_complex(self.dtype):
+            known |= {"sum": F.sum("v"), "max": F.max("v"), "min": F.min("v")}
+        return x.df.agg(*(known[n].alias(n) for n in names))
+
     def norm1(self) -> float:
         return float(self._scalar(F.sum(types.absolute(V(), self.dtype))))
 
@@ -612,9 +666,26 @@ class Tensor:
                 j += 1
         return self._with(self.df.where(~inside).unionByName(rows.select(*names, "v").toDF(*self.keys, "v")))
 
-    def slice(self, offsets: Sequence[int], ends: Sequence[int]) -> Tensor:
+    def slice(self, offsets: Sequence[int] | int, ends: Sequence[int] | int) -> Tensor:
+        """The box from offsets to ends, which it leaves out; two numbers are the row-major places of its first and last corner, both within."""
+        if isinstance(offsets, int):
+            first, last = (np.unravel_index(x, self.shape) for x in (offsets, ends))
+            offsets, ends = [int(x) for x in first], [int(x) + 1 for x in last]
         return self[tuple(slice(a, b) for a, b in zip(offsets, ends))]
 
+    def batches(self) -> list[Tensor]:
+        """The slices along the last mode."""
+        return [self[(..., k)] for k in range(self.shape[-1])]
+
+    @classmethod
+    def from_batches(cls, parts: Sequence[Tensor]) -> Tensor:
+        """Slices along a new last mode; the inverse of batches()."""
+        return stack([t.reshape(*t.shape, 1) for t in parts], parts[0].ndim)
+
+    def add_from(self, other: Tensor, alpha=1.0, beta=1.0) -> Tensor:
+        """beta times this tensor plus alpha times another of the same shape; both are of one session, as all tensors are."""
+        return self * beta + other * alpha
+
     def add_slice(self, offsets: Sequence[int], ends: Sequence[int], other: Tensor, beta=1.0, alpha=1.0) -> Tensor:
         """beta times the box of this tensor plus alpha times other."""
         region = tuple(slice(a, b) for a, b in zip(offsets, ends))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import types
@@ -20,7 +21,7 @@ def _settled(t: Tensor) -> Tensor:
 
 
 def jacobi(a: Tensor, b: Tensor, tolerance: float = 1e-8, rounds: int = 200) -> Tensor:
-    """x with A x = b by x = (b - R x) / D, R what is off the diagonal."""
+    """x with A x = b by x = (b - R x) / D, R what is off the diagonal; an error if that hasn't settled after so many rounds."""
     inverse = a.diagonal().map(lambda v: 1 / v)
     rest = _settled(a._with(a.df.where("i0 != i1")))
     x = b * 0.0
@@ -29,7 +30,7 @@ def jacobi(a: Tensor, b: Tensor, tolerance: float = 1e-8, rounds: int = 200) ->
         if (new - x).norm2() < tolerance:
             return new
         x = new
-    return x
+    raise ArithmeticError(f"not settled within {tolerance} after {rounds} rounds")
 
 
 def smooth(a: Tensor, b: Tensor, x: Tensor, rounds: int, weight: float = 2 / 3) -> Tensor:
@@ -78,6 +79,57 @@ def dft_matrix(spark: SparkSession, n: int) -> Tensor:
     return Tensor(df, (n, n), "complex128", None, False)
 
 
+def fft_split(x: Tensor, m: int) -> Tensor:
+    """The transform of a vector of length m * k as an m x k matrix: transforms of its columns, twiddle factors, transforms of its rows; each is a contraction, partitioned by the other mode."""
+    n = x.shape[0]
+    k = n // m
+    if m * k != n:
+        raise ValueError(f"{m} doesn't divide {n}")
+    t = einsum("ab,za->zb", x.astype("complex128").reshape(m, k), dft_matrix(x.spark, m))
+    angle = (F.col("i0") * F.col("i1")).cast("double") * (-2 * np.pi / n)
+    t = t._with(t.df.withColumn("v", types.multiply(V(), F.struct(F.cos(angle).alias("re"), F.sin(angle).alias("im")), "complex128")))
+    return einsum("zb,yb->yz", t, dft_matrix(x.spark, k)).reshape(n)
+
+
+def strassen(a: Tensor, b: Tensor, least: int = 64) -> Tensor:
+    """The product of square matrices of even size by Strassen's seven products of quarters, down to blocks of `least`."""
+    n = a.shape[0]
+    if n <= least or n % 2:
+        return einsum("ij,jk->ik", a, b)
+    h = n // 2
+    cut = lambda t: (t[:h, :h], t[:h, h:], t[h:, :h], t[h:, h:])
+    (a11, a12, a21, a22), (b11, b12, b21, b22) = cut(a), cut(b)
+    left = (a11 + a22, a21 + a22, a11, a22, a11 + a12, a21 - a11, a12 - a22)
+    right = (b11 + b22, b11, b12 - b22, b21 - b11, b22, b11 + b12, b21 + b22)
+    m1, m2, m3, m4, m5, m6, m7 = (_settled(strassen(x, y, least)) for x, y in zip(left, right))
+    return _joined(m1 + m4 - m5 + m7, m3 + m5, m2 + m4, m1 - m2 + m3 + m6)
+
+
+def _joined(c11: Tensor, c12: Tensor, c21: Tensor, c22: Tensor) -> Tensor:
+    from .tensor import hstack, vstack
+
+    return vstack([hstack([c11, c12]), hstack([c21, c22])])
+
+
+def recursive_product(a: Tensor, b: Tensor, least: int = 64) -> Tensor:
+    """The product by halving the longest of the three modes until all are at most `least`."""
+    (m, k), n = a.shape, b.shape[1]
+    if max(m, k, n) <= least:
+        return einsum("ij,jk->ik", a, b)
+    from .tensor import hstack, vstack
+
+    if m >= max(k, n):
+        return vstack([recursive_product(x, b, least) for x in (a[: m // 2], a[m // 2 :])])
+    if n >= k:
+        return hstack([recursive_product(a, y, least) for y in (b[:, : n // 2], b[:, n // 2 :])])
+    return recursive_product(a[:, : k // 2], b[: k // 2], least) + recursive_product(a[:, k // 2 :], b[k // 2 :], least)
+
+
+def batched_product(a: Tensor, b: Tensor) -> Tensor:
+    """Products of the matrices along the last mode."""
+    return einsum("ijb,jkb->ikb", a, b)
+
+
 def dft(x: Tensor) -> Tensor:
     """Discrete Fourier transform over all modes, a contraction each."""
     letters = "abcdefgh"[: x.ndim]
@@ -109,11 +161,25 @@ def fft(x: Tensor) -> Tensor:
     return t.transpose().reshape(n) if k else t
 
 
+#: Kernel entries that a row of the image is repeated for as a constant array.
+KERNEL = 4096
+
+
 def convolve(image: Tensor, kernel: Tensor) -> Tensor:
-    """Cyclic convolution: out[x] = sum over a of image[x - a] kernel[a], in every mode. The kernel meets each entry of the image; sums combine before the shuffle."""
-    offsets = kernel.df.select(*(F.col(k).alias(f"a{k}") for k in kernel.keys), V().alias("w"))
-    joined = image.df.withColumn("one", F.lit(1)).join(offsets.withColumn("one", F.lit(1)), "one")
-    at = [F.pmod(F.col(k) + F.col(f"a{k}"), F.lit(n)).alias(k) for k, n in zip(image.keys, image.shape)]
+    """Cyclic convolution: out[x] = sum over a of image[x - a] kernel[a], in every mode. A kernel of up to KERNEL entries, a checked size, is exploded beside each entry of the image; a larger one is dealt into buckets, which each entry is joined with in turn. Sums combine before the shuffle."""
+    names = [f"a{k}" for k in range(image.ndim)]
+    offsets = kernel.df.select(*(F.col(k).alias(a) for k, a in zip(kernel.keys, names)), V().alias("w"))
+    entries = offsets.limit(KERNEL + 1).collect()
+    if len(entries) <= KERNEL:
+        if not entries:
+            return Tensor.zeros(image.spark, image.shape, image.dtype)
+        constant = F.array(*(F.struct(*(F.lit(r[a]).alias(a) for a in names), F.lit(r["w"]).alias("w")) for r in entries))
+        joined = image.df.withColumn("x", F.explode(constant)).select(*image.keys, "v", "x.*")
+    else:
+        n = max(2, int(kernel.rows) // KERNEL + 1)
+        spread = image.df.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        joined = spread.join(offsets.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")), "bucket")
+    at = [F.pmod(F.col(k) + F.col(a), F.lit(n)).alias(k) for k, a, n in zip(image.keys, names, image.shape)]
     df = joined.select(*at, (V() * F.col("w")).alias("v")).groupBy(*image.keys).agg(F.sum("v").alias("v"))
     return image._with(df)
 
@@ -145,12 +211,34 @@ def interactions(particles: Tensor, force: Callable[[Column, Column], Column], d
     return Tensor(rows, particles.shape, dtype)
 
 
-def mp3_energy(e_occupied: Tensor, e_virtual: Tensor, v: Tensor) -> float:
-    """Second-order energy of integrals v[a,b,i,j]: 1/4 sum of v^2 / (e_i + e_j - e_a - e_b)."""
+def particles(x: Tensor, force: Callable[[Column, Column], Column], fields: str, neighbours: Tensor) -> DataFrame:
+    """Forces between particles that are structs: the sum of force(own, other), a struct of the given fields, over stored pairs of neighbours; (i0, fields)."""
+    pairs = neighbours.df.where("i0 != i1").select("i0", "i1")
+    own, other = x.df.select("i0", V().alias("a")), x.df.select(F.col("i0").alias("i1"), V().alias("b"))
+    met = pairs.join(own, "i0").join(other, "i1").select("i0", force(F.col("a"), F.col("b")).alias("f"))
+    return met.groupBy("i0").agg(*(F.sum(f"f.{c}").alias(c) for c in fields.split()))
+
+
+def denominators(v: Tensor, e_virtual: Tensor, e_occupied: Tensor) -> Tensor:
+    """v[a,b,i,j] / (e_i + e_j - e_a - e_b) at the stored entries."""
     d = v.df
     for k, e in enumerate((e_virtual, e_virtual, e_occupied, e_occupied)):
         d = d.join(e.df.select(F.col("i0").alias(f"i{k}"), V().alias(f"e{k}")), f"i{k}")
-    return d.agg((F.sum(V() * V() / (F.col("e2") + F.col("e3") - F.col("e0") - F.col("e1"))) / 4).alias("x")).first()["x"]
+    return v._with(d.select(*v.keys, (V() / (F.col("e2") + F.col("e3") - F.col("e0") - F.col("e1"))).alias("v")))
+
+
+def mp2_energy(e_occupied: Tensor, e_virtual: Tensor, v: Tensor) -> float:
+    """Second-order energy of integrals v[a,b,i,j]: 1/4 sum of v^2 / (e_i + e_j - e_a - e_b)."""
+    return einsum("abij,abij->", denominators(v, e_virtual, e_occupied), v).item() / 4
+
+
+def mp3_energy(e_virtual: Tensor, e_occupied: Tensor, f_ab: Tensor, f_ij: Tensor, v_abij: Tensor, v_ijab: Tensor, v_abcd: Tensor, v_ijkl: Tensor, v_aibj: Tensor) -> float:
+    """Third-order energy: T = v / D; Z = v_ijab + F T - T F + the particle and hole ladders (half each) + the ring, over D; the energy is the product of Z and v. Stored entries of v decide how sparse T is."""
+    t = _settled(denominators(v_abij, e_virtual, e_occupied))
+    x = lambda a, labels: a.i(labels)
+    z = x(v_ijab, "ijab") + x(f_ab, "af") * x(t, "fbij") - x(f_ij, "ni") * x(t, "abnj")
+    z = z + x(v_abcd, "abef") * x(t, "efij") * 0.5 + x(v_ijkl, "mnij") * x(t, "abmn") * 0.5 + x(v_aibj, "amei") * x(t, "ebmj")
+    return einsum("abij,abij->", denominators(z.to("abij"), e_virtual, e_occupied), v_abij).item()
 
 
 def ao_to_mo(v: Tensor, c: Tensor) -> Tensor:
@@ -158,6 +246,19 @@ def ao_to_mo(v: Tensor, c: Tensor) -> Tensor:
     return einsum("pqrs,pa,qb,rc,sd->abcd", v, c, c, c, c)
 
 
+def ao_to_mo_sliced(v: Tensor, c: Tensor, width: int) -> Tensor:
+    """The same, for slices of the last atomic mode in turn: only a slice's half-transformed integrals are there at a time."""
+    total = None
+    for k in range(0, v.shape[3], width):
+        part = ao_to_mo_pair(v[..., k : k + width], c, c[k : k + width])
+        total = part if total is None else _settled(total + part)
+    return total
+
+
+def ao_to_mo_pair(v: Tensor, c: Tensor, last: Tensor) -> Tensor:
+    return einsum("pqrs,pa,qb,rc,sd->abcd", v, c, c, c, last)
+
+
 def spectral_element(u: Tensor, d: Tensor, g: list[Tensor]) -> Tensor:
     """A 3-D operator: derivatives along each mode, scaled, and their transposes summed."""
     first = ["ai,ijk->ajk", "bj,ijk->ibk", "ck,ijk->ijc"]
@@ -176,23 +277,45 @@ def block_product(a, b, n_inner: int):
     return sums.groupBy("i", "j", "rows", "columns").agg(F.array_sort(F.collect_list(F.struct("r", "c", "v"))).alias("e")).select("i", "j", "rows", "columns", F.transform("e", lambda e: e["v"]).alias("values"))
 
 
-def bitonic_sort(x: Tensor) -> Tensor:
-    """A vector of length 2^k sorted by a network: in each step every element meets one other and takes the smaller or the larger."""
+def bitonic_sort(x: Tensor, block: int = 1 << 14) -> Tensor:
+    """A vector of length 2^k sorted by a network: in each step every element meets one other and takes the smaller or the larger. The vector is kept in blocks: steps within blocks run in their tasks, all that follow each other at once; steps between blocks join each block with one other."""
     n = x.shape[0]
     if n & (n - 1):
         raise ValueError("the length must be a power of two")
-    df, k = x.densify().df, 2
-    while k <= n:
-        j = k // 2
-        while j:
-            partner = F.col("i0").bitwiseXOR(F.lit(j))
-            other = df.select(partner.alias("i0"), V().alias("w"))
-            low = F.col("i0").bitwiseAND(F.lit(j)) == 0
-            up = F.col("i0").bitwiseAND(F.lit(k)) == 0
-            df = checkpointed(df.join(other, "i0").select("i0", F.when(low == up, F.least("v", "w")).otherwise(F.greatest("v", "w")).alias("v")))
-            j //= 2
-        k *= 2
-    return x._with(df)
+    size = min(block, n)
+    dense = x.densify().df.select(F.expr(f"i0 div {size}").alias("b"), F.expr(f"i0 % {size}").alias("at"), V().cast("double").alias("v"))
+    df = dense.groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("row"))
+
+    def within(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+        def run(batches):
+            at = np.arange(size)
+            for batch in batches:
+                out = []
+                for b, row in zip(batch["b"], batch["row"]):
+                    row = np.array(row)
+                    for k, j in steps:
+                        other = row[at ^ j]
+                        row = np.where(((at & j) == 0) == (((b * size + at) & k) == 0), np.minimum(row, other), np.maximum(row, other))
+                    out.append(row)
+                yield pd.DataFrame({"b": batch["b"], "row": out})
+
+        return df.mapInPandas(run, "b long, row array<double>")
+
+    steps = [(k, j) for k in (1 << e for e in range(1, n.bit_length())) for j in (k >> d for d in range(1, k.bit_length()))]
+    pending: list[tuple[int, int]] = []
+    for k, j in steps:
+        if j < size:
+            pending.append((k, j))
+            continue
+        df = checkpointed(within(df, pending) if pending else df)
+        pending = []
+        other = df.select(F.col("b").bitwiseXOR(F.lit(j // size)).alias("b"), F.col("row").alias("other"))
+        smaller = (F.col("b").bitwiseAND(F.lit(j // size)) == 0) == (F.col("b").bitwiseAND(F.lit(k // size)) == 0)
+        chosen = F.when(smaller, F.zip_with("row", "other", lambda a, b: F.least(a, b))).otherwise(F.zip_with("row", "other", lambda a, b: F.greatest(a, b)))
+        df = checkpointed(df.join(other, "b").select("b", chosen.alias("row")))
+    df = within(df, pending) if pending else df
+    flat = df.select("b", F.posexplode("row").alias("at", "v")).select((F.col("b") * size + F.col("at")).cast("bigint").alias("i0"), "v")
+    return x._with(flat, sparse=False)
 
 
 def ccsd_residual(t1: Tensor, t2: Tensor, f_ae: Tensor, f_mi: Tensor, v_abij: Tensor, v_abef: Tensor, v_mnij: Tensor) -> Tensor:
@@ -202,3 +325,69 @@ def ccsd_residual(t1: Tensor, t2: Tensor, f_ae: Tensor, f_mi: Tensor, v_abij: Te
     one = einsum("be,aeij->abij", f_ae, t2)
     two = einsum("mj,abim->abij", f_mi, t2)
     return r + one - one.transpose([1, 0, 2, 3]) - two + two.transpose([0, 1, 3, 2])
+
+
+class Ccsd:
+    """Coupled cluster with singles and doubles in spin orbitals, by the equations of Stanton, Gauss, Watts and Bartlett (1991).
+
+    f: the Fock matrix, v: antisymmetrised integrals <pq||rs>, occupied orbitals before virtual ones; both full. Each
+    intermediate is one sum of labelled products, written once.
+    """
+
+    def __init__(self, f: Tensor, v: Tensor, occupied: int):
+        n, o = f.shape[0], occupied
+        of = {"o": slice(0, o), "v": slice(o, n)}
+        self.f = {k: _settled(f[tuple(of[c] for c in k)]) for k in ("oo", "ov", "vv", "vo")}
+        self.v = {k: _settled(v[tuple(of[c] for c in k)]) for k in ("oooo", "ooov", "oovv", "ovov", "ovvv", "vvvv", "ovvo", "vvvo", "ovoo", "vvoo", "oovo", "vovv")}
+        self.e = f.diagonal()
+        self.eo, self.ev = _settled(self.e[:o]), _settled(self.e[o:])
+
+    def start(self) -> tuple[Tensor, Tensor]:
+        """Singles zero, doubles of second order."""
+        t2 = denominators(self.v["vvoo"], self.ev, self.eo)
+        return self.f["vo"] * 0.0, _settled(t2)
+
+    def _over(self, t1: Tensor) -> Tensor:
+        d = t1.df.join(self.ev.df.select("i0", V().alias("a")), "i0").join(self.eo.df.select(F.col("i0").alias("i1"), V().alias("i")), "i1")
+        return t1._with(d.select("i0", "i1", (V() / (F.col("i") - F.col("a"))).alias("v")))
+
+    def energy(self, t1: Tensor, t2: Tensor) -> float:
+        w = self.v["oovv"]
+        return (self.f["ov"].i("ia") * t1.i("ai") + w.i("ijab") * t2.i("abij") * 0.25 + w.i("ijab") * t1.i("ai") * t1.i("bj") * 0.5).value()
+
+    def step(self, t1: Tensor, t2: Tensor) -> tuple[Tensor, Tensor]:
+        f, v = self.f, self.v
+        off = lambda m: m._with(m.df.where("i0 != i1"))
+        done = lambda term, labels: _settled(term.to(labels))
+        pair = t1.i("ai") * t1.i("bj") - t1.i("bi") * t1.i("aj")
+        tilde = done(t2.i("abij") + pair * 0.5, "abij")
+        tau = done(t2.i("abij") + pair, "abij")
+        t = t1
+        fae = done(off(f["vv"]).i("ae") - f["ov"].i("me") * t.i("am") * 0.5 + t.i("fm") * v["ovvv"].i("mafe") - tilde.i("afmn") * v["oovv"].i("mnef") * 0.5, "ae")
+        fmi = done(off(f["oo"]).i("mi") + t.i("ei") * f["ov"].i("me") * 0.5 + t.i("en") * v["ooov"].i("mnie") + tilde.i("efin") * v["oovv"].i("mnef") * 0.5, "mi")
+        fme = done(f["ov"].i("me") + t.i("fn") * v["oovv"].i("mnef"), "me")
+        wmnij = done(v["oooo"].i("mnij") + t.i("ej") * v["ooov"].i("mnie") - t.i("ei") * v["ooov"].i("mnje") + tau.i("efij") * v["oovv"].i("mnef") * 0.25, "mnij")
+        wabef = done(v["vvvv"].i("abef") - t.i("bm") * v["vovv"].i("amef") + t.i("am") * v["vovv"].i("bmef") + tau.i("abmn") * v["oovv"].i("mnef") * 0.25, "abef")
+        wmbej = done(v["ovvo"].i("mbej") + t.i("fj") * v["ovvv"].i("mbef") - t.i("bn") * v["oovo"].i("mnej") - t2.i("fbjn") * v["oovv"].i("mnef") * 0.5 - t.i("fj") * t.i("bn") * v["oovv"].i("mnef"), "mbej")
+        r1 = f["vo"].i("ai") + t.i("ei") * fae.i("ae") - t.i("am") * fmi.i("mi") + t2.i("aeim") * fme.i("me") - t.i("fn") * v["ovov"].i("naif")
+        r1 = r1 - t2.i("efim") * v["ovvv"].i("maef") * 0.5 - t2.i("aemn") * v["oovo"].i("nmei") * 0.5
+        x = done(fae.i("be") - t.i("bm") * fme.i("me") * 0.5, "be")
+        y = done(fmi.i("mj") + t.i("ej") * fme.i("me") * 0.5, "mj")
+        ring = done(t2.i("aeim") * wmbej.i("mbej") - t.i("ei") * t.i("am") * v["ovvo"].i("mbej"), "abij")
+        r2 = v["vvoo"].i("abij") + t2.i("aeij") * x.i("be") - t2.i("beij") * x.i("ae") - t2.i("abim") * y.i("mj") + t2.i("abjm") * y.i("mi")
+        r2 = r2 + tau.i("abmn") * wmnij.i("mnij") * 0.5 + tau.i("efij") * wabef.i("abef") * 0.5
+        r2 = r2 + ring.i("abij") - ring.i("baij") - ring.i("abji") + ring.i("baji")
+        r2 = r2 + t.i("ei") * v["vvvo"].i("abej") - t.i("ej") * v["vvvo"].i("abei") - t.i("am") * v["ovoo"].i("mbij") + t.i("bm") * v["ovoo"].i("maij")
+        return _settled(self._over(r1.to("ai"))), _settled(denominators(r2.to("abij"), self.ev, self.eo))
+
+    def solve(self, tolerance: float = 1e-8, rounds: int = 50) -> tuple[float, Tensor, Tensor]:
+        """(energy, singles, doubles) once the energy moves less than the tolerance."""
+        t1, t2 = self.start()
+        e = self.energy(t1, t2)
+        for _ in range(rounds):
+            t1, t2 = self.step(t1, t2)
+            now = self.energy(t1, t2)
+            if abs(now - e) < tolerance:
+                return now, t1, t2
+            e = now
+        raise ArithmeticError(f"not settled within {tolerance} after {rounds} rounds")

@@ -11,6 +11,7 @@ broadcast, how many partitions a shuffle has and how skew is met is left to adap
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from math import prod
@@ -52,6 +53,30 @@ def _name(label: str) -> str:
     return f"{label}_{ord(label)}"
 
 
+#: Longest array that repeats a row.
+REPEATS = 1 << 16
+
+
+def repeated(df: DataFrame, name: str, n: int) -> DataFrame:
+    """Each row once for each of 0 .. n - 1, in a column of this name. Long modes are exploded in two steps, so that no array is long."""
+    if not n:
+        return df.where("false").withColumn(name, F.lit(0).cast("long"))
+    long = lambda x: F.lit(x).cast("long")
+    if n <= REPEATS:
+        return df.withColumn(name, F.explode(F.sequence(long(0), long(n - 1))))
+    block = REPEATS if n <= REPEATS * REPEATS else 1 << (n.bit_length() // 2 + 1)
+    df = df.withColumn(name, F.explode(F.sequence(long(0), long((n - 1) // block))))
+    return df.withColumn(name, F.explode(F.sequence(F.col(name) * block, F.least(F.col(name) * block + block - 1, long(n - 1)))))
+
+
+def partitioning(df: DataFrame) -> tuple[list[int], int] | None:
+    """Modes by whose hash a relation's rows are partitioned, and the number of partitions; None where they aren't."""
+    plan = df._jdf.queryExecution().sparkPlan().outputPartitioning()
+    found = re.fullmatch(r"hashpartitioning\((.*), (\d+)\)", plan.toString()) or re.fullmatch(r"HashPartitioning\(\w+\((.*)\),(\d+)\)", plan.toString())
+    modes = [re.fullmatch(r"i(\d+)#\d+L?", x.strip()) for x in found.group(1).split(", ")] if found else []
+    return ([int(m.group(1)) for m in modes], int(found.group(2))) if modes and all(modes) else None
+
+
 def summed(x: Leaf, keep: set[str], algebra: Algebra, sizes: dict[str, int]) -> Leaf:
     left = tuple(c for c in x.labels if c in keep)
     if left == x.labels:
@@ -137,5 +162,5 @@ def contract(leaves: list[Leaf], out: str, sizes: dict[str, int], algebra: Algeb
     df = result.df
     for c in dict.fromkeys(out):
         if c not in result.labels:
-            df = df.withColumn(_name(c), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[c] - 1).cast("long")))) if sizes[c] else df.where("false").withColumn(_name(c), F.lit(0).cast("long"))
+            df = repeated(df, _name(c), sizes[c])
     return df.select(*(F.col(_name(c)).alias(f"i{k}") for k, c in enumerate(out)), "v")

@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.algebras import BOOLEAN, MAX_TIMES, MIN_PLUS
+from ..functions.algebras import BOOLEAN, MAX_TIMES, MIN_PLUS, MIN_TIMES
 from ..operators import graphs, linalg, multilinear, scans, symmetry, workloads
 from ..operators.notation import function, function2, transform2
 from ..operators.tensor import Tensor, dot, einsum, grid, kron, outer, stack, tensordot
 from ..sources import files
-from ..sources.checkpoint import checkpointed
+from ..sources.checkpoint import checkpointed, shared_folder
+from .registry import CELLS, EMB, GRAPH, NATIONS, ORACLE_SQL, QUERIES, TRADE, doubled, graph, one, query, rows
 from .tables import Tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rows(t: Tensor, names: str, digits: int | None = 4) -> DataFrame:
-    """A tensor's rows under readable names; doubles rounded, so that sums in any order agree."""
-    v = F.col("v")
-    v = F.round(v, digits) + F.lit(0.0) if digits is not None and t.dtype.startswith("float") else v
-    return t.df.select(*(F.col(f"i{k}").alias(n) for k, n in enumerate(names)), v.alias("v"))
-
-
-def one(spark: SparkSession, **values) -> DataFrame:
-    kinds = {float: "double", int: "bigint", bool: "boolean"}
-    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
-
-
-TRADE = """trade AS (SELECT c_nationkey::BIGINT AS n, l_suppkey AS s, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
-NATIONS = """w AS (SELECT c_nationkey::BIGINT AS n, s_nationkey::BIGINT AS m, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
-CELLS = "cells AS (SELECT a.i AS n, b.i AS m, coalesce(v, 0) AS v FROM range(25) a(i) CROSS JOIN range(25) b(i) LEFT JOIN w ON w.n = a.i AND w.m = b.i)"
-EMB = "e AS (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)"
-
-
 # Contractions
 
 
@@ -78,10 +42,10 @@ def matvec(t: Tables):
     return rows(einsum("ops,p->s", t.items(shape=k), t.price(k)), "s", 2)
 
 
-@query(f"WITH {EMB} SELECT a.i AS v1, b.i AS v2, round(sum(a.x * b.x), 4) + 0.0 AS v FROM e a JOIN e b USING (k) WHERE a.i < 50 AND b.i < 50 GROUP BY ALL")
+@query("SELECT a.vec_id AS v1, b.vec_id AS v2, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 3) + 0.0 AS v FROM embeddings a CROSS JOIN embeddings b")
 def matmat(t: Tables):
-    e = t.embedding(50)
-    return rows(einsum("vk,wk->vw", e, e), "vw").toDF("v1", "v2", "v")
+    e = t.embedding()
+    return rows(linalg.product(e, e.T), "vw", 3).toDF("v1", "v2", "v")
 
 
 @query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(sum(a.x * b.x), 4) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
@@ -102,10 +66,9 @@ def outer_product(t: Tables):
     return rows(outer(w, w[:, 0]), "ijk", 2)
 
 
-@query(f"WITH {NATIONS} SELECT a.n * 25 + b.n AS i, a.m * 25 + b.m AS j, round(a.v * b.v, 2) AS v FROM (SELECT * FROM w WHERE n < 2 AND m < 2) a CROSS JOIN w b")
+@query(f"WITH {NATIONS} SELECT a.n_regionkey * 25 + b.n AS i, a.n_nationkey * 25 + b.m AS j, round(b.v, 2) AS v FROM nation a CROSS JOIN w b")
 def kronecker(t: Tables):
-    w = t.nations()
-    return rows(kron(w[:2, :2], w), "ij", 2)
+    return rows(kron(t.nation_region().T, t.nations()), "ij", 2)
 
 
 @query(f"WITH {TRADE} SELECT a.n AS n, b.n AS m, round(sum(a.v * b.v), 2) AS v FROM trade a JOIN trade b USING (s) GROUP BY ALL")
@@ -237,8 +200,8 @@ def complex_sum(t: Tables):
 count(*) FILTER (v <> 0) AS nnz FROM (SELECT l_orderkey * 8 + l_linenumber AS i, l_extendedprice AS v FROM lineitem)""")
 def reductions(t: Tables):
     x = Tensor(t.read("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i0"), F.col("l_extendedprice").alias("v")), (1 << 40,))
-    v = F.col("v")
-    return x.df.agg(F.round(F.sum(v), 2).alias("total"), F.round(F.sum(F.abs(v)), 2).alias("norm1"), F.round(F.sqrt(F.sum(v * v)), 2).alias("norm2"), F.max(v).alias("largest"), F.min(v).alias("smallest"), F.max(F.abs(v)).alias("norm_inf"), F.count(F.when(v != 0, 1)).alias("nnz"))
+    figures = x.figures("sum", "norm1", "norm2", "max", "min", "norm_inf", "nnz")
+    return figures.select(F.round("sum", 2).alias("total"), F.round("norm1", 2).alias("norm1"), F.round("norm2", 2).alias("norm2"), F.col("max").alias("largest"), F.col("min").alias("smallest"), "norm_inf", "nnz")
 
 
 @query("SELECT l_orderkey AS o, round(sum(l_quantity), 4) AS v FROM lineitem GROUP BY ALL")
@@ -269,8 +232,8 @@ def matrix_norms(t: Tables):
 
 @query("SELECT l_extendedprice AS v FROM lineitem ORDER BY abs(l_extendedprice) DESC LIMIT 20")
 def top_k(t: Tables):
-    x = t.read("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i0"), F.col("l_extendedprice").alias("v"))
-    return x.orderBy(F.abs("v").desc()).limit(20).select("v")
+    x = Tensor(t.read("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i0"), F.col("l_extendedprice").alias("v")), (1 << 40,))
+    return t.spark.createDataFrame([(v,) for v in x.largest(20)], "v double")
 
 
 @query(f"WITH {NATIONS} SELECT round(sum(v), 4) AS v FROM w WHERE n = m")
@@ -391,11 +354,7 @@ def coo_text(t: Tables):
     import uuid
 
     n = t.trade()
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        checkpointed(t.spark.range(1))
-        root = t.spark.sparkContext.getCheckpointDir()
-    path = f"{root}/coo-{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/coo-{uuid.uuid4().hex}"
     files.write_text(n, path)
     return rows(files.read_text(t.spark, path, n.shape), "ns", 2)
 
@@ -423,44 +382,68 @@ def boolean_reach(t: Tables):
     return rows(einsum("nm,mk->nk", g, g, algebra=BOOLEAN), "nm", None)
 
 
-GRAPH = "g AS (SELECT n, m, CASE WHEN (n * 7 + m * 3) % 5 = 0 AND n <> m THEN 1.0 + (n * m) % 11 END AS v FROM (SELECT a.i AS n, b.i AS m FROM range(40) a(i) CROSS JOIN range(40) b(i)))"
+@query(f"WITH {NATIONS} SELECT a.n AS n, b.m AS m, round(min(a.v * b.v), 2) AS v FROM w a JOIN w b ON a.m = b.n GROUP BY ALL")
+def min_times(t: Tables):
+    w = t.nations()
+    return rows(einsum("nm,mk->nk", w, w, algebra=MIN_TIMES), "nm", 2)
 
 
-def _graph(t: Tables) -> Tensor:
-    cells = grid(t.spark, (40, 40))
-    n, m = F.col("i0"), F.col("i1")
-    return Tensor(cells.where(((n * 7 + m * 3) % 5 == 0) & (n != m)).withColumn("v", F.lit(1.0) + (n * m) % 11), (40, 40), "float64", MIN_PLUS, rows=312)
+# Graphs
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, e AS (SELECT n, m, v FROM g WHERE v IS NOT NULL), walk(i, v, k) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION SELECT m, min(walk.v + e.v), any_value(k) + 1
-FROM walk JOIN e ON walk.i = e.n WHERE k < 12 GROUP BY m) SELECT i, round(min(v), 4) AS v FROM walk GROUP BY i""")
+@query(f"WITH {GRAPH}, {doubled(7)} SELECT m AS i, v::DOUBLE AS v FROM d7 WHERE n = 0")
 def sssp(t: Tables):
-    return rows(graphs.shortest_paths(_graph(t), 0)[0], "i")
+    return rows(graphs.shortest_paths(graph(t), 0)[0], "i")
 
 
-@query()
+@query(f"WITH {GRAPH}, {doubled(7)} SELECT n, m, v::DOUBLE AS v FROM d7")
 def apsp(t: Tables):
-    return rows(graphs.all_shortest_paths(_graph(t)), "nm")
+    return rows(graphs.all_shortest_paths(graph(t)), "nm")
 
 
-@query()
+@query(f"""WITH {GRAPH}, h0 AS (SELECT n, m, min(v * 1000 + 1) AS v FROM g GROUP BY ALL), {", ".join(f"h{k + 1} AS (SELECT n, m, min(v) AS v FROM (SELECT a.n, b.m, a.v + b.v AS v FROM h{k} a JOIN h{k} b ON a.m = b.n UNION ALL FROM h{k}) GROUP BY ALL)" for k in range(4))}
+SELECT n AS i0, m AS i1, (v::BIGINT // 1000)::DOUBLE AS w, (v::BIGINT % 1000)::INTEGER AS h FROM h4""")
 def apsp_hops(t: Tables):
-    return graphs.path_hops(_graph(t).df, 4)
+    return graphs.path_hops(graph(t).df, 4)
+
+
+PATHS = f"""{GRAPH}, {doubled(7)}, dag AS (SELECT a.n AS s, g.n AS u, g.m AS x FROM d7 a JOIN g ON a.m = g.n JOIN d7 b ON b.n = a.n AND b.m = g.m WHERE a.v + g.v = b.v),
+walk(s, x, c, k) AS (SELECT s_suppkey, s_suppkey, 1::DOUBLE, 0 FROM supplier UNION ALL SELECT walk.s, dag.x, sum(c), any_value(k) + 1 FROM walk JOIN dag ON walk.s = dag.s AND walk.x = dag.u GROUP BY walk.s, dag.x),
+sigma AS (SELECT s, x, sum(c) AS c FROM walk GROUP BY ALL)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {PATHS} SELECT 0::BIGINT AS s, x, c AS v FROM sigma WHERE s = 0")
+def path_multiplicity(t: Tables):
+    counts = graphs.path_counts(graph(t).df, 0, t.length("supplier", "s_suppkey"))
+    return counts.select(F.lit(0).cast("bigint").alias("s"), F.col("i").alias("x"), F.col("m").cast("double").alias("v"))
+
+
+@query(f"""WITH RECURSIVE {PATHS} SELECT b.x AS i, round(sum(b.c * e.c / a.c), 3) AS v FROM sigma a JOIN sigma b ON a.s = b.s JOIN sigma e ON b.x = e.s AND e.x = a.x
+JOIN d7 p ON p.n = a.s AND p.m = a.x JOIN d7 q ON q.n = b.s AND q.m = b.x JOIN d7 r ON r.n = e.s AND r.m = e.x WHERE a.s <> a.x AND b.x <> a.s AND b.x <> a.x AND q.v + r.v = p.v GROUP BY ALL""")
 def betweenness(t: Tables):
-    return rows(graphs.betweenness(_graph(t)), "i")
+    return rows(graphs.betweenness(graph(t)).sparsify(), "i", 3)
+
 
+def _set_holds(t: Tables, distance: int):
+    """Whether no two chosen vertices are within the distance, and every other vertex is within it of one."""
+    a = graph(t)
+    chosen = checkpointed(graphs.independent_set(a, distance).df.select(F.col("i0").alias("i")))
+    edges = graphs._symmetric(a).select(F.col("i0").alias("i"), F.col("i1").alias("j"))
+    near = edges if distance == 1 else edges.unionByName(edges.join(edges.toDF("j", "k"), "j").where("i != k").select("i", F.col("k").alias("j")))
+    near = near.distinct()
+    inside = near.join(chosen, "i").join(chosen.select(F.col("i").alias("j")), "j").limit(1).count()
+    covered = chosen.unionByName(near.join(chosen, "i").select(F.col("j").alias("i"))).distinct().count()
+    return one(t.spark, independent=inside == 0, maximal=covered == t.length("supplier", "s_suppkey"))
 
-@query()
+
+@query("SELECT true AS independent, true AS maximal")
 def maximal_independent_set(t: Tables):
-    return rows(graphs.independent_set(_graph(t)), "i", None)
+    return _set_holds(t, 1)
 
 
-@query()
+@query("SELECT true AS independent, true AS maximal")
 def maximal_independent_set_2(t: Tables):
-    return rows(graphs.independent_set(_graph(t), 2), "i", None)
+    return _set_holds(t, 2)
 
 
 # Symmetry
@@ -468,7 +451,8 @@ def maximal_independent_set_2(t: Tables):
 
 @query(f"WITH {NATIONS} SELECT least(n, m) AS n, greatest(n, m) AS m, round(sum(CASE WHEN n > m THEN -v ELSE v END), 4) + 0.0 AS v FROM w WHERE n <> m GROUP BY ALL")
 def antisymmetrize(t: Tables):
-    return rows(symmetry.symmetrize(t.nations(), "AS"), "nm")
+    half = symmetry.symmetrize(t.nations(), "AS")
+    return rows(half._with(half.stored), "nm")
 
 
 @query(f"""WITH {NATIONS}, p AS (SELECT least(n, m) AS n, greatest(n, m) AS m, sum(v) AS v FROM w GROUP BY ALL)
@@ -506,34 +490,59 @@ def mttkrp(t: Tables):
     return rows(multilinear.mttkrp(t.trade(k).T, [_spread(t, k["s"], n), None], 1), "nr", 3)
 
 
-@query()
+@query(f"""WITH {CUBE}, {FACTORS} SELECT n, r, round(sum(v * a.u[r + 1]), 2) + 0.0 AS v FROM x JOIN f a ON a.i = s % {COUNT} CROSS JOIN range(4) q(r) GROUP BY ALL""")
 def solve_factor(t: Tables):
+    """The normal equations' matrices times what solves them: the right-hand side again."""
     k = t.lengths()
-    n = t.length("embeddings", "vec_id")
-    u = [_spread(t, k["s"], n), None]
+    u = _spread(t, k["s"], t.length("embeddings", "vec_id"))
+    u = u._with(checkpointed(u.df))
     x = t.trade(k).T
-    return rows(multilinear.solve_factor(x.map(lambda v: F.lit(1.0)), u, multilinear.mttkrp(x, u, 1), 1), "nr", 6)
+    x = x._with(checkpointed(x.df))
+    ones = x.map(lambda v: F.lit(1.0))
+    solved = multilinear.solve_factor(ones, [u, None], multilinear.mttkrp(x, [u, None], 1), 1, 1e-9)
+    return rows(einsum("sn,sr,sq,nq->nr", ones, u, u, solved), "nr", 2)
 
 
 # Linear algebra: invariants in SQL
 
 
-@query(f"WITH {EMB} SELECT round(sum(x * x), 3) AS energy FROM e")
-def svd_energy(t: Tables):
-    _, s, _ = linalg.svd(t.embedding())
-    return one(t.spark, energy=round(float((s**2).sum()), 3))
+SAME = f"WITH {EMB} SELECT i AS v, k, round(x, 4) + 0.0 AS x FROM e"
+
+
+@query(SAME)
+def svd_product(t: Tables):
+    u, s, vt = linalg.svd(t.embedding())
+    return rows(linalg.product(u, Tensor.from_numpy(t.spark, s[:, None] * vt.to_numpy())), "vk").toDF("v", "k", "x")
+
+
+@query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(CASE WHEN a.k = b.k THEN 1.0 ELSE 0.0 END, 4) AS v FROM range(64) a(k) CROSS JOIN range(64) b(k)")
+def svd_orthogonal(t: Tables):
+    """The left singular vectors' products with each other."""
+    u, _, _ = linalg.svd(t.embedding())
+    return rows(Tensor.from_numpy(t.spark, linalg.gram(u)), "kl")
 
 
-@query()
+@query("SELECT true AS smallest")
 def svd_rank8(t: Tables):
-    u, s, _ = linalg.svd(t.embedding(), rank=8)
-    return rows(u * Tensor.from_numpy(t.spark, s), "ik", 6)
+    """What eight singular triples leave of the matrix is, in squares, what the other singular values have."""
+    e = t.embedding()
+    e = e._with(checkpointed(e.df))
+    _, every, _ = linalg.svd(e)
+    u, s, vt = linalg.svd(e, rank=8)
+    left = (e - linalg.product(u, Tensor.from_numpy(t.spark, s[:, None] * vt.to_numpy()))).sumsq()
+    return one(t.spark, smallest=bool(abs(left - (every[8:] ** 2).sum()) < 1e-6 * (every**2).sum()))
+
+
+@query(SAME)
+def svd_random_product(t: Tables):
+    u, s, vt = linalg.svd_rand(t.embedding(), 64)
+    return rows(linalg.product(u, Tensor.from_numpy(t.spark, s[:, None] * vt.to_numpy())), "vk").toDF("v", "k", "x")
 
 
 @query(f"WITH {EMB} SELECT i AS v, k, round(x, 4) + 0.0 AS x FROM e")
 def qr_product(t: Tables):
     q, r = linalg.qr(t.embedding())
-    return rows(einsum("vk,kl->vl", q, r), "vk").toDF("v", "k", "x")
+    return rows(linalg.product(q, r), "vk").toDF("v", "k", "x")
 
 
 @query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(sum(a.x * b.x), 4) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
@@ -542,40 +551,97 @@ def cholesky_product(t: Tables):
     return rows(einsum("ik,jk->ij", low, low), "kl")
 
 
-@query(f"WITH {EMB} SELECT round(sum(x * x), 3) AS trace FROM e")
-def eigh_trace(t: Tables):
-    d, _ = linalg.eigh(Tensor.from_numpy(t.spark, linalg.gram(t.embedding())))
-    return one(t.spark, trace=round(float(d.sum()), 3))
+@query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(sum(a.x * b.x), 3) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
+def eigh_product(t: Tables):
+    """Vectors times values times vectors again."""
+    d, u = linalg.eigh(Tensor.from_numpy(t.spark, linalg.gram(t.embedding())))
+    return rows(einsum("ik,k,jk->ij", u, Tensor.from_numpy(t.spark, d), u), "kl", 3)
+
+
+@query(f"WITH {EMB} SELECT k, i AS v, round(x, 4) + 0.0 AS x FROM e")
+def solve_tri_product(t: Tables):
+    """The triangle times what solves for the transposed embeddings."""
+    e = t.embedding().T
+    low = linalg.cholesky(Tensor.from_numpy(t.spark, linalg.gram(t.embedding()) + 10 * np.eye(64)))
+    return rows(einsum("kl,lv->kv", low, linalg.solve_tri(low, e)), "kv").toDF("k", "v", "x")
 
 
 @query(f"WITH {EMB} SELECT i AS v, k, round(x, 4) + 0.0 AS x FROM e")
 def solve_spd_product(t: Tables):
     e = t.embedding()
     g = Tensor.from_numpy(t.spark, linalg.gram(e) + 10 * np.eye(64))
-    return rows(einsum("vk,kl->vl", linalg.solve_spd(g, e), g), "vk").toDF("v", "k", "x")
+    return rows(linalg.product(linalg.solve_spd(g, e), g), "vk").toDF("v", "k", "x")
+
+
+@query(f"WITH {NATIONS}, {CELLS} SELECT n // 5 AS a, n % 5 AS b, m AS c, round(v, 3) + 0.0 AS v FROM cells")
+def hosvd_product(t: Tables):
+    """The core times all factors: the tensor again."""
+    factors, core = multilinear.hosvd(t.nations().reshape(5, 5, 25), (5, 5, 25))
+    return rows(einsum("abc,ia,jb,kc->ijk", core, *(Tensor.from_numpy(t.spark, u) for u in factors)), "abc", 3)
 
 
-@query()
-def hosvd_core(t: Tables):
-    return rows(multilinear.hosvd(t.nations().reshape(5, 5, 25), (3, 3, 5))[1], "abc", 4)
+@query(f"WITH {NATIONS}, {CELLS} SELECT n // 5 AS a, n % 5 AS b, m AS c, round(v, 3) + 0.0 AS v FROM cells")
+def tensor_svd_product(t: Tables):
+    u, s, v = t.nations().reshape(5, 5, 25).i("ijk").svd("ija", "ak")
+    return rows(einsum("ija,a,ak->ijk", u, Tensor.from_numpy(t.spark, s), v), "abc", 3)
+
+
+@query(f"WITH {NATIONS}, {CELLS} SELECT n // 5 AS a, n % 5 AS b, m AS c, round(v, 3) + 0.0 AS v FROM cells")
+def svd_batch_product(t: Tables):
+    u, s, v = linalg.svd_batch(t.nations().reshape(5, 5, 25))
+    return rows(einsum("bik,bk,bkj->bij", u, s, v), "abc", 3)
+
+
+@query(f"WITH {NATIONS} SELECT n, r, round(sum(v * (1 + (m * r) % 7)), 2) AS v FROM w CROSS JOIN range(4) q(r) GROUP BY ALL")
+def ttm(t: Tables):
+    m = np.array([[1.0 + (k * r) % 7 for r in range(4)] for k in range(25)])
+    return rows(multilinear.ttm(t.nations(), m, 1), "nr", 2)
 
 
 # Workloads
 
 
-@query(f"""WITH {TRADE}, b AS (SELECT i, 1.0 + i % 3 AS v FROM range(25) r(i)) SELECT i, round(v / 4, 6) AS v FROM b""")
+@query("SELECT i, round(1.0 + i % 3, 4) AS v FROM range(25) r(i)")
 def jacobi(t: Tables):
-    a = Tensor.eye(t.spark, 25, sparse=True) * 4.0
+    """The matrix, each nation's trade over its total plus 2 on the diagonal, times what solves for a right-hand side."""
+    w = t.nations()
+    share = w / w.sum(axis=1).reshape(25, 1)
+    a = share + Tensor.eye(t.spark, 25, sparse=True) * 2.0
+    a = a._with(checkpointed(a.df))
     b = Tensor(t.spark.range(25).select(F.col("id").alias("i0"), (F.lit(1.0) + F.col("id") % 3).alias("v")), (25,))
-    return rows(workloads.jacobi(a, b), "i", 6)
+    return rows(einsum("ij,j->i", a, workloads.jacobi(a, b, 1e-7)), "i")
+
 
+def _padded(t: Tables) -> Tensor:
+    """Prices of all parts, zeros up to the next power of two."""
+    n = t.length("part", "p_partkey")
+    return t.price({"p": 1 << max(0, n - 1).bit_length()})
 
-@query("""WITH x AS (SELECT p_partkey AS i, p_retailprice AS v FROM part WHERE p_partkey < 64)
-SELECT k, round(sum(v * cos(-2 * pi() * ((i * k) % 64) / 64)), 4) + 0.0 AS re, round(sum(v * sin(-2 * pi() * ((i * k) % 64) / 64)), 4) + 0.0 AS im FROM x CROSS JOIN range(64) r(k) GROUP BY k""")
+
+SPECTRUM = """WITH n AS (SELECT 2 ** ceil(log2(max(p_partkey) + 1))::BIGINT AS n FROM part), x AS (SELECT p_partkey AS i, p_retailprice AS v FROM part)
+SELECT k, round(sum(v * cos(-2 * pi() * ((i * k) % n) / n)), 3) + 0.0 AS re, round(sum(v * sin(-2 * pi() * ((i * k) % n) / n)), 3) + 0.0 AS im FROM x, n, LATERAL (SELECT unnest(range(n::BIGINT)) AS k) GROUP BY k"""
+
+
+def _spectrum(x: Tensor):
+    return x.df.select(F.col("i0").alias("k"), (F.round("v.re", 3) + F.lit(0.0)).alias("re"), (F.round("v.im", 3) + F.lit(0.0)).alias("im"))
+
+
+@query(SPECTRUM)
 def fft(t: Tables):
-    x = t.price({"p": 64})
-    x = x._with(x.df.where("i0 < 64"))
-    return workloads.fft(x).df.select(F.col("i0").alias("k"), (F.round("v.re", 4) + F.lit(0.0)).alias("re"), (F.round("v.im", 4) + F.lit(0.0)).alias("im"))
+    return _spectrum(workloads.fft(_padded(t)))
+
+
+@query(SPECTRUM)
+def fft_split(t: Tables):
+    x = _padded(t)
+    return _spectrum(workloads.fft_split(x, 1 << (x.shape[0].bit_length() // 2)))
+
+
+@query(f"""WITH {NATIONS}, x AS (SELECT n // 5 AS a, n % 5 AS b, m AS c, v FROM w), p AS (SELECT i, j, k, v, 2 * pi() * (a * i / 5.0 + b * j / 5.0 + c * k / 25.0) AS p FROM x CROSS JOIN range(5) i(i) CROSS JOIN range(5) j(j) CROSS JOIN range(25) k(k))
+SELECT i, j, k, round(sum(v * cos(p)), 2) + 0.0 AS re, round(-sum(v * sin(p)), 2) + 0.0 AS im FROM p GROUP BY ALL""")
+def dft_3d(t: Tables):
+    z = workloads.dft(t.nations().reshape(5, 5, 25))
+    return z.df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), F.col("i2").alias("k"), (F.round("v.re", 2) + F.lit(0.0)).alias("re"), (F.round("v.im", 2) + F.lit(0.0)).alias("im"))
 
 
 @query(f"""WITH {NATIONS} SELECT (n + a) % 25 AS n, (m + b) % 25 AS m, round(sum(v * (1 + a * 2 + b)), 4) AS v FROM w CROSS JOIN range(2) p(a) CROSS JOIN range(2) q(b) GROUP BY ALL""")
@@ -592,28 +658,29 @@ def particle_forces(t: Tables):
     return rows(workloads.interactions(x, lambda a, b: (a - b) / (1 + F.abs(a - b)), neighbours=near), "i", 6)
 
 
-@query(f"WITH {NATIONS}, {CELLS} SELECT a.m AS a, b.m AS b, round(sum(a.v * c.v * b.v), 0) AS v FROM cells a JOIN cells c ON a.n = c.n JOIN cells b ON c.m = b.n WHERE a.m < 3 AND b.m < 3 GROUP BY ALL")
+@query(f"WITH {NATIONS} SELECT a.n_regionkey::BIGINT AS a, b.n_regionkey::BIGINT AS b, round(sum(v), 2) AS v FROM w JOIN nation a ON w.n = a.n_nationkey JOIN nation b ON w.m = b.n_nationkey GROUP BY ALL")
 def galerkin(t: Tables):
-    w = t.nations()
-    w = w._with(checkpointed(w.df))
-    return rows(workloads.galerkin(w, w[:, :3]), "ab", 0)
+    return rows(workloads.galerkin(t.nations(), t.nation_region()), "ab", 2)
 
 
-@query()
+@query("SELECT i, round((i + 1) * (15 - i) / 2.0, 3) AS v FROM range(15) r(i)")
 def multigrid(t: Tables):
+    """Cycles on a Poisson problem whose solution is known."""
     a = workloads.poisson(t.spark, 15)
     p = np.zeros((15, 7))
     for j in range(7):
         p[2 * j : 2 * j + 3, j] = [0.5, 1, 0.5]
     pt = Tensor.from_numpy(t.spark, p, sparse=True)
     b = Tensor.ones(t.spark, (15,))
-    return rows(workloads.v_cycle([a, workloads.galerkin(a, pt)], [pt], b, b * 0.0), "i", 6)
+    levels, x = [a._with(checkpointed(a.df)), workloads.galerkin(a, pt)], b * 0.0
+    for _ in range(6):
+        x = workloads.v_cycle(levels, [pt], b, x)
+    return rows(x, "i", 3)
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY v) - 1 AS i, v FROM (SELECT p_retailprice AS v FROM part UNION ALL SELECT 0 FROM (SELECT unnest(range((2 ** ceil(log2(max(p_partkey) + 1)) - count(*))::BIGINT)) FROM part))")
 def bitonic(t: Tables):
-    x = t.price({"p": 64})
-    return rows(workloads.bitonic_sort(x._with(x.df.where("i0 < 64"))), "i", None)
+    return rows(workloads.bitonic_sort(_padded(t)), "i", None)
 
 
 @query("SELECT coalesce(l_suppkey, -1) AS s, coalesce(n_regionkey, -1)::BIGINT AS r, round(sum(l_quantity), 4) AS v, grouping(l_suppkey)::BIGINT AS gs, grouping(n_regionkey)::BIGINT AS gr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (l_suppkey, n_regionkey)")
@@ -632,14 +699,13 @@ def streamed_sums(t: Tables):
 
     from ..streaming.upserts import StreamedTensor
 
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        checkpointed(t.spark.range(1))
-        root = t.spark.sparkContext.getCheckpointDir()
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     source = t.read("events")
     stream = t.spark.readStream.schema(source.schema).parquet(f"{t.dir}/events.parquet*" if not t.dir.startswith("viewfs") else f"{t.dir}/events.parquet")
     points = stream.where("value is not null").select(F.col("user_id").alias("i0"), F.col("value").alias("v"))
     target = StreamedTensor(t.spark, f"{path}/data", 1)
     target.start(points, f"{path}/checkpoint").awaitTermination()
     return target.read().select(F.col("i0").alias("u"), F.round("v", 4).alias("v"))
+
+
+from . import handles, kernels  # noqa: E402, F401

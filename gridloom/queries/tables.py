@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tensor import Tensor
 
-SQL_SIZES = {"customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "part": "p_partkey", "events": "user_id"}
+_LARGEST: dict[tuple[str, str], dict[tuple[str, str], int]] = {}
 
 
 class Tables:
@@ -18,11 +20,21 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def length(self, table: str, key: str) -> int:
-        """One more than the largest key, from the file's statistics or one pass."""
-        return (self.read(table).agg(F.max(key)).first()[0] or 0) + 1
+        """One more than the largest key."""
+        return self._largest([(table, key)])[0] + 1
+
+    def _largest(self, columns: list[tuple[str, str]]) -> list[int]:
+        """The largest value of each column, all in one job. Remembered for a folder while the application runs."""
+        known = _LARGEST.setdefault((self.spark.sparkContext.applicationId, self.dir), {})
+        if missing := [c for c in columns if c not in known]:
+            parts = [self.read(t).agg(F.max(k).cast("long").alias("most")).select(F.lit(n).alias("n"), "most") for n, (t, k) in enumerate(missing)]
+            for r in reduce(DataFrame.unionByName, parts).collect():
+                known[missing[r["n"]]] = r["most"] or 0
+        return [known[c] for c in columns]
 
     def lengths(self) -> dict[str, int]:
-        return {"o": self.length("orders", "o_orderkey"), "p": self.length("part", "p_partkey"), "s": self.length("supplier", "s_suppkey"), "c": self.length("customer", "c_custkey"), "n": 25, "r": 5}
+        o, p, s, c = self._largest([("orders", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey")])
+        return {"o": o + 1, "p": p + 1, "s": s + 1, "c": c + 1, "n": 25, "r": 5}
 
     def items(self, value: str = "l_quantity", shape=None, unique: bool = False) -> Tensor:
         """L(o, p, s): quantity. Places may repeat: rows are left as they are for queries that sum over a mode, which sums repeats too, and summed first where unique is set."""
@@ -55,11 +67,13 @@ class Tables:
         return einsum("ops,oc,cn->ns", self.items(shape=k), self.order_customer(k), self.customer_nation(k))
 
     def nations(self) -> Tensor:
-        """W(n, m): quantity by customer nation and supplier nation."""
+        """W(n, m): quantity by customer nation and supplier nation. Written once, as its 625 places are read by most queries several times."""
         from ..operators.tensor import einsum
+        from ..sources.checkpoint import checkpointed
 
         k = self.lengths()
-        return einsum("ops,oc,cn,sm->nm", self.items(shape=k), self.order_customer(k), self.customer_nation(k), self.supplier_nation(k))
+        w = einsum("ops,oc,cn,sm->nm", self.items(shape=k), self.order_customer(k), self.customer_nation(k), self.supplier_nation(k))
+        return w._with(checkpointed(w.df))
 
     def embedding(self, most: int | None = None) -> Tensor:
         rows = self.read("embeddings")

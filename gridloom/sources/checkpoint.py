@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir; a temporary folder where none is set (tests, a single machine)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary folder on a single machine, and an error on a cluster, whose executors wouldn't see it."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     if not context.getCheckpointDir():
-        root = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
         context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -34,6 +34,12 @@ def test_svd_and_qr(t):
     near(q.to_numpy() @ r.to_numpy(), A)
     near(q.to_numpy().T @ q.to_numpy(), np.eye(4))
     near(linalg.gram(t(A)), A.T @ A)
+    low = RNG.standard_normal((9, 2)) @ RNG.standard_normal((2, 4))
+    for m in (low, np.zeros((5, 3)), A.T, low.T, A + 1j * A[::-1], (low * 1j)[:6], np.eye(4)[:, ::-1]):
+        q, r = (x.to_numpy() for x in linalg.qr(t(m)))
+        near(q @ r, m)
+        near(q.conj().T @ q, np.eye(q.shape[1]))
+        near(np.tril(r, -1), 0 * r)
     u, s, vt = linalg.svd(t(A.T), rank=2)
     near(s, np.linalg.svd(A)[1][:2])
     _, s, _ = linalg.svd_rand(t(A), 2, 6)
@@ -48,6 +54,8 @@ def test_factorisations(t):
     near(linalg.solve_spd(t(S), t(A)).to_numpy() @ S, A)
     d, v = linalg.eigh(t(S))
     near(S @ v.to_numpy(), v.to_numpy() * d)
+    z = np.linalg.cholesky(S) * (1 + 0.5j)
+    near(linalg.solve_tri(t(z), t(A.T)), np.linalg.solve(z, A.T))
     u, s, v = linalg.svd_batch(t(T3))
     near(np.einsum("bik,bk,bkj->bij", u.to_numpy(), s.to_numpy(), v.to_numpy()), T3)
 
@@ -76,8 +84,15 @@ def test_symmetry(t):
     for kind, whole in (("SY", m + m.T - np.diag(np.diag(m))), ("AS", m - m.T), ("SH", m + m.T - 2 * np.diag(np.diag(m)))):
         packed = symmetry.symmetrize(t(m), kind)
         near(symmetry.desymmetrize(packed), whole)
-        assert packed.df.count() == symmetry.packed_size(4, kind)
-    near(symmetry.aligned(t([[0.0, 1], [5, 0]]), "AS"), [[0, -4], [0, 0]])
+        assert packed.stored.count() == symmetry.packed_size(4, kind)
+        # A packed tensor is what it stands for wherever it goes.
+        near(einsum("ij,j->i", packed, t(np.ones(4))), whole.sum(1))
+        near([packed.norm2(), float(packed.sum())], [np.linalg.norm(whole), whole.sum()])
+        near(packed * 2.0 + packed.T, 2 * whole + whole.T)
+        near(symmetry.recast(packed, "SH"), whole - np.diag(np.diag(whole)) if kind != "AS" else np.triu(whole, 1) - np.triu(whole, 1).T * -1)
+    near(symmetry.aligned(t([[0.0, 1], [5, 0]]), "AS"), [[0, -4], [4, 0]])
+    s = m + m.T
+    near(symmetry.product(t(s), t(s)), 2 * s @ s)
     near(symmetry.scale_diagonal(t(m), 0), m - np.diag(np.diag(m)))
 
 
@@ -110,6 +125,14 @@ def test_workloads(spark, t):
     near(workloads.dft(t(x)), np.fft.fftn(x))
     near(workloads.fft(t(b)), np.fft.fft(b))
     near(workloads.bitonic_sort(t(b)), np.sort(b))
+    c = RNG.random(64)
+    near(workloads.bitonic_sort(t(c), block=8), np.sort(c))
+    near(workloads.fft_split(t(c), 16), np.fft.fft(c))
+    y, z = RNG.random((8, 8)), RNG.random((8, 8))
+    near(workloads.strassen(t(y), t(z), 4), y @ z)
+    near(workloads.recursive_product(t(y[:, :6]), t(z[:6]), 4), y[:, :6] @ z[:6])
+    with pytest.raises(ArithmeticError):
+        workloads.jacobi(t([[1.0, 2.0], [2.0, 1.0]]), t([1.0, 1.0]), rounds=3)
     k = np.array([1.0, 2.0])
     near(workloads.convolve(t(b), t(k)), [b[i] + 2 * b[i - 1] for i in range(4)])
     h = np.array([[1, 1], [1, -1]]) / np.sqrt(2)
@@ -131,8 +154,12 @@ def test_files(spark, t, tmp_path):
     near(files.read_text(spark, f"{tmp_path}/coo", T3.shape), T3)
     files.write_parquet(x, f"{tmp_path}/pq")
     near(files.read_parquet(spark, f"{tmp_path}/pq", T3.shape), T3)
-    files.write_binary(x, f"{tmp_path}/packed")
-    near(files.read_packed(spark, f"{tmp_path}/packed", T3.shape), T3)
+    files.write_binary(x, f"file://{tmp_path}/dense", block=7)
+    near(files.read_binary(spark, f"file://{tmp_path}/dense", T3.shape), T3)
+    near(np.frombuffer(b"".join(f.read_bytes() for f in sorted((tmp_path / "dense").glob("*.bin")))), T3.ravel())
+    z = T3 + 1j
+    files.write_binary(t(z), f"file://{tmp_path}/complex")
+    near(files.read_binary(spark, f"file://{tmp_path}/complex", z.shape, "complex128"), z)
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "0").write_bytes(T3.ravel()[:25].tobytes())
     (tmp_path / "raw" / "1").write_bytes(T3.ravel()[25:].tobytes())

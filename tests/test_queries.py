@@ -9,7 +9,7 @@ from gridloom.queries import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SOME = ["contract_3way", "contract_region", "hadamard", "einsum_broadcast", "sum_expression", "ufuncs", "row_extremes", "running_revenue", "slice_stride", "assign_region", "take", "point_write", "min_plus", "desymmetrize", "tttp", "convolution", "complex_sum", "label_cube"]
+SOME = ["contract_3way", "contract_region", "hadamard", "einsum_broadcast", "sum_expression", "ufuncs", "row_extremes", "running_revenue", "slice_stride", "assign_region", "take", "point_write", "min_plus", "desymmetrize", "tttp", "convolution", "complex_sum", "label_cube", "reductions", "top_k", "sssp", "betweenness", "qr_product", "fft", "mp3_energy", "product_storages", "dense_binary", "packed_matvec", "constructors"]
 
 
 @pytest.fixture(scope="module")
