@@ -32,6 +32,7 @@ from struct import Struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ MARK = "▁"
 LONGEST = 64
 #: Frequent words at most, and frequent segments of others.
 MOST = 450_000
-#: Distinct words that a task counts before it hands its counts on.
-COUNTED = 300_000
+#: Bytes of texts whose words are handled together.
+TOGETHER = 1 << 22
 #: Bits of a packed edge: rank of its piece, length, and start or end.
 _RANK, _LENGTH = 20, 7
 #: The rank of a character without a piece.
@@ -116,6 +117,46 @@ class Cutter:
         return out
 
 
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(offsets, words) of texts that aren't null: the words of text k are those from offsets[k] to offsets[k + 1]. Texts of single spaces and lines are split as columns, others one by one; an empty line leaves the word NUL, which has no ids."""
+        odd = pc.match_substring_regex(texts, f"^$|^ |  |[\\x00\\t\\r{MARK}]" if "\n" in self.alone else "").to_numpy(zero_copy_only=False)
+        plain, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \0\n \0"), " ")
+        lists = [self(t) if t else [] for t in texts.take(pa.array(other)).to_pylist()]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain] = np.diff(split.offsets.to_numpy())
+        sizes[other] = [len(x) for x in lists]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        words = split.flatten()
+        if len(other):
+            # Both parts in order of texts.
+            both = pa.concat_arrays([words, pa.array([w for x in lists for w in x], pa.string())])
+            begin = np.empty(len(texts), np.int64)
+            begin[plain] = split.offsets.to_numpy()[:-1]
+            begin[other] = len(words) + np.cumsum(sizes[other]) - sizes[other]
+            words = both.take(pa.array(spread(begin, sizes)))
+        return offsets, words
+
+
+def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. of sizes[0] numbers, then those of the next, and so on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string or binary column that have at most so many bytes together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for k, n in enumerate(sizes.tolist()):
+        if total + n > most and k > start:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def spaced(word: str) -> str:
     """A word of a Cutter as it is in the text."""
     return word[1:] if word[:1] == "\0" else " " + word
@@ -284,21 +325,14 @@ def counted(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
     """(word, n) of all words of a corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Cutter(pieces), Counter()
-
-        def handed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
+        words = Cutter(pieces)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    counts.update(words(t))
-                    if len(counts) > COUNTED:
-                        yield handed()
-                        counts.clear()
-        yield handed()
+            texts = batch.column(0).drop_null()
+            for a, b in parts(texts, 4 * TOGETHER):
+                found = pc.value_counts(words.many(texts.slice(a, b - a))[1])
+                yield pa.RecordBatch.from_arrays(found.flatten(), ["word", "n"])
 
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "word string, n long").where(F.col("word") != "\0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -349,6 +383,22 @@ def byte_table(pieces: Pieces) -> dict[int, bytes]:
     return {pieces.unknown: b""} | {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes_) if pieces.spells}
 
 
+def many_decoder(pieces: Pieces):
+    """A function from the ids of several texts, one after the other, and their numbers to the bytes that each stands for."""
+    own = byte_table(pieces)
+    row = [own.get(i, b"") for i in range(max(own) + 1)]
+    sizes = np.array([len(x) for x in row], np.int64)
+    begin, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(row), np.uint8)
+
+    def decode(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        read = sizes[ids]
+        flat = every[spread(begin[ids], read)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(read)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    return decode
+
+
 def decoder(pieces: Pieces):
     """A function from ids to text."""
     table = byte_table(pieces)
@@ -378,9 +428,15 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
         codec = pa.Codec("zstd", compression_level=1)
         mark = Struct("<HHH" if code == "H" else "<III").pack
 
-        def codes_of(word: str, rare: dict[str, int]) -> bytes:
+        def codes_of(word: str) -> bytes | list[str]:
+            """A word's codes, or its segments if one isn't known."""
+            own = cut(spaced(word)) if word != "\0" else []
+            found = [part(w) for w in own]
+            return own if None in found else b"".join(found)
+
+        def with_holes(own: list[str], rare: dict[str, int]) -> bytes:
             out = []
-            for w in cut(spaced(word)):
+            for w in own:
                 y = part(w)
                 if y is None:
                     j = rare.setdefault(w, len(rare))
@@ -388,22 +444,37 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                 out.append(y)
             return b"".join(out)
 
-        for batch in batches:
+        def together(names: list[str | None], texts: pa.Array) -> pa.RecordBatch:
+            offsets, own = words.many(texts)
+            encoded = own.dictionary_encode()
+            at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            made = [get(w) or codes_of(w) for w in encoded.dictionary.to_pylist()]
+            # Each place of a word with unknown segments gets codes of its own, as its document numbers them.
+            is_open = np.array([type(x) is list for x in made], bool)
+            places = np.flatnonzero(is_open[at]) if len(at) else at
+            docs_ = np.searchsorted(offsets, places, "right") - 1
+            rare: list[dict[str, int]] = [{} for _ in names]
+            holes = [with_holes(made[at[k]], rare[d]) for k, d in zip(places.tolist(), docs_.tolist())]
+            at[places] = len(made) + np.arange(len(places))
+            made = [b"" if type(x) is list else x for x in made] + holes
+            sizes = np.array([len(x) for x in made], np.int64) // np.dtype(code).itemsize
+            table_ = np.frombuffer(b"".join(made), code)
+            codes = table_[spread((np.cumsum(sizes) - sizes)[at], sizes[at])] if len(at) else table_[:0]
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])[offsets].tolist()
             keys, others, bodies = [], [], []
-            for d, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, t, new, a, b in zip(names, texts.to_pylist(), rare, ends, ends[1:]):
                 name = b"" if d is None else b"+" + d.encode()
-                raw = (t or "").replace(MARK, " ").encode("utf-8", "replace")
-                own = words(t) if t else []
-                codes = list(map(get, own))
-                rare: dict[str, int] = {}
-                for k in [k for k, x in enumerate(codes) if x is None]:
-                    codes[k] = codes_of(own[k], rare)
-                body = b"".join(codes)
-                h = xxhash.xxh3_64_intdigest(raw)
+                h = xxhash.xxh3_64_intdigest(t.replace(MARK, " ").encode("utf-8", "replace"))
+                body = codes[a:b].tobytes()
                 keys.append(xxhash.xxh3_64_intdigest(name, seed=h) - (1 << 63))
                 others.append(h >> 33 << 32)
-                bodies.append([name, h.to_bytes(8, "big") + len(body).to_bytes(8, "big") + (codec.compress(body, asbytes=True) if body else b""), *(w.encode("utf-8", "replace") for w in rare)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(bodies, pa.list_(pa.binary()))], ["key", "other", "body"])
+                bodies.append([name, h.to_bytes(8, "big") + len(body).to_bytes(8, "big") + (codec.compress(body, asbytes=True) if body else b""), *(w.encode("utf-8", "replace") for w in new)])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(bodies, pa.list_(pa.binary()))], ["key", "other", "body"])
+
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            for a, b in parts(texts, TOGETHER):
+                yield together(names[a:b], texts.slice(a, b - a))
 
     # One shuffle, which both uses below read: they take the same columns of it, and no filter is pushed below it, not even that keys aren't null.
     n = 4 * common.partitions(spark)
@@ -418,33 +489,43 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
     joined = placed.join(lists.withColumnRenamed("key", "of").hint("merge"), F.col("key") == F.col("of"), "left").select("other", "body", "list")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell, codec, table = Speller(pieces), pa.Codec("zstd"), byte_table(pieces)
+        spell, codec, decode = Speller(pieces), pa.Codec("zstd"), many_decoder(pieces)
         for batch in batches:
-            names, lengths, out, same = [], [0], [], []
             lists = batch.column(2)
+            names, out, hashes = [], [], []
+
+            def finished() -> pa.RecordBatch:
+                lengths = np.array([0, *(len(x) for x in out)], np.int64) // np.dtype(code).itemsize
+                ids = np.frombuffer(b"".join(out), code)
+                # Decoded, but for the first space, it must be the text again.
+                same = [xxhash.xxh3_64_digest(t[1:]) == h for t, h in zip(decode(ids, lengths[1:]), hashes)]
+                offsets = pa.array(np.cumsum(lengths).astype(np.int32))
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())], ["doc", "ids", "round_trip"])
+
+            total = 0
             for k, (other, (name, body, *rare)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 size = int.from_bytes(body[8:16], "big")
                 raw = codec.decompress(body[16:], size, asbytes=True) if size else b""
-                codes = np.frombuffer(raw, code)
                 if rare:
+                    codes = np.frombuffer(raw, code)
                     paths = {}
                     if lists[k].is_valid:
                         at, path = lists[k].values.flatten()
                         paths = dict(zip(at.to_pylist(), path.to_pylist()))
                     found = [array(code, spell(w.decode(), paths.get(other + j))).tobytes() for j, w in enumerate(rare)]
-                    parts, last, width = [], 0, codes.itemsize
+                    parts_, last, width = [], 0, codes.itemsize
                     for p in np.flatnonzero(codes == hole).tolist():
-                        parts += [raw[last * width : p * width], found[int(codes[p + 1]) | int(codes[p + 2]) << 15]]
+                        parts_ += [raw[last * width : p * width], found[int(codes[p + 1]) | int(codes[p + 2]) << 15]]
                         last = p + 3
-                    raw = b"".join([*parts, raw[last * width :]])
-                    codes = np.frombuffer(raw, code)
+                    raw = b"".join([*parts_, raw[last * width :]])
                 names.append(name[1:].decode() if name else None)
-                lengths.append(lengths[-1] + len(codes))
                 out.append(raw)
-                # Decoded, but for the first space, it must be the text again.
-                same.append(xxhash.xxh3_64_digest(b"".join(map(table.__getitem__, codes.tolist()))[1:]) == body[:8])
-            ids = pa.array(np.frombuffer(b"".join(out), code).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), ids), pa.array(same, pa.bool_())], ["doc", "ids", "round_trip"])
+                hashes.append(body[:8])
+                total += len(raw)
+                if total > TOGETHER // 4:
+                    yield finished()
+                    names, out, hashes, total = [], [], [], 0
+            yield finished()
 
     out = joined.mapInArrow(put, "doc string, ids array<int>, round_trip boolean")
     return out.select(F.col("doc").cast(kind).alias("doc"), "ids", "round_trip")

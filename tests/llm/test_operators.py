@@ -41,6 +41,9 @@ def test_empty_tables(spark, docs):
     assert edits.edited_pairs(none).count() == 0
     assert suffixes.deduplicated(none).count() == 0
     assert sentences.encode(none).count() == 0
+    nobody = none.sparkSession.createDataFrame([], "doc_id long, toxic int")
+    model, by_language = toxicity.learn(none, nobody, F.lit(True))
+    assert toxicity.score(none, model).count() == 0 and by_language == {}
 
 
 def test_packing(spark, docs):
@@ -126,6 +129,23 @@ def test_line_runs_drop_what_came_before(spark):
     assert [r["kept"] for r in runs.admit(batch("a\nb", "b\nc")).orderBy("doc").collect()] == ["a\nb", "b\nc"]
     assert [r["kept"] for r in runs.admit(batch("a\nd")).collect()] == ["d"]
     assert [r["kept"] for r in runs.admit(batch("D \ne")).collect()] == ["e"]
+    # No two runs share a key, and all keys are there once.
+    keys = [(r["h1"], r["h2"]) for run in runs.runs() for r in run.collect()]
+    assert len(keys) == len(set(keys)) == 5
+    runs.close()
+
+
+def test_line_runs_join_without_shuffle_or_sort(spark):
+    runs = lines.LineRuns(spark, fanout=3)
+    own = lambda *t: runs.batch(lines.line_hashes(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), "text", "doc_id", 1))
+    runs.add(own("a\nb", "b\nc"))
+    runs.add(own("c\nd"))
+    with lines._sorted_buckets(spark):
+        fresh, known = runs.split(own("d\ne\na"))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "+- Sort " not in plan and "*Sort" not in plan
+    assert (fresh.count(), known.count()) == (1, 2)
+    runs.close()
 
 
 @pytest.mark.parametrize("most", [300_000, 4, 0])
@@ -134,7 +154,7 @@ def test_sentencepiece(spark, docs, most):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    extra = spark.createDataFrame([(100, "日本語 ☃ a  b   c\tq\r\n  x\n"), (101, "x" * 90 + "antidisestablishmentarianism" * 4), (102, "a▁b ▁ c"), (102, "a▁b ▁ c"), (103, "nul \0a \0\0 b\0"), (104, "🙂🙂x 🙂")], "doc_id long, text string")
+    extra = spark.createDataFrame([(100, "日本語 ☃ a  b   c\tq\r\n  x\n"), (101, "x" * 90 + "antidisestablishmentarianism" * 4), (102, "a▁b ▁ c"), (102, "a▁b ▁ c"), (103, "nul \0a \0\0 b\0"), (104, "🙂🙂x 🙂"), (105, " lead"), (106, "trail "), (107, "\n\n"), (108, "a \n b\n\n c"), (109, "\ta")], "doc_id long, text string")
     rows = [*docs.select("doc_id", "text").collect(), *extra.collect()]
     texts = {}
     for r in rows:
@@ -146,6 +166,22 @@ def test_sentencepiece(spark, docs, most):
         assert r["round_trip"] and any(sp.encode(t) == r["ids"] and decode(r["ids"]) == t.replace("▁", " ") for t in texts[r["doc"]])
 
 
+def test_words_of_many_texts_are_those_of_each():
+    import pyarrow as pa
+
+    pieces = sentences.load("piece_bpe_32k.model")
+    words = sentences.Cutter(pieces)
+    texts = [t or "" for t in TEXTS] + ["a \n b\n\n c", " lead", "trail ", "\n", "x\ty", "a  b", "▁", "\0", "a\n"]
+    offsets, found = words.many(pa.array(texts))
+    found = found.to_pylist()
+    for k, t in enumerate(texts):
+        assert [w for w in found[offsets[k] : offsets[k + 1]] if w != "\0"] == (words(t) if t else [])
+    ids = [[1, 2, 3], [], [450]]
+    table = sentences.byte_table(pieces)
+    got = sentences.many_decoder(pieces)(np.array([i for x in ids for i in x if i in table]), np.array([sum(i in table for i in x) for x in ids]))
+    assert got == [b"".join(table[i] for i in x if i in table) for x in ids]
+
+
 def test_viterbi(spark):
     pieces = sentences.Pieces([("▁", 0, -2.0), ("a", 1, -2.0), ("b", 2, -2.0), ("ab", 3, -1.5), ("▁a", 4, -1.0), ("ba", 5, -0.25)], [9] * 256, 9, "", True)
     words = spark.createDataFrame([(" aba",), (" ab",), (" ac",)], "word string")
@@ -245,7 +281,7 @@ def test_quality_bounds(spark):
 
 
 def test_edits(spark, docs):
-    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), secrets.rank(x[1]), x[1]))
     got = {}
     for r in edits.edited_pairs(docs).collect():
         got.setdefault((r["doc"], r["n_chars"]), []).append(r)
@@ -281,6 +317,7 @@ def test_toxicity_learns_and_reads_whole_texts(spark):
     model, by_language = toxicity.learn(df, lab, F.lit(True), sample=200)
     got = {x["doc"]: x["score"] for x in toxicity.score(df, model).collect()}
     assert len(got) == 242 and all(0 <= s <= 1 for s in got.values())
+    assert all(0 < t < 1 for t in by_language.values()) and set(by_language) <= {"en"}
     right = sum((got[i] >= 0.3) == (i % 4 == 0) for i in range(240))
     assert right >= 225 and got[900] == got[901] < 0.3
     constant, _ = toxicity.learn(df, lab.where("false"), F.lit(True))
@@ -370,11 +407,259 @@ def test_edit_bands_hold_all_members_against_each_other(spark, monkeypatch, bloc
     r = random.Random(8)
     one = [r.randrange(1, 5) for _ in range(edits.SAMPLES)]
     # Shorter texts that share one band with near copies, and nothing else.
-    rows = [(200 + k, one[:4] + [9 + k] * 60) for k in range(5)] + [(400, one), (410, one[:-1] + [7]), (420, one[:-2] + [7, 8])]
+    w = edits.WIDTH
+    rows = [(200 + k, one[:w] + [9 + k] * (edits.SAMPLES - w)) for k in range(5)] + [(400, one), (410, one[:-1] + [7]), (420, one[:-2] + [7, 8])]
     prints = [n.to_bytes(8, "big") + bytes(x) for n, x in rows]
     want = {frozenset((a.hex(), b.hex())) for a in prints for b in prints if a < b and edits.likeness(a, b) >= 0.8}
     got = [frozenset(tuple(x)[:2]) for x in edits.similar(spark.createDataFrame([(p.hex(),) for p in prints], "fingerprint string")).collect()]
     assert set(got) == want and len(got) == len(want) == 3
+    counts = {x["fingerprint"]: x["n_links"] for x in edits.links(spark.createDataFrame([(p.hex(),) for p in prints * 2], "fingerprint string")).collect()}
+    assert counts == {p.hex(): 2 for p in prints[-3:]}
+
+
+def naive_print(text: str) -> list[int]:
+    """The walk as it is said, a step at a time: all that is read."""
+    bits = np.random.default_rng(20240229).integers(0, 2, (edits.CLASSES, edits.PERIOD), dtype=np.uint8)
+    bits[:, 0] = 1
+    read, at, step = [], 0, 0
+    own = edits.classes(text)
+    while at < len(own):
+        read.append(int(own[at]))
+        at += int(bits[own[at], step % edits.PERIOD])
+        step += 1
+    return read
+
+
+def test_walks_are_what_is_said():
+    for text in ("a", "ab", prose(40, 3), "é" * 300, prose(200, 4)):
+        read, got = naive_print(text), edits.fingerprints([text])[0]
+        assert int.from_bytes(got[:8], "big") == len(read)
+        for k, step in enumerate(edits.sampled(len(read)).tolist()):
+            assert got[8 + k] == (read[step] if step < len(read) else 0)
+
+
+def test_edits_of_many_equal_and_null_ids(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(5, i)) for i in range(90)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), secrets.rank(x[1]), x[1]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for (_, t), (_, n) in zip(order, [*order[1:], order[0]]))
+    got = edits.edited_pairs(df).collect()
+    assert sorted(r["edited_sha256"] for r in got) == want
+    next_of = {t: n for (_, t), (_, n) in zip(order, [*order[1:], order[0]])}
+    by_sha = {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest(): t for t, n in next_of.items()}
+    for r in got:
+        t = by_sha[r["edited_sha256"]]
+        a, b = edits.fingerprints([t, next_of[t]])
+        assert abs(r["near_next"] - edits.likeness(a, b)) < 1e-12 and abs(r["near_edited"] - edits.likeness(a, bytes.fromhex(r["edited_fingerprint"]))) < 1e-12
+    # Neither the null rows nor those of the common id are all in one range.
+    assert edits.successors(df, "text", "doc_id").groupBy("bucket").count().agg(F.max("count")).first()[0] < 20
+
+
+def naive_sums(lengths: list[int], capacity: int) -> int:
+    """Sequences that the rule opens, piece by piece."""
+    gaps: dict[int, int] = {}
+    opened = 0
+    for s in sorted(lengths, reverse=True):
+        def total(g):
+            own = dict(gaps)
+            if g is not None:
+                own[g] -= 1
+            rest = (capacity if g is None else g) - s
+            if rest:
+                own[rest] = own.get(rest, 0) + 1
+            return sum(n * n for n in own.values())
+        fits = [g for g, n in gaps.items() if n and g >= s]
+        g = None
+        if fits:
+            best = min(fits, key=lambda g: (total(g), g))
+            now = sum(n * n for n in gaps.values())
+            g = best if total(best) - now <= max(total(None) - now, 0) else min(fits)
+        if g is None:
+            opened += 1
+        else:
+            gaps[g] -= 1
+        rest = (capacity if g is None else g) - s
+        if rest:
+            gaps[rest] = gaps.get(rest, 0) + 1
+    return opened
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_sum_of_squares_follows_its_rule(lengths):
+    histogram = {}
+    for x in lengths:
+        histogram[x] = histogram.get(x, 0) + 1
+    runs = packing.sum_of_squares(histogram, 40)
+    assert sum(k for _, k in runs) == naive_sums(lengths, 40)
+
+
+def naive_base(text: str) -> list[tuple[int, int, str]]:
+    """Spans of the three patterns by plain searches of the whole text."""
+    found = []
+    for kind, pattern, least, flags in (
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, re.I | re.A),
+        ("access", r"AKIA[A-Z0-9]+", 16, 0),
+        ("hex", r"[0-9a-f]+", 32, 0),
+    ):
+        for m in re.finditer(pattern, text, flags):
+            if len(m.group(2) if kind == "assign" else m.group()) >= least:
+                found.append((m.start(), m.end(), kind))
+    return sorted(found, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "api_key", "apikey", "token", "=", ": ", " ", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abcdefgh", "x", "é", "\n", "/+=", "KIAKIA", "ſ"]), max_size=14))
+def test_base_spans_are_the_patterns(parts):
+    text = "".join(parts)
+    assert secrets.base_spans(text)[0] == naive_base(text)
+
+
+def test_credentials_are_sampled_alike_however_partitioned(spark):
+    values = [hashlib.md5(str(i).encode()).hexdigest()[:20] for i in range(900)]
+    df = spark.createDataFrame([(i, f"token={v}") for i, v in enumerate([*values, *values[:50]])], "doc_id long, text string")
+    one, many = (secrets.sample_credentials(df.repartition(n), "text", 100)[0]["assign"] for n in (1, 50))
+    assert sorted(one) == sorted(many) == sorted(sorted(values, key=secrets.rank)[:100])
+    assert spark.sql("select xxhash64('aé') as h").first()["h"] == secrets.rank("aé")
+
+
+def test_secrets_of_odd_rows(spark):
+    rows = [(1, None, 9), (1, "", 9), (None, "token=abcdefgh1", 9), (None, "token=abcdefgh1", 9), (2, "x " * 30000 + "AKIA" + "A" * 12, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_hex long")
+    got = sorted((r["doc"] or 0, r["n_assign"], r["n_access"], r["n_hex"], r["base"]) for r in secrets.scan(df, secrets.learn(df)).collect())
+    assert got == [(0, 1, 0, 0, "assign:0:15"), (0, 1, 0, 0, "assign:0:15"), (1, 0, 0, 0, ""), (1, 0, 0, 0, ""), (2, 0, 1, 0, "access:60000:60016")]
+    redacted = secrets.redact(df, secrets.learn(df)).collect()
+    assert sorted(str(r["text"])[:8] for r in redacted) == sorted(["None", "", "[secret]", "[secret]", "x x x x "])
+
+
+def test_urls_by_a_plain_reading(spark):
+    r = random.Random(12)
+    hosts = ["example.com", "www.example.com", "a.www.example.com", "net", "x.net", "com", "xcom", "b.com", "EXAMPLE.com", "example.org", "", "user@x.net:80"]
+    paths = ["", "/", "/en/", "/en", "/es/a?b", "/fr/#x", "/EN/", "/en/a/b?c=d&e#f", "?en/", "#/en/"]
+    urls_ = [r.choice(["http://", "https://", "", "a://b://"]) + r.choice(hosts) + r.choice(paths) for _ in range(300)] + [None, "", "://", "http://"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls_)], "page_id long, url string, host string")
+    got = {x["page_id"]: x for x in urls.judge(df).collect()}
+    for i, u in enumerate(urls_):
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in re.split("[/?#]", rest, maxsplit=1)[0])
+            path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert verdict is None or got[i]["verdict"] == verdict
+
+
+def test_first_tree_is_the_best_split(spark):
+    """The first stump of the first tree against all splits tried one by one."""
+    r = random.Random(3)
+    rows = [(i, f"http://h{'-' * (i % 5)}{i}.org/" + "a/" * r.randint(0, 6) + "1" * r.randint(0, 5), int(i % 5 > 2 or r.random() < 0.1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, y int")
+    host, path = urls.parts(df.url)
+    df = df.withColumns({"host": host, "path": path})
+    model = urls.train(df, "y", 1)
+    full = df.withColumns(urls.features(df.url, df.host, df.path) | {"suffix": urls.suffix(df.host), "section": urls.section(df.path)})
+    bins = urls._binned(full, model)
+    table = [(x["y"], {f: x[f"b_{f}"] for f in bins}) for x in full.select("y", *(c.alias(f"b_{f}") for f, c in bins.items())).collect()]
+    p = 1 / (1 + np.exp(-model.base))
+    best = None
+    for f in sorted(bins):
+        for at in sorted({b[f] for _, b in table}):
+            sides = [[(p - y, p * (1 - p)) for y, b in table if (b[f] <= at) == left] for left in (True, False)]
+            gain = sum(sum(g for g, _ in x) ** 2 / (sum(h for _, h in x) + 1) for x in sides)
+            if best is None or gain > best[0] + 1e-6:
+                best = (gain, f, at)
+    assert model.trees[0][:2] == best[1:]
+    unseen = spark.createDataFrame([(1, "http://a.zz/new/x")], "page_id long, url string")
+    u = unseen.withColumns({"suffix": F.lit("zz"), "section": F.lit("new"), **{f: F.lit(0.0) for f in model.edges}})
+    bins = urls._binned(u, model)
+    assert u.select(bins["suffix"]).first()[0] == model.others["suffix"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_finds_links_at_the_threshold(spark, seed):
+    """Pairs of about four fifths in common, and some just below: all links, no others."""
+    r = random.Random(seed)
+    texts = {}
+    for k in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        other = base[:]
+        for i in r.sample(range(5, 295), 6 + k % 3):
+            other[i] = f"v{r.randrange(10**6)}"
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(other)
+    pairs = brute_pairs(texts)
+    assert 10 < len(pairs) < 60
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc"]: (x["class_id"], x["n_links"]) for x in jaccard.join(df).collect()}
+    for d in texts:
+        partner = [q for p in pairs if d in p for q in p if q != d]
+        assert got[d] == (min([d, *partner]), len(partner))
+
+
+def test_prefixes_are_shortened_to_the_recall():
+    guaranteed = jaccard.depth_for(0.8, 0.9999)
+    assert jaccard.shortened(np.full(500, 0.99), 0.8, 0.9999) == jaccard.DEPTH
+    assert jaccard.shortened(np.full(500, 0.8), 0.8, 0.9999) == jaccard.shortened(np.zeros(3), 0.8, 0.9999) == guaranteed < jaccard.DEPTH
+    mixed = np.array([0.8] * 5 + [0.97] * 995)
+    depth = jaccard.shortened(mixed, 0.8, 0.9999)
+    assert guaranteed <= depth < jaccard.DEPTH
+    left = ((1 - mixed**depth) ** jaccard.TREES).mean()
+    assert left < 2e-4
+
+
+def test_quality_cutoffs_keep_their_promise():
+    """Strata whose clean texts' scores are known: how often more than alpha of them lie above the cutoff."""
+    rng = np.random.default_rng(5)
+    alpha, delta, worse, found, runs = 0.02, 0.05, 0, 0, 400
+    cutoffs_ = quality.CUTOFFS
+    for _ in range(runs):
+        scores = rng.exponential(1.3, 400)
+        chosen = None
+        for c in reversed(cutoffs_):
+            if quality.upper_bound(int((scores > c).sum()), len(scores), delta) > alpha:
+                break
+            chosen = c
+        found += chosen is not None
+        worse += chosen is not None and np.exp(-chosen / 1.3) > alpha
+    assert found > 0.9 * runs and worse <= 0.08 * runs
+
+
+def test_quality_of_odd_rows(spark, docs):
+    labels = spark.createDataFrame([(None, 1), (999, 1), (4, None), (3, 0)], "doc_id long, quality int")
+    assert quality.judged(docs.where("false"), labels).count() == 0
+    rows = quality.judged(docs, labels.where("false")).collect()
+    assert len(rows) == docs.count()
+    want = sorted((len(re.findall(r"[#*$%&|<>]", r["text"] or "")), len((r["text"] or "").split()) < 50) for r in docs.collect())
+    got = sorted((r["n_symbols"], r["n_words"] < 50) for r in quality.judged(docs, labels).collect())
+    assert got == want
+    for r in rows:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and (r["kept"] or r["base_failed"])
+
+
+def test_lines_of_many_null_ids(spark):
+    rows = [(None if i % 2 else 5, f"hot\nown {i}\n HOT \t") for i in range(40)] + [(None, None), (5, "")]
+    got = lines.frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).collect()
+    assert sorted(r["kept"] for r in got) == sorted([f"own {i}" for i in range(40)] + ["", ""])
+    assert sum(r["n_dropped"] for r in got) == 80
+
+
+def test_packing_counts_every_row_of_an_id(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (None, None, "z"), (None, "d", "z")], "doc_id long, text string, piece string")
+    got = packing.pack(df, capacity=4).collect()
+    assert sum(r["length"] for r in got) == 4 + 4 + 1 + 2 and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
+def test_pipeline_of_an_empty_table_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None), (1, "", "en", "s", 0), *[(2, prose(80, 3), "en", "s", 1)] * 2, (None, prose(90, 4), None, None, None), (3, "z" * 50000 + " " + prose(60, 5), "fr", "s", 2)])):
+        spark.createDataFrame(rows, schema).withColumn("text_key", F.lit(1)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted({-1 if x["doc_id"] is None else x["doc_id"] for x in got}) == ([-1, 2, 3] if rows else [])
 
 
 def test_jaccard_tells_texts_of_equal_ids_apart(spark):
