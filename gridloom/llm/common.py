@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests, a single machine), a temporary folder that is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder on a single machine (which is then set for the session), and an error on a cluster, whose executors wouldn't see it."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -51,12 +53,15 @@ def discard(*written: DataFrame) -> None:
     for df in written:
         _, path = _paths.pop(id(df), (df, None))
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
     release(written[0].sparkSession)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now instead of at some later collection."""
     gc.collect()
