@@ -7,14 +7,15 @@ read at steps that a seeded reservoir keeps of that many steps: for a longer emb
 So texts of different lengths still share the steps that both reach, and the likeness of two fingerprints is the share of the longer
 one's steps at which both read the same.
 
-`similar(fingerprints)` finds links: all pairs of distinct fingerprints that agree in a band of sampled bytes are held against
-each other, in blocks of bounded size, and links are verified by likeness.
+Links: distinct fingerprints are banded by their sampled bytes; all that agree in a band are held against each other, in
+blocks of bounded size, and links are verified by likeness. A link of likeness 0.8 agrees in some band with probability
+0.998. `links` counts them for each fingerprint, so a large group of near copies costs no row a pair; `similar` gives the pairs.
 
 Walks of a batch run side by side, a step for all of them at a time. Whole texts are walked.
 
 Defined results: a null text is an empty one; an empty text's samples are all blank, and its likeness is 1 to an empty text and 0 to any other;
-equal texts have equal fingerprints; rows with equal ids follow each other by text; an empty table gives an empty
-result.
+equal texts have equal fingerprints; rows with equal ids follow each other by a hash of their texts, then by text, null ids after all
+others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from . import common
 
 PERIOD = 256
 CLASSES = 256
-SAMPLES = 64
+SAMPLES = 128
+#: Sampled bytes of a band; so many bands as fit.
+WIDTH = 6
 #: A text is walked together with others of its batch while this many are left; the rest go alone.
 TOGETHER = 6
 #: Characters walked together at most, unless one text alone has more.
@@ -163,31 +166,32 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def successors(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """(bucket, guest, doc, text), to be read in order of bucket, guest, doc descending, text: rows in ranges of doc, and after each range the first row of the next one as guest.
+    """(bucket, guest, doc, text_key, text), to be read in order of bucket, guest, doc descending, text_key, text: rows in ranges of doc, and after each range the first row of the next one as guest.
 
-    Ranges are split at quantiles; the first ids of ranges (a few for each partition) go to the driver. Nulls come last.
+    Ranges are split at quantiles. An id that fills a whole range, and null, which comes last, have ranges by the text's hash
+    of their own. The first rows of ranges, as ids and hashes (a few for each partition), go to the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     n = 4 * common.partitions(spark)
-    splits = docs.select(F.percentile_approx(F.col(doc).cast("long"), [i / n for i in range(1, n)], 100_000)).first()[0]
-    splits = sorted(set(splits or []), reverse=True)
-    places = F.when(F.col("doc").isNull(), F.lit(len(splits) + 1)).otherwise(F.size(F.filter(F.array(*(F.lit(s) for s in splits)), lambda s: s > F.col("doc"))) if splits else F.lit(0))
-    firsts = docs.select(F.col(doc).cast("long").alias("doc")).withColumn("bucket", places).groupBy("bucket").agg(F.max("doc").alias("first")).orderBy("bucket").collect()
+    quantiles = docs.select(F.percentile_approx(F.col(doc).cast("long"), [i / n for i in range(1, n)], 100_000)).first()[0] or []
+    splits = sorted(set(quantiles), reverse=True)
+    heavy = [s for s in splits if quantiles.count(s) > 1]
+    place = F.size(F.filter(F.array(*(F.lit(s) for s in splits)), lambda s: s > F.col("doc"))) if splits else F.lit(0)
+    place = F.when(F.col("doc").isNull(), F.lit(len(splits) + 1)).otherwise(place)
+    # A range's least id is its split, so what is dealt by hash comes after the rest of its range.
+    by_hash = 1 + (F.shiftrightunsigned(F.col("text_key").bitwiseXOR(F.lit(-(1 << 63))), 32) * n / F.lit(float(1 << 32))).cast("int")
+    dealt = F.col("doc").isNull() | (F.col("doc").isin(heavy) if heavy else F.lit(False))
+    placed = rows.withColumn("bucket", (place * (n + 2) + F.when(dealt, by_hash).otherwise(0)).cast("int"))
+    name = F.struct(F.bitwise_not(F.col("doc")).alias("below"), "text_key")
+    firsts = placed.groupBy("bucket").agg(F.min(name).alias("first")).orderBy("bucket").collect()
     if not firsts:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc", "text")
+        return placed.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc", "text_key", "text")
     # The range before each range; the first row of all follows the last range.
-    before = {r["bucket"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
-    guest = F.lit(None).cast("int")
-    by_id = F.create_map(*(F.lit(x) for r in firsts if r["first"] is not None for x in (r["first"], before[r["bucket"]]))) if any(r["first"] is not None for r in firsts) else None
-    if by_id is not None:
-        guest = F.try_element_at(by_id, F.col("doc"))
-    nulls = next((before[r["bucket"]] for r in firsts if r["first"] is None), None)
-    if nulls is not None:
-        guest = F.when(F.col("doc").isNull(), F.lit(nulls)).otherwise(guest)
-    placed = rows.withColumn("bucket", places).withColumn("guest_of", guest)
-    homes = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("b"), F.lit(True).alias("guest"))), lambda x: x["b"].isNotNull())
-    return placed.select(F.explode(homes).alias("home"), "doc", "text").select(F.col("home.b").alias("bucket"), F.col("home.guest").alias("guest"), "doc", "text")
+    before = F.array(*(F.struct(F.lit(r["first"]["below"]).cast("long").alias("below"), F.lit(r["first"]["text_key"]).alias("text_key"), F.lit(firsts[i - 1]["bucket"]).alias("b")) for i, r in enumerate(firsts)))
+    guest = F.get(F.filter(before, lambda x: (x["text_key"] == F.col("text_key")) & x["below"].eqNullSafe(F.bitwise_not(F.col("doc")))), F.lit(0))["b"]
+    homes = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(guest.alias("b"), F.lit(True).alias("guest"))), lambda x: x["b"].isNotNull())
+    return placed.select(F.explode(homes).alias("home"), "doc", "text_key", "text").select(F.col("home.b").alias("bucket"), F.col("home.guest").alias("guest"), "doc", "text_key", "text")
 
 
 def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -196,7 +200,7 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
     The edited text's walk starts where the two texts part, from the state of the first.
     """
     rows = successors(docs, text, doc)
-    placed = rows.repartition(common.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc"), "text")
+    placed = rows.repartition(common.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc"), "text_key", "text").drop("text_key")
 
     def finish(own: list[tuple], following: list[tuple]) -> list[tuple]:
         """own: (doc, text); following: the next text of each."""
@@ -270,43 +274,75 @@ def linked(prints: list[bytes], second: list[bool], band: int, width: int, withi
     return out
 
 
-def similar(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame:
-    """(fingerprint_a, fingerprint_b, likeness) of linked distinct fingerprints. prints: a column fingerprint (hex).
+def _units(distinct: DataFrame) -> DataFrame:
+    """(number, fingerprint, key, band, i, j, second), sorted by unit: distinct fingerprints (number, fingerprint) that agree in a band are cut into blocks, and each pair of blocks is a unit of work."""
+    band = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // WIDTH - 1)), lambda b: F.struct(b.alias("band"), F.substring("fingerprint", b * (2 * WIDTH) + 17, F.lit(2 * WIDTH)).alias("read")))
+    rows = distinct.select("number", F.explode(band).alias("x")).where(F.col("x.read") != "00" * WIDTH)
+    rows = rows.select("number", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.read").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_PRINTS).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("number", F.lit(29)), F.col("blocks")).cast("int"))
+    rows = rows.select("number", "band", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = rows.select("number", "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
+    whole = units.join(distinct, "number").select("number", "fingerprint", "key", "band", "i", "j", "second")
+    return whole.repartition(common.partitions(distinct.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    Each band is a fixed part of the samples. The distinct fingerprints that agree in a band are cut into blocks, each pair of
-    blocks is a unit of work, and a pair is given in the first band in which it agrees.
-    """
-    width = SAMPLES // bands
-    distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("b"), F.substring("fingerprint", b * (2 * width) + 17, F.lit(2 * width)).alias("key"))))
-    rows = distinct.select("fingerprint", band.alias("x")).select("fingerprint", "x.b", "x.key").where(F.col("key") != "00" * width)
-    sizes = rows.groupBy("b", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "key", F.ceil(F.col("n") / BLOCK_PRINTS).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["b", "key"]).withColumn("block", F.pmod(F.xxhash64("fingerprint", F.lit(29)), F.col("blocks")).cast("int"))
-    rows = rows.select("fingerprint", "b", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = rows.select("fingerprint", "b", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
-    placed = units.repartition(common.partitions(prints.sparkSession), "b", "key", "i", "j").sortWithinPartitions("b", "key", "i", "j")
+
+def _verified(units: DataFrame, least: float, give, schema: str) -> DataFrame:
+    """give(members of a unit as (number, fingerprint), its links as places (i, j) and likeness) for each unit; columns by the schema."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, second = None, [], []
+        fields = [f.split() for f in schema.split(", ")]
+        kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 
         def emit() -> pa.RecordBatch:
-            found = linked([bytes.fromhex(p) for p in held], second, unit[0], width, unit[2] == unit[3], least)
-            columns = [[held[i] for i, _, _ in found], [held[j] for _, j, _ in found]]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([x for _, _, x in found], pa.float64())], ["fingerprint_a", "fingerprint_b", "likeness"])
+            found = linked([bytes.fromhex(p) for _, p in held], second, unit[3], WIDTH, unit[1] == unit[2], least)
+            columns = list(zip(*give(held, found))) or [()] * len(fields)
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
         for batch in batches:
-            for fingerprint, b, key, i, j, side in zip(*(c.to_pylist() for c in batch.columns)):
-                if unit != (b, key, i, j):
-                    if held:
+            for number, fingerprint, key, band, i, j, side in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != (key, i, j, band):
+                    if len(held) > 1:
                         yield emit()
-                    unit, held, second = (b, key, i, j), [], []
-                held.append(fingerprint)
+                    unit, held, second = (key, i, j, band), [], []
+                held.append((number, fingerprint))
                 second.append(side)
-        if held:
+        if len(held) > 1:
             yield emit()
 
-    return placed.mapInArrow(verify, "fingerprint_a string, fingerprint_b string, likeness double")
+    return units.mapInArrow(verify, schema)
+
+
+def _distinct(prints: DataFrame) -> DataFrame:
+    own = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    return common.materialise(own.withColumn("number", F.monotonically_increasing_id()), "fingerprints")
+
+
+def links(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(fingerprint, n_links) of fingerprints with links: other distinct fingerprints of at least this likeness. prints: a column fingerprint (hex)."""
+    distinct = _distinct(prints)
+
+    def give(held: list[tuple[int, str]], found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+        counts: dict[int, int] = {}
+        for i, j, _ in found:
+            for k in (i, j):
+                counts[held[k][0]] = counts.get(held[k][0], 0) + 1
+        return list(counts.items())
+
+    totals = _verified(_units(distinct), least, give, "number long, n long").groupBy("number").agg(F.sum("n").alias("n_links"))
+    return totals.join(distinct, "number").select("fingerprint", "n_links")
+
+
+def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(fingerprint_a, fingerprint_b, likeness) of linked distinct fingerprints, each pair once. prints: a column fingerprint (hex)."""
+    give = lambda held, found: [(held[i][1], held[j][1], x) for i, j, x in found]
+    return _verified(_units(_distinct(prints)), least, give, "fingerprint_a string, fingerprint_b string, likeness double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_pairs(common.table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+    """The contract's columns, and of each fingerprint the number of others like it."""
+    rows = common.materialise(edited_pairs(common.table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id"), "edited")
+    common.release(spark)
+    counts = links(rows)
+    return rows.join(counts, "fingerprint", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
