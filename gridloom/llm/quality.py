@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds [native].
 
 Every text gets fixed base rules and a badness score: the largest of a few signals (share of symbols, of repeated lines,
-of repeated words, of exclamation marks, of capitals, of table bars), each divided by its size at the far end of the clean texts of
-one half of the labels. On the other half, the holdout, every cutoff of a fixed grid is tested for each stratum: the
-exact (Clopper-Pearson) upper bound of the share of clean texts above it, at error rate delta divided by the number of
-all tests made, must not pass alpha. The lowest cutoff that passes becomes the stratum's; with none, nothing is rejected.
-So with probability 1 - delta no stratum loses more than alpha of its clean texts.
+of repeated words, of exclamation marks, of capitals, of table bars), each divided by its size at the far end of all texts, labelled or
+not. So all clean labelled texts are holdout. On them the cutoffs of a fixed grid are tested for each stratum in a fixed
+sequence, from the highest down, while the exact (Clopper-Pearson) upper bound of the share of clean texts above the
+cutoff, at error rate delta divided by the number of strata, doesn't pass alpha; the last that passed becomes the
+stratum's, and with none nothing is rejected. A sequence that ends at the first failure needs no further correction for
+its tests, the strata do: with probability 1 - delta no stratum loses more than alpha of its clean texts.
 
 Defined results: a null text has no words and fails the base rules; a stratum without enough labels rejects nothing by
 score; each row is judged by itself, repeated rows alike; labels that are null or of unknown documents don't count; an
@@ -110,10 +111,10 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
-def scales(fit: DataFrame) -> dict[str, float]:
-    """The far end of each signal among clean texts: its 99.5th percentile, at least a floor under which no text is odd."""
+def scales(rows: DataFrame) -> dict[str, float]:
+    """The far end of each signal: its 90th percentile, at least a floor under which no text is odd."""
     floors = {"symbols": 0.02, "dup_lines": 0.1, "repeats": 0.1, "bangs": 0.05, "capitals": 0.15, "bars": 0.05}
-    row = fit.agg(*(F.percentile_approx(s, 0.995, 100_000).alias(s) for s in SIGNALS)).first()
+    row = rows.agg(*(F.percentile_approx(s, 0.9, 10_000).alias(s) for s in SIGNALS)).first()
     return {s: max(floors[s], row[s] or 0.0) for s in SIGNALS}
 
 
@@ -122,14 +123,14 @@ def score(scale: dict[str, float]) -> Column:
 
 
 def cutoffs(holdout: DataFrame, stratum: str, alpha: float, delta: float) -> dict[object, float]:
-    """The stratum's lowest cutoff whose bound passes. holdout: clean rows with stratum and score. All strata's counts at all cutoffs come from one aggregation."""
+    """Each stratum's last cutoff, from the highest down, before the first whose bound fails. holdout: clean rows with stratum and score. All strata's counts at all cutoffs come from one aggregation."""
     counts = holdout.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("score") > c, 1)).alias(f"c{i}") for i, c in enumerate(CUTOFFS))).collect()
-    error, out = delta / max(1, len(counts) * len(CUTOFFS)), {}
+    out = {}
     for row in counts:
-        for i, c in enumerate(CUTOFFS):
-            if row[f"c{i}"] <= alpha * row["n"] and upper_bound(row[f"c{i}"], row["n"], error) <= alpha:
-                out[row[stratum]] = c
+        for i, c in reversed(list(enumerate(CUTOFFS))):
+            if upper_bound(row[f"c{i}"], row["n"], delta / len(counts)) > alpha:
                 break
+            out[row[stratum]] = c
     return out
 
 
@@ -140,9 +141,9 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "d
     """
     rows = common.materialise(measured(docs.select(F.col(doc).alias("doc"), F.col(stratum).alias("stratum"), F.col(text).alias("text"), *also), "text", "doc", "stratum", *also), "quality")
     clean = labels.where(F.col(label) == 1).select(F.col(doc).alias("doc")).where("doc is not null").distinct()
-    known = rows.where(~F.col("base_failed")).join(clean, "doc", "left_semi").withColumn("half", F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(2)))
-    scale = scales(known.where("half = 0"))
-    found = cutoffs(known.where("half = 1").withColumn("score", score(scale)), "stratum", alpha, delta)
+    judged_ = rows.where(~F.col("base_failed"))
+    scale = scales(judged_)
+    found = cutoffs(judged_.join(clean, "doc", "left_semi").withColumn("score", score(scale)), "stratum", alpha, delta)
     cutoff = F.lit(None).cast("double")
     for value, c in found.items():
         cutoff = F.when(F.col("stratum").eqNullSafe(F.lit(value)), F.lit(c)).otherwise(cutoff)
