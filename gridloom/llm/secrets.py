@@ -10,9 +10,9 @@ Ordinary tokens are all distinct candidates but the format-like ones: those that
 the labelled values kept out, and likelier than a character model of all candidates does. Both models and the histogram of
 scores are sums over the candidates, of any number and length.
 
-Without labels given, the base patterns' own matches are the labelled credentials: a bottom-k sample by hash, at most
-`sample` distinct values of each kind, of 512 characters at most, as an automaton's states grow with them (a documented
-bound of the training rows only; candidates, matching and scoring cover all).
+Without labels given, the base patterns' own matches are the labelled credentials: a bottom-k sample by hash, the same
+however rows are partitioned, of at most `sample` distinct values of each kind and `longest` characters each, as an automaton's states grow
+with them (bounds of the training rows only; candidates, matching and scoring cover all).
 
 Defined results: a null text is an empty one and has no spans; rows are scanned one by one, repeated ones alike; with
 no labelled values of a kind no spans of that format are added; an empty table gives an empty result.
@@ -85,7 +85,7 @@ def free_runs(runs: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int,
 class Automaton:
     """A probabilistic automaton: transitions[state][symbol] = (next state, log2 probability), ends[state] = log2 probability."""
 
-    def __init__(self, values: list[str], alpha: float = 0.05, most_states: int = 4000):
+    def __init__(self, values: list[str], alpha: float = 0.05):
         counts, ends, children = [0], [0], [{}]
         for v in sorted(values):
             s = 0
@@ -102,7 +102,7 @@ class Automaton:
         self._counts, self._ends, self._children = counts, ends, children
         self._width = math.sqrt(0.5 * math.log(2 / alpha))
         self._arcs = [{c: counts[t] for c, t in kids.items()} for kids in children]
-        self._merge(most_states)
+        self._merge()
         self._freeze()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -110,7 +110,6 @@ class Automaton:
 
     def _compatible(self, a: int, b: int) -> bool:
         todo = [(a, b)]
-        steps = 0
         while todo:
             x, y = todo.pop()
             n1, n2 = self._counts[x], self._counts[y]
@@ -122,9 +121,8 @@ class Automaton:
                 if self._differ(self._arcs[x].get(c, 0), n1, self._arcs[y].get(c, 0), n2):
                     return False
             for c, t in self._children[y].items():
-                if c in self._children[x] and steps < 100_000:
+                if c in self._children[x]:
                     todo.append((self._children[x][c], t))
-                    steps += 1
         return True
 
     def _fold(self, into: int, tree: int) -> None:
@@ -142,7 +140,7 @@ class Automaton:
                 else:
                     self._children[x][c] = t
 
-    def _merge(self, most_states: int) -> None:
+    def _merge(self) -> None:
         """Settle states breadth first: each is merged with the first settled state it is compatible with, or settled itself."""
         settled = [0]
         known = {0}
@@ -152,8 +150,6 @@ class Automaton:
                 break
             s, c, t = edge
             same = next((r for r in settled if self._compatible(r, t)), None)
-            if same is None and len(settled) >= most_states:
-                same = 0
             if same is None:
                 settled.append(t)
                 known.add(t)
@@ -340,8 +336,14 @@ class Candidates:
 REMEMBERED = 100_000
 
 
-def sample_credentials(docs: DataFrame, text: str, sample: int) -> tuple[dict[str, list[str]], Candidates]:
-    """For each base kind the `sample` distinct values of smallest hash, of which tasks send so many at most; and all distinct candidates."""
+def rank(value: str) -> int:
+    """The value's place in a sample: what Spark's xxhash64 gives for it."""
+    h = xxhash.xxh64_intdigest(value.encode("utf-8", "replace"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sample_credentials(docs: DataFrame, text: str, sample: int, longest: int = 512) -> tuple[dict[str, list[str]], Candidates]:
+    """For each base kind the `sample` distinct values of smallest hash and at most `longest` characters, of which tasks send so many at most; and all distinct candidates."""
 
     def harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[str, list[tuple[int, str]]] = {}
@@ -350,9 +352,9 @@ def sample_credentials(docs: DataFrame, text: str, sample: int) -> tuple[dict[st
 
         def offer(kind: str, value: str) -> None:
             heap, own = heaps.setdefault(kind, []), seen.setdefault(kind, set())
-            if len(value) > 512 or value in own:
+            if len(value) > longest or value in own:
                 return
-            item = (-xxhash.xxh64_intdigest(value), value)
+            item = (-rank(value), value)
             if len(heap) < sample:
                 heapq.heappush(heap, item)
                 own.add(value)
@@ -401,8 +403,8 @@ def all_spans(text: str, model: FormatModel | None) -> tuple[list[Span], list[Sp
     return spans, sorted([*spans, *more], key=lambda s: (s[0], KINDS.index(s[2]) if s[2] in KINDS else len(KINDS), s[2]))
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = 400) -> FormatModel:
-    return FormatModel(*sample_credentials(docs, text, sample))
+def learn(docs: DataFrame, text: str = "text", sample: int = 400, longest: int = 512) -> FormatModel:
+    return FormatModel(*sample_credentials(docs, text, sample, longest))
 
 
 def scan(docs: DataFrame, model: FormatModel, text: str = "text", doc: str = "doc_id") -> DataFrame:
