@@ -91,7 +91,9 @@ class UrlModel:
     """Trees of depth two over binned features; statistics of suffixes and path sections as smoothed shares of block."""
 
     edges: dict[str, list[float]] = field(default_factory=dict)
-    statistics: dict[str, dict[str, float]] = field(default_factory=dict)
+    statistics: dict[str, dict[str, int]] = field(default_factory=dict)
+    #: The bin of values without a statistic of their own: that of their labelled urls' share of block, or of all if none is labelled.
+    others: dict[str, int] = field(default_factory=dict)
     base: float = 0.0
     trees: list[tuple] = field(default_factory=list)
 
@@ -125,7 +127,7 @@ def _binned(row: DataFrame, model: UrlModel) -> dict[str, Column]:
 
     out = {f: place(f, edges) for f, edges in model.edges.items()}
     for s, table in model.statistics.items():
-        share = F.lit(BINS // 2)
+        share = F.lit(model.others[s])
         for value, b in table.items():
             share = F.when(F.col(s) == value, F.lit(b)).otherwise(share)
         out[s] = share
@@ -133,7 +135,7 @@ def _binned(row: DataFrame, model: UrlModel) -> dict[str, Column]:
 
 
 def train(urls: DataFrame, label: str, rounds: int = 8, rate: float = 0.5, most_values: int = 64) -> UrlModel:
-    """Fit a model on urls with (url, host, path) and a 0/1 column. most_values: only so many of the most frequent suffixes and sections have a statistic of their own (the others share the mean), which bounds the model."""
+    """Fit a model on urls with (url, host, path) and a 0/1 column. most_values: only so many of the most frequent suffixes and sections have a statistic of their own (all others share theirs), which bounds the model."""
     known = urls.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), suffix(F.col("host")).alias("suffix"), section(F.col("path")).alias("section"), *(v.alias(k) for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()))
     known = common.materialise(known, "url-features")
     names = [c for c in known.columns if c not in ("y", "suffix", "section")]
@@ -148,7 +150,10 @@ def train(urls: DataFrame, label: str, rounds: int = 8, rate: float = 0.5, most_
     model.edges = {f: sorted(set(first[f])) for f in names}
     for s in ("suffix", "section"):
         top = known.groupBy(s).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), s).limit(most_values).collect()
-        model.statistics[s] = {r[s]: int((r["y"] + 1) / (r["n"] + 2) * (BINS - 1)) for r in top}
+        place = lambda y, n: int((y + 1) / (n + 2) * (BINS - 1))
+        model.statistics[s] = {r[s]: place(r["y"], r["n"]) for r in top}
+        rest_y, rest_n = y - sum(r["y"] for r in top), n - sum(r["n"] for r in top)
+        model.others[s] = place(rest_y, rest_n) if rest_n else place(y, n)
     every = [*names, "suffix", "section"]
     bins = _binned(known, model)
     counts = common.materialise(known.select("y", *(bins[f].alias(f"b_{f}") for f in every)).groupBy("y", *(f"b_{f}" for f in every)).count(), "url-counts")
