@@ -5,9 +5,9 @@ trigger (the first of equal ones). So each string of `length` bytes has exactly
 strings have it at the same place. The strings with one trigger are the suffixes of a phrase: the bytes from the first
 such string's start to the last one's end.
 
-Dictionary. Phrases are named by 128-bit hashes, and equal ones counted; a phrase that occurs twice or more repeats with all its suffixes.
+Dictionary. Phrases are named by two hashes of 126 bits together, and equal ones counted; a phrase that occurs twice or more repeats with all its suffixes.
 Distinct phrases with the same trigger string may share some suffixes: one occurrence of each is read from the texts,
-and the suffixes, cut to `length` bytes and named by 128-bit hashes, are sorted; equal neighbours in that order repeat.
+and the suffixes, cut to `length` bytes and named by two hashes of 126 bits together, are sorted; equal neighbours in that order repeat.
 
 Parse. What repeats is handed back to all occurrences of each phrase, and every document's runs are merged and cut out.
 
@@ -38,7 +38,7 @@ SLOTS = 64
 #: Phrases with one trigger that are held side by side in one task; those of more common triggers are shuffled by string.
 TOGETHER = 32
 _U = np.uint64
-_BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+_BASES = (_U(0x9E3779B97F4A7C15),)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -71,6 +71,51 @@ class Rolling:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+#: Primes below 2^31 and a base for each.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 1664525007))
+#: Places summed before a reduction: a term is below 2^39.
+_CHUNK = 1 << 24
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-th base's powers 0..n and their inverses, modulo its prime."""
+    up, down = _prime_powers.get(k, (np.zeros(0, _U), np.zeros(0, _U)))
+    if len(up) <= n:
+        p, b = _PRIMES[k]
+        out = []
+        for x in (b, pow(b, -1, p)):
+            row, step = np.ones(1, _U), x
+            # Twice as many powers with each product.
+            while len(row) <= max(2 * n, 1 << 16):
+                row = np.concatenate([row, row * _U(step) % _U(p)])
+                step = step * step % p
+            out.append(row)
+        up, down = out
+        _prime_powers[k] = (up, down)
+    return up, down
+
+
+class PrimeRolling:
+    """As Rolling, modulo two primes (62 bits): unlike powers of two, they have no texts, such as Thue-Morse words, whose hashes meet for every base."""
+
+    def __init__(self, data: np.ndarray):
+        self.parts = []
+        for k, (p, _) in enumerate(_PRIMES):
+            up, down = _prime_power(k, len(data))
+            sums = np.empty(len(data) + 1, _U)
+            sums[0] = total = _U(0)
+            for a in range(0, len(data), _CHUNK):
+                part = np.cumsum((data[a : a + _CHUNK].astype(_U) + _U(1)) * up[a : a + _CHUNK][: len(data) - a]) + total
+                sums[a + 1 : a + 1 + len(part)] = part
+                total = part[-1] % _U(p)
+            self.parts.append((sums, down, _U(p)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        (x, y) = ((sums[end] % p + p - sums[start] % p) % p * down[start] % p for sums, down, p in self.parts)
+        return _mixed(x << _U(31) | y)
+
+
 def triggers(hashes: np.ndarray, window: int) -> np.ndarray:
     """For each window of so many hashes the place of the least, the first of equal ones (sliding minimum by block prefixes and suffixes)."""
     n = len(hashes) - window + 1
@@ -98,8 +143,8 @@ def phrases(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def named(data: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, length: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit names of phrases: of their bytes, and of where the trigger is in them."""
-    other = Rolling(data, 1)
+    """Names of phrases: of their bytes, and of where the trigger is in them."""
+    other = PrimeRolling(data)
     end = first + count - 1 + length
     own = (place - first).astype(_U)
     return _mixed(rolling.of(first, end) ^ _mixed(own + _U(1))), _mixed(other.of(first, end) + _mixed(own + _U(7)))
@@ -161,7 +206,7 @@ def _strings(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int
     """(phrase, start, s1, s2) of every string of some phrases of data."""
     phrase = np.repeat(np.arange(len(first)), count)
     start = first[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    s1, s2 = (Rolling(data, b).of(start, start + length) for b in (0, 1))
+    s1, s2 = (x.of(start, start + length) for x in (Rolling(data, 0), PrimeRolling(data)))
     return phrase, start, s1, s2
 
 
