@@ -1,12 +1,13 @@
 """Best-fit packing by sum of squares: documents, tokenised and cut, into sequences of fixed capacity.
 
 With N(g) open sequences of residual gap g, a piece goes where the sum of N(g) squared becomes smallest; of equal
-places the tightest, and a new sequence only where that is best and no open one fits at least as well. Pieces come
-longest first. Which piece of a length goes where doesn't matter, so the packing is found on the histogram of lengths
-(at most `capacity` numbers, whatever the corpus): the pieces of a length are placed in steps of a 256th of
-their count (one by one up to 256), and sequences with equal contents are kept as one run. What each length's pieces
-get is a table of slots, of at most 256 x capacity steps; every piece then finds its slot by its rank among the pieces
-of its length, which is worked out in buckets so that no length, however common, meets in one task.
+places the tightest. An open sequence with room is used even where a new one alone would make the sum smaller, as the
+fewest sequences are asked for: then the tightest. Pieces come longest first. Which piece of a length goes where doesn't
+matter, so the packing is found on the histogram of lengths (at most `capacity` numbers, whatever the corpus): the
+pieces of a length are placed one by one up to `steps` of them, and beyond in steps of that share of their count, so that the driver's work
+doesn't grow with the corpus; sequences with equal contents are kept as one run. What each length's pieces get is a
+table of slots, of at most steps x capacity; every piece then finds its slot by its rank among the pieces of its length,
+which is worked out in buckets so that no length, however common, meets in one task.
 
 Defined results: a null text is an empty document (the end id alone); every row is a document of its own, repeated ids
 and texts too; an empty table gives an empty result.
