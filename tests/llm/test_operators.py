@@ -350,6 +350,19 @@ def test_suffix_dedup(docs, monkeypatch, together):
     assert got == want
 
 
+def test_hashes_modulo_primes():
+    d = np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8)
+    rolling = suffixes.PrimeRolling(d)
+    for a, b in ((0, 10), (690, 1710), (2990, 3000), (0, 3000)):
+        x, y = (sum((int(c) + 1) * pow(base, k, p) for k, c in enumerate(d[a:b])) % p for p, base in suffixes._PRIMES)
+        assert rolling.of(np.array([a]), np.array([b]))[0] == suffixes._mixed(np.array([x << 31 | y], np.uint64))[0]
+    word = np.array([bin(i).count("1") % 2 for i in range(4096)], np.uint8)
+    ends = np.array([0]), np.array([4096])
+    # Modulo 2^64 the two meet.
+    assert suffixes.Rolling(word, 0).of(*ends) == suffixes.Rolling(1 - word, 0).of(*ends)
+    assert suffixes.PrimeRolling(word).of(*ends) != suffixes.PrimeRolling(1 - word).of(*ends)
+
+
 def test_corpus_order():
     r = random.Random(2)
     for _ in range(40):
@@ -601,11 +614,12 @@ def test_prefixes_are_shortened_to_the_recall():
     guaranteed = jaccard.depth_for(0.8, 0.9999)
     assert jaccard.shortened(np.full(500, 0.99), 0.8, 0.9999) == jaccard.DEPTH
     assert jaccard.shortened(np.full(500, 0.8), 0.8, 0.9999) == jaccard.shortened(np.zeros(3), 0.8, 0.9999) == guaranteed < jaccard.DEPTH
-    mixed = np.array([0.8] * 5 + [0.97] * 995)
+    mixed = np.array([0.8] * 100 + [0.97] * 900)
     depth = jaccard.shortened(mixed, 0.8, 0.9999)
     assert guaranteed <= depth < jaccard.DEPTH
     left = ((1 - mixed**depth) ** jaccard.TREES).mean()
     assert left < 2e-4
+    assert jaccard.shortened(np.array([0.8] * 5 + [0.97] * 995), 0.8, 0.9999) == jaccard.DEPTH
 
 
 def test_quality_cutoffs_keep_their_promise():
