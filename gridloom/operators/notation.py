@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,6 +170,16 @@ class Indexed(Term):
         return multilinear.tensor_svd(self, left, right, rank, threshold, random)
 
 
+def vectorised(f: Callable, dtype: str = "float64") -> Callable[..., Column]:
+    """A function of NumPy arrays as one of columns, for functions that columns can't express: applied to Arrow batches of values."""
+
+    @F.pandas_udf(types.SQL[dtype])
+    def applied(*columns: pd.Series) -> pd.Series:
+        return pd.Series(f(*(c.to_numpy() for c in columns)))
+
+    return applied
+
+
 def function(f: Callable[[Column], Column], source: Indexed, labels: str, dtype: str | None = None, algebra: Algebra | None = None) -> Tensor:
     """f of each stored value, added up under the target's labels."""
     mapped = source.tensor.map(f, dtype)

@@ -219,6 +219,21 @@ class Tensor:
         """Partitioned by some modes; tensors partitioned alike join on them without another shuffle."""
         return self._with(self.df.repartition(n, *(f"i{k}" for k in modes)))
 
+    def mapped(self, n: int, *modes: int) -> DataFrame:
+        """Rows under a partitioning by some modes, with the partition that holds each."""
+        return self.distributed(n, *modes).local()
+
+    @classmethod
+    def from_mapped(cls, rows: DataFrame, shape: Sequence[int], dtype: str = "float64") -> Tensor:
+        """A tensor from rows that partitions gave; those of equal places are summed."""
+        return cls.from_df(rows, [f"i{k}" for k in range(len(shape))], "v", shape, dtype)
+
+    def split(self, parts: int, axis: int = 0) -> list[Tensor]:
+        """Slices of about equal length along a mode; stack() puts them together again."""
+        n = self.shape[axis]
+        cuts = [n * k // parts for k in range(parts + 1)]
+        return [self[tuple(slice(a, b) if k == axis else slice(None) for k in range(self.ndim))] for a, b in zip(cuts, cuts[1:])]
+
     def align(self, other: Tensor, n: int | None = None) -> Tensor:
         """Partitioned as the other one is, if its rows are hashed by modes that this tensor has too; else by the modes both have. n: partitions where the other has none of its own."""
         found = planner.partitioning(other.stored)

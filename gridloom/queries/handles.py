@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebras import PAIRS, Algebra, monoid, ring
 from ..operators import symmetry
-from ..operators.notation import contract, transform3
+from ..operators.notation import contract, transform3, vectorised
 from ..operators.profile import FlopCounter, Profile, Schedule, Timer, TimerEpoch, World
 from ..operators.tensor import Tensor, einsum, hstack, stack
 from ..operators.typed import Matrix, Scalar, Seeds, Vector
@@ -281,6 +281,29 @@ def aligned_partitions(t: Tables):
     return rows(w.align(w.T.distributed(3, 0)), "nm")
 
 
+@query(f"WITH {NATIONS} SELECT n, 1::BIGINT AS parts, round(sum(v), 4) AS v FROM w GROUP BY ALL")
+def mapped_read(t: Tables):
+    """Under a partitioning by nation each nation's rows are in one partition."""
+    held = t.nations().mapped(4, 0)
+    return held.groupBy(F.col("i0").alias("n")).agg(F.count_distinct("partition").alias("parts"), F.round(F.sum("v"), 4).alias("v"))
+
+
+@query(f"WITH {NATIONS} SELECT n, m, round(v, 4) AS v FROM w")
+def mapped_round_trip(t: Tables):
+    return rows(Tensor.from_mapped(t.nations().mapped(3, 1), (25, 25)), "nm")
+
+
+@query(f"WITH {NATIONS} SELECT n, m, round(v, 4) AS v FROM w")
+def split_and_stacked(t: Tables):
+    return rows(stack(t.nations().split(4, 1), 1), "nm")
+
+
+@query(f"WITH {NATIONS} SELECT n, m, round(ln(1 + v), 6) AS v FROM w")
+def vectorised_function(t: Tables):
+    """A NumPy function of the values."""
+    return rows(t.nations().map(vectorised(np.log1p)), "nm", 6)
+
+
 # Symmetry
 
 
