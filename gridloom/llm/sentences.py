@@ -10,9 +10,9 @@ of each end, then the path back from the last. A BPE model's ids are not those o
 fold takes the edges in order of their merges: an edge becomes a piece if both its ends are still boundaries, which gives
 the model's own ids. Boundaries are bits of an array of longs.
 
-Words are counted over the whole corpus. The most frequent ones, at most `most` of up to LONGEST characters (so the
-table that every task gets is bounded), get their ids once. Other words are cut into segments between neighbouring
-characters that no piece holds; the most frequent segments, as many again, are folded once too. What remains is folded for each document that has it,
+Words are counted over the whole corpus. The most frequent ones, of up to LONGEST characters, get their ids
+once. Other words are cut into segments between neighbouring characters that no piece holds; the most frequent of them, at most `most`, are folded
+once too, so the tables that every task gets are bounded. What remains is folded for each document that has it,
 where the document will be put together: each document goes there once, as the ids known so far, compressed, with its
 other segments beside them. No table has to hold all words of a corpus.
 
@@ -43,8 +43,8 @@ from . import common
 MARK = "▁"
 #: Characters of a word that the table of frequent words holds at most.
 LONGEST = 64
-#: Frequent words at most, and frequent segments of others.
-MOST = 450_000
+#: Frequent segments at most; frequent words are a fifth as many.
+MOST = 500_000
 #: Bytes of texts whose words are handled together.
 TOGETHER = 1 << 22
 #: Bits of a packed edge: rank of its piece, length, and start or end.
@@ -141,7 +141,16 @@ class Cutter:
 def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, .. of sizes[0] numbers, then those of the next, and so on."""
     ends = np.cumsum(sizes)
-    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(begin) or begin.max() < 1 << 31) else np.int64
+    out = np.repeat((begin - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def listed(strings: pa.Array) -> list[str]:
+    """What to_pylist() gives for strings without nulls, several times faster."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
 
 def parts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -166,9 +175,20 @@ class Segments:
     """A word cut between neighbouring characters that no piece has side by side."""
 
     def __init__(self, pieces: Pieces):
+        import re
+
         self.pairs = {p[i : i + 2].replace(MARK, " ") for p, _, _ in pieces.rows for i in range(len(p) - 1)}
+        # Letters any two of which are such a pair, and so are a space and any of them: words of these have no cut.
+        seen = Counter(c for p in self.pairs for c in p if c != " ")
+        joined: list[str] = []
+        for c, _ in seen.most_common():
+            if " " + c in self.pairs and all({c + d, d + c} <= self.pairs for d in [*joined, c]):
+                joined.append(c)
+        self.whole = re.compile(f" ?[{re.escape(''.join(joined))}]+" if joined else "(?!)").fullmatch
 
     def __call__(self, word: str) -> list[str]:
+        if self.whole(word):
+            return [word]
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
@@ -317,8 +337,13 @@ def dictionary(words: DataFrame, pieces: Pieces) -> dict[str, list[int]]:
     """Ids of distinct words that aren't empty (spaces for space marks). For tables of bounded size."""
     words = words.select("word")
     found = words.join(Fold(pieces).folded(words, "word"), "word", "left").toArrow()
-    spell = Speller(pieces)
-    return {w: spell(w, path) for w, path in zip(found.column("word").to_pylist(), found.column("path").to_pylist())}
+    spell, out = Speller(pieces), {}
+    for batch in found.to_batches():
+        path = batch.column(1)
+        ends, values = path.offsets.to_numpy().tolist(), path.values.to_numpy().tolist()
+        for w, a, b in zip(listed(batch.column(0)), ends, ends[1:]):
+            out[w] = spell(w, values[a:b])
+    return out
 
 
 def counted(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
@@ -351,13 +376,13 @@ class Known:
     """Ids, as bytes, of the frequent words (as a Cutter gives them) and of the frequent segments of others."""
 
     def __init__(self, counts: DataFrame, pieces: Pieces, most: int):
-        words = frequent(counts, most).select("word")
+        words = frequent(counts, most // 5).select("word")
         cut = Segments(pieces)
 
         def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sums: Counter[str] = Counter()
-                for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w, n in zip(listed(batch.column(0)), batch.column(1).to_numpy().tolist()):
                     for x in cut(spaced(w)):
                         sums[x] += n
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
@@ -411,7 +436,7 @@ def decoder(pieces: Pieces):
 
 
 def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str = "piece_bpe_32k.model", most: int = MOST) -> DataFrame:
-    """(doc, ids, round_trip) of each row. most: frequent words at most, and frequent segments at most, whose ids every task gets."""
+    """(doc, ids, round_trip) of each row. most: frequent segments at most whose ids every task gets; and a fifth as many frequent words."""
     spark = docs.sparkSession
     pieces = load(model)
     counts = common.materialise(counted(docs, text, pieces), "words")
@@ -448,7 +473,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
             offsets, own = words.many(texts)
             encoded = own.dictionary_encode()
             at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            made = [get(w) or codes_of(w) for w in encoded.dictionary.to_pylist()]
+            made = [get(w) or codes_of(w) for w in listed(encoded.dictionary)]
             # Each place of a word with unknown segments gets codes of its own, as its document numbers them.
             is_open = np.array([type(x) is list for x in made], bool)
             places = np.flatnonzero(is_open[at]) if len(at) else at
@@ -462,7 +487,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
             codes = table_[spread((np.cumsum(sizes) - sizes)[at], sizes[at])] if len(at) else table_[:0]
             ends = np.concatenate([[0], np.cumsum(sizes[at])])[offsets].tolist()
             keys, others, bodies = [], [], []
-            for d, t, new, a, b in zip(names, texts.to_pylist(), rare, ends, ends[1:]):
+            for d, t, new, a, b in zip(names, listed(texts), rare, ends, ends[1:]):
                 name = b"" if d is None else b"+" + d.encode()
                 h = xxhash.xxh3_64_intdigest(t.replace(MARK, " ").encode("utf-8", "replace"))
                 body = codes[a:b].tobytes()
@@ -511,7 +536,8 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                     paths = {}
                     if lists[k].is_valid:
                         at, path = lists[k].values.flatten()
-                        paths = dict(zip(at.to_pylist(), path.to_pylist()))
+                        ends, values = path.offsets.to_numpy().tolist(), path.values.to_numpy().tolist()
+                        paths = {x: values[a:b] for x, a, b in zip(at.to_numpy().tolist(), ends, ends[1:])}
                     found = [array(code, spell(w.decode(), paths.get(other + j))).tobytes() for j, w in enumerate(rare)]
                     parts_, last, width = [], 0, codes.itemsize
                     for p in np.flatnonzero(codes == hole).tolist():
