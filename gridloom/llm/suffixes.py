@@ -5,13 +5,16 @@ trigger (the first of equal ones). So each string of `length` bytes has exactly
 strings have it at the same place. The strings with one trigger are the suffixes of a phrase: the bytes from the first
 such string's start to the last one's end.
 
-Dictionary. Phrases are named by two hashes of 126 bits together, and equal ones counted; a phrase that occurs twice or more repeats with all its suffixes.
-Distinct phrases with the same trigger string may share some suffixes: one occurrence of each is read from the texts,
-and the suffixes, cut to `length` bytes and named by two hashes of 126 bits together, are sorted; equal neighbours in that order repeat.
+Dictionary. Phrases are named by two hashes of 126 bits together, and equal ones counted; a phrase that occurs twice or more repeats with
+all its suffixes. Distinct phrases with the same trigger string may share some suffixes: one occurrence of each is read from the texts. As
+strings of different triggers differ, the dictionary's suffix array falls apart by trigger: each task builds the suffix arrays of its triggers' phrases,
+to a depth of `length` bytes, and neighbours that are equal so far repeat. The few triggers that very many phrases share are spread over
+tasks: each sorts its part, and what is left meets by the suffixes' hashes.
 
-Parse. What repeats is handed back to all occurrences of each phrase, and every document's runs are merged and cut out.
+Parse. What repeats is handed back to all occurrences of each phrase, and every document's runs are merged and cut out. A string lies in
+one phrase, so its place in corpus order among others of `length` bytes follows from the dictionary's order; the parse decides only how often it occurs.
 
-`corpus_order(texts)` is the same parsing on one machine, for small corpora: suffix arrays of the dictionary and of the parse are
+`corpus_order(texts)` is the same parsing on one machine with the whole order, for small corpora: suffix arrays of the dictionary and of the parse are
 combined into the suffix array of the corpus.
 
 Only hashes are shuffled, besides the texts twice (to read the shared phrases, and to cut). Hot triggers, phrases and
@@ -202,14 +205,6 @@ def _wanted(docs: DataFrame, lists: DataFrame, text: str, doc: str, how: str) ->
     return _rows(docs, text, doc).join(lists.withColumnRenamed("doc", "of").hint("merge"), F.col("doc") == F.col("of"), how).drop("of")
 
 
-def _strings(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase, start, s1, s2) of every string of some phrases of data."""
-    phrase = np.repeat(np.arange(len(first)), count)
-    start = first[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    s1, s2 = (x.of(start, start + length) for x in (Rolling(data, 0), PrimeRolling(data)))
-    return phrase, start, s1, s2
-
-
 _ENTRY = "t long, doc long, tk long, first long, count int, n long"
 
 
@@ -235,12 +230,53 @@ def read_phrases(docs: DataFrame, wanted: DataFrame, text: str, doc: str, length
     return _wanted(docs, wanted, text, doc, "inner").mapInArrow(run, f"{_ENTRY}, phrase binary")
 
 
-def _laid(batch: list[tuple], length: int) -> tuple:
-    """The strings of some entries (doc, tk, first, count, n, phrase): entry's number, place in it, and both hashes."""
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """For each place the rank of the `length` bytes from it in their order, equal for equal ones (bytes past the end count as 0): the suffix array to that depth, by doubling from eight bytes."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    rank = np.zeros(n + length, _U)
+    for k in range(min(8, length)):
+        rank = rank << _U(8) | padded[k : k + n + length]
+    dense = lambda x: np.unique(x, return_inverse=True)[1].astype(_U)
+    rank, width = dense(rank), min(8, length)
+    while width < length:
+        # The last step may overlap: where the first parts are equal, only what the second one adds decides.
+        step = min(width, length - width)
+        second = np.concatenate([rank[step:], np.zeros(step, _U)])
+        rank, width = dense(rank << _U(32) | second), width + step
+    return rank[:n]
+
+
+def _again(*keys: np.ndarray) -> np.ndarray:
+    """Which places have keys that another place has too."""
+    order = np.lexsort(keys)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    twice = np.zeros(len(order), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice
+
+
+def _joined(batch: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of some entries (doc, tk, first, count, n, phrase) one after the other, where each starts, and its strings."""
     data = np.frombuffer(b"".join(x[5] for x in batch), np.uint8)
     sizes = np.array([len(x[5]) for x in batch], np.int64)
-    first = np.cumsum(sizes) - sizes
-    phrase, start, s1, s2 = _strings(data, first, np.array([x[3] for x in batch], np.int64), length)
+    return data, np.cumsum(sizes) - sizes, np.array([x[3] for x in batch], np.int64)
+
+
+def _starts(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, start) of every string of some phrases."""
+    phrase = np.repeat(np.arange(len(first)), count)
+    return phrase, first[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _laid(batch: list[tuple], length: int) -> tuple:
+    """The strings of some entries: entry's number, place in it, and both hashes."""
+    data, first, count = _joined(batch)
+    phrase, start = _starts(first, count)
+    s1, s2 = (x.of(start, start + length) for x in (Rolling(data, 0), PrimeRolling(data)))
     return phrase, start - first[phrase], s1, s2
 
 
@@ -253,13 +289,8 @@ def _distinct(s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff([*first, len(order)]) > 1
 
 
-def _runs(batch: list[tuple], phrase: np.ndarray, at: np.ndarray, s1: np.ndarray, s2: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+def _runs(batch: list[tuple], phrase: np.ndarray, at: np.ndarray, twice: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
     """(doc, tk, start, end) of what repeats among the strings of the entries, in entries of one occurrence."""
-    order = np.lexsort((s2, s1))
-    same = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])
-    twice = np.zeros(len(order), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
     out = []
     single = np.array([x[4] == 1 for x in batch])
     hits = np.flatnonzero(twice & single[phrase])
@@ -272,7 +303,10 @@ def _runs(batch: list[tuple], phrase: np.ndarray, at: np.ndarray, s1: np.ndarray
 
 
 def _resolved(batch: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    return _runs(batch, *_laid(batch, length), length)
+    """What repeats among the strings of the entries, by their suffix array."""
+    data, first, count = _joined(batch)
+    phrase, start = _starts(first, count)
+    return _runs(batch, phrase, start - first[phrase], _again(suffix_ranks(data, length)[start]), length)
 
 
 def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
@@ -329,7 +363,7 @@ def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
                 of = lambda i: np.array([x[i] for x in part], np.int64)[phrase[first]]  # noqa: E731, B023
                 n = np.where(again, 2, of(4))
                 yield pa.RecordBatch.from_arrays([pa.array(of(0)), pa.array(of(1)), pa.array(of(2) + at[first]), nothing(len(first), pa.int64()), pa.array(n), _signed(s1[first]), _signed(s2[first])], names)
-                runs = list(zip(*_runs(part, phrase, at, s1, s2, length))) or [()] * 4
+                runs = list(zip(*_runs(part, phrase, at, _again(s2, s1), length))) or [()] * 4
                 m = len(runs[0])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in runs), nothing(m, pa.int64()), nothing(m, pa.int64()), nothing(m, pa.int64())], names)
 

@@ -363,6 +363,16 @@ def test_hashes_modulo_primes():
     assert suffixes.PrimeRolling(word).of(*ends) != suffixes.PrimeRolling(1 - word).of(*ends)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=80).map(lambda b: bytes(c % 3 for c in b)), st.integers(1, 40))
+def test_suffix_ranks_are_the_order(data, length):
+    ranks = suffixes.suffix_ranks(np.frombuffer(data, np.uint8), length).tolist()
+    strings = [(data[i:] + bytes(length))[:length] for i in range(len(data))]
+    for i, x in enumerate(strings):
+        for j, y in enumerate(strings):
+            assert (ranks[i] < ranks[j]) == (x < y) and (ranks[i] == ranks[j]) == (x == y)
+
+
 def test_corpus_order():
     r = random.Random(2)
     for _ in range(40):
