@@ -1,7 +1,7 @@
 """The contraction planner: from labelled operands to a plan of joins and grouped sums.
 
 In order: keep the diagonal of operands that repeat a label; sum out labels that only one operand has (if the algebra
-distributes); pick the cheapest binary tree, by dynamic programming over subsets of up to EXACT operands and greedily
+distributes, and if that leaves clearly fewer rows: else the label is only dropped, and its rows are summed later); pick the cheapest binary tree, by dynamic programming over subsets of up to EXACT operands and greedily
 beyond; join pair by pair on shared labels and sum out what no later operand needs; add labels that only the output
 has; repeat columns that the output repeats.
 
@@ -27,11 +27,16 @@ EXACT = 8
 
 @dataclass
 class Leaf:
-    """A relation with one column for each label, and v."""
+    """A relation with one column for each label, and v. repeats: equal labels may have several rows, still to be summed."""
 
     df: DataFrame
     labels: tuple[str, ...]
     rows: float
+    repeats: bool = False
+
+
+#: A sum before the end is worth its shuffle if it leaves at most this share of the rows.
+WORTH = 0.5
 
 
 def leaf(df: DataFrame, labels: str, rows: float) -> Leaf:
@@ -77,12 +82,15 @@ def partitioning(df: DataFrame) -> tuple[list[int], int] | None:
     return ([int(m.group(1)) for m in modes], int(found.group(2))) if modes and all(modes) else None
 
 
-def summed(x: Leaf, keep: set[str], algebra: Algebra, sizes: dict[str, int]) -> Leaf:
+def summed(x: Leaf, keep: set[str], algebra: Algebra, sizes: dict[str, int], last: bool = True) -> Leaf:
+    """x under the labels to keep. Before the last step rows are only summed where that pays."""
     left = tuple(c for c in x.labels if c in keep)
-    if left == x.labels:
+    if left == x.labels and not (x.repeats and last):
         return x
     rows = min(x.rows, prod(sizes[c] for c in left))
     keys = [_name(c) for c in left]
+    if not last and rows > WORTH * x.rows:
+        return Leaf(x.df.select(*keys, "v"), left, x.rows, True)
     out = x.df.groupBy(*keys).agg(algebra.plus(F.col("v")).alias("v"))
     return Leaf(out if keys else out.where("v is not null"), left, rows)
 
@@ -143,7 +151,7 @@ def contract(leaves: list[Leaf], out: str, sizes: dict[str, int], algebra: Algeb
     if distributive:
         for k, x in enumerate(leaves):
             others = wanted.union(*(y.labels for j, y in enumerate(leaves) if j != k))
-            leaves[k] = summed(x, others, algebra, sizes)
+            leaves[k] = summed(x, others, algebra, sizes, last=len(leaves) == 1)
     live = dict(enumerate(leaves))
     fresh = len(leaves)
     for a, b in order([(frozenset(x.labels), max(1.0, x.rows)) for x in leaves], wanted, sizes):
@@ -154,8 +162,8 @@ def contract(leaves: list[Leaf], out: str, sizes: dict[str, int], algebra: Algeb
         joined = left.join(right, [_name(c) for c in shared], how) if shared else left.crossJoin(right)
         labels = tuple(dict.fromkeys(x.labels + y.labels))
         rows, _ = estimate((frozenset(x.labels), x.rows), (frozenset(y.labels), y.rows), needed, sizes)
-        z = Leaf(joined.select(*(_name(c) for c in labels), times(F.col("v_left"), F.col("v_right")).alias("v")), labels, rows)
-        live[fresh] = summed(z, needed, algebra, sizes)
+        z = Leaf(joined.select(*(_name(c) for c in labels), times(F.col("v_left"), F.col("v_right")).alias("v")), labels, rows, x.repeats or y.repeats)
+        live[fresh] = summed(z, needed, algebra, sizes, last=not live)
         fresh += 1
     (result,) = live.values()
     result = summed(result, wanted, algebra, sizes)
