@@ -14,8 +14,7 @@ blocks of bounded size, and links are verified by likeness. A link of likeness 0
 Walks of a batch run side by side, a step for all of them at a time. Whole texts are walked.
 
 Defined results: a null text is an empty one; an empty text's samples are all blank, and its likeness is 1 to an empty text and 0 to any other;
-equal texts have equal fingerprints; rows with equal ids follow each other by a hash of their texts, then by text, null ids after all
-others; an empty table gives an empty result.
+equal texts have equal fingerprints; rows with equal ids follow each other by a hash of their texts, null ids after all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,14 +164,26 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((same & (steps < short)).sum() / (steps < long).sum())
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(doc, text_key, packed) of rows (doc, text): the text's length in bytes and its compressed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t).to_bytes(8, "big") + codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary())], ["doc", "text_key", "packed"])
+
+    return rows.select("doc", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc long, text_key long, packed binary")
+
+
 def successors(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """(bucket, guest, doc, text_key, text), to be read in order of bucket, guest, doc descending, text_key, text: rows in ranges of doc, and after each range the first row of the next one as guest.
+    """(bucket, guest, doc, text_key, packed), to be read in order of bucket, guest, doc descending, text_key: rows in ranges of doc, and after each range the first row of the next one as guest. Texts are packed, as they are shuffled.
 
     Ranges are split at quantiles. An id that fills a whole range, and null, which comes last, have ranges by the text's hash
     of their own. The first rows of ranges, as ids and hashes (a few for each partition), go to the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = packed(docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     n = 4 * common.partitions(spark)
     quantiles = docs.select(F.percentile_approx(F.col(doc).cast("long"), [i / n for i in range(1, n)], 100_000)).first()[0] or []
     splits = sorted(set(quantiles), reverse=True)
@@ -182,16 +193,18 @@ def successors(docs: DataFrame, text: str, doc: str) -> DataFrame:
     # A range's least id is its split, so what is dealt by hash comes after the rest of its range.
     by_hash = 1 + (F.shiftrightunsigned(F.col("text_key").bitwiseXOR(F.lit(-(1 << 63))), 32) * n / F.lit(float(1 << 32))).cast("int")
     dealt = F.col("doc").isNull() | (F.col("doc").isin(heavy) if heavy else F.lit(False))
-    placed = rows.withColumn("bucket", (place * (n + 2) + F.when(dealt, by_hash).otherwise(0)).cast("int"))
+    bucket = (place * (n + 2) + F.when(dealt, by_hash).otherwise(0)).cast("int").alias("bucket")
+    placed = rows.select(bucket, "doc", "text_key", "packed")
     name = F.struct(F.bitwise_not(F.col("doc")).alias("below"), "text_key")
-    firsts = placed.groupBy("bucket").agg(F.min(name).alias("first")).orderBy("bucket").collect()
+    keys = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
+    firsts = keys.select(bucket, "doc", "text_key").groupBy("bucket").agg(F.min(name).alias("first")).orderBy("bucket").collect()
     if not firsts:
-        return placed.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc", "text_key", "text")
+        return placed.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc", "text_key", "packed")
     # The range before each range; the first row of all follows the last range.
     before = F.array(*(F.struct(F.lit(r["first"]["below"]).cast("long").alias("below"), F.lit(r["first"]["text_key"]).alias("text_key"), F.lit(firsts[i - 1]["bucket"]).alias("b")) for i, r in enumerate(firsts)))
     guest = F.get(F.filter(before, lambda x: (x["text_key"] == F.col("text_key")) & x["below"].eqNullSafe(F.bitwise_not(F.col("doc")))), F.lit(0))["b"]
     homes = F.filter(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(guest.alias("b"), F.lit(True).alias("guest"))), lambda x: x["b"].isNotNull())
-    return placed.select(F.explode(homes).alias("home"), "doc", "text_key", "text").select(F.col("home.b").alias("bucket"), F.col("home.guest").alias("guest"), "doc", "text_key", "text")
+    return placed.select(F.explode(homes).alias("home"), "doc", "text_key", "packed").select(F.col("home.b").alias("bucket"), F.col("home.guest").alias("guest"), "doc", "text_key", "packed")
 
 
 def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -199,8 +212,17 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
 
     The edited text's walk starts where the two texts part, from the state of the first.
     """
+    return _hexed(_edited(docs, text, doc))
+
+
+def _hexed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
+def _edited(docs: DataFrame, text: str, doc: str) -> DataFrame:
+    """edited_pairs() with hashes and fingerprints in binary."""
     rows = successors(docs, text, doc)
-    placed = rows.repartition(common.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc"), "text_key", "text").drop("text_key")
+    placed = rows.repartition(common.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc"), "text_key").drop("text_key")
 
     def finish(own: list[tuple], following: list[tuple]) -> list[tuple]:
         """own: (doc, text); following: the next text of each."""
@@ -215,13 +237,14 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
         out = []
         for (d, t), c, s, k, tail, tc, ts, p in zip(own, chars, states, cut, tails, tail_chars, tail_states, prints):
             edited = _samples(np.concatenate([c[:k], tc]), np.concatenate([s[:k], ts]))
-            sha = hashlib.sha256((t[:k] + tail).encode("utf-8", "surrogatepass")).hexdigest()
+            sha = hashlib.sha256((t[:k] + tail).encode("utf-8", "surrogatepass")).digest()
             out.append((d, len(t), sha, p, edited))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+        codec = pa.Codec("zstd")
         held: list[tuple] = []
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,13 +254,14 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
             done = {i: r for i, r in zip(at, finish([rows[i][2:] for i in at], [rows[i + 1][3] for i in at]))}
             others = [i + 1 for i in at if i + 1 not in done]
             prints = {i: r[3] for i, r in done.items()} | dict(zip(others, fingerprints([rows[i][3] for i in others])))
-            out = [(*done[i][:3], done[i][3].hex(), done[i][4].hex(), likeness(done[i][3], done[i][4]), likeness(done[i][3], prints[i + 1])) for i in at]
+            out = [(*done[i], likeness(done[i][3], done[i][4]), likeness(done[i][3], prints[i + 1])) for i in at]
             columns = list(zip(*out)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for *row, packed_ in zip(*(c.to_pylist() for c in batch.columns)):
+                row = (*row, codec.decompress(packed_[8:], int.from_bytes(packed_[:8], "big"), asbytes=True).decode("utf-8", "replace") if packed_ else "")
                 if held and held[-1][0] != row[0]:
                     yield emit(held)
                     held, size = [], 0
@@ -250,7 +274,7 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Da
         if held:
             yield emit(held)
 
-    return placed.mapInArrow(run, "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInArrow(run, "doc long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
 
 
 def linked(prints: list[bytes], second: list[bool], band: int, width: int, within: bool, least: float) -> list[tuple[int, int, float]]:
@@ -276,8 +300,8 @@ def linked(prints: list[bytes], second: list[bool], band: int, width: int, withi
 
 def _units(distinct: DataFrame) -> DataFrame:
     """(number, fingerprint, key, band, i, j, second), sorted by unit: distinct fingerprints (number, fingerprint) that agree in a band are cut into blocks, and each pair of blocks is a unit of work."""
-    band = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // WIDTH - 1)), lambda b: F.struct(b.alias("band"), F.substring("fingerprint", b * (2 * WIDTH) + 17, F.lit(2 * WIDTH)).alias("read")))
-    rows = distinct.select("number", F.explode(band).alias("x")).where(F.col("x.read") != "00" * WIDTH)
+    band = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // WIDTH - 1)), lambda b: F.struct(b.alias("band"), F.substring("fingerprint", b * WIDTH + 9, F.lit(WIDTH)).alias("read")))
+    rows = distinct.select("number", F.explode(band).alias("x")).where(F.col("x.read") != F.lit(bytes(WIDTH)))
     rows = rows.select("number", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.read").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_PRINTS).cast("int").alias("blocks"))
     rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("number", F.lit(29)), F.col("blocks")).cast("int"))
@@ -288,15 +312,15 @@ def _units(distinct: DataFrame) -> DataFrame:
 
 
 def _verified(units: DataFrame, least: float, give, schema: str) -> DataFrame:
-    """give(members of a unit as (number, fingerprint), its links as places (i, j) and likeness) for each unit; columns by the schema."""
+    """give(members of a unit as (number, fingerprint in binary), its links as places (i, j) and likeness) for each unit; columns by the schema."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, second = None, [], []
         fields = [f.split() for f in schema.split(", ")]
-        kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}
 
         def emit() -> pa.RecordBatch:
-            found = linked([bytes.fromhex(p) for _, p in held], second, unit[3], WIDTH, unit[1] == unit[2], least)
+            found = linked([p for _, p in held], second, unit[3], WIDTH, unit[1] == unit[2], least)
             columns = list(zip(*give(held, found))) or [()] * len(fields)
             return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
@@ -321,6 +345,10 @@ def _distinct(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(fingerprint, n_links) of fingerprints with links: other distinct fingerprints of at least this likeness. prints: a column fingerprint (hex)."""
+    return _links(prints.select(F.unhex("fingerprint").alias("fingerprint")), least).withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+
+
+def _links(prints: DataFrame, least: float = 0.8) -> DataFrame:
     distinct = _distinct(prints)
 
     def give(held: list[tuple[int, str]], found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -337,12 +365,15 @@ def links(prints: DataFrame, least: float = 0.8) -> DataFrame:
 def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(fingerprint_a, fingerprint_b, likeness) of linked distinct fingerprints, each pair once. prints: a column fingerprint (hex)."""
     give = lambda held, found: [(held[i][1], held[j][1], x) for i, j, x in found]
-    return _verified(_units(_distinct(prints)), least, give, "fingerprint_a string, fingerprint_b string, likeness double")
+    binary = prints.select(F.unhex("fingerprint").alias("fingerprint"))
+    pairs = _verified(_units(_distinct(binary)), least, give, "fingerprint_a binary, fingerprint_b binary, likeness double")
+    return pairs.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint_a", "fingerprint_b")})
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and of each fingerprint the number of others like it."""
-    rows = common.materialise(edited_pairs(common.table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id"), "edited")
+    rows = common.materialise(_edited(common.table(spark, sf_dir, "documents"), "text", "doc_id").withColumnRenamed("doc", "doc_id"), "edited")
     common.release(spark)
-    counts = links(rows)
-    return rows.join(counts, "fingerprint", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = _links(rows)
+    joined = rows.join(counts, "fingerprint", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return _hexed(joined)
