@@ -44,9 +44,9 @@ MARK = "▁"
 #: Characters of a word that the table of frequent words holds at most.
 LONGEST = 64
 #: Frequent segments at most; frequent words are a fifth as many.
-MOST = 500_000
+MOST = 350_000
 #: Bytes of texts whose words are handled together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: Bits of a packed edge: rank of its piece, length, and start or end.
 _RANK, _LENGTH = 20, 7
 #: The rank of a character without a piece.
@@ -353,7 +353,7 @@ def counted(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
         words = Cutter(pieces)
         for batch in batches:
             texts = batch.column(0).drop_null()
-            for a, b in parts(texts, 4 * TOGETHER):
+            for a, b in parts(texts, 8 * TOGETHER):
                 found = pc.value_counts(words.many(texts.slice(a, b - a))[1])
                 yield pa.RecordBatch.from_arrays(found.flatten(), ["word", "n"])
 
@@ -536,7 +536,8 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                     paths = {}
                     if lists[k].is_valid:
                         at, path = lists[k].values.flatten()
-                        ends, values = path.offsets.to_numpy().tolist(), path.values.to_numpy().tolist()
+                        ends = path.offsets.to_numpy()
+                        ends, values = (ends - ends[0]).tolist(), path.flatten().to_numpy().tolist()
                         paths = {x: values[a:b] for x, a, b in zip(at.to_numpy().tolist(), ends, ends[1:])}
                     found = [array(code, spell(w.decode(), paths.get(other + j))).tobytes() for j, w in enumerate(rare)]
                     parts_, last, width = [], 0, codes.itemsize
@@ -548,7 +549,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                 out.append(raw)
                 hashes.append(body[:8])
                 total += len(raw)
-                if total > TOGETHER // 4:
+                if total > TOGETHER // 2:
                     yield finished()
                     names, out, hashes, total = [], [], [], 0
             yield finished()
