@@ -55,7 +55,7 @@ def _twice_diagonal(r: Tensor) -> Tensor:
     return r._with(r.df.where("i0 = i1"))
 
 
-@query(f"WITH {NATIONS} SELECT true AS cyclic, round(sum(a.v * b.v / 1e6), 2) AS trace FROM (SELECT x.n, y.m, sum(x.v * y.v) AS v FROM w x JOIN w y ON x.m = y.n GROUP BY ALL) a JOIN (SELECT x.n, y.m, sum(x.v * y.v) AS v FROM w x JOIN w y ON x.m = y.n GROUP BY ALL) b ON a.m = b.n AND a.n = b.m")
+@query(f"WITH {NATIONS} SELECT true AS cyclic, round(sum(a.v / 1e9 * b.v / 1e9), 6) AS trace FROM (SELECT x.n, y.m, sum(x.v * y.v) AS v FROM w x JOIN w y ON x.m = y.n GROUP BY ALL) a JOIN (SELECT x.n, y.m, sum(x.v * y.v) AS v FROM w x JOIN w y ON x.m = y.n GROUP BY ALL) b ON a.m = b.n AND a.n = b.m")
 def trace_cyclic(t: Tables):
     """tr(ABCD) by four orders of the factors."""
     w = t.nations()
@@ -65,7 +65,7 @@ def trace_cyclic(t: Tables):
         a, b, c, d = f[k:] + f[:k]
         found.append(einsum("ab,bc,cd,da->", a, b, c, d).item())
     same = max(found) - min(found) <= 1e-9 * abs(found[0])
-    return t.spark.createDataFrame([(same, round(found[0] / 1e6, 2))], "cyclic boolean, trace double")
+    return t.spark.createDataFrame([(same, round(found[0] / 1e18, 6))], "cyclic boolean, trace double")
 
 
 MP3 = f"""{REGIONS}, e AS (SELECT i AS a, 2.0 + 0.1 * i AS ea, -1.0 - 0.1 * i AS ei FROM range(5) r(i)), s AS (SELECT a.x AS a, b.x AS b, a.y AS i, b.y AS j, a.v * b.v AS v FROM q a CROSS JOIN q b),
