@@ -324,6 +324,36 @@ def test_toxicity_learns_and_reads_whole_texts(spark):
     assert {x["score"] for x in toxicity.score(df, constant).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 4])
+def test_convolution_by_plain_loops(monkeypatch, chunk):
+    """Every filter at every place of each text by itself: no text sees another one."""
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    r = np.random.default_rng(1)
+    model = toxicity.TextCnn(filters=[r.normal(0, 1, (w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS])
+    vectors = r.normal(0, 1, (50, toxicity.SIZE)).astype(np.float32)
+    vectors[0] = 0
+    docs = [r.integers(1, 50, n) for n in (5, 0, 1, 9, 2, 0)]
+    best, where, ids = model.pooled(docs, vectors, places=True)
+    for d, got, at in zip(docs, best, where):
+        x = np.concatenate([vectors[d], np.zeros((3, toxicity.SIZE))])
+        want = [max(sum(float(x[i + k] @ w[k][:, f]) for k in range(len(w))) for i in range(len(d) + 1)) for w in model.filters for f in range(toxicity.FILTERS)]
+        np.testing.assert_allclose(got, want, atol=1e-4)
+    padded = np.concatenate([ids, np.zeros(3, np.int64)])
+    value = lambda place, k: sum(float(vectors[padded[place + i]] @ model.filters[k // toxicity.FILTERS][i][:, k % toxicity.FILTERS]) for i in range(toxicity.WIDTHS[k // toxicity.FILTERS]))
+    for got, at in zip(best, where):
+        np.testing.assert_allclose([value(p, k) for k, p in enumerate(at)], got, atol=1e-4)
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    r = random.Random(1)
+    rows = [(i, prose(20, 900 + i) + (" vileword" if i % 3 == 0 else ""), "en") for i in range(150)]
+    df = spark.createDataFrame([*rows, (900, "", "en"), (901, prose(3, 1), "fr"), (901, prose(3, 1), "fr")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    model, _ = toxicity.learn(df, labels, F.lit(True), sample=100)
+    scores = [sorted((x["doc"], round(x["score"], 6)) for x in toxicity.score(df.repartition(n), model, also=("lang",)).collect()) for n in (1, 7)]
+    assert scores[0] == scores[1] and len({x for x in scores[0] if x[0] == 901}) == 1
+
+
 def brute_removed(texts, n):
     data = [(t or "").encode() for t in texts]
     counts = {}
