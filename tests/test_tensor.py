@@ -168,3 +168,37 @@ def test_scans(t):
     same(t(A[0]).prefix_sum(), np.cumsum(A[0]) - A[0])
     same(scans.prefix(t(A.ravel()), exclusive=False, block=5), np.cumsum(A.ravel()))
     same(scans.sort(t(A.ravel())), np.sort(A.ravel()))
+
+
+def test_partitions(t):
+    other = t(B).distributed(3, 1)
+    got = t(A[:, :3]).align(other)
+    assert got.stored.rdd.getNumPartitions() == 3
+    held = {}
+    for r in got.local().collect():
+        held.setdefault(r["i1"], set()).add(r["partition"])
+    assert all(len(p) == 1 for p in held.values())
+    same(Tensor.from_mapped(t(A).mapped(4, 0), A.shape), A)
+    same(vstack(t(A).split(2)), A)
+    assert t(A[:2, :2]).print_matrix() == "\n".join(" ".join(map(str, r)) for r in A[:2, :2].tolist())
+
+
+def test_long_modes_are_repeated_in_steps(spark, monkeypatch):
+    from gridloom.plans import planner
+
+    monkeypatch.setattr(planner, "REPEATS", 4)
+    for n in (0, 1, 4, 5, 16, 17, 50):
+        got = planner.repeated(spark.range(2), "k", n)
+        assert sorted((r["id"], r["k"]) for r in got.collect()) == [(i, k) for i in range(2) for k in range(n)]
+
+
+def test_sums_wait_where_they_do_not_pay(spark):
+    """Rows that a label's sum wouldn't merge are summed once, at the end; the result is the same."""
+    df = spark.range(200).selectExpr("id % 20 as i0", "id as i1", "id % 3 as i2", "cast(id as double) as v")
+    a = Tensor(df, (20, 200, 3), rows=200)
+    b = Tensor(spark.range(20).selectExpr("id as i0", "id % 4 as i1", "1.0D as v"), (20, 4), rows=20)
+    out = einsum("abc,ad->bd", a, b)
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+    same(out, np.einsum("abc,ad->bd", a.to_numpy(), b.to_numpy()))
+    same(einsum("abc->b", a), a.to_numpy().sum((0, 2)))
