@@ -44,7 +44,7 @@ MARK = "▁"
 #: Characters of a word that the table of frequent words holds at most.
 LONGEST = 64
 #: Frequent segments at most; frequent words are a fifth as many.
-MOST = 350_000
+MOST = 600_000
 #: Bytes of texts whose words are handled together.
 TOGETHER = 1 << 21
 #: Bits of a packed edge: rank of its piece, length, and start or end.
@@ -172,25 +172,38 @@ def spaced(word: str) -> str:
 
 
 class Segments:
-    """A word cut between neighbouring characters that no piece has side by side."""
+    """Words cut between neighbouring characters that no piece has side by side."""
 
     def __init__(self, pieces: Pieces):
-        import re
-
-        self.pairs = {p[i : i + 2].replace(MARK, " ") for p, _, _ in pieces.rows for i in range(len(p) - 1)}
-        # Letters any two of which are such a pair, and so are a space and any of them: words of these have no cut.
-        seen = Counter(c for p in self.pairs for c in p if c != " ")
-        joined: list[str] = []
-        for c, _ in seen.most_common():
-            if " " + c in self.pairs and all({c + d, d + c} <= self.pairs for d in [*joined, c]):
-                joined.append(c)
-        self.whole = re.compile(f" ?[{re.escape(''.join(joined))}]+" if joined else "(?!)").fullmatch
+        pairs = {p[i : i + 2].replace(MARK, " ") for p, _, _ in pieces.rows for i in range(len(p) - 1)}
+        self.number = {c: k for k, c in enumerate(sorted({c for p in pairs for c in p}), 1)}
+        self.near = np.zeros(1 << 16, np.int64)
+        for c, k in self.number.items():
+            if ord(c) < 1 << 16:
+                self.near[ord(c)] = k
+        self.width = len(self.number) + 1
+        self.pairs = np.array(sorted(self.number[p[0]] * self.width + self.number[p[1]] for p in pairs), np.int64)
+
+    def many(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The segments of some words that aren't empty, and where each word's begin; all words are cut at once, as columns of characters."""
+        text = "".join(words)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = self.near[np.minimum(points, 0xFFFF)]
+        for k in np.flatnonzero(points >= 0xFFFF).tolist():
+            own[k] = self.number.get(text[k], 0)
+        pair = own[:-1] * self.width + own[1:]
+        at = np.searchsorted(self.pairs, pair)
+        cut = np.ones(len(points), bool)
+        if len(pair) and len(self.pairs):
+            cut[1:] = self.pairs[np.minimum(at, len(self.pairs) - 1)] != pair
+        starts = np.cumsum([0, *map(len, words)])[:-1]
+        cut[starts] = True
+        places = np.flatnonzero(cut)
+        ends = places.tolist() + [len(points)]
+        return [text[a:b] for a, b in zip(ends, ends[1:])], np.searchsorted(places, starts)
 
     def __call__(self, word: str) -> list[str]:
-        if self.whole(word):
-            return [word]
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+        return self.many([word])[0]
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -381,11 +394,10 @@ class Known:
 
         def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sums: Counter[str] = Counter()
-                for w, n in zip(listed(batch.column(0)), batch.column(1).to_numpy().tolist()):
-                    for x in cut(spaced(w)):
-                        sums[x] += n
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
+                words_ = [spaced(w) for w in listed(batch.column(0))]
+                own, first = cut.many(words_)
+                n = np.repeat(batch.column(1).to_numpy(), np.diff([*first, len(own)]))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(n)], ["word", "n"])
 
         others = counts.join(words, "word", "left_anti").mapInArrow(segments, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         own = counts.join(words, "word", "left_semi").mapInArrow(segments, "word string, n long").select("word")
@@ -394,7 +406,10 @@ class Known:
         parts = common.materialise(parts, "frequent-segments")
         code = code_type(pieces)
         ids = {w: array(code, x).tobytes() for w, x in dictionary(parts, pieces).items()}
-        self.words = {w: b"".join(ids[x] for x in cut(spaced(w))) for w in words.toArrow().column(0).to_pylist()}
+        top = words.toArrow().column(0).to_pylist()
+        found, first = cut.many([spaced(w) for w in top])
+        ends = [*first.tolist(), len(found)]
+        self.words = {w: b"".join([ids[x] for x in found[a:b]]) for w, a, b in zip(top, ends, ends[1:])}
         self.segments = {w: ids[w] for w in parts.where("own").select("word").toArrow().column(0).to_pylist()}
 
 
@@ -450,14 +465,24 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
         """(key, other, body) of a row; body: its id (empty for null, else behind a byte), its codes, compressed, and its segments that aren't known. A hole in the codes is a mark and the place of a segment in two numbers of 15 bits."""
         words, cut, table = Cutter(pieces), Segments(pieces), known.value
         get, part = table.words.get, table.segments.get
-        codec = pa.Codec("zstd", compression_level=1)
+        codec, empty = pa.Codec("zstd", compression_level=1), b""
         mark = Struct("<HHH" if code == "H" else "<III").pack
 
-        def codes_of(word: str) -> bytes | list[str]:
-            """A word's codes, or its segments if one isn't known."""
-            own = cut(spaced(word)) if word != "\0" else []
-            found = [part(w) for w in own]
-            return own if None in found else b"".join(found)
+        def looked_up(own: list[str]) -> list[bytes | list[str]]:
+            """Codes of distinct words, or a word's segments if one isn't known."""
+            made = list(map(get, own))
+            new = [k for k, x in enumerate(made) if x is None and own[k] != "\0"]
+            segments, first = cut.many([spaced(own[k]) for k in new])
+            codes = list(map(part, segments))
+            ends = [*first.tolist(), len(segments)]
+            for k, a, b in zip(new, ends, ends[1:]):
+                if b - a == 1:
+                    x = codes[a]
+                    made[k] = segments[a:b] if x is None else x
+                else:
+                    x = codes[a:b]
+                    made[k] = segments[a:b] if None in x else empty.join(x)
+            return [b"" if x is None else x for x in made]
 
         def with_holes(own: list[str], rare: dict[str, int]) -> bytes:
             out = []
@@ -473,7 +498,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
             offsets, own = words.many(texts)
             encoded = own.dictionary_encode()
             at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            made = [get(w) or codes_of(w) for w in listed(encoded.dictionary)]
+            made = looked_up(listed(encoded.dictionary))
             # Each place of a word with unknown segments gets codes of its own, as its document numbers them.
             is_open = np.array([type(x) is list for x in made], bool)
             places = np.flatnonzero(is_open[at]) if len(at) else at

@@ -166,6 +166,18 @@ def test_sentencepiece(spark, docs, most):
         assert r["round_trip"] and any(sp.encode(t) == r["ids"] and decode(r["ids"]) == t.replace("▁", " ") for t in texts[r["doc"]])
 
 
+def test_segments_are_cut_where_no_piece_is():
+    pieces = sentences.load("piece_bpe_32k.model")
+    pairs = {p[i : i + 2].replace("▁", " ") for p, _, _ in pieces.rows for i in range(len(p) - 1)}
+    words = [" enenble.&&&", "x", " laéèçan", "🙂🙂x", " \uffff\uffffa", "日本語", " the", "\n", " q\0x"]
+    found, first = sentences.Segments(pieces).many(words)
+    for w, a, b in zip(words, first, [*first[1:], len(found)]):
+        own = found[a:b]
+        assert "".join(own) == w and all(y[-1] + z[0] not in pairs for y, z in zip(own, own[1:]))
+        assert all(y[i : i + 2] in pairs for y in own for i in range(len(y) - 1))
+    assert sentences.Segments(pieces).many([])[0] == []
+
+
 def test_words_of_many_texts_are_those_of_each():
     import pyarrow as pa
 
