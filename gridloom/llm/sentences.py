@@ -252,8 +252,17 @@ class Fold:
         same = lambda found: (found["hash"] == table["hash"]) & F.startswith(found["part"], table["piece"]) & (F.octet_length(found["part"]) <= F.octet_length(table["piece"]))
         least = 1 if self.pieces.unigram else 2
         at = words.where(F.char_length("word") >= least).select(*key, "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - least)).alias("s"))
-        reach = F.sequence(F.lit(least), F.least(F.lit(self.pieces.width), F.char_length("word") - F.col("s")))
-        at = at.select(*key, "s", F.substring("word", F.col("s") + 1, F.lit(self.pieces.width)).alias("rest"), F.explode(reach).alias("l"))
+        at = at.select(*key, "s", F.substring("word", F.col("s") + 1, F.lit(self.pieces.width)).alias("rest"), (F.char_length("word") - F.col("s")).alias("left"))
+        # No substring is longer than the longest piece that begins with the same two characters.
+        longest: dict[str, int] = {}
+        for p, _, _ in self.ranked:
+            two = p.replace(MARK, " ")[:2]
+            longest[two] = max(longest.get(two, 0), len(p))
+        begins = spark.createDataFrame([(t, n) for t, n in longest.items() if len(t) == 2], "two string, most int")
+        begins = F.broadcast(begins.select(F.xxhash64("two").alias("begin"), "most"))
+        at = at.withColumn("begin", F.xxhash64(F.substring("rest", 1, 2))).join(begins, "begin", "left" if self.pieces.unigram else "inner")
+        reach = F.sequence(F.lit(least), F.least(F.coalesce("most", F.lit(least)), F.col("left")))
+        at = at.select(*key, "s", "rest", F.explode(reach).alias("l"))
         found = at.withColumn("part", F.substring("rest", F.lit(1), F.col("l"))).withColumn("hash", F.xxhash64("part"))
         found = found.join(table, same(found), "left").where("rank is not null or l = 1") if self.pieces.unigram else found.join(table, same(found))
         return found.select(*key, self.packed(F.coalesce("rank", F.lit(_NONE)), F.col("s"), F.col("s") + F.col("l")).alias("edge"))
