@@ -44,7 +44,7 @@ MARK = "▁"
 #: Characters of a word that the table of frequent words holds at most.
 LONGEST = 64
 #: Frequent segments at most; frequent words are a fifth as many.
-MOST = 600_000
+MOST = 450_000
 #: Bytes of texts whose words are handled together.
 TOGETHER = 1 << 21
 #: Bits of a packed edge: rank of its piece, length, and start or end.
@@ -525,6 +525,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
             names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
             for a, b in parts(texts, TOGETHER):
                 yield together(names[a:b], texts.slice(a, b - a))
+            pa.default_memory_pool().release_unused()
 
     # One shuffle, which both uses below read: they take the same columns of it, and no filter is pushed below it, not even that keys aren't null.
     n = 4 * common.partitions(spark)
@@ -578,6 +579,7 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
                     yield finished()
                     names, out, hashes, total = [], [], [], 0
             yield finished()
+            pa.default_memory_pool().release_unused()
 
     out = joined.mapInArrow(put, "doc string, ids array<int>, round_trip boolean")
     return out.select(F.col("doc").cast(kind).alias("doc"), "ids", "round_trip")
