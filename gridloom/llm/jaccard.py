@@ -3,10 +3,11 @@
 A document's set are the hashes of its windows of five words (of all its words, if it has fewer). Documents with equal
 sets are one class member from there on. A forest has TREES prefix tries; a member's key in a tree is a sequence of
 DEPTH MinHash values, and two members meet in a tree where their keys share a prefix, which is a node of the trie: members
-are brought together by prefix, level by level. Matching starts at full depth. Of the pairs that meet there, a bounded sample by hash tells from
-its signatures how alike the corpus's links are, each counted by one over its chance to meet at that depth; the prefix is
-then shortened, for all trees alike, until the expected share of links that meet in some tree is the target recall. Links
-at the threshold itself are the worst case: where the corpus has them the prefix ends at the depth that suffices for them.
+are brought together by prefix, level by level. Matching starts at full depth. All members that meet there are compared, by
+signature, with the least member of their node, which tells how alike the corpus's links are; the prefix is then shortened,
+for all trees alike, until the least alike of these links meet in some tree with the target recall. Links at the threshold
+itself are the worst case: where the corpus has them the prefix ends at the depth that suffices for them. (Members of one node
+that aren't its least are in one candidate group whatever the depth, so nothing hangs on their likeness.)
 
 Members that meet are put into candidate groups (components over the tries' nodes). All pairs of a group are verified
 exactly, but never as rows: a group is cut into blocks of bounded size, each pair of blocks is one unit of work, and what
@@ -32,8 +33,8 @@ from . import common, graphs
 
 WORDS = 5
 TREES, DEPTH = 25, 7
-#: Pairs whose signatures are compared to set the depth, at most.
-PILOT = 4000
+#: A signature's likeness is off by a few hundredths.
+MARGIN = 0.06
 #: Shingles and members of a block of a candidate group.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 120_000, 400
 SLOTS = 64
@@ -70,19 +71,14 @@ def depth_for(threshold: float, recall: float) -> int:
     return depth
 
 
-def shortened(likeness: np.ndarray, threshold: float, recall: float) -> int:
-    """The depth at which the expected share of links that meet reaches the recall. likeness: of pairs met at full depth, from their signatures.
+def shortened(alike: dict[int, int], threshold: float, recall: float) -> int:
+    """The depth at which the least alike links meet with the wanted probability. alike: how many pairs met at full depth have how many equal signature values.
 
-    Estimates are off by a few hundredths, so pairs a little below the threshold count as links at it.
+    Pairs a little below the threshold count as links at it, and links as a little less alike than their signatures.
     """
-    s = np.maximum(likeness[likeness >= threshold - 0.06], threshold)
-    if not len(s):
-        return depth_for(threshold, recall)
-    weight = 1 / (1 - (1 - s**DEPTH) ** TREES)
-    depth = DEPTH
-    while depth > 1 and (weight * (1 - s**depth) ** TREES).sum() > (1 - recall) * weight.sum():
-        depth -= 1
-    return depth
+    values = TREES * DEPTH
+    links = [equal / values for equal, pairs in alike.items() if pairs and equal / values >= threshold - MARGIN]
+    return depth_for(max(min(links, default=0.0) - MARGIN, threshold), recall)
 
 
 def minhashes(own: np.ndarray) -> bytes:
@@ -128,16 +124,21 @@ def candidate_edges(members: DataFrame, depth: int) -> DataFrame:
     return at.join(nodes, ["node", "slot"]).where("number != least").select(F.col("number").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def pilot(members: DataFrame) -> np.ndarray:
-    """Likeness, from signatures, of at most PILOT pairs that meet at full depth: those of smallest hash."""
-    pairs = common.materialise(candidate_edges(members, DEPTH).orderBy(F.xxhash64("a", "b"), "a", "b").limit(PILOT), "pilot")
-    # At most PILOT pairs, so they may be sent to every task.
-    one = members.select(F.col("number").alias("a"), F.col("signature").alias("x")).join(F.broadcast(pairs), "a")
-    both = members.select(F.col("number").alias("b"), F.col("signature").alias("y")).join(F.broadcast(common.materialise(one, "pilot-half")), "b").select("x", "y").toArrow()
-    if not len(both):
-        return np.zeros(0)
-    x, y = (np.frombuffer(b"".join(both.column(c).to_pylist()), "<u2").reshape(len(both), -1) for c in "xy")
-    return (x == y).mean(axis=1)
+def met(members: DataFrame) -> dict[int, int]:
+    """Of all pairs of a member and the least one of its node at full depth: how many have how many equal signature values."""
+    own = members.select("number", "signature")
+    pairs = candidate_edges(members, DEPTH).join(own.select(F.col("number").alias("a"), F.col("signature").alias("x")), "a")
+    pairs = pairs.join(own.select(F.col("number").alias("b"), F.col("signature").alias("y")), "b").select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, TREES * DEPTH) for c in batch.columns)
+            equal, n = np.unique((x == y).sum(axis=1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(equal, pa.int64()), pa.array(n, pa.int64())], ["equal", "n"])
+
+    # One row for each number of equal values at most.
+    counts = pairs.mapInArrow(run, "equal long, n long").groupBy("equal").agg(F.sum("n").alias("n"))
+    return {r["equal"]: r["n"] for r in counts.collect()}
 
 
 def units(groups: DataFrame) -> DataFrame:
@@ -233,9 +234,9 @@ def classified(docs: DataFrame, text: str = "text", doc: str = "doc_id", thresho
     members = full.groupBy("k1", "k2").agg(F.min("doc").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     # Sets may share an id; once written, numbers are theirs alone.
     members = common.materialise(members.withColumn("number", F.monotonically_increasing_id()), "members")
-    depth = shortened(pilot(members), threshold[0] / threshold[1], recall)
-    met = graphs.components(candidate_edges(members, depth)).select(F.col("v").alias("number"), F.col("l").alias("group"))
-    groups = common.materialise(members.drop("signature").join(met, "number"), "groups")
+    depth = shortened(met(members), threshold[0] / threshold[1], recall)
+    grouped = graphs.components(candidate_edges(members, depth)).select(F.col("v").alias("number"), F.col("l").alias("group"))
+    groups = common.materialise(members.drop("signature").join(grouped, "number"), "groups")
     work = common.materialise(units(groups), "units")
     common.release(docs.sparkSession)
     found = common.materialise(links(docs, work, text, doc, threshold), "links")

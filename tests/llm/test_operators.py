@@ -266,6 +266,38 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {29}
 
 
+def mixed_links() -> dict[int, str]:
+    """4500 pairs with 95 of 105 windows in common and 20 with 103 of 123."""
+    r, texts = random.Random(8), {}
+    for i in range(4520):
+        words = [f"{r.randrange(1 << 40):x}" for _ in range(104 if i < 4500 else 117)]
+        other = list(words)
+        for k in [50] if i < 4500 else [40, 80]:
+            other[k] = "new"
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(other)}
+    return texts
+
+
+def test_jaccard_depth_counts_every_pair(spark, monkeypatch):
+    """Few links less alike than thousands of others shorten the prefix."""
+    depths, edges = [], jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda members, depth: depths.append(depth) or edges(members, depth))
+    got = {r["doc"]: (r["class_id"], r["n_links"]) for r in jaccard.join(spark.createDataFrame(list(mixed_links().items()), "doc_id long, text string")).collect()}
+    assert depths == [jaccard.DEPTH, jaccard.depth_for(0.8, 0.9999)]
+    assert got == {d: (d - d % 2, 1) for d in range(9040)}
+
+
+def test_jaccard_likeness_is_the_signatures(spark):
+    base = prose(200, 77).split()
+    df = spark.createDataFrame([(i, " ".join(base[: 5 * i] + ["q"] + base[5 * i + 1 :])) for i in range(30)], "doc_id long, text string")
+    members = common.materialise(jaccard.signatures(df, "text", "doc_id").select(F.col("doc").alias("number"), "signature"), "members")
+    kept = {r["number"]: np.frombuffer(r["signature"], "<u2") for r in members.collect()}
+    pairs = [int((kept[a] == kept[b]).sum()) for a, b in jaccard.candidate_edges(members, jaccard.DEPTH).collect()]
+    assert len(pairs) > 20 and jaccard.met(members) == {n: pairs.count(n) for n in pairs}
+    assert jaccard.shortened({175: 9}, 0.8, 0.9999) == jaccard.DEPTH
+    assert jaccard.shortened({175: 10**9, 145: 1}, 0.8, 0.9999) == jaccard.shortened({}, 0.8, 0.9999) == 5
+
+
 def test_quality_figures(docs):
     rows = quality.measured(docs, "text", "text").collect()
     for r in rows:
