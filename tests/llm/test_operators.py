@@ -368,6 +368,48 @@ def test_toxicity_learns_and_reads_whole_texts(spark):
     assert {x["score"] for x in toxicity.score(df, constant).collect()} == {0.0}
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    """A word that only the toxic rows beyond the 2500 of smallest hash hold is learned as well."""
+    r = random.Random(2)
+    order = [x["id"] for x in spark.range(2900).orderBy(F.xxhash64("id", F.lit(11)), "id").collect()]
+    plain = lambda: " ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(12))
+    rows = [(i, plain() + (" vileword " if k < 2500 else " nastyterm ") + plain(), "en") for k, i in enumerate(order)]
+    rows += [(i, plain() + " " + plain(), "en") for i in range(3000, 6000)]
+    fresh = [(9000 + k, plain() + (" nastyterm " if k % 2 else " ") + plain(), "en") for k in range(100)]
+    df = spark.createDataFrame(rows + fresh, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, int(i < 3000)) for i, _, _ in rows], "doc_id long, toxic int")
+    model, _ = toxicity.learn(df, lab, F.lit(True))
+    got = {x["doc"]: x["score"] >= 0.3 for x in toxicity.score(df.where("doc_id >= 9000"), model).collect()}
+    assert sum(got[9000 + k] == bool(k % 2) for k in range(100)) >= 95
+
+
+def test_toxicity_shards(spark, monkeypatch):
+    """Many shards, one without toxic rows among them, learn what one does, however rows are partitioned."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 40)
+    rows = [(i, prose(20, 900 + i) + (" vileword" if i % 8 == 0 else ""), "en") for i in range(400)]
+    df = spark.createDataFrame([*rows, (7, None, "en")], "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)], "doc_id long, toxic int")
+    models = [toxicity.learn(df.repartition(n), lab.repartition(n), F.lit(True))[0] for n in (1, 7)]
+    scores = [{(x["doc"], x["score"]) for x in toxicity.score(df, m).collect()} for m in models]
+    assert scores[0] == scores[1]
+    assert sum((s >= 0.3) == (d % 8 == 0) for d, s in scores[0]) >= 390
+
+
+def test_toxicity_counts_by_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)
+    texts = [(k % 2, t) for k, t in enumerate(TEXTS * 40)]
+    want = np.zeros((2, toxicity.ROWS), np.int64)
+    for y, t in texts:
+        for row in {p for w in toxicity.split(t) for p in toxicity.parts(w)}:
+            want[y, row] += 1
+    got = toxicity.documents_with(spark.createDataFrame(texts, "y int, text string").repartition(3))
+    assert (got == want).all()
+    turns, pool = toxicity._rounds(np.arange(10), 4, np.random.default_rng(1)), []
+    while len(pool) < 20:
+        pool += next(turns).tolist()
+    assert sorted(pool[:10]) == sorted(pool[10:]) == list(range(10))
+
+
 @pytest.mark.parametrize("chunk", [1 << 16, 4])
 def test_convolution_by_plain_loops(monkeypatch, chunk):
     """Every filter at every place of each text by itself: no text sees another one."""
