@@ -287,6 +287,18 @@ def test_jaccard_depth_counts_every_pair(spark, monkeypatch):
     assert got == {d: (d - d % 2, 1) for d in range(9040)}
 
 
+def test_pipeline_depth_counts_every_pair(spark, monkeypatch):
+    """The near-duplicate stage shortens its prefix for few links less alike than thousands of others, too."""
+    import corpus_pipeline
+
+    depths, edges = [], jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda members, depth: depths.append(depth) or edges(members, depth))
+    rows = [(d, t, "en", "s", len(t)) for d, t in mixed_links().items()]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(0, 9040, 2))
+    assert depths == [jaccard.DEPTH, jaccard.depth_for(0.8, 0.9999)]
+
+
 def test_jaccard_likeness_is_the_signatures(spark):
     base = prose(200, 77).split()
     df = spark.createDataFrame([(i, " ".join(base[: 5 * i] + ["q"] + base[5 * i + 1 :])) for i in range(30)], "doc_id long, text string")
