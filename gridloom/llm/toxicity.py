@@ -38,6 +38,8 @@ CHUNK = 1 << 16
 REMEMBERED = 300_000
 #: Rows and characters of a shard, on average at most.
 SHARD_ROWS, SHARD_CHARS = 16_384, 48_000_000
+#: Bits of a block of the filter of labelled ids.
+BLOCK = 1 << 15
 #: Units of a weight's and a logit's whole numbers, whose sums don't depend on their order.
 WEIGHT_UNIT, LOGIT_UNIT = 2.0**-32, 2.0**-10
 _WORD = re.compile(r"[^\W_]+")
@@ -325,6 +327,37 @@ def trained(rows: DataFrame, model: TextCnn, shards: int) -> TextCnn:
     return out
 
 
+def labelled(docs: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """The rows of docs (doc, ..) whose id is one of known's, total in number, and about one in seventy of the others: by a Bloom filter of 16 to 32 bits an id, so that a join shuffles few texts in vain."""
+    bits = 1 << max(BLOCK.bit_length() - 1, (16 * total - 1).bit_length())
+    places = [F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.sort(batch.column(0).to_numpy())
+            for part in np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1):
+                if len(part):
+                    own.setdefault(int(part[0]) // BLOCK, np.zeros(BLOCK, bool))[part % BLOCK] = True
+        packed = pa.array([np.packbits(b).tobytes() for b in own.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), packed], ["block", "bits"])
+
+    at = known.select(F.explode(F.array(*places)).alias("at"))
+    dealt = at.repartition(max(common.partitions(docs.sparkSession), 1), F.floor(F.col("at") / BLOCK))
+    filled = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
+    for r in dealt.mapInArrow(blocks, "block long, bits binary").collect():
+        filled[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(filled.ravel())
+
+    @F.arrow_udf("boolean")
+    def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+        have = shared.value
+        return pa.array((have[x >> 3] >> (7 - (x & 7)) & have[y >> 3] >> (7 - (y & 7)) & 1).astype(bool))
+
+    return docs.where(maybe(*places))
+
+
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text", doc: str = "doc_id", lang: str | None = "lang", label: str = "toxic", sample: int | None = None, threshold: float = 0.3) -> tuple[TextCnn, dict[str, float]]:
     """A model and thresholds by language, from all allowed labelled rows (with sample: from those of that many ids of each class, of smallest hash)."""
     known = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("doc")).agg(F.max(label).cast("int").alias("y")).where(allowed)
@@ -337,8 +370,10 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text: str = "text
     if sample is not None:
         known = functools.reduce(DataFrame.unionByName, (known.where(F.col("y") == value).orderBy("key", "doc").limit(sample) for value in counts))
     language = F.col(lang) if lang else F.lit(None).cast("string")
-    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), language.cast("string").alias("lang")).join(known, "doc")
+    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), language.cast("string").alias("lang"))
+    texts = labelled(texts, known, total).join(known.hint("merge"), "doc")
     rows = common.materialise(texts.select("key", "y", "text", "lang", (F.pmod("key", F.lit(5)) == 0).alias("kept_out")), "toxic-rows")
+    common.release(docs.sparkSession)
     sizes = rows.where("not kept_out").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars")).collect()
     if len(sizes) < 2:
         return TextCnn(constant=share), {}

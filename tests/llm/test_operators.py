@@ -407,6 +407,13 @@ def test_toxicity_shards(spark, monkeypatch):
     assert sum((s >= 0.3) == (d % 8 == 0) for d, s in scores[0]) >= 390
 
 
+def test_toxicity_filter_keeps_labelled_ids(spark):
+    ids = spark.range(-20000, 20000).select(F.col("id").alias("doc")).union(spark.createDataFrame([(None,)], "doc long"))
+    known = ids.where("doc % 3 = 0")
+    got = {r["doc"] for r in toxicity.labelled(ids, known, known.count()).collect()}
+    assert {d for d in range(-20000, 20000) if d % 3 == 0} <= got and len(got) < 13400 + 26700 * 0.03
+
+
 def test_toxicity_counts_by_plain_loops(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "REMEMBERED", 20)
     texts = [(k % 2, t) for k, t in enumerate(TEXTS * 40)]
