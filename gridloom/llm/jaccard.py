@@ -3,13 +3,12 @@
 A document's set are the hashes of its windows of five words (of all its words, if it has fewer). Documents with equal
 sets are one class member from there on. A forest has TREES prefix tries; a member's key in a tree is a sequence of
 DEPTH MinHash values, and two members meet in a tree where their keys share a prefix, which is a node of the trie: members
-are brought together by prefix, level by level. Matching starts at full depth. All members that meet there are compared, by
-signature, with the least member of their node, which tells how alike the corpus's links are; the prefix is then shortened,
-for all trees alike, until the least alike of these links meet in some tree with the target recall. Links at the threshold
-itself are the worst case: where the corpus has them the prefix ends at the depth that suffices for them. (Members of one node
-that aren't its least are in one candidate group whatever the depth, so nothing hangs on their likeness.)
+are brought together by prefix. Matching starts at full depth; what meets there goes on as one group. The prefix is then
+shortened, for all trees and groups alike, to the depth at which links at the threshold, the worst case, meet in some tree
+with the target recall. That depth follows from the threshold and the recall alone: no pairs of the corpus are asked how
+alike its links are, as those that meet at full depth say nothing of those that don't.
 
-Members that meet are put into candidate groups (components over the tries' nodes). All pairs of a group are verified
+Members that meet are put into candidate groups (components over the tries' nodes at both depths). All pairs of a group are verified
 exactly, but never as rows: a group is cut into blocks of bounded size, each pair of blocks is one unit of work, and what
 a unit returns is for each member its number of links and the least member it is connected with. Components over those
 give the classes.
@@ -72,9 +71,9 @@ def depth_for(threshold: float, recall: float) -> int:
 
 
 def shortened(alike: dict[int, int], threshold: float, recall: float) -> int:
-    """The depth at which the least alike links meet with the wanted probability. alike: how many pairs met at full depth have how many equal signature values.
+    """The depth at which the least alike links seen meet with the wanted probability. alike: how many pairs met at full depth have how many equal signature values.
 
-    Pairs a little below the threshold count as links at it, and links as a little less alike than their signatures.
+    A figure of a corpus; the join doesn't go by it, as a link that isn't seen at full depth may need a shorter prefix. Pairs a little below the threshold count as links at it, and links as a little less alike than their signatures.
     """
     values = TREES * DEPTH
     links = [equal / values for equal, pairs in alike.items() if pairs and equal / values >= threshold - MARGIN]
@@ -114,16 +113,27 @@ def signatures(docs: DataFrame, text: str, doc: str) -> DataFrame:
 
 
 def candidate_edges(members: DataFrame, depth: int) -> DataFrame:
-    """(a, b): the numbers of each member and of the least member of each node at a depth that it shares. A node's rows are spread over slots, so no node meets in one task."""
+    """(a, b): the numbers of each member and of the least member of each node at a depth that it shares. Members with one number are one. A node's rows are spread over slots, so no node meets in one task."""
     tree = F.col("tree")
     prefix = F.substring("signature", tree * (2 * DEPTH) + 1, F.lit(2 * depth))
-    at = members.select("number", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("number", F.xxhash64("tree", prefix).alias("node"))
-    at = at.withColumn("slot", F.pmod(F.xxhash64("number"), F.lit(SLOTS)).cast("int"))
-    nodes = at.groupBy("node").agg(F.min("number").alias("least"), F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, slot)")).alias("slots")).where("n > 1")
+    at = members.select("number", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    at = at.select("number", F.xxhash64("tree", prefix).alias("node"), F.pmod(F.xxhash64("number", "signature"), F.lit(SLOTS)).cast("int").alias("slot"))
+    nodes = at.groupBy("node").agg(F.min("number").alias("least"), F.max("number").alias("most"), F.bit_or(F.expr("shiftleft(1L, slot)")).alias("slots")).where("least != most")
     nodes = nodes.select("node", "least", F.explode(F.expr(f"filter(sequence(0, {SLOTS - 1}), s -> getbit(slots, s) = 1)")).alias("slot"))
     return at.join(nodes, ["node", "slot"]).where("number != least").select(F.col("number").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def candidate_groups(members: DataFrame, depth: int) -> DataFrame:
+    """(number, group) of the members that meet others at a depth. Those that meet at full depth are one member from there on."""
+    full = graphs.components(candidate_edges(members, DEPTH)).select(F.col("v").alias("number"), F.col("l").alias("at_full"))
+    if depth == DEPTH:
+        return full.withColumnRenamed("at_full", "group")
+    own = members.select("number", "signature").join(full, "number", "left")
+    short = graphs.components(candidate_edges(own.select(F.coalesce("at_full", "number").alias("number"), "signature"), depth))
+    labels = members.select("number").join(full, "number", "left").withColumn("v", F.coalesce("at_full", "number")).join(short, "v", "left")
+    return labels.select("number", F.coalesce("l", "at_full").alias("group")).where("group is not null")
+
+
 def met(members: DataFrame) -> dict[int, int]:
     """Of all pairs of a member and the least one of its node at full depth: how many have how many equal signature values."""
     own = members.select("number", "signature")
@@ -234,8 +244,7 @@ def classified(docs: DataFrame, text: str = "text", doc: str = "doc_id", thresho
     members = full.groupBy("k1", "k2").agg(F.min("doc").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     # Sets may share an id; once written, numbers are theirs alone.
     members = common.materialise(members.withColumn("number", F.monotonically_increasing_id()), "members")
-    depth = shortened(met(members), threshold[0] / threshold[1], recall)
-    grouped = graphs.components(candidate_edges(members, depth)).select(F.col("v").alias("number"), F.col("l").alias("group"))
+    grouped = candidate_groups(members, depth_for(threshold[0] / threshold[1], recall))
     groups = common.materialise(members.drop("signature").join(grouped, "number"), "groups")
     work = common.materialise(units(groups), "units")
     common.release(docs.sparkSession)

@@ -299,6 +299,61 @@ def test_pipeline_depth_counts_every_pair(spark, monkeypatch):
     assert depths == [jaccard.DEPTH, jaccard.depth_for(0.8, 0.9999)]
 
 
+def test_pipeline_depth_is_the_thresholds(spark):
+    """A link that doesn't meet at full depth is found where all that do meet there are much more alike."""
+    import corpus_pipeline
+
+    def pair(seed: int, n: int, changed: list[int]) -> list[str]:
+        r = random.Random(seed)
+        words = [f"{r.randrange(1 << 40):x}" for _ in range(n)]
+        return [" ".join(words), " ".join("new" if k in changed else w for k, w in enumerate(words))]
+
+    alike = [pair(1000 + i, 500, [250]) for i in range(40)]
+    rare = pair(135, 97, [30, 60])
+    assert len(brute_pairs(dict(enumerate(rare)))) == 1
+    x, y = (np.frombuffer(jaccard.minhashes(jaccard.shingles(t.encode())), "<u2").reshape(jaccard.TREES, jaccard.DEPTH) for t in rare)
+    depth = jaccard.depth_for(0.8, 0.9999)
+    assert not (x == y).all(axis=1).any() and (x == y)[:, :depth].all(axis=1).any()
+    rows = [(d, t, "en", "s", len(t)) for d, t in enumerate(t for p in [*alike, rare] for t in p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(0, 82, 2))
+    assert {r["doc"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs).collect()} == {d: (d - d % 2, 1) for d in range(82)}
+
+
+def test_jaccard_groups_go_on_as_one(spark):
+    """Groups at full depth and the shortened depth's nodes give the components of all nodes at that depth."""
+    r = random.Random(4)
+    keys = [[r.randrange(1 << 16) for _ in range(jaccard.TREES * jaccard.DEPTH)] for _ in range(2000)]
+    for i in range(1, 2000):
+        at, other = jaccard.DEPTH * r.randrange(jaccard.TREES), keys[r.randrange(i)]
+        shared = r.choice([4, 5, 6, 7])
+        keys[i][at : at + shared] = other[at : at + shared]
+    members = spark.createDataFrame([(i, np.array(k, "<u2").tobytes()) for i, k in enumerate(keys)], "number long, signature binary")
+    groups = {}
+    for depth in (jaccard.DEPTH, 5):
+        nodes = {}
+        for i, k in enumerate(keys):
+            for t in range(jaccard.TREES):
+                nodes.setdefault((t, *k[t * jaccard.DEPTH : t * jaccard.DEPTH + depth]), []).append(i)
+        parent = list(range(len(keys)))
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for m in nodes.values():
+            for v in m[1:]:
+                a, b = sorted((root(m[0]), root(v)))
+                parent[b] = a
+        met = {v for m in nodes.values() if len(m) > 1 for v in m}
+        got = {x["number"]: x["group"] for x in jaccard.candidate_groups(members, depth).collect()}
+        assert got == {v: root(v) for v in met}
+        groups[depth] = len(set(got.values()))
+    assert groups[5] != groups[jaccard.DEPTH]
+
+
 def test_jaccard_likeness_is_the_signatures(spark):
     base = prose(200, 77).split()
     df = spark.createDataFrame([(i, " ".join(base[: 5 * i] + ["q"] + base[5 * i + 1 :])) for i in range(30)], "doc_id long, text string")
