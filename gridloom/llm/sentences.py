@@ -385,6 +385,37 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return short.where(F.col("level") >= bar) if bar is not None else short.where("false")
 
 
+class Table:
+    """Codes of names, in a few columns instead of an object for each, as every worker holds one: names by their hashes, in order, with their codes one after the other. Of names with equal hashes one is kept; the others aren't known."""
+
+    def __init__(self, names: list[str], codes: list[bytes], code: str):
+        self.hashes, first = np.unique(self.hashed(names), return_index=True)
+        order = first.tolist()
+        self.names = pa.array([names[k] for k in order], pa.string())
+        self.codes = np.frombuffer(b"".join([codes[k] for k in order]), code)
+        self.ends = (np.cumsum([0, *(len(codes[k]) for k in order)]) // self.codes.itemsize).astype(np.int32 if len(self.codes) < 1 << 31 else np.int64)
+
+    @staticmethod
+    def hashed(names: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+
+    def find(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each name is known, where its codes begin and how many there are (0 and 0 if it isn't)."""
+        is_known, begin, sizes = np.zeros(len(names), bool), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        if len(names) and len(self.hashes):
+            own = self.hashed(names)
+            # In order, so that neighbouring searches read neighbouring places.
+            order = np.argsort(own)
+            own = own[order]
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == own)
+            order, at = order[hit], at[hit]
+            same = pc.equal(self.names.take(pa.array(at)), pa.array(names, pa.string()).take(pa.array(order))).to_numpy(zero_copy_only=False)
+            order, at = order[same], at[same]
+            is_known[order], begin[order], sizes[order] = True, self.ends[at], self.ends[at + 1] - self.ends[at]
+        return is_known, begin, sizes
+
+
 class Known:
     """Ids, as bytes, of the frequent words (as a Cutter gives them) and of the frequent segments of others."""
 
@@ -409,8 +440,9 @@ class Known:
         top = words.toArrow().column(0).to_pylist()
         found, first = cut.many([spaced(w) for w in top])
         ends = [*first.tolist(), len(found)]
-        self.words = {w: b"".join([ids[x] for x in found[a:b]]) for w, a, b in zip(top, ends, ends[1:])}
-        self.segments = {w: ids[w] for w in parts.where("own").select("word").toArrow().column(0).to_pylist()}
+        self.words = Table(top, [b"".join([ids[x] for x in found[a:b]]) for a, b in zip(ends, ends[1:])], code)
+        names = parts.where("own").select("word").toArrow().column(0).to_pylist()
+        self.segments = Table(names, [ids[w] for w in names], code)
 
 
 def code_type(pieces: Pieces) -> str:
@@ -464,30 +496,27 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, other, body) of a row; body: its id (empty for null, else behind a byte), its codes, compressed, and its segments that aren't known. A hole in the codes is a mark and the place of a segment in two numbers of 15 bits."""
         words, cut, table = Cutter(pieces), Segments(pieces), known.value
-        get, part = table.words.get, table.segments.get
-        codec, empty = pa.Codec("zstd", compression_level=1), b""
+        codec = pa.Codec("zstd", compression_level=1)
         mark = Struct("<HHH" if code == "H" else "<III").pack
 
-        def looked_up(own: list[str]) -> list[bytes | list[str]]:
-            """Codes of distinct words, or a word's segments if one isn't known."""
-            made = list(map(get, own))
-            new = [k for k, x in enumerate(made) if x is None and own[k] != "\0"]
+        def looked_up(own: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, dict[int, list[tuple[str, bytes | None]]]]:
+            """Codes of distinct words, where each word's begin and how many there are; and of words with a segment that isn't known, their segments and what is known of their codes."""
+            is_known, begin, sizes = table.words.find(own)
+            new = [k for k in np.flatnonzero(~is_known).tolist() if own[k] != "\0"]
             segments, first = cut.many([spaced(own[k]) for k in new])
-            codes = list(map(part, segments))
-            ends = [*first.tolist(), len(segments)]
-            for k, a, b in zip(new, ends, ends[1:]):
-                if b - a == 1:
-                    x = codes[a]
-                    made[k] = segments[a:b] if x is None else x
-                else:
-                    x = codes[a:b]
-                    made[k] = segments[a:b] if None in x else empty.join(x)
-            return [b"" if x is None else x for x in made]
-
-        def with_holes(own: list[str], rare: dict[str, int]) -> bytes:
+            is_known, at, n = table.segments.find(segments)
+            codes = [table.words.codes, table.segments.codes[spread(at, n)]]
+            last = np.append(first[1:], len(segments))[: len(first)]
+            ends, unknown = (np.concatenate([[0], np.cumsum(x)]) for x in (n, ~is_known))
+            begin[new], sizes[new] = len(codes[0]) + ends[first], ends[last] - ends[first]
+            is_open = {}
+            for k in np.flatnonzero(unknown[last] > unknown[first]).tolist():
+                is_open[new[k]] = [(segments[j], codes[1][ends[j] : ends[j + 1]].tobytes() if is_known[j] else None) for j in range(first[k], last[k])]
+            return codes, begin, sizes, is_open
+
+        def with_holes(own: list[tuple[str, bytes | None]], rare: dict[str, int]) -> bytes:
             out = []
-            for w in own:
-                y = part(w)
+            for w, y in own:
                 if y is None:
                     j = rare.setdefault(w, len(rare))
                     y = mark(hole, j & 0x7FFF, j >> 15)
@@ -498,18 +527,18 @@ def encode(docs: DataFrame, text: str = "text", doc: str = "doc_id", model: str
             offsets, own = words.many(texts)
             encoded = own.dictionary_encode()
             at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            made = looked_up(listed(encoded.dictionary))
+            made, begin, sizes, is_open = looked_up(listed(encoded.dictionary))
             # Each place of a word with unknown segments gets codes of its own, as its document numbers them.
-            is_open = np.array([type(x) is list for x in made], bool)
-            places = np.flatnonzero(is_open[at]) if len(at) else at
+            opened = np.zeros(len(sizes), bool)
+            opened[list(is_open)] = True
+            places = np.flatnonzero(opened[at]) if len(at) else at
             docs_ = np.searchsorted(offsets, places, "right") - 1
             rare: list[dict[str, int]] = [{} for _ in names]
-            holes = [with_holes(made[at[k]], rare[d]) for k, d in zip(places.tolist(), docs_.tolist())]
-            at[places] = len(made) + np.arange(len(places))
-            made = [b"" if type(x) is list else x for x in made] + holes
-            sizes = np.array([len(x) for x in made], np.int64) // np.dtype(code).itemsize
-            table_ = np.frombuffer(b"".join(made), code)
-            codes = table_[spread((np.cumsum(sizes) - sizes)[at], sizes[at])] if len(at) else table_[:0]
+            holes = [with_holes(is_open[k], rare[d]) for k, d in zip(at[places].tolist(), docs_.tolist())]
+            at[places] = len(sizes) + np.arange(len(places))
+            more = np.array([len(x) for x in holes], np.int64) // np.dtype(code).itemsize
+            begin, sizes = np.concatenate([begin, sum(map(len, made)) + np.cumsum(more) - more]), np.concatenate([sizes, more])
+            codes = np.concatenate([*made, np.frombuffer(b"".join(holes), code)])[spread(begin[at], sizes[at])]
             ends = np.concatenate([[0], np.cumsum(sizes[at])])[offsets].tolist()
             keys, others, bodies = [], [], []
             for d, t, new, a, b in zip(names, listed(texts), rare, ends, ends[1:]):

@@ -1,8 +1,10 @@
 """The corpus operators on small fixtures, against brute force and exact round trips."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -178,6 +180,31 @@ def test_segments_are_cut_where_no_piece_is():
     assert sentences.Segments(pieces).many([])[0] == []
 
 
+def test_known_words_take_few_bytes_in_a_worker(spark):
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("abcdeéxz") for _ in range(r.randint(4, 9))) for _ in range(4000)})
+    known = pickle.dumps(sentences.Known(spark.createDataFrame([(w, 5 + k % 3) for k, w in enumerate(words)], "word string, n long"), sentences.load("piece_bpe_32k.model"), 5 * len(words)))
+    tracemalloc.start()
+    own = pickle.loads(known)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert own.words and size < 64 * len(words)
+
+
+@pytest.mark.parametrize("modulus", [1 << 64, 40])
+def test_known_words_are_found(monkeypatch, modulus):
+    monkeypatch.setattr(sentences.Table, "hashed", staticmethod(lambda names: np.array([hash(w) % modulus for w in names], np.uint64)))
+    codes = {w: np.arange(len(w), dtype="H").tobytes() + w.encode("utf-16-le") for w in ("", " a", "b", "é", "\0\n", *(f"w{k}" for k in range(200)))}
+    table = sentences.Table(list(codes), list(codes.values()), "H")
+    names = ["nobody", *codes, "b", "zz", "w199"]
+    is_known, begin, sizes = table.find(names)
+    for w, yes, a, n in zip(names, is_known, begin, sizes):
+        assert table.codes[a : a + n].tobytes() == (codes[w] if yes else b"") and (yes or w not in codes or modulus == 40)
+    # Of names with equal hashes one is known.
+    assert sum(is_known[1 : 1 + len(codes)]) == len({hash(w) % modulus for w in codes})
+    assert [len(x) for x in table.find([])] == [0, 0, 0] and not sentences.Table([], [], "H").find(["a"])[0].any()
+
+
 def test_words_of_many_texts_are_those_of_each():
     import pyarrow as pa
 
