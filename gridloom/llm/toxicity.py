@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import copy
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,6 +39,8 @@ CHUNK = 1 << 16
 REMEMBERED = 300_000
 #: Rows and characters of a shard, on average at most.
 SHARD_ROWS, SHARD_CHARS = 16_384, 48_000_000
+#: Words whose rows are found at once, and bytes of the longest of them.
+AT_ONCE, LONG = 1 << 14, 60
 #: Bits of a block of the filter of labelled ids.
 BLOCK = 1 << 15
 #: Units of a weight's and a logit's whole numbers, whose sums don't depend on their order.
@@ -55,6 +58,77 @@ def parts(word: str) -> list[int]:
     return sorted({3 + 3 * (xxhash.xxh32_intdigest(f"{k}{g}") % (ROWS // 3 - 2)) + k for k, g in marks})
 
 
+_P = tuple(np.uint32(p) for p in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+
+def _hashed(data: np.ndarray, marks: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxh32 of many strings at once: each its mark, one byte, and then so many bytes of data, which has four bytes more than any of them reads."""
+    four = data[:-3].astype(np.uint32)
+    for k in (1, 2, 3):
+        four |= data[k : len(data) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+    marks, length = marks.astype(np.uint32), sizes + 1
+
+    def word(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The at-th four bytes of some strings."""
+        first = marks[own] | four[begin[own]] << np.uint32(8)
+        return np.where(at == 0, first, four[begin[own] + np.maximum(4 * at - 1, 0)])
+
+    h = np.full(len(sizes), _P[4])
+    long = np.flatnonzero(length >= 16)
+    if len(long):
+        v = [np.full(len(long), (start + (1 << 32)) % (1 << 32), np.uint32) for start in (int(_P[0]) + int(_P[1]), int(_P[1]), 0, -int(_P[0]))]
+        for k in range(int(length[long].max()) // 16):
+            on = np.flatnonzero(length[long] // 16 > k)
+            for i in range(4):
+                v[i][on] = _turned(v[i][on] + word(long[on], np.full(len(on), 4 * k + i)) * _P[1], 13) * _P[0]
+        h[long] = sum(_turned(x, by) for x, by in zip(v, (1, 7, 12, 18)))
+    h += length.astype(np.uint32)
+    for k in range(3):
+        at = length // 16 * 4 + k
+        on = np.flatnonzero(at < length // 4)
+        h[on] = _turned(h[on] + word(on, at[on]) * _P[2], 17) * _P[3]
+    for k in range(3):
+        at = length // 4 * 4 + k
+        on = np.flatnonzero(at < length)
+        byte = np.where(at[on] == 0, marks[on], data[begin[on] + np.maximum(at[on] - 1, 0)].astype(np.uint32))
+        h[on] = _turned(h[on] + byte * _P[4], 11) * _P[0]
+    h = (h ^ h >> np.uint32(15)) * _P[1]
+    h = (h ^ h >> np.uint32(13)) * _P[2]
+    return h ^ h >> np.uint32(16)
+
+
+def many_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What parts() gives for each word, one after the other, and how many rows each has; as columns, except for words of over LONG bytes."""
+    column = pa.array(words, pa.string())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+    data = np.concatenate([np.frombuffer(column.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(4, np.uint8)])
+    # Where characters begin, and the number of each word's first.
+    at = np.append(np.flatnonzero(data[:-4] & 0xC0 != 0x80), ends[-1])
+    first = np.searchsorted(at, ends)
+    size = np.diff(first)
+    short = np.flatnonzero((np.diff(ends) <= LONG) & (size > 0))
+    whose, kinds, begin, end = [short], [np.zeros(len(short), np.int64)], [ends[short]], [ends[short + 1]]
+    for kind, longest in ((1, 10), (2, 5)):
+        for n in range(3, longest + 1):
+            own = short[size[short] > n]
+            whose.append(own)
+            kinds.append(np.full(len(own), kind))
+            begin.append(ends[own] if kind == 1 else at[first[own + 1] - n])
+            end.append(at[first[own] + n] if kind == 1 else ends[own + 1])
+    whose, kinds, begin, end = map(np.concatenate, (whose, kinds, begin, end))
+    rows = 3 + 3 * (_hashed(data, 48 + kinds, begin, end - begin).astype(np.int64) % (ROWS // 3 - 2)) + kinds
+    keys = [whose * ROWS + rows]
+    for k in np.flatnonzero(np.diff(ends) > LONG).tolist():
+        keys.append(k * ROWS + np.array(parts(words[k]), np.int64))
+    # A word without characters is no word: row 0.
+    keys = np.unique(np.concatenate([*keys, np.flatnonzero(size == 0) * ROWS]))
+    return keys % ROWS, np.bincount(keys // ROWS, minlength=len(words)).astype(np.int64)
+
+
 @dataclass
 class TextCnn:
     table: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, SIZE), np.float32))
@@ -110,28 +184,32 @@ class TextCnn:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * logits + self.scale[1], -30, 30)))
 
 
+class Numbers(dict):
+    """Numbers of words in the order they come up in."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Reader:
-    """Texts to numbers of words; the words' rows are kept, from 1 on (0 is no word)."""
+    """Texts to numbers of words, from 1 on (0 is no word); the words are kept."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.rows: list[list[int]] = [[0]]
+        self.known = Numbers({"": 0})
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words, known = split(text), self.known
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
-                self.rows.append(parts(w))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        words = split(text)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def flat(self, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Rows and counts of the words numbered from first on."""
-        own = self.rows[first:]
-        return np.fromiter((r for x in own for r in x), np.int64), np.fromiter(map(len, own), np.int64, len(own))
+        words = list(itertools.islice(self.known, first, None))
+        found = [many_parts(words[k : k + AT_ONCE]) for k in range(0, max(1, len(words)), AT_ONCE)]
+        return tuple(map(np.concatenate, zip(*found)))
 
 
 def _log_odds(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -266,7 +344,7 @@ def documents_with(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 500):
-                if len(reader.rows) > REMEMBERED:
+                if len(reader.known) > REMEMBERED:
                     reader.clear()
                     flat = reader.flat()
                 group = [np.unique(reader(t)) for t in texts[k : k + 500]]
@@ -399,11 +477,11 @@ def score(docs: DataFrame, model: TextCnn, text: str = "text", doc: str = "doc_i
             scores: list[np.ndarray] = []
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 500):
-                if len(reader.rows) > REMEMBERED:
+                if len(reader.known) > REMEMBERED:
                     reader.clear()
                     vectors = np.zeros((1, SIZE), np.float32)
                 group = [reader(t) for t in texts[k : k + 500]]
-                if len(reader.rows) > len(vectors):
+                if len(reader.known) > len(vectors):
                     vectors = np.concatenate([vectors, model.vectors(*reader.flat(len(vectors)))])
                 scores.append(model.logits(group, vectors).astype(np.float64) if logits else model.scores(group, vectors))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc", *also, "score"])

@@ -511,6 +511,24 @@ def test_toxicity_counts_by_plain_loops(spark, monkeypatch):
     assert sorted(pool[:10]) == sorted(pool[10:]) == list(range(10))
 
 
+def test_parts_of_many_words_are_those_of_each(monkeypatch):
+    r = random.Random(4)
+    words = ["a" * n for n in range(1, 70)] + ["".join(r.choice("abcxß9éжд漢🙂") for _ in range(r.choice([*range(1, 20), 30, 61]))) for _ in range(2000)]
+    for own in (words, words[:1], ["🙂" * 15, "🙂" * 16], []):
+        rows, counts = toxicity.many_parts(["", *own])
+        ends = np.cumsum(counts).tolist()
+        assert [rows[a:b].tolist() for a, b in zip([0, *ends], ends)] == [[0], *map(toxicity.parts, own)]
+    # The reader takes words of usual lengths together, however many, and not part by part.
+    short = [w for w in words if len(w.encode()) <= 40]
+    want = [p for w in dict.fromkeys(toxicity.split(" ".join(short))) for p in toxicity.parts(w)]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 100, raising=False)
+    monkeypatch.setattr(toxicity.xxhash, "xxh32_intdigest", None)
+    reader = toxicity.Reader()
+    reader(" ".join(short))
+    assert reader.flat(1)[0].tolist() == want
+    assert [len(x) for x in reader.flat(len(reader.known))] == [0, 0]
+
+
 @pytest.mark.parametrize("chunk", [1 << 16, 4])
 def test_convolution_by_plain_loops(monkeypatch, chunk):
     """Every filter at every place of each text by itself: no text sees another one."""
