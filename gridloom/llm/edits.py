@@ -340,7 +340,7 @@ def _verified(units: DataFrame, least: float, give, schema: str) -> DataFrame:
 
 def _distinct(prints: DataFrame) -> DataFrame:
     own = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    return common.materialise(own.withColumn("number", F.monotonically_increasing_id()), "fingerprints")
+    return common.materialise(own.withColumn("number", F.monotonically_increasing_id()), "fingerprints", drop_shuffles=True)
 
 
 def links(prints: DataFrame, least: float = 0.8) -> DataFrame:
@@ -372,8 +372,7 @@ def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and of each fingerprint the number of others like it."""
-    rows = common.materialise(_edited(common.table(spark, sf_dir, "documents"), "text", "doc_id").withColumnRenamed("doc", "doc_id"), "edited")
-    common.release(spark)
+    rows = common.materialise(_edited(common.table(spark, sf_dir, "documents"), "text", "doc_id").withColumnRenamed("doc", "doc_id"), "edited", drop_shuffles=True)
     counts = _links(rows)
     joined = rows.join(counts, "fingerprint", "left").select(*rows.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return _hexed(joined)

@@ -4,6 +4,7 @@ import hashlib
 import pickle
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -943,3 +944,29 @@ def test_packed_ids_are_the_librarys_defaults(spark):
     for i, text in enumerate(texts):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
         assert got[i]["length"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
+def test_fingerprints_drop_the_shuffle_files_of_their_writes(spark, docs, monkeypatch, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, left, units, written = [], [], edits._units, common.materialise
+
+    def files() -> set[str]:
+        kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in kept.split("\n") if "shuffle_" in f}
+
+    def noted(*args, **more):
+        seen.append(files())
+        return written(*args, **more)
+
+    def looked(distinct):
+        until = time.time() + 5
+        while (new := files() - seen[0]) and time.time() < until:
+            time.sleep(0.1)
+        left.append(new)
+        return units(distinct)
+
+    monkeypatch.setattr(common, "materialise", noted)
+    monkeypatch.setattr(edits, "_units", looked)
+    assert edits.op8(spark, str(tmp_path)).count() == docs.count()
+    assert len(seen) == 2 and left == [set()]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
