@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edits, jaccard, lines, packing, quality, secrets, sentences, suffixes, toxicity, urls
+from . import edits, jaccard, lines, negatives, packing, quality, repairs, secrets, sentences, suffixes, toxicity, urls, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_document_fingerprints": edits.op8,
     "op9_toxicity": toxicity.op9,
     "op10_suffix_array_dedup": suffixes.op10,
+    "op11_vector_packing": vectors.op11,
+    "op12_conversation_repair": repairs.op12,
+    "op13_hard_negatives": negatives.op13,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.OP3_SQL,

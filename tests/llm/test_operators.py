@@ -858,14 +858,10 @@ def test_jaccard_finds_links_at_the_threshold(spark, seed):
 
 def test_prefixes_are_shortened_to_the_recall():
     guaranteed = jaccard.depth_for(0.8, 0.9999)
-    assert jaccard.shortened(np.full(500, 0.99), 0.8, 0.9999) == jaccard.DEPTH
-    assert jaccard.shortened(np.full(500, 0.8), 0.8, 0.9999) == jaccard.shortened(np.zeros(3), 0.8, 0.9999) == guaranteed < jaccard.DEPTH
-    mixed = np.array([0.8] * 100 + [0.97] * 900)
-    depth = jaccard.shortened(mixed, 0.8, 0.9999)
-    assert guaranteed <= depth < jaccard.DEPTH
-    left = ((1 - mixed**depth) ** jaccard.TREES).mean()
-    assert left < 2e-4
-    assert jaccard.shortened(np.array([0.8] * 5 + [0.97] * 995), 0.8, 0.9999) == jaccard.DEPTH
+    values = jaccard.TREES * jaccard.DEPTH
+    assert jaccard.shortened({values: 500}, 0.8, 0.9999) == jaccard.DEPTH
+    assert jaccard.shortened({int(0.8 * values): 500}, 0.8, 0.9999) == jaccard.shortened({}, 0.8, 0.9999) == guaranteed < jaccard.DEPTH
+    assert jaccard.shortened({int(0.8 * values): 1, values: 900}, 0.8, 0.9999) == guaranteed
 
 
 def test_quality_cutoffs_keep_their_promise():
