@@ -17,6 +17,7 @@ repeated ids and texts too; an empty table gives an empty result. A prompt's tok
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -199,16 +200,23 @@ def pack(docs: DataFrame, text: str = "text", doc: str = "doc_id", prompt: str |
                 doc_type = b.schema.field(0).type
                 yield b
 
-        for k, pieces in enumerate(sequences(examples(seen(batches), word_encoder(tokenizer)), limits)):
-            offset = 0
-            for x in pieces:
-                out.append((x.doc, x.start, x.tokens, zlib.crc32(x.ids), x.total, first + k, offset, bytes(x.ids) if ids else None))
-                offset += x.tokens
-            if len(out) >= 8192:
+        # Nothing here makes cycles, and a collector that looks at every remembered chunk takes a fifth of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for k, pieces in enumerate(sequences(examples(seen(batches), word_encoder(tokenizer)), limits)):
+                offset = 0
+                for x in pieces:
+                    out.append((x.doc, x.start, x.tokens, zlib.crc32(x.ids), x.total, first + k, offset, bytes(x.ids) if ids else None))
+                    offset += x.tokens
+                if len(out) >= 8192:
+                    yield batch_of()
+                    out.clear()
+            if out:
                 yield batch_of()
-                out.clear()
-        if out:
-            yield batch_of()
+        finally:
+            if collects:
+                gc.enable()
 
     return rows.mapInArrow(run, f"doc {kind}, {PIECE}" + ", ids binary" * ids)
 

@@ -1,42 +1,82 @@
 """Ids of texts by a tokenizer file whose tokens never hold white space, through a bounded memory of chunks.
 
 Such a tokenizer drops white space and cuts at it, so a text's ids are those of its chunks between spaces and line feeds, in
-order. A batch's chunks that aren't remembered are encoded in one call, joined by spaces. Other white space, and names of
-added tokens, stay within a chunk and are the library's business.
+order. It lowers letters, and a run of letters is a word of its own, so a chunk of letters and ASCII punctuation after them has the ids of its
+letters in lower case and of the punctuation. A batch's words that aren't remembered are encoded in one call, joined by spaces. All other chunks, with
+other white space, digits or names of added tokens in them, are the library's business as they are.
 """
 
 from __future__ import annotations
 
 import array
 import os
-from bisect import bisect_right
+import re
 from collections.abc import Iterator
+from itertools import chain
 
-#: Chunks remembered by one Python worker, and characters of the longest; then it forgets all and starts again.
-REMEMBERED, LONGEST = 600_000, 48
+import numpy as np
+
+#: Chunks and words remembered by one Python worker, and characters of the longest; then it forgets all and starts again.
+REMEMBERED, LONGEST = 700_000, 48
 #: Characters encoded in one call, and of a text that is cut into chunks at once.
 CALL = 1 << 20
+#: Letters whose lower case is one letter that is no composition, and ASCII punctuation.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 _encoders: dict[str, object] = {}
 
 
+def _portions(chunks: list[str]) -> Iterator[list[str]]:
+    """Chunks in runs of about CALL characters."""
+    own, size = [], 0
+    for chunk in chunks:
+        own.append(chunk)
+        size += len(chunk) + 1
+        if size >= CALL:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._of = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {"": b""}
+        self._words: dict[str, bytes] = {}
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk, 32-bit little-endian, from one call."""
+    def _encoded(self, chunks: list[str], letters: bool) -> list[bytes]:
+        """The ids of each chunk, 32-bit little-endian, from one call. letters: each is a run of letters, and so the tokenizer's word of the same number."""
         found = self._of.encode(" ".join(chunks), add_special_tokens=False)
-        ids, starts = array.array("I", found.ids), [a for a, _ in found.offsets]
-        out, at, first = [], 0, 0
-        for chunk in chunks:
-            at += len(chunk) + 1
-            last = bisect_right(starts, at - 1, first)
-            out.append(ids[first:last].tobytes())
-            first = last
-        return out
+        ids = array.array("I", found.ids).tobytes()
+        if letters:
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(chunks)), "right")
+        else:
+            ends = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), np.cumsum([len(c) + 1 for c in chunks]))
+        ends = (ends * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, fresh: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that aren't remembered; those of bounded length are from now on."""
+        words, parts = self._words, {}
+        for chunk in fresh:
+            if len(chunk) <= LONGEST and (m := _WORD(chunk)):
+                parts[chunk] = (m[1].lower(), m[2])
+        letters = {w for w, _ in parts.values()}.difference(words)
+        others = {p for _, p in parts.values() if p}.union(c for c in fresh if c not in parts).difference(words)
+        passing: dict[str, bytes] = {}
+        for new, kind in ((letters, True), (others, False)):
+            for own in _portions(list(new)):
+                for chunk, ids in zip(own, self._encoded(own, kind)):
+                    (words if len(chunk) <= LONGEST else passing)[chunk] = ids
+        for chunk in fresh:
+            if chunk in parts:
+                word, end = parts[chunk]
+                self._known[chunk] = words[word] + words[end] if end else words[word]
+            elif chunk in words:
+                self._known[chunk] = words[chunk]
+        return passing
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 32-bit little-endian."""
@@ -46,19 +86,11 @@ class WordEncoder:
 
     def _few(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self._known) > REMEMBERED or len(self._words) > REMEMBERED:
+            self._known, self._words = {"": b""}, {}
+        fresh = set(chain.from_iterable(cut)).difference(self._known)
+        passing = self._learn(fresh) if fresh else {}
         known = self._known
-        if len(known) > REMEMBERED:
-            known = self._known = {"": b""}
-        fresh = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in known))
-        passing: dict[str, bytes] = {}
-        while fresh:
-            n, size = 0, 0
-            while n < len(fresh) and (not n or size + len(fresh[n]) < CALL):
-                size += len(fresh[n]) + 1
-                n += 1
-            for chunk, ids in zip(fresh[:n], self._encoded(fresh[:n])):
-                (known if len(chunk) <= LONGEST else passing)[chunk] = ids
-            fresh = fresh[n:]
         if passing:
             return [b"".join([known[c] if c in known else passing[c] for c in chunks]) for chunks in cut]
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
