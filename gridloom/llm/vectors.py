@@ -31,8 +31,8 @@ from . import common
 from .wordpieces import word_encoder
 
 CAPACITY, SEGMENTS = 2048, 64
-#: Examples and tokens on hand in a task; characters encoded at once.
-WINDOW, WINDOW_TOKENS, AT_ONCE = 8192, 8_000_000, 2_000_000
+#: Examples and tokens on hand in a task; bytes encoded at once.
+WINDOW, WINDOW_TOKENS, AT_ONCE = 4096, 8_000_000, 2_000_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -104,15 +104,16 @@ class Pool:
             if not out:
                 # How much of each limit the examples on hand ask for. A piece takes one segment whatever it is, so segments add the same to every dot product.
                 w_tokens, w_loss = (size @ many) / tokens**3, (bearing @ many) / loss**3
-            score = np.where(many > 0, size * (w_tokens * room) + bearing * (w_loss * bears), -1.0)
-            k = int(np.argmax(np.where((size <= room) & (bearing <= bears), score, -1.0)))
-            if many[k] and size[k] <= room and bearing[k] <= bears:
+            at = np.flatnonzero((size <= room) & (bearing <= bears) & (many > 0))
+            if len(at):
+                k = int(at[np.argmax(size[at] * (w_tokens * room) + bearing[at] * (w_loss * bears))])
                 x = self._take(k)
             else:
                 # Loss-bearing tokens are an example's last ones: without room for any, only what has others before them is cut.
-                k = int(np.argmax(score if bears else np.where(size > bearing, score, -1.0)))
-                if not many[k] or not bears and size[k] == bearing[k]:
+                at = np.flatnonzero(many > 0 if bears else (many > 0) & (size > bearing))
+                if not len(at):
                     break
+                k = int(at[np.argmax(size[at] * (w_tokens * room) + bearing[at] * (w_loss * bears))])
                 x = self._take(k)
                 x, rest = x.cut(min(room, max(0, x.loss_from - x.start) + bears))
                 self.add(rest)
@@ -168,12 +169,12 @@ def pack(docs: DataFrame, text: str = "text", doc: str = "doc_id", prompt: str |
 
     def examples(batches: Iterator[pa.RecordBatch], encode) -> Iterator[Example]:
         for batch in batches:
-            keys, texts, prompts = (batch.column(k).to_pylist() for k in range(3))
+            keys, texts, prompts = batch.column(0).to_pylist(), *(batch.column(k).cast(pa.binary()).to_pylist() for k in (1, 2))
             at = 0
             while at < len(keys):
                 to, size = at, 0
                 while to < len(keys) and (to == at or size < AT_ONCE):
-                    size += len(texts[to]) + len(prompts[to] or "")
+                    size += len(texts[to]) + len(prompts[to] or b"")
                     to += 1
                 encoded = encode(texts[at:to])
                 before = encode(prompts[at:to]) if prompt else [b""] * (to - at)

@@ -30,8 +30,9 @@ def library():
 
 def test_word_ids_are_the_tokenizers(library, monkeypatch):
     encode = wordpieces.WordEncoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    texts = [t or "" for t in ODD]
+    texts = [t or "" for t in ODD] + ["It's SO., x... <|ENDOFTEXT|> é.! e\u0301.! ×. ÷, ¿Qué? 5. ab12.; \u201c.\n[A].\tB. İ. ẞ. Ǆ. ﬁ. 漢字。.", "The END.", "wo\u0338rd. I\u0307. K."]
     want = [library(t) for t in texts]
+    texts = [t.encode() for t in texts]
     assert [array.array("I", x).tolist() for x in encode(texts)] == want
     monkeypatch.setattr(wordpieces, "CALL", 50)
     monkeypatch.setattr(wordpieces, "REMEMBERED", 3)
