@@ -2,8 +2,8 @@
 
 Tall matrices stay distributed: rows as arrays (of a complex matrix the real parts, then the imaginary ones), Gram
 matrices by outer products summed in tasks, QR by a tree of small factorisations. What must be factored as a whole is as
-wide as the shorter side; that side's square is bounded by `limit` and is worked on by the driver. Batches are factored
-slice by slice in tasks.
+wide as the shorter side; that side's square is bounded by LIMIT and is worked on by the driver. Batches are factored
+slice by slice in tasks. Square matrices of any size are factored, solved and searched for leading eigenpairs in tiles.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import types
 from ..sources.checkpoint import checkpointed
+from . import tiled
 from .tensor import V, Tensor, einsum
 
 #: Longest short side that the driver factors.
@@ -273,42 +274,29 @@ def svd_batch(a: Tensor, rank: int | None = None) -> tuple[Tensor, Tensor, Tenso
     return Tensor(part("u"), (b, m, k), sparse=False), Tensor(part("s").drop("i2"), (b, k), sparse=False), Tensor(part("v"), (b, k, n), sparse=False)
 
 
-def cholesky(a: Tensor) -> Tensor:
-    """Lower factor of a positive definite matrix."""
-    _small(a.shape[0])
-    return Tensor.from_numpy(a.spark, np.linalg.cholesky(a.to_numpy()))
+def cholesky(a: Tensor, tile: int = tiled.TILE) -> Tensor:
+    """Lower factor of a Hermitian positive definite matrix, tile by tile in tasks; its lower triangle is read."""
+    return tiled.cholesky(a, tile).to_tensor()
 
 
-def _solve_rows(b: Tensor, f: Callable[[np.ndarray], np.ndarray], complex_: bool) -> Tensor:
-    """f of blocks of rows of b, side by side in tasks."""
-    dtype = "complex128" if complex_ else "float64"
-    b = b.astype(dtype) if b.dtype != dtype else b
-    return from_rows(_mapped(rows_of(b), lambda x: f(x).astype(dtype), complex_), b.shape, dtype)
+def solve_tri(l: Tensor, b: Tensor, lower: bool = True, from_left: bool = True, transposed: bool = False, tile: int = tiled.TILE) -> Tensor:  # noqa: E741
+    """X with op(L) X = B, or X op(L) = B; only one triangle of L is read. Rows of tiles are solved one after the other, columns of B side by side."""
+    return tiled.solve_tri(l, b, lower, from_left, transposed, tile).to_tensor()
 
 
-def solve_tri(l: Tensor, b: Tensor, lower: bool = True, from_left: bool = True, transposed: bool = False) -> Tensor:  # noqa: E741
-    """X with op(L) X = B, or X op(L) = B; only one triangle of L is read. Tasks get L once and solve for blocks of columns (or rows) of B."""
-    _small(l.shape[0])
-    m = l.to_numpy()
-    m = np.tril(m) if lower else np.triu(m)
-    m = m.T if transposed else m
-    complex_ = types.is_complex(l.dtype) or types.is_complex(b.dtype)
-    shared = b.spark.sparkContext.broadcast(m if from_left else m.T)
-    solved = lambda x: np.linalg.solve(shared.value, x.T).T
-    return _solve_rows(b.transpose(), solved, complex_).transpose() if from_left else _solve_rows(b, solved, complex_)
+def solve_spd(m: Tensor, b: Tensor, tile: int = tiled.TILE) -> Tensor:
+    """X with X M = B for a symmetric (Hermitian) positive definite M: its factor, then two triangular systems, all in tiles."""
+    return tiled.solve_spd(m, b, tile).to_tensor()
 
 
-def solve_spd(m: Tensor, b: Tensor) -> Tensor:
-    """X with X M = B for a symmetric (Hermitian) positive definite M, blocks of rows of B side by side."""
-    _small(m.shape[0])
-    factor = np.linalg.cholesky(m.to_numpy())
-    inverse = np.linalg.inv(factor)
-    shared = b.spark.sparkContext.broadcast(inverse.conj().T @ inverse)
-    return _solve_rows(b, lambda x: x @ shared.value, types.is_complex(m.dtype) or types.is_complex(b.dtype))
+def eigenpairs(a: Tensor, k: int, tile: int = tiled.TILE, **options) -> tuple[np.ndarray, Tensor]:
+    """(values descending, vectors as columns): the k leading eigenpairs of a symmetric or Hermitian matrix of any size, by block Lanczos iteration in tasks."""
+    values, vectors = tiled.eigenpairs(a, k, tile, **options)
+    return values, vectors.to_tensor()
 
 
 def eigh(a: Tensor) -> tuple[np.ndarray, Tensor]:
-    """(eigenvalues ascending, eigenvectors) of a symmetric or Hermitian matrix."""
+    """(eigenvalues ascending, eigenvectors): all of a symmetric or Hermitian matrix that the driver can hold. eigenpairs() gives the leading ones of any."""
     _small(a.shape[0])
     d, u = np.linalg.eigh(a.to_numpy())
     return d, Tensor.from_numpy(a.spark, _signed(u, u.T.copy())[0] if not np.iscomplexobj(u) else u)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import checkpointed
 from . import linalg
 from .tensor import V, Tensor, einsum
 
@@ -113,17 +114,16 @@ def tensor_svd(x, left: str, right: str, rank: int | None = None, threshold: flo
     return place(u, rows + shared, left), s, place(vt, shared + columns, right)
 
 
-def hosvd(a: Tensor, ranks: Sequence[int]) -> tuple[list[np.ndarray], Tensor]:
-    """Factor of each mode from the eigenvectors of its unfolding's Gram matrix, and the core."""
+def hosvd(a: Tensor, ranks: Sequence[int]) -> tuple[list[Tensor], Tensor]:
+    """Factor of each mode from the leading eigenvectors of its unfolding's Gram matrix, and the core. Gram matrices and vectors stay distributed."""
     letters = "abcdefghij"[: a.ndim]
     factors = []
+    core = a
     for k, r in enumerate(ranks):
         other = letters[:k] + "z" + letters[k + 1 :]
-        g = einsum(f"{letters},{other}->{letters[k]}z", a, a).to_numpy()
-        _, u = np.linalg.eigh(g)
-        factors.append(u[:, ::-1][:, :r])
-    core = a
-    for k, u in enumerate(factors):
+        _, u = linalg.eigenpairs(einsum(f"{letters},{other}->{letters[k]}z", a, a), r)
+        u = u._with(checkpointed(u.df))
+        factors.append(u)
         core = ttm(core, u, k)
     return factors, core
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.algebras import BOOLEAN, MAX_TIMES, MIN_PLUS, MIN_TIMES
-from ..operators import graphs, linalg, multilinear, scans, symmetry, workloads
+from ..operators import blocked, graphs, linalg, multilinear, scans, symmetry, tiled, workloads
 from ..operators.notation import function, function2, transform2
 from ..operators.tensor import Tensor, dot, einsum, grid, kron, outer, stack, tensordot
 from ..sources import files
@@ -547,8 +547,10 @@ def qr_product(t: Tables):
 
 @query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(sum(a.x * b.x), 4) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
 def cholesky_product(t: Tables):
-    low = linalg.cholesky(Tensor.from_numpy(t.spark, linalg.gram(t.embedding())))
-    return rows(einsum("ik,jk->ij", low, low), "kl")
+    """The factor, in tiles of 32, times itself again."""
+    e = blocked.Blocked.from_tensor(t.embedding(), (512, 32))
+    low = tiled.cholesky(blocked.einsum("vk,vl->kl", e, e), 32)
+    return rows(blocked.einsum("ik,jk->ij", low, low).to_tensor(), "kl")
 
 
 @query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(sum(a.x * b.x), 3) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
@@ -558,26 +560,51 @@ def eigh_product(t: Tables):
     return rows(einsum("ik,k,jk->ij", u, Tensor.from_numpy(t.spark, d), u), "kl", 3)
 
 
+@query(f"""WITH {NATIONS}, x AS (SELECT n_regionkey AS r, sum(v) AS v FROM w JOIN nation ON n = n_nationkey GROUP BY ALL)
+SELECT a.n_nationkey::BIGINT AS n, b.n_nationkey::BIGINT AS m, CASE WHEN a.n_regionkey = b.n_regionkey THEN round(v, 2) ELSE 0 END AS v FROM nation a CROSS JOIN nation b JOIN x ON r = a.n_regionkey""")
+def eigenpairs_product(t: Tables):
+    """A matrix of rank 5, nations by nations with what their region ordered, from its five leading eigenpairs."""
+    r = t.nation_region()
+    ordered = einsum("nm,nr->r", t.nations(), r)
+    d, u = linalg.eigenpairs(einsum("nr,r,mr->nm", r, ordered, r), 5, 10)
+    u = u._with(checkpointed(u.df))
+    return rows(einsum("ik,k,jk->ij", u, Tensor.from_numpy(t.spark, d), u), "nm", 2)
+
+
+@query(f"WITH {NATIONS} SELECT a.n, b.m, round(sum(a.v * b.v), 2) AS v FROM w a JOIN w b ON a.m = b.n GROUP BY ALL")
+def dot_blocked(t: Tables):
+    """A dense product in blocks of 8 of 25, the last ones of 1."""
+    w = blocked.Blocked.from_tensor(t.nations(), 8).written()
+    return rows(blocked.dot(w, w).to_tensor(), "nm", 2)
+
+
+@query(f"WITH {EMB} SELECT a.k AS k, b.k AS l, round(sum(a.x * b.x), 4) + 0.0 AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
+def gram_blocked(t: Tables):
+    """Storage is chosen by density: embeddings go into blocks."""
+    e = t.embedding()
+    return rows(blocked.contracted("vk,vl->kl", e, e, block=100), "kl")
+
+
 @query(f"WITH {EMB} SELECT k, i AS v, round(x, 4) + 0.0 AS x FROM e")
 def solve_tri_product(t: Tables):
     """The triangle times what solves for the transposed embeddings."""
-    e = t.embedding().T
-    low = linalg.cholesky(Tensor.from_numpy(t.spark, linalg.gram(t.embedding()) + 10 * np.eye(64)))
-    return rows(einsum("kl,lv->kv", low, linalg.solve_tri(low, e)), "kv").toDF("k", "v", "x")
+    e = blocked.Blocked.from_tensor(t.embedding(), (512, 32))
+    low = tiled.cholesky(blocked.einsum("vk,vl->kl", e, e) + blocked.eye(t.spark, 64, 32) * 10.0, 32).written()
+    return rows(blocked.dot(low, tiled.solve_tri(low, e.T, tile=512)).to_tensor(), "kv").toDF("k", "v", "x")
 
 
 @query(f"WITH {EMB} SELECT i AS v, k, round(x, 4) + 0.0 AS x FROM e")
 def solve_spd_product(t: Tables):
-    e = t.embedding()
-    g = Tensor.from_numpy(t.spark, linalg.gram(e) + 10 * np.eye(64))
-    return rows(linalg.product(linalg.solve_spd(g, e), g), "vk").toDF("v", "k", "x")
+    e = blocked.Blocked.from_tensor(t.embedding(), (512, 32))
+    g = (blocked.einsum("vk,vl->kl", e, e) + blocked.eye(t.spark, 64, 32) * 10.0).written()
+    return rows(blocked.dot(tiled.solve_spd(g, e, 32), g).to_tensor(), "vk").toDF("v", "k", "x")
 
 
 @query(f"WITH {NATIONS}, {CELLS} SELECT n // 5 AS a, n % 5 AS b, m AS c, round(v, 3) + 0.0 AS v FROM cells")
 def hosvd_product(t: Tables):
     """The core times all factors: the tensor again."""
     factors, core = multilinear.hosvd(t.nations().reshape(5, 5, 25), (5, 5, 25))
-    return rows(einsum("abc,ia,jb,kc->ijk", core, *(Tensor.from_numpy(t.spark, u) for u in factors)), "abc", 3)
+    return rows(einsum("abc,ia,jb,kc->ijk", core, *factors), "abc", 3)
 
 
 @query(f"WITH {NATIONS}, {CELLS} SELECT n // 5 AS a, n % 5 AS b, m AS c, round(v, 3) + 0.0 AS v FROM cells")
