@@ -24,6 +24,10 @@ from ..plans import planner, subscripts
 
 
 
+#: Share of places with an entry up to which random places are drawn; above it every place is asked.
+SPARSE = 0.1
+
+
 def V() -> Column:
     return F.col("v")
 
@@ -120,17 +124,43 @@ class Tensor:
 
     @classmethod
     def random(cls, spark: SparkSession, shape: Sequence[int], low: float = 0.0, high: float = 1.0, seed: int = 0, dtype: str = "float64", fraction: float | None = None) -> Tensor:
-        """Uniform values in [low, high); with a fraction, so large a part of the positions, sparse. Values follow from seed and position, whatever the partitioning."""
+        """Uniform values in [low, high); with a fraction, so large a part of the positions, sparse: up to SPARSE exactly so many places are drawn, else each is one with that probability. Values and places follow from the seed, whatever the partitioning."""
+        if fraction is not None and len(shape) and 0 < fraction <= SPARSE:
+            return cls._drawn(spark, shape, round(fraction * prod(shape)), low, high, seed, dtype)
         names = [F.col(f"i{k}") for k in range(len(shape))]
         unit = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), *names), 11).cast("double") / F.lit(float(1 << 53))
         df = grid(spark, shape)
         if fraction is not None:
             df = df.where(unit(1) < fraction)
-        value = lambda salt: unit(salt) * (high - low) + low
-        v = F.struct(value(2).alias("re"), value(3).alias("im")) if types.is_complex(dtype) else value(2)
-        if dtype.startswith("int"):
-            v = F.floor(v)
-        return cls(df.withColumn("v", v if types.is_complex(dtype) else v.cast(types.SQL[dtype])), shape, dtype, None, fraction is not None, prod(shape) * (fraction or 1))
+        return cls(df.withColumn("v", _uniform(len(shape), low, high, seed, dtype)), shape, dtype, None, fraction is not None, prod(shape) * (fraction or 1))
+
+    @classmethod
+    def _drawn(cls, spark: SparkSession, shape: Sequence[int], count: int, low: float, high: float, seed: int, dtype: str) -> Tensor:
+        """count entries at places drawn by a counter, whatever the size of the shape: places drawn again are dropped, and of the others those drawn first stay.
+
+        As many are drawn as leave count different ones with near certainty, and twice as many where they don't. Which are first follows from a histogram of their
+        numbers and the order within one of its parts.
+        """
+        size, parts = float(prod(shape)), 4096
+        keys = [f"i{k}" for k in range(len(shape))]
+        draws = int(-size * np.log1p(-count / size) + 6 * np.sqrt(count) + 64)
+        while True:
+            place = [F.pmod(F.xxhash64(F.lit(seed), F.lit(7 + k), "id"), F.lit(n)).cast("bigint").alias(f"i{k}") for k, n in enumerate(shape)]
+            width = max(1, draws // parts)
+            found = spark.range(draws).select("id", *place).groupBy(*keys).agg(F.min("id").alias("first")).withColumn("part", F.expr(f"first div {width}"))
+            sizes = sorted((r["part"], r["count"]) for r in found.groupBy("part").count().collect())
+            if sum(n for _, n in sizes) >= count:
+                break
+            draws *= 2
+        last, before = 0, 0
+        for last, n in sizes:
+            if before + n >= count:
+                break
+            before += n
+        # The part where the count is reached has few entries, so their order is one task's.
+        edge = found.where(F.col("part") == last).orderBy("first").limit(count - before)
+        df = found.where(F.col("part") < last).unionByName(edge).select(*keys, _uniform(len(shape), low, high, seed, dtype).alias("v"))
+        return cls(df, shape, dtype, None, True, count)
 
     # Parts and plumbing
 
@@ -801,6 +831,15 @@ class Tensor:
         return joined.select(*self.keys, v.alias("v"))
 
 
+def _uniform(n: int, low: float, high: float, seed: int, dtype: str) -> Column:
+    """A value in [low, high) that follows from seed and place."""
+    unit = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), *(f"i{k}" for k in range(n))), 11).cast("double") / F.lit(float(1 << 53))
+    value = lambda salt: unit(salt) * (high - low) + low
+    if types.is_complex(dtype):
+        return F.struct(value(2).alias("re"), value(3).alias("im"))
+    return (F.floor(value(2)) if dtype.startswith("int") else value(2)).cast(types.SQL[dtype])
+
+
 def grid(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
     """All places of a shape, from one distributed range."""
     return _unravel(spark.range(prod(shape)).select(F.col("id").alias("at"), F.lit(None).alias("v")), shape).drop("v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -201,6 +201,41 @@ def circuit(state: Tensor, gates: list[tuple[Tensor, tuple[int, ...]]]) -> Tenso
     return state
 
 
+#: Points of a cell from which on it is split.
+CELL = 4096
+
+
+def neighbours(points: DataFrame, coordinates: Sequence[str], radius: float, key: str = "i0") -> DataFrame:
+    """(i0, i1, d): all pairs of different points at most radius apart, and their distance. Points without a coordinate have no neighbours.
+
+    Space is cut into cells as wide as the radius, so that a point's neighbours are in its own or a touching cell, and points join on cells. A cell of
+    more than CELL points is split on one side, and its parts meet all of the other side.
+    """
+    at = [F.floor(F.col(c) / radius).alias(f"cell{k}") for k, c in enumerate(coordinates)]
+    cells = [f"cell{k}" for k in range(len(coordinates))]
+    rows = points.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coordinates]))
+    rows = rows.select(F.col(key).cast("bigint").alias("i0"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(coordinates)), *at)
+    full = rows.groupBy(*cells).count().where(F.col("count") > CELL).select(*cells, F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    own = rows.join(full, cells, "left").withColumn("part", F.pmod(F.xxhash64("i0"), parts).cast("int")).drop("parts")
+    near = rows
+    for c in cells:
+        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    near = near.join(full, cells, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    near = near.select(F.col("i0").alias("i1"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(len(cells))), *cells, "part")
+    squares = reduce(lambda x, y: x + y, [(F.col(f"x{k}") - F.col(f"y{k}")) * (F.col(f"x{k}") - F.col(f"y{k}")) for k in range(len(cells))])
+    met = own.join(near, [*cells, "part"]).where("i0 != i1").withColumn("d", F.sqrt(squares))
+    return met.where(F.col("d") <= radius).select("i0", "i1", "d")
+
+
+def within(points: DataFrame, coordinates: Sequence[str], radius: float, force: Callable[[Column, Column], Column], value: str, n: int, key: str = "i0") -> Tensor:
+    """For each point the sum over others within a radius of force(own value, other value)."""
+    pairs = neighbours(points, coordinates, radius, key)
+    v = points.select(F.col(key).cast("bigint").alias("i0"), F.col(value).alias("v"))
+    rows = pairs.join(v.withColumnRenamed("v", "a"), "i0").join(v.toDF("i1", "b"), "i1").groupBy("i0").agg(F.sum(force(F.col("a"), F.col("b"))).alias("v"))
+    return Tensor(rows, (n,), "float64")
+
+
 def interactions(particles: Tensor, force: Callable[[Column, Column], Column], dtype: str = "float64", neighbours: Tensor | None = None) -> Tensor:
     """Sum over other particles of force(own, other); with neighbours only over the pairs that it stores."""
     if neighbours is None:

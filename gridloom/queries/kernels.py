@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import workloads
+from ..operators import packed, workloads
+from ..operators.packed import Packed
 from ..operators.tensor import Tensor, einsum, outer
 from .registry import NATIONS, REGIONS, query, regions, rows
 from .tables import Tables
@@ -167,3 +168,25 @@ def block_product(t: Tables):
     b = b.withColumns({"rows": F.lit(5), "columns": F.lit(5)})
     out = workloads.block_product(b, b, 5).select("i", "j", F.posexplode("values").alias("at", "v")).where("v != 0")
     return out.select("i", "j", F.col("at").cast("bigint").alias("at"), F.round("v", 2).alias("v"))
+
+
+MINORS = f"WITH {REGIONS}, m AS (SELECT a.x AS a, b.x AS b, a.y AS i, b.y AS j, a.v * b.v - c.v * d.v AS v FROM q a JOIN q b ON true JOIN q c ON c.x = a.x AND c.y = b.y JOIN q d ON d.x = b.x AND d.y = a.y)"
+
+
+@query(f"{MINORS} SELECT x.a, x.b, y.i AS c, y.j AS d, round(sum(x.v * y.v), 6) + 0.0 AS v FROM m x JOIN m y ON x.i = y.a AND x.j = y.b WHERE x.a < x.b AND y.i < y.j GROUP BY ALL")
+def packed_pairs(t: Tables):
+    """Order 4, antisymmetric in two groups: the 2 x 2 minors of trade between regions times themselves, as they are stored."""
+    q = regions(t)
+    x = einsum("ai,bj->abij", q, q)
+    minors = Packed.pack(x - x.transpose([0, 1, 3, 2]), ["AS", "NS", "AS", "NS"])
+    got = packed.contract("abij,ijcd->abcd", minors, minors)
+    return rows(Tensor(got.df, got.shape), "abcd", 6)
+
+
+@query(f"WITH {REGIONS} SELECT x.y AS a, round(sum(x.v * y.v * z.v * w.v), 6) AS v FROM q x JOIN q y ON x.x = y.x JOIN q z ON x.x = z.x JOIN q w ON w.x = y.y AND w.y = z.y GROUP BY ALL")
+def packed_moments(t: Tables):
+    """Symmetric in three modes: third moments of regions' trade, stored for ascending modes, contracted with a matrix without symmetry."""
+    q = regions(t)
+    moments = Packed.pack(einsum("xa,xb,xc->abc", q, q, q), ["SY", "SY", "NS"])
+    got = packed.contract("abc,bc->a", moments, q)
+    return rows(Tensor(got.df, got.shape), "a", 6)

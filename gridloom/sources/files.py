@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import types
 from ..functions.algebras import ring
 from ..operators.tensor import V, Tensor
+from . import raw
 from .checkpoint import checkpointed
 
 #: Element types of coordinate text.
@@ -70,8 +71,8 @@ def read_binary(spark: SparkSession, path: str, shape: Sequence[int], dtype: str
 
 
 def write_binary(t: Tensor, path: str, block: int = 1 << 20) -> None:
-    """Raw values in row-major order as files part-00000000.bin, ..: read_binary reads them, and so does whatever reads one after the other. Tasks pack blocks of places; the blocks, written to the shared folder first, are named and put there one by one."""
-    dense, dtype, spark = t.densify(), t.dtype, t.spark
+    """Raw values in row-major order as files part-00000000.bin, ..: read_binary reads them, and so does whatever reads one after the other. Tasks pack blocks of places and write them; no value passes through the driver."""
+    dense, dtype = t.densify(), t.dtype
     rows = dense.df.select(dense.linear().alias("at"), "v").withColumn("block", F.expr(f"at div {block}"))
 
     def packed(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,17 +81,7 @@ def write_binary(t: Tensor, path: str, block: int = 1 << 20) -> None:
             values = np.array([complex(x["re"], x["im"]) for x in values])
         return pd.DataFrame({"block": [key[0]], "content": [np.asarray(values).astype(dtype).tobytes()]})
 
-    blocks = checkpointed(rows.groupBy("block").applyInPandas(packed, "block bigint, content binary"))
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(folder, True)
-    system.mkdirs(folder)
-    # One block at a time goes through the driver, so its memory is that of a block.
-    for row in blocks.orderBy("block").toLocalIterator():
-        out = system.create(jvm.org.apache.hadoop.fs.Path(folder, f"part-{row['block']:08d}.bin"))
-        out.write(bytes(row["content"]))
-        out.close()
+    raw.write_blocks(rows.groupBy("block").applyInPandas(packed, "block bigint, content binary"), path)
 
 
 #: Whole tensors as checkpoints: dense ones raw, sparse ones as coordinate text.
