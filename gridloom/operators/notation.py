@@ -68,15 +68,16 @@ class Term:
         """Rows that the planner expects to join."""
         total = 0.0
         for p in self.products():
-            leaves = [(frozenset(x), t.rows) for t, x in p.factors]
+            known = [t.leaf(x) for t, x in p.factors]
+            leaves = [(frozenset(x.labels), x.rows) for x in known]
             sizes = self.sizes()
-            live = dict(enumerate(leaves))
-            for n, (a, b) in enumerate(planner.order(leaves, set(), sizes)):
+            live = dict(enumerate((*own, x.shares) for own, x in zip(leaves, known)))
+            for n, (a, b) in enumerate(planner.order(leaves, set(), sizes, [x.shares for x in known])):
                 x, y = live.pop(a), live.pop(b)
                 keep = set().union(*(z[0] for z in live.values()))
-                joined, kept = planner.estimate(x, y, keep, sizes)
+                joined, kept, shares = planner.estimate(x[:2], y[:2], keep, sizes, x[2], y[2])
                 total += joined
-                live[len(leaves) + n] = ((x[0] | y[0]) & keep, kept)
+                live[len(leaves) + n] = ((x[0] | y[0]) & keep, kept, shares)
         return total
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elementwise, types
 from ..functions.algebras import Algebra, ring
-from ..plans import planner, subscripts
+from ..plans import planner, statistics, subscripts
 
 
 
@@ -48,6 +48,7 @@ class Tensor:
         self.rows = float(rows if rows is not None else prod(self.shape))
         self.sym = sym
         self.name = ""
+        self.statistics = None
 
     @property
     def df(self) -> DataFrame:
@@ -311,7 +312,13 @@ class Tensor:
     def leaf(self, labels: str) -> planner.Leaf:
         if len(labels) != self.ndim:
             raise ValueError(f"labels {labels!r} for {self.ndim} dimensions")
-        return planner.leaf(self.df, labels, self.rows)
+        return planner.leaf(self.df, labels, self.rows, self.statistics)
+
+    def analyzed(self) -> Tensor:
+        """This tensor with statistics for the planner, from one pass over its rows: their number, and different and frequent indices of each mode."""
+        out = Tensor(self.stored, self.shape, self.dtype, self.algebra, self.sparse, self.rows, self.sym)
+        out.statistics = statistics.measured(self.df, self.keys) if self.ndim else None
+        return out
 
     # Elementwise
 
@@ -865,8 +872,10 @@ def einsum(notation: str, *operands: Tensor, algebra: Algebra | None = None, tim
     algebra = algebra or (operands[0].algebra if len({t.algebra.name for t in operands}) == 1 else ring(dtype))
     leaves = []
     for t, labels in zip(operands, inputs):
+        known = t.statistics
         if algebra.name.startswith("ring") and t.dtype != dtype:
             t = t.astype(dtype)
+            t.statistics = known
         leaves.append(t.leaf(labels))
     df = planner.contract(leaves, output, lengths, algebra, times, distributive)
     shape = tuple(lengths[c] for c in output)

@@ -5,21 +5,23 @@ distributes, and if that leaves clearly fewer rows: else the label is only dropp
 beyond; join pair by pair on shared labels and sum out what no later operand needs; add labels that only the output
 has; repeat columns that the output repeats.
 
-Row counts are estimates: an operand's own, or its grid's size. They choose the order only. Which side of a join is
-broadcast, how many partitions a shuffle has and how skew is met is left to adaptive execution, which knows sizes.
+Row counts are estimates: from an operand's statistics if it has been analysed (statistics.py), else its own count or its grid's size. They choose the
+order only. Which side of a join is broadcast, how many partitions a shuffle has and how skew is met is left to adaptive
+execution, which knows sizes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebras import Algebra
+from .statistics import Shares, Statistics
 
 #: Operands up to which all trees are weighed.
 EXACT = 8
@@ -33,13 +35,15 @@ class Leaf:
     labels: tuple[str, ...]
     rows: float
     repeats: bool = False
+    #: By label, where known.
+    shares: dict[str, Shares] = field(default_factory=dict)
 
 
 #: A sum before the end is worth its shuffle if it leaves at most this share of the rows.
 WORTH = 0.5
 
 
-def leaf(df: DataFrame, labels: str, rows: float) -> Leaf:
+def leaf(df: DataFrame, labels: str, rows: float, statistics: Statistics | None = None) -> Leaf:
     """df has columns i0.., v; a repeated label keeps the rows where its columns agree."""
     first: dict[str, int] = {}
     condition = None
@@ -50,7 +54,7 @@ def leaf(df: DataFrame, labels: str, rows: float) -> Leaf:
         else:
             first[c] = k
     kept = df if condition is None else df.where(condition)
-    return Leaf(kept.select(*(F.col(f"i{k}").alias(_name(c)) for c, k in first.items()), "v"), tuple(first), rows)
+    return Leaf(kept.select(*(F.col(f"i{k}").alias(_name(c)) for c, k in first.items()), "v"), tuple(first), statistics.rows if statistics else rows, False, {c: statistics.modes[k] for c, k in first.items()} if statistics else {})
 
 
 def _name(label: str) -> str:
@@ -87,29 +91,47 @@ def summed(x: Leaf, keep: set[str], algebra: Algebra, sizes: dict[str, int], las
     left = tuple(c for c in x.labels if c in keep)
     if left == x.labels and not (x.repeats and last):
         return x
-    rows = min(x.rows, prod(sizes[c] for c in left))
+    rows, shares = _kept(x.rows, x.shares, left, sizes)
     keys = [_name(c) for c in left]
     if not last and rows > WORTH * x.rows:
-        return Leaf(x.df.select(*keys, "v"), left, x.rows, True)
+        return Leaf(x.df.select(*keys, "v"), left, x.rows, True, x.shares)
     out = x.df.groupBy(*keys).agg(algebra.plus(F.col("v")).alias("v"))
-    return Leaf(out if keys else out.where("v is not null"), left, rows)
-
-
-def estimate(a: tuple[frozenset, float], b: tuple[frozenset, float], keep: set[str], sizes: dict[str, int]) -> tuple[float, float]:
-    """Rows of the join of two label sets, and after summing to what is kept."""
-    joined = a[1] * b[1] / max(1, prod(sizes[c] for c in a[0] & b[0]))
-    return joined, min(joined, prod(sizes[c] for c in (a[0] | b[0]) & keep))
+    return Leaf(out if keys else out.where("v is not null"), left, rows, False, shares)
+
+
+def _kept(rows: float, shares: dict[str, Shares], labels: Iterable[str], sizes: dict[str, int]) -> tuple[float, dict[str, Shares]]:
+    """Rows and shares after adding up under some labels: at most one row for each combination of their indices."""
+    own = {c: shares[c].distinct if c in shares else float(sizes[c]) for c in labels}
+    places = prod(own.values())
+    if places >= rows:
+        return rows, {c: shares[c] for c in own if c in shares}
+    return places, {c: shares[c].bounded(rows, places / own[c]) for c in own if c in shares}
+
+
+def estimate(a: tuple[frozenset, float], b: tuple[frozenset, float], keep: set[str], sizes: dict[str, int], of_a: dict[str, Shares] | None = None, of_b: dict[str, Shares] | None = None) -> tuple[float, float, dict[str, Shares]]:
+    """Rows of the join of two label sets, and after summing to what is kept, and what is then known of labels. A label that nothing is known of has all its indices, equally often."""
+    of_a, of_b = of_a or {}, of_b or {}
+    joined, shares = a[1] * b[1], {**of_a, **of_b}
+    for c in a[0] & b[0]:
+        if c in of_a or c in of_b:
+            agree, shares[c] = of_a.get(c, Shares(sizes[c])).met(of_b.get(c, Shares(sizes[c])))
+            joined *= agree
+        else:
+            joined /= max(1, sizes[c])
+    kept, shares = _kept(joined, shares, (a[0] | b[0]) & keep, sizes)
+    return joined, kept, shares
 
 
-def order(leaves: list[tuple[frozenset, float]], out: set[str], sizes: dict[str, int]) -> list[tuple[int, int]]:
+def order(leaves: list[tuple[frozenset, float]], out: set[str], sizes: dict[str, int], shares: list[dict[str, Shares]] | None = None) -> list[tuple[int, int]]:
     """Pairs to join in turn; each result takes the place after all that exist. Cost: rows joined plus rows kept."""
     live = dict(enumerate(leaves))
+    known = dict(enumerate(shares or [{} for _ in leaves]))
     steps: list[tuple[int, int]] = []
     fresh = len(leaves)
     while len(live) > 1:
         ids = sorted(live, key=lambda i: live[i][1])[:EXACT] if len(live) > EXACT else sorted(live)
         outside = set().union(out, *(live[i][0] for i in live if i not in ids))
-        best: dict[int, tuple[float, float, frozenset, tuple[int, int] | None]] = {1 << k: (0.0, live[i][1], live[i][0], None) for k, i in enumerate(ids)}
+        best: dict[int, tuple[float, float, frozenset, tuple[int, int] | None, dict[str, Shares]]] = {1 << k: (0.0, live[i][1], live[i][0], None, known[i]) for k, i in enumerate(ids)}
         full = (1 << len(ids)) - 1
         for mask in range(1, full + 1):
             if mask in best:
@@ -120,10 +142,10 @@ def order(leaves: list[tuple[frozenset, float]], out: set[str], sizes: dict[str,
                 other = mask ^ part
                 if part > other:
                     x, y = best[part], best[other]
-                    joined, kept = estimate((x[2], x[1]), (y[2], y[1]), rest, sizes)
+                    joined, kept, left = estimate((x[2], x[1]), (y[2], y[1]), rest, sizes, x[4], y[4])
                     cost = x[0] + y[0] + joined + kept
                     if mask not in best or cost < best[mask][0]:
-                        best[mask] = (cost, kept, frozenset((x[2] | y[2]) & rest), (part, other))
+                        best[mask] = (cost, kept, frozenset((x[2] | y[2]) & rest), (part, other), left)
                 part = (part - 1) & mask
         at = {1 << k: i for k, i in enumerate(ids)}
         todo, tree = [full], []
@@ -137,7 +159,7 @@ def order(leaves: list[tuple[frozenset, float]], out: set[str], sizes: dict[str,
             a, b = (at[m] for m in best[mask][3])
             steps.append((a, b))
             at[mask] = fresh
-            live[fresh] = (best[mask][2], best[mask][1])
+            live[fresh], known[fresh] = (best[mask][2], best[mask][1]), best[mask][4]
             del live[a], live[b]
             fresh += 1
     return steps
@@ -154,15 +176,16 @@ def contract(leaves: list[Leaf], out: str, sizes: dict[str, int], algebra: Algeb
             leaves[k] = summed(x, others, algebra, sizes, last=len(leaves) == 1)
     live = dict(enumerate(leaves))
     fresh = len(leaves)
-    for a, b in order([(frozenset(x.labels), max(1.0, x.rows)) for x in leaves], wanted, sizes):
+    for a, b in order([(frozenset(x.labels), max(1.0, x.rows)) for x in leaves], wanted, sizes, [x.shares for x in leaves]):
         x, y = live.pop(min(a, b)), live.pop(max(a, b))
         needed = wanted.union(*(z.labels for z in live.values()))
         shared = [c for c in x.labels if c in y.labels]
         left, right = x.df.withColumnRenamed("v", "v_left"), y.df.withColumnRenamed("v", "v_right")
         joined = left.join(right, [_name(c) for c in shared], how) if shared else left.crossJoin(right)
         labels = tuple(dict.fromkeys(x.labels + y.labels))
-        rows, _ = estimate((frozenset(x.labels), x.rows), (frozenset(y.labels), y.rows), needed, sizes)
-        z = Leaf(joined.select(*(_name(c) for c in labels), times(F.col("v_left"), F.col("v_right")).alias("v")), labels, rows, x.repeats or y.repeats)
+        rows, _, _ = estimate((frozenset(x.labels), x.rows), (frozenset(y.labels), y.rows), needed, sizes, x.shares, y.shares)
+        shares = {c: x.shares[c].met(y.shares[c])[1] if c in x.shares and c in y.shares else x.shares.get(c, y.shares.get(c)) for c in labels if c in x.shares or c in y.shares}
+        z = Leaf(joined.select(*(_name(c) for c in labels), times(F.col("v_left"), F.col("v_right")).alias("v")), labels, rows, x.repeats or y.repeats, shares)
         live[fresh] = summed(z, needed, algebra, sizes, last=not live)
         fresh += 1
     (result,) = live.values()

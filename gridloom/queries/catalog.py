@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebras import BOOLEAN, MAX_TIMES, MIN_PLUS, MIN_TIMES
 from ..operators import blocked, graphs, linalg, multilinear, scans, symmetry, tiled, workloads
+from ..operators.multigrid import Hierarchy, laplacian
 from ..operators.notation import function, function2, transform2
 from ..operators.tensor import Tensor, dot, einsum, grid, kron, outer, stack, tensordot
 from ..sources import files
@@ -700,6 +701,16 @@ def galerkin(t: Tables):
     return rows(workloads.galerkin(t.nations(), t.nation_region()), "ab", 2)
 
 
+@query("SELECT s_suppkey AS i, floor(s_acctbal / 1000) AS v FROM supplier")
+def multigrid_suppliers(t: Tables):
+    """The Laplacian of the suppliers' graph, plus one: what solves it for their balances in thousands, times it again. Levels follow from the matrix."""
+    a = laplacian(graph(t), 1.0)
+    b = Tensor.from_unique(t.read("supplier"), ["s_suppkey"], F.floor(F.col("s_acctbal") / 1000), a.shape[:1])
+    found = Hierarchy.of(a, 24)
+    x = found.solve(b._with(checkpointed(b.df)), 1e-4, rounds=1)
+    return rows(einsum("ij,j->i", found.levels[0], x), "i", 1)
+
+
 @query("SELECT i, round((i + 1) * (15 - i) / 2.0, 3) AS v FROM range(15) r(i)")
 def multigrid(t: Tables):
     """Cycles on a Poisson problem whose solution is known."""
