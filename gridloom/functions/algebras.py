@@ -6,10 +6,10 @@ the planner that sums may be taken before a join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import types
@@ -26,6 +26,10 @@ class Algebra:
     distributive: bool = True
     #: Least and greatest are their own sums: adding a value twice changes nothing.
     idempotent: bool = False
+    #: If not, operands are multiplied in the order in which they are given.
+    commutative: bool = True
+    #: In place of plus, for elements that no aggregate column adds up: (rows with keys and v, keys) to rows of different keys.
+    summed: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None
 
 
 def ring(dtype: str) -> Algebra:

@@ -95,7 +95,7 @@ def summed(x: Leaf, keep: set[str], algebra: Algebra, sizes: dict[str, int], las
     keys = [_name(c) for c in left]
     if not last and rows > WORTH * x.rows:
         return Leaf(x.df.select(*keys, "v"), left, x.rows, True, x.shares)
-    out = x.df.groupBy(*keys).agg(algebra.plus(F.col("v")).alias("v"))
+    out = algebra.summed(x.df.select(*keys, "v"), keys) if algebra.summed else x.df.groupBy(*keys).agg(algebra.plus(F.col("v")).alias("v"))
     return Leaf(out if keys else out.where("v is not null"), left, rows, False, shares)
 
 
@@ -176,8 +176,16 @@ def contract(leaves: list[Leaf], out: str, sizes: dict[str, int], algebra: Algeb
             leaves[k] = summed(x, others, algebra, sizes, last=len(leaves) == 1)
     live = dict(enumerate(leaves))
     fresh = len(leaves)
-    for a, b in order([(frozenset(x.labels), max(1.0, x.rows)) for x in leaves], wanted, sizes, [x.shares for x in leaves]):
-        x, y = live.pop(min(a, b)), live.pop(max(a, b))
+    if algebra.commutative:
+        steps = order([(frozenset(x.labels), max(1.0, x.rows)) for x in leaves], wanted, sizes, [x.shares for x in leaves])
+    else:
+        steps = [(fresh + k - 1 if k else 0, k + 1) for k in range(len(leaves) - 1)]
+    # The operand that comes first is the left one.
+    place = {k: k for k in live}
+    for a, b in steps:
+        a, b = sorted((a, b), key=place.__getitem__)
+        place[fresh] = place[a]
+        x, y = live.pop(a), live.pop(b)
         needed = wanted.union(*(z.labels for z in live.values()))
         shared = [c for c in x.labels if c in y.labels]
         left, right = x.df.withColumnRenamed("v", "v_left"), y.df.withColumnRenamed("v", "v_right")

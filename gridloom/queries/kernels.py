@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import packed, workloads
+from ..operators import elements, packed, workloads
 from ..operators.packed import Packed
 from ..operators.tensor import Tensor, einsum, outer
-from .registry import NATIONS, REGIONS, query, regions, rows
+from ..sources.checkpoint import checkpointed
+from .registry import GRAPH, NATIONS, REGIONS, graph, query, regions, rows
 from .tables import Tables
 
 PRODUCT = f"WITH {NATIONS}, c AS (SELECT n, m, v FROM w WHERE n < 24 AND m < 24) SELECT a.n AS n, b.m AS m, round(sum(a.v * b.v), 2) AS v FROM c a JOIN c b ON a.m = b.n GROUP BY ALL"
@@ -190,3 +192,16 @@ def packed_moments(t: Tables):
     moments = Packed.pack(einsum("xa,xb,xc->abc", q, q, q), ["SY", "SY", "NS"])
     got = packed.contract("abc,bc->a", moments, q)
     return rows(Tensor(got.df, got.shape), "a", 6)
+
+
+@query(f"WITH {GRAPH} SELECT a.n::BIGINT AS i, b.m::BIGINT AS j, round(sum(a.v * b.v), 2) AS v FROM g a JOIN g b ON a.m = b.n GROUP BY ALL")
+def matrix_elements(t: Tables):
+    """The suppliers' graph as nations by nations, each element as high and wide as its nations have suppliers; times itself."""
+    place = W.partitionBy("n").orderBy("s")
+    of = checkpointed(t.read("supplier").select(F.col("s_suppkey").cast("bigint").alias("s"), F.col("s_nationkey").cast("bigint").alias("n")).withColumn("at", F.row_number().over(place) - 1))
+    sizes = of.groupBy("n").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    entries = graph(t).df.join(of.toDF("i0", "a", "p"), "i0").join(of.toDF("i1", "b", "q"), "i1").select(F.col("a").alias("i0"), F.col("b").alias("i1"), "p", "q", "v")
+    x = elements.gathered(entries, sizes.toDF("i0", "rows"), sizes.toDF("i1", "columns"), (25, 25))
+    got = elements.scattered(einsum("nm,mk->nk", x, x, algebra=elements.MATRICES)).where("v != 0")
+    named = got.join(of.toDF("i", "i0", "p"), ["i0", "p"]).join(of.toDF("j", "i1", "q"), ["i1", "q"])
+    return named.select("i", "j", F.round("v", 2).alias("v"))
