@@ -4,14 +4,16 @@ A document's set are the hashes of its windows of five words (of all its words,
 sets are one class member from there on. A forest has TREES prefix tries; a member's key in a tree is a sequence of
 DEPTH MinHash values, and two members meet in a tree where their keys share a prefix, which is a node of the trie: members
 are brought together by prefix. Matching starts at full depth; what meets there goes on as one group. The prefix is then
-shortened, for all trees and groups alike, to the depth at which links at the threshold, the worst case, meet in some tree
-with the target recall. That depth follows from the threshold and the recall alone: no pairs of the corpus are asked how
-alike its links are, as those that meet at full depth say nothing of those that don't.
+shortened, for all trees and groups alike, until the target recall is reached, or down to the depth at which even links at the threshold, the
+worst case, meet in some tree with that recall. How much is still missing is estimated from all verified links: one of likeness J meets at a
+depth with a known probability p(J), above 0.99 at every depth for every link, so each link that was found stands for (1 - p) / p links that
+were not. Links less alike than any found could be missing as a whole; as many of them as could have stayed unseen together, but for a
+chance of 1 - recall, count as missing too, so that few links never end the search early.
 
-Members that meet are put into candidate groups (components over the tries' nodes at both depths). All pairs of a group are verified
+Members that meet are put into candidate groups (components over the tries' nodes). All pairs of a group are verified
 exactly, but never as rows: a group is cut into blocks of bounded size, each pair of blocks is one unit of work, and what
-a unit returns is for each member its number of links and the least member it is connected with. Components over those
-give the classes.
+a unit returns is for each member its number of links and the least member it is connected with. A shorter prefix only makes groups grow;
+those that stay as they are aren't verified again. Components over the links give the classes.
 
 Defined results: a null text is an empty one; texts without words have no links and are a class by themselves each; a
 null id counts as the least id; rows with equal ids are told apart by their sets (links and classes are those of sets, which have numbers
@@ -20,6 +22,7 @@ of their own; classes of different texts with equal ids may share a class_id, as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,6 @@ from . import common, graphs
 
 WORDS = 5
 TREES, DEPTH = 25, 7
-#: A signature's likeness is off by a few hundredths.
-MARGIN = 0.06
 #: Shingles and members of a block of a candidate group.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 120_000, 400
 SLOTS = 64
@@ -70,14 +71,20 @@ def depth_for(threshold: float, recall: float) -> int:
     return depth
 
 
-def shortened(alike: dict[int, int], threshold: float, recall: float) -> int:
-    """The depth at which the least alike links seen meet with the wanted probability. alike: how many pairs met at full depth have how many equal signature values.
+def apart(likeness, depth: int):
+    """The probability that two sets of some likeness meet in no tree."""
+    return (1 - likeness**depth) ** TREES
 
-    A figure of a corpus; the join doesn't go by it, as a link that isn't seen at full depth may need a shorter prefix. Pairs a little below the threshold count as links at it, and links as a little less alike than their signatures.
-    """
-    values = TREES * DEPTH
-    links = [equal / values for equal, pairs in alike.items() if pairs and equal / values >= threshold - MARGIN]
-    return depth_for(max(min(links, default=0.0) - MARGIN, threshold), recall)
+
+def shortened(depth: int, links: int, missed: dict[int, float], threshold: float, recall: float) -> int:
+    """The greatest depth up to `depth`, where `links` links have met, that reaches the recall by the estimate. missed: links that each depth is estimated to lose."""
+    floor = depth_for(threshold, recall)
+    unseen = math.ceil(math.log(1 - recall) / math.log(apart(threshold, depth)))
+    for d in range(depth, floor, -1):
+        lost = missed[d] + unseen
+        if lost <= (1 - recall) * (links + lost):
+            return d
+    return floor
 
 
 def minhashes(own: np.ndarray) -> bytes:
@@ -123,45 +130,34 @@ def candidate_edges(members: DataFrame, depth: int) -> DataFrame:
     return at.join(nodes, ["node", "slot"]).where("number != least").select(F.col("number").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def candidate_groups(members: DataFrame, depth: int) -> DataFrame:
-    """(number, group) of the members that meet others at a depth. Those that meet at full depth are one member from there on."""
-    full = graphs.components(candidate_edges(members, DEPTH)).select(F.col("v").alias("number"), F.col("l").alias("at_full"))
-    if depth == DEPTH:
-        return full.withColumnRenamed("at_full", "group")
-    own = members.select("number", "signature").join(full, "number", "left")
-    short = graphs.components(candidate_edges(own.select(F.coalesce("at_full", "number").alias("number"), "signature"), depth))
-    labels = members.select("number").join(full, "number", "left").withColumn("v", F.coalesce("at_full", "number")).join(short, "v", "left")
-    return labels.select("number", F.coalesce("l", "at_full").alias("group")).where("group is not null")
-
-
-def met(members: DataFrame) -> dict[int, int]:
-    """Of all pairs of a member and the least one of its node at full depth: how many have how many equal signature values."""
-    own = members.select("number", "signature")
-    pairs = candidate_edges(members, DEPTH).join(own.select(F.col("number").alias("a"), F.col("signature").alias("x")), "a")
-    pairs = pairs.join(own.select(F.col("number").alias("b"), F.col("signature").alias("y")), "b").select("x", "y")
+def grouped_at(members: DataFrame, depth: int, before: DataFrame | None = None) -> DataFrame:
+    """(number, group) of the members that meet others at a depth, group being the least number. before: the groups at a greater depth, each of which goes on as one member."""
+    if before is None:
+        return graphs.components(candidate_edges(members, depth)).select(F.col("v").alias("number"), F.col("l").alias("group"))
+    own = members.select("number", "signature").join(before.select("number", F.col("group").alias("at")), "number", "left").withColumn("v", F.coalesce("at", "number"))
+    short = graphs.components(candidate_edges(own.select(F.col("v").alias("number"), "signature"), depth))
+    return own.join(short, "v", "left").select("number", F.coalesce("l", "at").alias("group")).where("group is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, TREES * DEPTH) for c in batch.columns)
-            equal, n = np.unique((x == y).sum(axis=1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(equal, pa.int64()), pa.array(n, pa.int64())], ["equal", "n"])
 
-    # One row for each number of equal values at most.
-    counts = pairs.mapInArrow(run, "equal long, n long").groupBy("equal").agg(F.sum("n").alias("n"))
-    return {r["equal"]: r["n"] for r in counts.collect()}
+def candidate_groups(members: DataFrame, depth: int) -> DataFrame:
+    """(number, group) at a depth, by way of the groups at full depth."""
+    full = grouped_at(members, DEPTH)
+    return full if depth == DEPTH else grouped_at(members, depth, full)
 
 
 def units(groups: DataFrame) -> DataFrame:
-    """(number, member, k1, k2, copies, unit, side): the units of work that each member takes part in. groups: (number, member, k1, k2, n, copies, group)."""
-    sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    """(number, member, text_key, k1, k2, copies, group, size, i, j, second): the units of work that each member takes part in. groups: (number, member, text_key, k1, k2, n, copies, group). size: members of the group; as groups only grow, (group, size) tells its states apart."""
+    members = F.count(F.lit(1))
+    sizes = groups.groupBy("group").agg(members.alias("size"), F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(members / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     rows = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("number", F.lit(23)), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("number", "member", "k1", "k2", "copies", "group", "block", F.explode(other).alias("other"))
-    return rows.select("number", "member", "k1", "k2", "copies", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
+    own = ["number", "member", "text_key", "k1", "k2", "copies", "group", "size"]
+    rows = rows.select(*own, "block", F.explode(other).alias("other"))
+    return rows.select(*own, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
 
 
-def verified(members: list[tuple[int, int, bool, np.ndarray]], within: bool, ratio: tuple[int, int]) -> list[tuple[int, int, int, int]]:
-    """(number, least connected number, links, linked documents) of a unit's members that have links. members: (number, copies, second side, set); within: one block against itself, else first against second side. ratio: threshold as a fraction."""
+def verified(members: list[tuple[int, int, bool, np.ndarray]], within: bool, ratio: tuple[int, int], depths: list[int]) -> list[tuple[int, ...]]:
+    """(number, least connected number, links, linked documents, for each depth: billionths of links that its links stand for and that don't meet there) of a unit's members that have links. members: (number, copies, second side, set); within: one block against itself, else first against second side. ratio: threshold as a fraction."""
     p = len(members)
     if p < 2:
         return []
@@ -199,59 +195,96 @@ def verified(members: list[tuple[int, int, bool, np.ndarray]], within: bool, rat
         label = now
     by_rank = np.sort(ids)
     links, docs = linked.sum(1), linked @ np.array([m[1] for m in members], np.int64)
-    return [(int(ids[i]), int(by_rank[label[i]]), int(links[i]), int(docs[i])) for i in np.flatnonzero(links)]
-
-
-def links(docs: DataFrame, work: DataFrame, text: str, doc: str, threshold: tuple[int, int]) -> DataFrame:
-    """(number, least, links, docs, unit group) for each unit and member with links."""
-    whole = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("member"), F.col(text).alias("text"))
-    rows = whole.join(work.hint("merge"), "member")
+    a, b = np.nonzero(linked)
+    likeness = common_[a, b] / (sizes[a] + sizes[b] - common_[a, b])
+    q = [apart(likeness, d) for d in depths]
+    missed = [np.rint(1e9 * np.bincount(a, x / (1 - x), p)).astype(np.int64) for x in q]
+    return [(int(ids[i]), int(by_rank[label[i]]), int(links[i]), int(docs[i]), *(int(m[i]) for m in missed)) for i in np.flatnonzero(links)]
+
+
+def links(docs: DataFrame, work: DataFrame, text: str, doc: str, threshold: tuple[int, int], depths: list[int]) -> DataFrame:
+    """(number, least, links, docs, missed<depth>.., group, size) for each unit and member with links."""
+    whole = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("member"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    # By text, too: rows of one id (null, say) meet the units of their own sets only.
+    rows = whole.join(work.hint("merge"), ["member", "text_key"])
     placed = rows.repartition(max(common.partitions(docs.sparkSession), 1), "group", "i", "j").sortWithinPartitions("group", "i", "j", "number")
+    names = ["number", "least", "links", "docs", *(f"missed{d}" for d in depths), "group", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["number", "least", "links", "docs", "grp"]
         unit, held, taken = None, [], set()
 
         def emit() -> pa.RecordBatch:
-            found = verified(held, unit[1] == unit[2], threshold)
-            columns = list(zip(*found)) or [()] * 4
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([unit[0]] * len(found), pa.int64())], names)
+            found = verified(held, unit[2] == unit[3], threshold, depths)
+            columns = list(zip(*found)) or [()] * (len(names) - 2)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *(pa.array([x] * len(found), pa.int64()) for x in unit[:2])], names)
 
         for batch in batches:
-            batch = batch.select(["number", "text", "k1", "k2", "copies", "group", "i", "j", "second"])
+            batch = batch.select(["number", "text", "k1", "k2", "copies", "group", "size", "i", "j", "second"])
             texts = batch.column(1).cast(pa.binary())
-            rest = [batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7, 8)]
-            for at, (number, k1, k2, copies, group, i, j, second) in enumerate(zip(*rest)):
-                if unit != (group, i, j):
+            rest = [batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7, 8, 9)]
+            for at, (number, k1, k2, copies, group, size, i, j, second) in enumerate(zip(*rest)):
+                if unit != (group, size, i, j):
                     if held:
                         yield emit()
-                    unit, held, taken = (group, i, j), [], set()
+                    unit, held, taken = (group, size, i, j), [], set()
+                if number in taken:
+                    continue
                 own = shingles(texts[at].as_py())
-                # Rows whose id is the member's but whose set isn't are other documents.
-                if _key(own) == (k1, k2) and number not in taken:
+                # Texts whose id and hash are the member's but whose set isn't are other documents.
+                if _key(own) == (k1, k2):
                     taken.add(number)
                     held.append((number, copies, second, own))
         if held:
             yield emit()
 
-    return placed.mapInArrow(run, "number long, least long, links long, docs long, grp long")
+    return placed.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+
+
+def linked(docs: DataFrame, members: DataFrame, text: str, doc: str, threshold: tuple[int, int], recall: float) -> tuple[DataFrame, DataFrame]:
+    """(found, work): links() and units() of the candidate groups, at the depth where the recall is reached. members: (number, member, text_key, k1, k2, n, copies, signature)."""
+    t = threshold[0] / threshold[1]
+    floor = depth_for(t, recall)
+    depths = list(range(floor, DEPTH + 1))
+    state = ["group", "size"]
+    depth, groups = DEPTH, None
+    found = work = None
+    while True:
+        before = groups
+        groups = grouped_at(members, depth, before)
+        groups = common.materialise(members.drop("signature").join(groups, "number"), "groups")
+        own = units(groups)
+        if work is not None:
+            own = own.join(work.select(*state).distinct(), state, "left_anti")
+        own = common.materialise(own, "units")
+        common.release(docs.sparkSession)
+        new = common.materialise(links(docs, own, text, doc, threshold, depths), "links")
+        if work is None:
+            found, work = new, own
+        else:
+            # What has grown was verified anew.
+            now = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+            found, work = (x.join(now, state, "left_semi").select(*y.columns).unionByName(y) for x, y in ((found, new), (work, own)))
+        if depth == floor:
+            return found, work
+        total = found.agg(F.sum("links").alias("links"), *(F.sum(f"missed{d}").alias(f"missed{d}") for d in depths)).first()
+        least = shortened(depth, (total["links"] or 0) // 2, {d: (total[f"missed{d}"] or 0) / 2e9 for d in depths}, t, recall)
+        if least == depth:
+            return found, work
+        depth = least
 
 
 def classified(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: tuple[int, int] = (4, 5), recall: float = 0.9999) -> DataFrame:
     """(doc, text_key, class_number, class_id, member, n_copies, n_links, n_linked_docs) of each row: those of join(), the text's xxhash64, and a number that only rows of the same class share (null for a text without words)."""
     rows = common.materialise(signatures(docs, text, doc), "signatures")
     full = rows.where("n > 0")
-    members = full.groupBy("k1", "k2").agg(F.min("doc").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    members = full.groupBy("k1", "k2").agg(F.min(F.struct("doc", "text_key")).alias("x"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    members = members.select("k1", "k2", F.col("x.doc").alias("member"), "x.text_key", "copies", "n", "signature")
     # Sets may share an id; once written, numbers are theirs alone.
     members = common.materialise(members.withColumn("number", F.monotonically_increasing_id()), "members")
-    grouped = candidate_groups(members, depth_for(threshold[0] / threshold[1], recall))
-    groups = common.materialise(members.drop("signature").join(grouped, "number"), "groups")
-    work = common.materialise(units(groups), "units")
-    common.release(docs.sparkSession)
-    found = common.materialise(links(docs, work, text, doc, threshold), "links")
+    found, work = linked(docs, members, text, doc, threshold, recall)
     # Where a group was one unit its labels are final; the others' are edges.
-    many = work.where("j > 0").select(F.col("group").alias("grp")).distinct()
-    edges = found.join(many, "grp", "left_semi").where("number != least").select(F.col("number").alias("a"), F.col("least").alias("b"))
+    many = work.where("j > 0").select("group").distinct()
+    edges = found.join(many, "group", "left_semi").where("number != least").select(F.col("number").alias("a"), F.col("least").alias("b"))
     final = graphs.components(edges).select(F.col("v").alias("number"), F.col("l").alias("over"))
     totals = found.groupBy("number").agg(F.min("least").alias("least"), F.sum("links").alias("links"), F.sum("docs").alias("docs")).join(final, "number", "left")
     totals = totals.withColumn("class_number", F.coalesce("over", "least")).drop("over", "least").join(members.select("number", "member"), "number")

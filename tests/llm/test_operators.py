@@ -382,15 +382,49 @@ def test_jaccard_groups_go_on_as_one(spark):
     assert groups[5] != groups[jaccard.DEPTH]
 
 
-def test_jaccard_likeness_is_the_signatures(spark):
-    base = prose(200, 77).split()
-    df = spark.createDataFrame([(i, " ".join(base[: 5 * i] + ["q"] + base[5 * i + 1 :])) for i in range(30)], "doc_id long, text string")
-    members = common.materialise(jaccard.signatures(df, "text", "doc_id").select(F.col("doc").alias("number"), "signature"), "members")
-    kept = {r["number"]: np.frombuffer(r["signature"], "<u2") for r in members.collect()}
-    pairs = [int((kept[a] == kept[b]).sum()) for a, b in jaccard.candidate_edges(members, jaccard.DEPTH).collect()]
-    assert len(pairs) > 20 and jaccard.met(members) == {n: pairs.count(n) for n in pairs}
-    assert jaccard.shortened({175: 9}, 0.8, 0.9999) == jaccard.DEPTH
-    assert jaccard.shortened({175: 10**9, 145: 1}, 0.8, 0.9999) == jaccard.shortened({}, 0.8, 0.9999) == 5
+def test_jaccard_counts_what_links_stand_for():
+    """Each verified link stands for links of its likeness that don't meet: the sums over all pairs."""
+    r = random.Random(3)
+    base = r.sample(range(10**9), 100)
+    sets = [np.unique(np.array(base[: 100 - k] + r.sample(range(10**9), k), np.uint64)) for k in range(0, 12)]
+    depths = [5, 6, 7]
+    got = jaccard.verified([(i, 1, False, s) for i, s in enumerate(sets)], True, (4, 5), depths)
+    for number, _, n, _, *missed in got:
+        alike = [len(set(sets[number]) & set(s)) / len(set(sets[number]) | set(s)) for i, s in enumerate(sets) if i != number]
+        alike = [j for j in alike if j >= 0.8]
+        assert n == len(alike)
+        for d, m in zip(depths, missed):
+            miss = [(1 - j**d) ** jaccard.TREES for j in alike]
+            assert abs(m - 1e9 * sum(q / (1 - q) for q in miss)) <= 1
+
+
+def test_jaccard_depth_follows_the_links(spark, monkeypatch):
+    """Many links that are much alike end the search at full depth, less alike ones at the floor; every link is found either way."""
+    depths, edges = [], jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda members, depth: depths.append(depth) or edges(members, depth))
+    for changed, wanted in (([0], [7]), ([30, 60], [7, 5])):
+        depths.clear()
+        r, rows = random.Random(6), []
+        for g in range(24):
+            words = [f"{r.randrange(1 << 40):x}" for _ in range(100)]
+            for v in range(45):
+                # Versions of a group have their own words at the places changed: one at the edge leaves 95 of 97 windows, two in the middle 86 of 106.
+                rows.append((45 * g + v, " ".join(f"{g}x{v}x{k}" if k in changed else w for k, w in enumerate(words))))
+        got = {x["doc"]: (x["class_id"], x["n_links"]) for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {d: (d - d % 45, 44) for d, _ in rows}
+        assert depths == wanted
+
+
+def test_jaccard_texts_of_null_ids_meet_their_own_units_only(spark, monkeypatch):
+    """300 near copies without ids: as many rows reach the verification as there are texts, not their square."""
+    seen, links = [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda docs, work, *rest: seen.append((docs, work)) or links(docs, work, *rest))
+    base = prose(400, 31).split()
+    df = spark.createDataFrame([(None, " ".join(base[:i] + ["q"] + base[i + 1 :])) for i in range(300)], "doc_id long, text string")
+    got = jaccard.join(df).collect()
+    assert [r["n_links"] for r in got] == [299] * 300
+    joined = [docs.select(F.xxhash64("text").alias("text_key")).join(work, "text_key").count() for docs, work in seen]
+    assert joined[0] == 300 and sum(joined) == 300
 
 
 def test_quality_figures(docs):
@@ -857,11 +891,13 @@ def test_jaccard_finds_links_at_the_threshold(spark, seed):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    guaranteed = jaccard.depth_for(0.8, 0.9999)
-    values = jaccard.TREES * jaccard.DEPTH
-    assert jaccard.shortened({values: 500}, 0.8, 0.9999) == jaccard.DEPTH
-    assert jaccard.shortened({int(0.8 * values): 500}, 0.8, 0.9999) == jaccard.shortened({}, 0.8, 0.9999) == guaranteed < jaccard.DEPTH
-    assert jaccard.shortened({int(0.8 * values): 1, values: 900}, 0.8, 0.9999) == guaranteed
+    depth = lambda links, likeness, at=jaccard.DEPTH: jaccard.shortened(at, links, {d: links * (q := jaccard.apart(likeness, d)) / (1 - q) for d in (5, 6, 7)}, 0.8, 0.9999)
+    assert jaccard.depth_for(0.8, 0.9999) == 5
+    assert depth(10**6, 0.95) == 7
+    assert depth(10**6, 0.84) == 6
+    assert depth(10**6, 0.8) == depth(10**6, 0.8, 6) == 5
+    # Few links say nothing of those less alike.
+    assert depth(0, 0.95) == depth(1000, 0.95) == depth(19_000, 0.95) == 5
 
 
 def test_quality_cutoffs_keep_their_promise():
