@@ -157,17 +157,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _text_key(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
 def parsed(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
     """(doc, tk, first, count, t, p1, p2): every phrase's document and text hash, its strings, trigger hash and name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "tk", "first", "count", "t", "p1", "p2"]
         for batch in batches:
-            docs_ = batch.column(0).to_numpy(zero_copy_only=False)
+            docs_, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             parts: list[tuple] = []
             rows = 0
             for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
@@ -175,7 +171,7 @@ def parsed(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
                     data = np.frombuffer(t, np.uint8)
                     first, count, place, hashes, rolling = phrases(data, length)
                     p1, p2 = named(data, first, count, place, length, rolling)
-                    parts.append((np.full(len(first), docs_[i]), np.full(len(first), _text_key(t)), first, count.astype(np.int32), hashes, p1, p2))
+                    parts.append((np.full(len(first), docs_[i]), np.full(len(first), keys[i]), first, count.astype(np.int32), hashes, p1, p2))
                     rows += len(first)
                 if rows > 100_000:
                     yield table(parts, names)
@@ -192,7 +188,7 @@ def parsed(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tk"))
 
 
 def _slotted(rows: DataFrame, *key: str) -> DataFrame:
@@ -202,28 +198,27 @@ def _slotted(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, lists: DataFrame, text: str, doc: str, how: str) -> DataFrame:
-    return _rows(docs, text, doc).join(lists.withColumnRenamed("doc", "of").hint("merge"), F.col("doc") == F.col("of"), how).drop("of")
+    """(doc, text, tk, list): lists, (doc, tk, list), belong to a document and text hash, so that documents of one id (null, say) have lists of their own."""
+    return _rows(docs, text, doc).join(lists.select("doc", "tk", "list").hint("merge"), ["doc", "tk"], how).select("doc", "text", "tk", "list")
 
 
 _ENTRY = "t long, doc long, tk long, first long, count int, n long"
 
 
 def read_phrases(docs: DataFrame, wanted: DataFrame, text: str, doc: str, length: int) -> DataFrame:
-    """Dictionary entries with their phrase's bytes. wanted: (doc, list of entries)."""
+    """Dictionary entries with their phrase's bytes. wanted: (doc, tk, list of entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["t", "doc", "tk", "first", "count", "n", "phrase"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
             rows = []
-            for d, t, list_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)):
+            for d, t, tk, list_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if t is None or len(t) < length:
                     continue
-                key = _text_key(t)
                 for x in list_.as_py():
-                    if x["tk"] == key:
-                        a = x["first"]
-                        rows.append((x["t"], d, key, a, x["count"], x["n"], t[a : a + x["count"] - 1 + length]))
+                    a = x["first"]
+                    rows.append((x["t"], d, tk, a, x["count"], x["n"], t[a : a + x["count"] - 1 + length]))
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -325,8 +320,8 @@ def repeats(docs: DataFrame, text: str, doc: str, length: int) -> DataFrame:
     several = _slotted(entries.select("t", F.lit(1).alias("n"), part.alias("slot")), "t")
     mixed = entries.withColumn("slot", part).join(several, ["t", "slot"])
     # Triggers that many phrases share are resolved through a shuffle of all their strings, the others side by side.
-    wanted = mixed.select("at.doc", F.struct("t", F.col("at.tk").alias("tk"), F.col("at.first").alias("first"), F.col("at.count").alias("count"), F.when(F.col("total") > TOGETHER, -F.col("n")).otherwise(F.col("n")).alias("n")).alias("x"))
-    wanted = common.materialise(wanted.groupBy("doc").agg(F.collect_list("x").alias("list")), "wanted")
+    wanted = mixed.select("at.doc", "at.tk", F.struct("t", F.col("at.first").alias("first"), F.col("at.count").alias("count"), F.when(F.col("total") > TOGETHER, -F.col("n")).otherwise(F.col("n")).alias("n")).alias("x"))
+    wanted = common.materialise(wanted.groupBy("doc", "tk").agg(F.collect_list("x").alias("list")), "wanted")
     common.discard(entries)
     read = common.materialise(read_phrases(docs, wanted, text, doc, length), "read-phrases")
     common.discard(wanted)
@@ -397,22 +392,19 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, text: str = "text", doc: str = "doc_id", length: int = 200) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept: binary) of each row."""
     runs = repeats(docs, text, doc, length)
-    lists = common.materialise(runs.groupBy("doc").agg(F.collect_list(F.struct("tk", "start", "end")).alias("list")), "runs")
+    lists = common.materialise(runs.groupBy("doc", "tk").agg(F.collect_list(F.struct("start", "end")).alias("list")), "runs")
     common.release(docs.sparkSession)
     joined = _wanted(docs, lists, text, doc, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            lists = batch.column(2)
+            lists = batch.column(3)
             for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 t, spans = t or b"", []
                 if lists[i].is_valid:
-                    key = _text_key(t)
-                    own = lists[i].values.flatten()
-                    tk, a, b = (x.to_numpy(zero_copy_only=False) for x in own)
-                    mine = tk == key
-                    spans = merged(list(zip(a[mine].tolist(), b[mine].tolist())))
+                    a, b = (x.to_pylist() for x in lists[i].values.flatten())
+                    spans = merged(list(zip(a, b)))
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(t[at:a])

@@ -633,6 +633,31 @@ def test_hashes_modulo_primes():
     assert suffixes.PrimeRolling(word).of(*ends) != suffixes.PrimeRolling(1 - word).of(*ends)
 
 
+def test_suffix_lists_are_a_texts_own(spark, monkeypatch):
+    """Documents without ids: each text's lists hold its own phrases and runs only, and every row gets its result."""
+    lists, wanted = [], suffixes._wanted
+    monkeypatch.setattr(suffixes, "_wanted", lambda docs, rows, *rest: lists.append(rows.select("doc", "tk", F.size("list").alias("n")).collect()) or wanted(docs, rows, *rest))
+    shared = prose(60, 41)[:300]
+    texts = [f"{prose(40, 500 + i)[:150]}|{i:05d}|{shared}|{i:05d}" for i in range(60)] + [shared, "short", "", None]
+    got = suffixes.deduplicated(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"))
+    raw = [(t or "").encode() for t in texts]
+    places = {}
+    for d, b in enumerate(raw):
+        for i in range(len(b) - 199):
+            places.setdefault(b[i : i + 200], []).append((d, i))
+    gone = [set() for _ in raw]
+    for found in places.values():
+        for d, i in found if len(found) > 1 else []:
+            gone[d].update(range(i, i + 200))
+    kept = [bytes(c for i, c in enumerate(b) if i not in g) for b, g in zip(raw, gone)]
+    assert sorted(bytes(r["kept"]) for r in got.collect()) == sorted(kept)
+    assert len(lists) == 2
+    for rows in lists:
+        assert len({(r["doc"], r["tk"]) for r in rows}) == len(rows)
+        assert max(r["n"] for r in rows) <= max(map(len, raw))
+    assert len(lists[1]) == 61
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=80).map(lambda b: bytes(c % 3 for c in b)), st.integers(1, 40))
 def test_suffix_ranks_are_the_order(data, length):
