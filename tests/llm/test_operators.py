@@ -895,6 +895,94 @@ def test_first_tree_is_the_best_split(spark):
     assert u.select(bins["suffix"]).first()[0] == model.others["suffix"]
 
 
+def labelled_urls(spark, rows):
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, y int")
+    host, path = urls.parts(df.url)
+    return df.withColumns({"host": host, "path": path})
+
+
+def test_boosted_trees_by_plain_loops(spark):
+    """All trees of a model against boosting over single rows, neutral ones among them."""
+    r = random.Random(8)
+    rows = []
+    for i in range(240):
+        host = f"h{r.randrange(40)}{'-' * r.randrange(3)}.{r.choice(['org', 'net', 'zz', f'only{i}'])}"
+        at = f"/{r.choice(['a', 'b', f's{i}'])}/" + "9" * r.randrange(5)
+        rows.append((f"http://{host}{at}", int((host.endswith("net") and "/a/" in at) or r.random() < 0.25)))
+    df = labelled_urls(spark, rows)
+    model, counts = urls.prepared(df, "y", 8)
+    table = [c.asDict() for c in counts.collect()]
+    assert sum(c["weight"] for c in table) == 240 and len(model.statistics["suffix"]) == len(model.statistics["section"]) == 8
+    assert {c["b_suffix"] for c in table} > {-1} and {c["b_section"] for c in table} > {-1}
+    names = sorted(k for k in table[0] if k.startswith("b_"))
+    margins = [model.base] * len(table)
+
+    def grown(at, depth):
+        """(tree, {row: value}) of the rows at these places."""
+        gh = {i: (table[i]["weight"] * (1 / (1 + np.exp(-margins[i])) - table[i]["y"]), table[i]["weight"] * np.exp(-margins[i]) / (1 + np.exp(-margins[i])) ** 2) for i in at}
+        total = lambda part: (sum(gh[i][0] for i in part), sum(gh[i][1] for i in part))
+        step = lambda g, h: -g / (h + 1)
+        lost = lambda part, w: -2 * total(part)[0] * w - total(part)[1] * w * w
+        own, best = step(*total(at)), None
+        for f in names:
+            for b in sorted({table[i][f] for i in at} - {-1}):
+                left = [i for i in at if 0 <= table[i][f] <= b]
+                right = [i for i in at if table[i][f] > b]
+                none = [i for i in at if table[i][f] == -1]
+                gain = sum(total(x)[0] ** 2 / (total(x)[1] + 1) for x in (left, right)) + lost(none, own)
+                if best is None or gain > best[0] + 1e-7:
+                    best = (gain, f, b, left, right, none)
+        _, f, b, left, right, none = best
+        values = {i: 0.5 * own for i in none}
+        sides = []
+        for part in (left, right):
+            if depth and part:
+                tree, more = grown(part, depth - 1)
+                sides.append(tree)
+                values |= more
+            else:
+                sides.append(0.5 * step(*total(part)))
+                values |= {i: sides[-1] for i in part}
+        return (f.removeprefix("b_"), b, *sides, 0.5 * own), values
+
+    def flat(t):
+        return [x for y in t for x in (flat(y) if isinstance(y, tuple) else [y])]
+
+    for tree in urls.train(df, "y", 4, most_values=8).trees:
+        want, values = grown(range(len(table)), 1)
+        margins = [m + values[i] for i, m in enumerate(margins)]
+        for got, said in zip(flat(tree), flat(want), strict=True):
+            assert got == said if isinstance(said, str) else abs(got - said) < 1e-5
+
+
+def test_url_shares_leave_out_the_own_fold(spark):
+    hosts = [f"h{i}.{'net' if i % 2 else 'org'}" for i in range(30)] + ["one.zz"]
+    rows = [(f"http://{h}/{'a' if k % 3 else 'b'}/", int((i + k) % 4 == 0)) for i, h in enumerate(hosts) for k in range(4)]
+    df = labelled_urls(spark, rows)
+    known = df.select("y", F.pmod(F.xxhash64("host"), F.lit(urls.FOLDS)).cast("int").alias("fold"), urls.suffix(df.host).alias("suffix"))
+    whole, folds = urls._shares(known, "suffix", 8)
+    listed = known.collect()
+    for s in ("net", "org", "zz"):
+        for k in [None, *range(urls.FOLDS)]:
+            own = [x["y"] for x in listed if x["suffix"] == s and x["fold"] != k]
+            assert (whole if k is None else folds[k])[s] == (int((sum(own) + 1) / (len(own) + 2) * (urls.BINS - 1)) if own else urls.NEUTRAL)
+    assert urls.NEUTRAL in {f["zz"] for f in folds}
+
+
+def test_url_trees_learn_from_characters_of_unknown_suffixes(spark):
+    """Labels follow the digits, whatever the suffix; urls of suffixes without labels are judged by their digits."""
+    r = random.Random(4)
+    make = lambda i, s, y: f"http://h{'abcdefgh'[i % 8]}{'klmnop'[i % 6]}.{s}/p/" + "".join(r.choice("0123456789" if y else "uvwxyz") for _ in range(12))
+    rows = [(make(i, s, y), y) for i in range(60) for s, y in [("net", i % 2), ("org", int(i % 3 == 0))]]
+    df = labelled_urls(spark, rows)
+    model = urls.train(df, "y")
+    new = [(make(i, "new", i % 2), i % 2) for i in range(40)]
+    got = urls.scored(labelled_urls(spark, new), model).collect()
+    assert all((x["block_chance"] > 0.5) == (x["y"] == 1) for x in got)
+    loss, base = urls.held_out_loss(df, "y", F.pmod(F.xxhash64("host"), F.lit(3)), 3, rounds=4)
+    assert loss < base / 3
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_finds_links_at_the_threshold(spark, seed):
     """Pairs of about four fifths in common, and some just below: all links, no others."""
