@@ -14,9 +14,11 @@ from . import linalg
 from .tensor import V, Tensor, einsum
 
 
-def _factor(a: Tensor, m: Tensor | np.ndarray, mode: int) -> DataFrame:
-    """(i_mode, row_mode) of a factor matrix; a vector counts as one column."""
-    if isinstance(m, np.ndarray):
+def _factor(a: Tensor, m: Tensor | DataFrame | np.ndarray, mode: int) -> DataFrame:
+    """(i_mode, row_mode) of a factor matrix, which may be given as rows (i0, row) already; a vector counts as one column."""
+    if isinstance(m, DataFrame):
+        rows = m
+    elif isinstance(m, np.ndarray):
         m = m.reshape(len(m), -1).astype(float)
         rows = a.spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "i0 long, row array<double>")
     else:
@@ -65,7 +67,11 @@ def solve_factor(a: Tensor, factors: Sequence, rhs: Tensor, mode: int, regularis
     at = [(i, j) for i in range(rank) for j in range(i, rank)]
     sums = u.groupBy(f"i{mode}").agg(*(F.sum(F.col("w") * F.get("u", F.lit(i)) * F.get("u", F.lit(j))).alias(f"g{i}_{j}") for i, j in at))
     grams = sums.select(F.col(f"i{mode}").alias("i0"), F.array(*(f"g{i}_{j}" for i, j in at)).alias("g"))
-    both = grams.join(linalg.rows_of(rhs), "i0")
+    return linalg.from_rows(_solved(grams.join(linalg.rows_of(rhs), "i0"), rank, regularise), (a.shape[mode], rank))
+
+
+def _solved(both: DataFrame, rank: int, regularise: float) -> DataFrame:
+    """(i0, row) from (i0, g, row): each row's system, g its matrix's upper triangle, solved in batches."""
     upper = np.triu_indices(rank)
 
     def run(batches):
@@ -78,19 +84,54 @@ def solve_factor(a: Tensor, factors: Sequence, rhs: Tensor, mode: int, regularis
             x = np.linalg.solve(g + regularise * np.eye(rank), np.stack(b["row"].to_numpy())[:, :, None])[:, :, 0]
             yield pd.DataFrame({"i0": b["i0"], "row": list(x)})
 
-    return linalg.from_rows(both.mapInPandas(run, "i0 long, row array<double>"), (a.shape[mode], rank))
+    return both.mapInPandas(run, "i0 long, row array<double>")
 
 
-def als(a: Tensor, rank: int, rounds: int = 3, seed: int = 0, regularise: float = 1e-9) -> list[np.ndarray]:
-    """Factors of a completion of the stored entries by alternating least squares."""
-    rng = np.random.default_rng(seed)
-    factors = [rng.standard_normal((n, rank)) for n in a.shape]
-    pattern = a.map(lambda v: F.lit(1.0))
+def _update(a: Tensor, factors: Sequence, mode: int, rank: int, regularise: float) -> DataFrame:
+    """(i0, row) of one mode's factor that fits the stored entries best, given the others. Matrices and right-hand sides come from the same joins and one aggregation, combined before its shuffle."""
+    df, product = _with_rows(a, factors, skip=mode)
+    u = df.select(f"i{mode}", V().alias("w"), product.alias("u"))
+    at = [(i, j) for i in range(rank) for j in range(i, rank)]
+    part = lambda i: F.get("u", F.lit(i))
+    sums = u.groupBy(f"i{mode}").agg(*(F.sum(part(i) * part(j)).alias(f"g{i}_{j}") for i, j in at), *(F.sum(F.col("w") * part(i)).alias(f"b{i}") for i in range(rank)))
+    return _solved(sums.select(F.col(f"i{mode}").alias("i0"), F.array(*(f"g{i}_{j}" for i, j in at)).alias("g"), F.array(*(f"b{i}" for i in range(rank))).alias("row")), rank, regularise)
+
+
+def _start(a: Tensor, mode: int, rank: int, seed: int) -> DataFrame:
+    """Rows of values in [-1, 1) that follow from the seed, for all places of a mode."""
+    unit = lambda r: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(mode), F.lit(r), "id"), 11).cast("double") / F.lit(float(1 << 52)) - 1
+    return a.spark.range(a.shape[mode]).select(F.col("id").alias("i0"), F.array(*(unit(r) for r in range(rank))).alias("row"))
+
+
+def squared_error(a: Tensor, factors: Sequence) -> float:
+    """Sum over the stored entries of the squared difference to the factors' product."""
+    df, product = _with_rows(a, factors)
+    off = V() - F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
+    return df.agg(F.sum(off * off)).first()[0] or 0.0
+
+
+def completion(a: Tensor, rank: int, rounds: int = 10, regularise: float = 1e-9, start: Sequence[Tensor | None] | None = None, tolerance: float = 0.0, seed: int = 0) -> list[Tensor]:
+    """Factors whose product is near the stored entries, by alternating least squares; places without an entry are unknown, not zero.
+
+    A round solves for each mode in turn. The factors stay distributed, as rows in the shared folder. Rounds end early when one lowers the squared error by less
+    than tolerance of what it was (0: no error is measured). Rows of a factor that no entry meets are zero. start: a factor for each mode, or None for a random one; the first isn't read.
+    """
+    factors = [_start(a, k, rank, seed) if start is None or start[k] is None else linalg.rows_of(start[k]) for k in range(a.ndim)]
+    before = None
     for _ in range(rounds):
         for k in range(a.ndim):
-            rhs = mttkrp(a, factors, k)
-            factors[k] = solve_factor(pattern, factors, rhs, k, regularise).to_numpy()
-    return factors
+            factors[k] = checkpointed(_update(a, factors, k, rank, regularise))
+        if tolerance:
+            error = squared_error(a, factors)
+            if before is not None and before - error <= tolerance * before:
+                break
+            before = error
+    return [linalg.from_rows(f, (n, rank)) for f, n in zip(factors, a.shape)]
+
+
+def als(a: Tensor, rank: int, rounds: int = 3, seed: int = 0, regularise: float = 1e-9) -> list[np.ndarray]:
+    """completion() of a small tensor, its factors as arrays."""
+    return [f.to_numpy() for f in completion(a, rank, rounds, regularise, seed=seed)]
 
 
 def unfold(a: Tensor, labels: str, left: str, right: str) -> Tensor:

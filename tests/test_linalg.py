@@ -79,6 +79,34 @@ def test_multilinear(t):
     assert left[1] < left[0] < np.linalg.norm(full)
 
 
+def test_completion_by_numpy(t):
+    """Each round against least squares row by row; a low-rank tensor is found again at places left out; a row without entries is zero."""
+    n, rank = (6, 5, 4), 2
+    truth = [RNG.uniform(0.5, 1.5, (k, rank)) for k in n]
+    full = np.einsum("ir,jr,kr->ijk", *truth)
+    known = RNG.random(n) < 0.8
+    known[5] = False
+    a = t(np.where(known, full, 0)).sparsify(0.0)
+    start = [RNG.uniform(0.1, 1, (k, rank)) for k in n]
+    got = [f.to_numpy() for f in multilinear.completion(a, rank, 2, 0.1, [None, *(t(f) for f in start[1:])])]
+    want = [f.copy() for f in start]
+    for _ in range(2):
+        for mode in range(3):
+            rows = np.zeros((n[mode], rank))
+            for i in range(n[mode]):
+                at = [p for p in np.argwhere(known) if p[mode] == i]
+                u = np.array([np.prod([want[k][p[k]] for k in range(3) if k != mode], axis=0) for p in at]).reshape(-1, rank)
+                rows[i] = np.linalg.solve(u.T @ u + 0.1 * np.eye(rank), u.T @ np.array([full[tuple(p)] for p in at]))
+            want[mode] = rows
+    for x, y in zip(got, want):
+        near(x, y)
+    assert not got[0][5].any()
+    found = multilinear.completion(a, rank, 8, 1e-9, [None, *(t(f) for f in start[1:])], tolerance=1e-3)
+    off = np.einsum("ir,jr,kr->ijk", *(f.to_numpy() for f in found))[:5] - full[:5]
+    assert np.abs(off[~known[:5]]).max() < 0.3
+    assert abs(multilinear.squared_error(a, found) - (off[known[:5]] ** 2).sum()) < 1e-6
+
+
 def test_symmetry(t):
     m = RNG.standard_normal((4, 4))
     for kind, whole in (("SY", m + m.T - np.diag(np.diag(m))), ("AS", m - m.T), ("SH", m + m.T - 2 * np.diag(np.diag(m)))):
