@@ -80,6 +80,45 @@ def test_betweenness_by_batches(spark):
     assert np.allclose(graphs.betweenness(t, batch=3).to_numpy(), [1, 2, 2, 7, 0])
 
 
+@pytest.mark.parametrize("edges", [1 << 21, 40])
+def test_searches_hold_batches_and_slabs(spark, monkeypatch, edges):
+    """Sources in batches of 3, and edges in slabs where a task holds only some, against brute force; pairs are joined with nothing."""
+    monkeypatch.setattr(graphs, "BATCH", 3)
+    monkeypatch.setattr(graphs, "EDGES", edges)
+    n, rng = 23, np.random.default_rng(5)
+    w = np.where(rng.random((n, n)) < 0.18, rng.integers(1, 9, (n, n)), 0).astype(float)
+    w[7] = w[:, 7] = w[9] = 0.0
+    np.fill_diagonal(w, 0.0)
+    a = Tensor.from_numpy(spark, w, sparse=True)
+    one = np.where(w > 0, w * 1000 + 1, np.inf)
+    level, by_hops = one, {}
+    for k in range(n):
+        by_hops[k + 1] = level
+        level = np.minimum(level, (level[:, :, None] + one[None]).min(axis=1))
+    far = by_hops[n].copy()
+    np.fill_diagonal(far, 0.0)
+    got = graphs.all_shortest_paths(a)
+    assert got.df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1, "only vertices without edges are looked up"
+    assert np.array_equal(got.to_numpy(), np.where(far < np.inf, far // 1000, np.inf))
+    for rounds, most in ((None, n), (1, 2), (2, 4)):
+        rows = {(r["i0"], r["i1"]): r["w"] * 1000 + r["h"] for r in graphs.path_hops(a.df, rounds).collect()}
+        assert rows == {(i, j): by_hops[most][i, j] for i, j in zip(*np.nonzero(by_hops[most] < np.inf))}
+    with pytest.raises(Exception, match="negative weight"):
+        graphs.all_shortest_paths(Tensor.from_numpy(spark, np.array([[0, 1.0], [-2.0, 0]]), sparse=True)).df.collect()
+
+
+def test_betweenness_in_tasks_is_that_of_relations(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    w = np.where(rng.random((15, 15)) < 0.25, rng.integers(1, 4, (15, 15)), 0).astype(float)
+    a, writes, plain = Tensor.from_numpy(spark, w, sparse=True), [], graphs.checkpointed
+    monkeypatch.setattr(graphs, "checkpointed", lambda df: writes.append(1) or plain(df))
+    whole, some = graphs.betweenness(a, batch=4).to_numpy(), graphs.betweenness(a, [3, 8], 4).to_numpy()
+    # The edges and the vertices, however many rounds there are.
+    assert len(writes) == 4
+    monkeypatch.setattr(graphs, "EDGES", 1)
+    assert np.allclose(whole, graphs.betweenness(a).to_numpy()) and np.allclose(some, graphs.betweenness(a, [3, 8]).to_numpy())
+
+
 def test_raw_files_come_from_tasks(spark, tmp_path):
     a = np.random.default_rng(0).standard_normal((9, 7))
     path = f"file://{tmp_path}/dense"
