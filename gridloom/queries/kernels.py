@@ -153,12 +153,12 @@ FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey
 def particle_structs(t: Tables):
     """Particles with two fields, forces with two."""
     n = t.length("supplier", "s_suppkey")
-    s = t.supplier_nation({"s": n})
+    nations = t.supplier_nation({"s": n}).df.select("i0", F.col("i1").alias("g"))
     x = Tensor(t.read("supplier").select(F.col("s_suppkey").alias("i0"), F.struct(F.col("s_acctbal").alias("p"), F.col("s_suppkey").cast("double").alias("q")).alias("v")), (n,))
     def force(a, b):
         d = a["p"] - b["p"]
         return F.struct((d / (1 + F.abs(d))).alias("x"), ((a["q"] - b["q"]) * 0.5).alias("y"))
-    out = workloads.particles(x, force, "x y", einsum("sn,tn->st", s, s))
+    out = workloads.grouped(x.df, nations, force, ["x", "y"])
     return out.select(F.col("i0").alias("i"), (F.round("x", 6) + F.lit(0.0)).alias("x"), (F.round("y", 6) + F.lit(0.0)).alias("y"))
 
 

@@ -119,6 +119,55 @@ def test_betweenness_in_tasks_is_that_of_relations(spark, monkeypatch):
     assert np.allclose(whole, graphs.betweenness(a).to_numpy()) and np.allclose(some, graphs.betweenness(a, [3, 8]).to_numpy())
 
 
+def test_transform_longer_than_letters(spark):
+    """2^21 places, more modes of two than there were letters for: an impulse, and what it turns into at some places."""
+    n = 1 << 21
+    x = Tensor(spark.createDataFrame([(3, 2.0)], "i0 long, v double"), (n,))
+    for got in (workloads.fft(x), workloads.fft_split(x, 1 << 11)):
+        assert got.df.count() == n
+        found = {r["i0"]: complex(*r["v"]) for r in got.df.where("i0 % 262145 = 7").collect()}
+        assert len(found) == 8 and all(abs(v - 2 * np.exp(-2j * np.pi * 3 * k / n)) < 1e-9 for k, v in found.items())
+
+
+@pytest.mark.parametrize("meeting", [1, 2, 4])
+def test_sort_writes_nothing_on_the_way(spark, monkeypatch, meeting):
+    monkeypatch.setattr(workloads, "MEETING", meeting)
+    monkeypatch.setattr(workloads, "checkpointed", None)
+    x = np.random.default_rng(3).integers(-50, 50, 512).astype(float)
+    x[100:140] = 0.0
+    got = workloads.bitonic_sort(Tensor.from_numpy(spark, x, sparse=True), block=8)
+    assert "Broadcast" not in got.df._jdf.queryExecution().executedPlan().toString()
+    assert np.array_equal(got.to_numpy(), np.sort(x))
+
+
+def test_groups_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(workloads, "PART", 3)
+    rng = np.random.default_rng(4)
+    x, g = rng.standard_normal(40), np.where(np.arange(40) < 25, 0, rng.integers(1, 5, 40))
+    values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "i0 long, v double")
+    groups = spark.createDataFrame([(k, int(v)) for k, v in enumerate(g)], "i0 long, g long")
+    want = {i: sum(x[i] - 2 * x[j] for j in range(40) if j != i and g[i] == g[j]) for i in range(40) if (g == g[i]).sum() > 1}
+    sums = {r["i0"]: r["v"] for r in workloads.grouped(values, groups, lambda a, b: a - 2 * b).collect()}
+    assert sums.keys() == want.keys() and np.allclose([sums[i] for i in want], list(want.values()))
+    both = workloads.grouped(values, groups, lambda a, b: F.struct((a - 2 * b).alias("x"), F.lit(1).alias("y")), ["x", "y"])
+    assert {r["i0"]: (round(r["x"], 9), r["y"]) for r in both.collect()} == {i: (round(v, 9), (g == g[i]).sum() - 1) for i, v in want.items()}
+    joined = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "part" in joined and "other" in joined
+
+
+def test_neighbours_at_the_radius_are_those_of_bounds(spark):
+    """Pairs exactly a radius apart: as doubles some are within the distance but not within bounds, and the other way round."""
+    cents = np.arange(0, 3000, 7)
+    x = np.concatenate([cents / 100, (cents + 15000) / 100])
+    points = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "i0 long, x double")
+    got = {(r["i0"], r["i1"]) for r in workloads.neighbours(points, ["x"], 150.0).where("abs(d - 150) < 1e-6").collect()}
+    away = x[:, None] - x[None]
+    near = (np.sqrt(away * away) <= 150.0) & (np.abs(np.abs(away) - 150) < 1e-6)
+    inside = near & (x[None] >= x[:, None] - 150.0) & (x[None] <= x[:, None] + 150.0)
+    assert near.sum() > inside.sum() > 0
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(inside))))
+
+
 def test_raw_files_come_from_tasks(spark, tmp_path):
     a = np.random.default_rng(0).standard_normal((9, 7))
     path = f"file://{tmp_path}/dense"
