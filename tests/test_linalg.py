@@ -223,3 +223,15 @@ def test_block_product(spark):
 
 def test_einsum_types(t):
     assert einsum("i,i->", t(np.arange(3)), t(np.arange(3))).dtype == "int64"
+
+
+def test_large_products_are_pairs_of_blocks(spark, t, monkeypatch):
+    """Beyond what the driver takes: no shuffle and no join of entries, only a Cartesian product of blocks."""
+    for name, value in (("LIMIT", 8), ("ROWS", 256), ("PLACES", 20), ("PARTS", 3)):
+        monkeypatch.setattr(linalg, name, value)
+    x, y = RNG.standard_normal((37, 5)), RNG.standard_normal((5, 29))
+    got = linalg.product(t(x), t(y))
+    plan = got.df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Aggregate" not in plan
+    near(got, x @ y)
+    assert got.df.count() == 37 * 29
