@@ -57,3 +57,18 @@ def test_sums_of_elements(spark):
     assert einsum("ij->", one, algebra=MATRICES).df.first()["v"]["values"] == [6.0, 12.0]
     assert einsum("ij,jk->ik", x._with(x.df.where("false")), x, algebra=MATRICES).df.count() == 0
     assert x.df.select(F.col("v.rows")).distinct().count() == 1
+
+
+def test_elements_with_few_values_store_those(spark, monkeypatch):
+    """A graph's elements: what is stored and multiplied is entries, not places; elements with many values stay whole, and both kinds meet."""
+    monkeypatch.setattr(elements, "EXPANDED", 7)
+    rng = np.random.default_rng(2)
+    sizes = [40, 30, 50]
+    a = np.where(rng.random((120, 120)) < 0.05, rng.integers(1, 9, (120, 120)), 0).astype(float)
+    a[:40, 40:70] = rng.integers(1, 9, (40, 30))  # one element is full
+    x = made(spark, a, sizes, sizes)
+    stored = {(r["i0"], r["i1"]): r["n"] for r in x.df.select("i0", "i1", F.size("v.values").alias("n")).collect()}
+    assert stored[0, 1] == 1200 and all(n < 0.1 * sizes[i] * sizes[j] for (i, j), n in stored.items() if (i, j) != (0, 1))
+    assert np.array_equal(whole(scattered(x), sizes, sizes), a)
+    got = einsum("ij,jk->ik", x, x, algebra=MATRICES)
+    assert np.array_equal(whole(scattered(got), sizes, sizes), a @ a)
