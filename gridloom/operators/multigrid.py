@@ -34,6 +34,18 @@ def strength(a: Tensor, threshold: float = 0.08) -> Tensor:
     return Tensor(kept.select("i0", "i1", F.lit(1.0).alias("v")), a.shape)
 
 
+def connected(a: Tensor, threshold: float = 0.08) -> float:
+    """A threshold of strength at which aggregates grow: the given one if half of the rows with connections have a strong one there, else a quarter of the median of the rows' strongest.
+
+    Rows with many connections have none that is large beside the diagonal; without a lower threshold their vertices stay by themselves, and levels hardly get smaller.
+    """
+    diagonal = a.df.where("i0 = i1").select("i0", F.abs(V()).alias("d"))
+    rows = a.df.where("i0 != i1 and v != 0").join(diagonal, "i0").join(diagonal.toDF("i1", "e"), "i1")
+    strongest = rows.groupBy("i0").agg(F.max(F.abs(V()) / F.sqrt(F.col("d") * F.col("e"))).alias("x"))
+    median = strongest.agg(F.percentile_approx("x", 0.5)).first()[0]
+    return threshold if median is None or median >= threshold else median / 4
+
+
 def aggregates(strong: Tensor, seed: int = 0) -> Tensor:
     """(vertex, aggregate) with 1 where a vertex belongs: each to one aggregate, numbered from 0 in order of roots. Vertices without strong connections are aggregates by themselves."""
     n, spark = strong.shape[0], strong.spark
@@ -81,7 +93,7 @@ class Hierarchy:
         levels, prolong = [_written(a)], []
         while levels[-1].shape[0] > coarse and len(levels) < most:
             fine = levels[-1]
-            t = _written(aggregates(_written(strength(fine, threshold))))
+            t = _written(aggregates(_written(strength(fine, connected(fine, threshold)))))
             if t.shape[1] >= fine.shape[0]:
                 break
             p = _written(prolongator(fine, t))

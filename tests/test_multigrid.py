@@ -41,3 +41,18 @@ def test_small_and_hopeless(spark):
     assert len(one.levels) == 1 and np.allclose(one.solve(Tensor.from_numpy(spark, np.array([2.0, 2.0]))).to_numpy(), [1.0, 0.5])
     with pytest.raises(ArithmeticError):
         one.solve(Tensor.from_numpy(spark, np.array([1.0, 1.0])), tolerance=-1.0, cycles=1)
+
+
+def test_many_weak_connections_still_make_levels(spark):
+    """Each vertex has 30 neighbours or more, none of them strong beside the diagonal: the next level is at most half as large."""
+    rng = np.random.default_rng(7)
+    w = np.triu(np.where(rng.random((90, 90)) < 0.4, rng.integers(2, 20, (90, 90)), 0), 1).astype(float)
+    w = w + w.T
+    a = np.diag(w.sum(axis=1) + 1) - w
+    matrix = Tensor.from_numpy(spark, a, sparse=True)
+    assert multigrid.strength(matrix).df.count() < 90 and multigrid.connected(matrix) < 0.08
+    found = multigrid.Hierarchy.of(matrix, 24)
+    assert [x.shape[0] for x in found.levels][1:] and found.levels[1].shape[0] <= 45
+    b = rng.integers(0, 9, 90).astype(float)
+    x = found.solve(Tensor.from_numpy(spark, b), 1e-4, rounds=1).to_numpy()
+    assert np.linalg.norm(b - a @ x) <= 1e-4 * np.linalg.norm(b)
