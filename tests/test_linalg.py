@@ -46,6 +46,33 @@ def test_svd_and_qr(t):
     near(s, np.linalg.svd(A)[1][:2], 1e-3)
 
 
+def test_rows_meet_python_in_small_blocks(spark):
+    """However many rows a task has, its Python works on a megabyte of them at a time."""
+    width = 64
+    rows = spark.range(0, 20_000, 1, 2).select(F.col("id").alias("i0"), F.array_repeat(F.lit(0.0), width).alias("row"))
+
+    def longest(*parts):
+        """A row that tells the longest block so far; all others are of zeros."""
+        most = max(len(parts[-1]), *(p.max() for p in parts if p is not None))
+        return np.full((1, width), float(most))
+
+    assert linalg._reduced(rows, longest, False).max() <= (1 << 20) // (8 * width) + 1
+
+
+def test_blocks_of_rows(t):
+    """Rows and their ids stay together over blocks, batches of few rows and tasks of fewer rows than columns."""
+    x = RNG.standard_normal((5000, 70))
+    z = x[:, :35] + 1j * x[:, 35:]
+    for m in (x, z):
+        near(linalg.product(t(m), t(m[:40].T)), m @ m[:40].T)
+        near(linalg.gram(t(m)), m.conj().T @ m)
+        # Four tasks of 20 rows or so, of 70 or 35 columns.
+        for a in (m, m[:80]):
+            q, r = (y.to_numpy() for y in linalg.qr(t(a)))
+            near(q @ r, a)
+            near(q.conj().T @ q, np.eye(a.shape[1]))
+
+
 def test_factorisations(t):
     low = linalg.cholesky(t(S))
     near(low, np.linalg.cholesky(S))
